@@ -1,0 +1,348 @@
+"""Kneser-Ney bigram counts of one or more classes of text, counted in Spark and stored as sorted hash arrays in
+the shared folder, which workers map into memory.
+
+Words are 64-bit hashes; a word's id is its place in the sorted array of all of them, and a pair's key is the
+bijective mix of both ids, so pairs never collide. Every task sums what it has read before it deals it out by hash
+range; a range is summed in one task and written as one file (by rename, so a task that runs again or twice does no
+harm). The arrays need a shared folder that workers can map: a file path, such as a mount.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import chunks, mix, scratch_path, stash, word_hashes, word_spans
+
+#: Tokens that a task gathers before it sums them.
+FLUSH = 3_000_000
+END = np.uint64(0x0E4D0F7E57000001)
+_ROW = "shard int, cls int, n long, keys binary, counts binary"
+_M1, _M2 = pow(0xBF58476D1CE4E5B9, -1, 1 << 64), pow(0x94D049BB133111EB, -1, 1 << 64)
+
+
+def unmix(x: np.ndarray) -> np.ndarray:
+    """Inverse of ``mix``."""
+    u = np.uint64
+    x = x ^ (x >> u(31)) ^ (x >> u(62))
+    x = x * u(_M2)
+    x = x ^ (x >> u(27)) ^ (x >> u(54))
+    x = x * u(_M1)
+    return x ^ (x >> u(30)) ^ (x >> u(60))
+
+
+def local_folder(path: str) -> str:
+    if "://" in path or path.startswith("file:"):
+        if not path.startswith("file:"):
+            raise ValueError(f"workers map the model's arrays into memory: {path} is not a mounted folder")
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return path
+
+
+def _pack(a: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(b: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(b, n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint32)
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, cls: int, bits: int) -> Iterator[tuple]:
+    """Sorted keys by hash range."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+    for s, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)):
+        if len(k):
+            yield s, cls, len(k), _pack(k), _pack(c)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    s, c, n, k, v = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["shard", "cls", "n", "keys", "counts"])
+
+
+def _summed(table: pa.Table, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    cls, n, k, v = (table.column(x).to_pylist() for x in ("cls", "n", "keys", "counts"))
+    keys = np.concatenate([_unpack(b, m, np.uint64) for b, m in zip(k, n, strict=True)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    out = np.zeros((len(at), classes), np.int64)
+    counts = np.concatenate([_unpack(b, m, np.uint32) for b, m in zip(v, n, strict=True)])
+    kind = np.repeat(np.array(cls), n)
+    for c in range(classes):
+        out[:, c] = np.add.reduceat(np.where(kind == c, counts, 0)[order].astype(np.int64), at)
+    return keys[at], out
+
+
+def save(folder: str, name: str, a: np.ndarray) -> None:
+    tmp = f"{folder}/.{name}-{os.getpid()}-{os.urandom(4).hex()}.npy"
+    np.save(tmp, a)
+    os.replace(tmp, f"{folder}/{name}.npy")
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, an end after each text's words, and where each text's tokens begin (texts + 1)."""
+    starts, ends, first = word_spans(data, offsets)
+    h = np.insert(word_hashes(data, starts, ends), first[1:], END)
+    return h, first + np.arange(len(first))
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts 0, 1, 2, 3+ from how many entries have counts 1 to 4."""
+    n1, n2, n3, n4 = (float(x) for x in n)
+    if min(n1, n2, n3) <= 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return np.clip(d, [0, 0.1, 0.2, 0.3], [0, 0.95, 1.9, 2.85])
+
+
+@dataclass
+class KneserNey:
+    """Where a model's arrays are, and its totals. Classes share the word table and the lowest level."""
+
+    folder: str
+    bits: int
+    classes: int
+    bases: list[int] = field(default_factory=list)  # first word id of each hash range, and the number of words
+    span: int = 1  # word ids in a file of the word tables
+    n_tokens: list[int] = field(default_factory=list)
+    d_pair: np.ndarray | None = None  # (classes, 4)
+    d_word: np.ndarray | None = None  # (classes + 1, 4); last: all classes together
+    cont: np.ndarray | None = None  # (classes + 1): distinct pairs
+    held: np.ndarray | None = None  # (classes + 1): share of mass that the word level hands down
+    prior: np.ndarray | None = None
+
+    @property
+    def n_words(self) -> int:
+        return self.bases[-1]
+
+    # -------------------------------------------------------- reading
+
+    def _map(self, name: str) -> np.ndarray | None:
+        key = (self.folder, name)
+        if key not in _MAPS:
+            if any(k[0] != self.folder for k in _MAPS):
+                _MAPS.clear()
+            path = f"{self.folder}/{name}.npy"
+            _MAPS[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return _MAPS[key]
+
+    def _find(self, kind: str, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For sorted keys: (range, places in u, places in the range's file) of those that are stored."""
+        edges = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.zeros(0, np.uint64)
+        cuts = [0, *np.searchsorted(u, edges).tolist(), len(u)]
+        for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            keys = self._map(f"{kind}-{s}") if b > a else None
+            if keys is None or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, u[a:b]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == u[a:b])
+            yield s, a + hit, at[hit]
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Word ids; -1 for words that training didn't have."""
+        u, back = np.unique(hashes, return_inverse=True)
+        out = np.full(len(u), -1, np.int64)
+        for s, i, at in self._find("word", u):
+            out[i] = self.bases[s] + at
+        return out[back]
+
+    def word_counts(self, hashes: np.ndarray) -> np.ndarray:
+        u, back = np.unique(hashes, return_inverse=True)
+        out = np.zeros((len(u), self.classes), np.int64)
+        for s, i, at in self._find("word", u):
+            out[i] = self._map(f"wcount-{s}")[at]
+        return out[back]
+
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        u, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(u), self.classes), np.int64)
+        for s, i, at in self._find("pair", u):
+            out[i] = self._map(f"pcount-{s}")[at]
+        return out[back]
+
+    def word_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of the word table; zeros for -1. Columns: for each class how many pairs the word begins (tokens;
+        pairs with count 1, 2, 3+), then for each class the distinct words before it, then those of all classes."""
+        u, back = np.unique(ids, return_inverse=True)
+        out = np.zeros((len(u), 5 * self.classes + 1), np.int64)
+        for s in np.unique(u[u >= 0] // self.span).tolist():
+            rows = self._map(f"table-{s}")
+            if rows is not None:
+                i = np.flatnonzero((u >= 0) & (u // self.span == s))
+                out[i] = rows[u[i] - s * self.span]
+        return out[back]
+
+    # -------------------------------------------------------- probabilities
+
+    def log10(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after the token before it, by class."""
+        w = self.ids(hashes)
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[starts[:-1]] = self.n_words  # the start of a text
+        both = (w >= 0) & (v >= 0)
+        keys = mix(v[both].astype(np.uint64) << np.uint64(32) | w[both].astype(np.uint64))
+        c = np.zeros((len(w), self.classes), np.int64)
+        c[both] = self.pair_counts(keys)
+        uw, back = np.unique(w, return_inverse=True)
+        k, rows = self.classes, self.word_rows(uw)
+        lowest = self._level(rows[:, 5 * k], k, np.full(len(uw), 1.0 / (self.n_words + 1)))
+        out = np.empty((len(w), k))
+        uv, vback = np.unique(v, return_inverse=True)
+        ctx = self.word_rows(uv)
+        for j in range(k):
+            word = lowest if k == 1 else self._level(rows[:, 4 * k + j], j, lowest)
+            total = ctx[:, 4 * j]
+            down = np.where(total > 0, ctx[:, 4 * j + 1: 4 * j + 4] @ self.d_pair[j][1:] / np.maximum(total, 1), 1.0)
+            d = self.d_pair[j][np.minimum(c[:, j], 3)]
+            out[:, j] = np.log10((c[:, j] - d) / np.maximum(total, 1)[vback] + down[vback] * word[back])
+        return out
+
+    def _level(self, cont: np.ndarray, j: int, below: np.ndarray) -> np.ndarray:
+        if not self.cont[j]:
+            return below
+        return (cont - self.d_word[j][np.minimum(cont, 3)]) / self.cont[j] + self.held[j] * below
+
+
+#: Arrays that this worker process has mapped.
+_MAPS: dict[tuple[str, str], np.ndarray | None] = {}
+
+
+def train(docs: DataFrame, text_col: str = "text", class_col: str | None = None, classes: int = 1) -> KneserNey:
+    """Count all texts of ``docs``; ``class_col`` holds 0 to classes - 1."""
+    spark = docs.sparkSession
+    folder = local_folder(scratch_path(spark, "ngrams"))
+    os.makedirs(folder)
+    src = docs.select(docs[text_col].cast("string").alias("text"), (docs[class_col] if class_col else F.lit(0)).cast("int").alias("cls"))
+    tasks = max(1, src.rdd.getNumPartitions())
+    bits = max(3, min(12, int(tasks).bit_length() - 1))
+    model = KneserNey(folder, bits, classes)
+    row = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.int64()))])
+
+    def texts(batches, keys_of):
+        held: list[list[np.ndarray]] = [[] for _ in range(classes)]
+        size = 0
+
+        def flush():
+            for j, parts in enumerate(held):
+                if parts:
+                    rows = list(_dealt(*_counted(np.concatenate(parts)), j, bits))
+                    parts.clear()
+                    yield _batch(rows)
+
+        for batch in batches:
+            cls = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, data, offsets in chunks(batch.column(0)):
+                h, at = tokens(data, offsets)
+                keys = keys_of(h, at)
+                kind = np.repeat(cls[i: i + len(at) - 1], np.diff(at))
+                for j in range(classes):
+                    held[j].append(keys if classes == 1 else keys[kind == j])
+                size += len(keys)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    def count_words(batches):
+        yield from texts(batches, lambda h, at: h)
+
+    def merge_words(table: pa.Table) -> pa.Table:
+        s = table.column("shard")[0].as_py()
+        keys, counts = _summed(table, classes)
+        save(folder, f"word-{s}", keys)
+        save(folder, f"wcount-{s}", counts)
+        return pa.table([[s], [len(keys)], [counts.sum(0).tolist()]], schema=row)
+
+    got = src.mapInArrow(count_words, _ROW).groupBy("shard").applyInArrow(merge_words, "shard int, n long, total array<long>").collect()  # a row a hash range
+    sizes = {r.shard: r.n for r in got}
+    model.bases = [0]
+    for s in range(1 << bits):
+        model.bases.append(model.bases[-1] + sizes.get(s, 0))
+    model.n_tokens = [sum(r.total[j] for r in got) for j in range(classes)]
+    model.span = max(1, -(-(model.n_words + 1) // (1 << bits)))
+
+    def count_pairs(batches):
+        def keys_of(h, at):
+            w = model.ids(h).astype(np.uint64)
+            v = np.empty_like(w)
+            v[1:] = w[:-1]
+            v[at[:-1]] = model.n_words
+            return mix(v << np.uint64(32) | w)
+
+        yield from texts(batches, keys_of)
+
+    width = 5 * classes + 1
+
+    def merge_pairs(table: pa.Table) -> pa.Table:
+        """Writes a range of pairs; hands on its share of the word table (cls: width; counts: rows) and, as
+        shard -1, how many pairs of each class have counts 1 to 4."""
+        s = table.column("shard")[0].as_py()
+        keys, counts = _summed(table, classes)
+        save(folder, f"pair-{s}", keys)
+        save(folder, f"pcount-{s}", counts.astype(np.uint32))
+        both = unmix(keys)
+        v, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        ids = np.unique(np.concatenate((v, w)))
+        vi, wi, rows = np.searchsorted(ids, v), np.searchsorted(ids, w), np.zeros((len(ids), width), np.int64)
+        for j in range(classes):
+            c = counts[:, j]
+            rows[:, 4 * j] = np.bincount(vi, c, len(ids))
+            for m in (1, 2, 3):
+                rows[:, 4 * j + m] = np.bincount(vi, (c == m) if m < 3 else (c >= 3), len(ids))
+            rows[:, 4 * classes + j] = np.bincount(wi, c > 0, len(ids))
+        rows[:, 5 * classes] = np.bincount(wi, None, len(ids))
+        out = [(-1, 0, classes, b"", _pack(np.array([[(counts[:, j] == m).sum() for m in (1, 2, 3, 4)] for j in range(classes)], np.int64)))]
+        cuts = np.searchsorted(ids, np.arange(1, 1 << bits) * model.span)
+        for t, (i, r) in enumerate(zip(np.split(ids, cuts), np.split(rows, cuts), strict=True)):
+            if len(i):
+                out.append((t, width, len(i), _pack(i), _pack(r)))
+        return pa.Table.from_batches([_batch(out)])
+
+    parts = stash(src.mapInArrow(count_pairs, _ROW).groupBy("shard").applyInArrow(merge_pairs, _ROW), "parts")
+    few = np.zeros((classes, 4), np.int64)
+    for r in parts.where("shard = -1").collect():  # a row a hash range
+        few += _unpack_rows(bytes(r.counts), classes, 4)
+    model.d_pair = np.array([discounts(x) for x in few])
+
+    def merge_table(table: pa.Table) -> pa.Table:
+        t = table.column("shard")[0].as_py()
+        rows = np.zeros((model.span, width), np.int64)
+        for n, k, v in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
+            rows[_unpack(k, n, np.int64) - t * model.span] += _unpack_rows(v, n, width)
+        save(folder, f"table-{t}", rows if rows.max() >= 1 << 32 else rows.astype(np.uint32))
+        cont = rows[:, 4 * classes:]
+        stats = [int((cont[:, j] == m).sum()) for j in range(classes + 1) for m in (1, 2, 3, 4)] + cont.sum(0).tolist() + [int((cont[:, j] >= 3).sum()) for j in range(classes + 1)]
+        return pa.table([[t], [model.span], [stats]], schema=row)
+
+    got = parts.where("shard >= 0").groupBy("shard").applyInArrow(merge_table, "shard int, n long, total array<long>").collect()
+    stats = np.sum([r.total for r in got], axis=0) if got else np.zeros(6 * (classes + 1), np.int64)
+    k = classes + 1
+    few, model.cont, many = stats[: 4 * k].reshape(k, 4), stats[4 * k: 5 * k].astype(float), stats[5 * k:]
+    model.d_word = np.array([discounts(x) for x in few])
+    model.held = np.array([(model.d_word[j][1:] @ np.array([few[j][0], few[j][1], many[j]])) / max(model.cont[j], 1) for j in range(k)])
+    if classes == 1:  # one class: its own words are all words
+        model.d_word[0], model.cont[0], model.held[0] = model.d_word[1], model.cont[1], model.held[1]
+    return model
+
+
+def _unpack_rows(b: bytes, n: int, width: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(b, n * width * 8, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width * 8, n).T).view(np.int64).reshape(n, width)
