@@ -122,11 +122,15 @@ class KneserNey:
     bases: list[int] = field(default_factory=list)  # first word id of each hash range, and the number of words
     span: int = 1  # word ids in a file of the word tables
     n_tokens: list[int] = field(default_factory=list)
-    d_pair: np.ndarray | None = None  # (classes, 4)
-    d_word: np.ndarray | None = None  # (classes + 1, 4); last: all classes together
-    cont: np.ndarray | None = None  # (classes + 1): distinct pairs
-    held: np.ndarray | None = None  # (classes + 1): share of mass that the word level hands down
-    prior: np.ndarray | None = None
+    # By class; the last row is for all classes together, if there are several.
+    d_pair: np.ndarray | None = None  # discounts of pairs
+    d_word: np.ndarray | None = None  # discounts of words
+    cont: np.ndarray | None = None  # distinct pairs
+    held: np.ndarray | None = None  # share of mass that the word level hands down
+
+    @property
+    def columns(self) -> int:
+        return self.classes + (self.classes > 1)
 
     @property
     def n_words(self) -> int:
@@ -178,10 +182,10 @@ class KneserNey:
         return out[back]
 
     def word_rows(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of the word table; zeros for -1. Columns: for each class how many pairs the word begins (tokens;
-        pairs with count 1, 2, 3+), then for each class the distinct words before it, then those of all classes."""
+        """Rows of the word table; zeros for -1. For each class (and all together) how many pairs the word begins
+        (tokens; pairs with count 1, 2, 3+), then for each how many distinct words stand before it."""
         u, back = np.unique(ids, return_inverse=True)
-        out = np.zeros((len(u), 5 * self.classes + 1), np.int64)
+        out = np.zeros((len(u), 5 * self.columns), np.int64)
         for s in np.unique(u[u >= 0] // self.span).tolist():
             rows = self._map(f"table-{s}")
             if rows is not None:
@@ -191,29 +195,49 @@ class KneserNey:
 
     # -------------------------------------------------------- probabilities
 
-    def log10(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the token before it, by class."""
+    def _lookup(self, hashes: np.ndarray, starts: np.ndarray):
+        """Word ids and the ids before them, both as (distinct, places), word rows of both, and pair counts."""
         w = self.ids(hashes)
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[starts[:-1]] = self.n_words  # the start of a text
         both = (w >= 0) & (v >= 0)
-        keys = mix(v[both].astype(np.uint64) << np.uint64(32) | w[both].astype(np.uint64))
         c = np.zeros((len(w), self.classes), np.int64)
-        c[both] = self.pair_counts(keys)
-        uw, back = np.unique(w, return_inverse=True)
-        k, rows = self.classes, self.word_rows(uw)
-        lowest = self._level(rows[:, 5 * k], k, np.full(len(uw), 1.0 / (self.n_words + 1)))
-        out = np.empty((len(w), k))
+        c[both] = self.pair_counts(mix(v[both].astype(np.uint64) << np.uint64(32) | w[both].astype(np.uint64)))
+        uw, wback = np.unique(w, return_inverse=True)
         uv, vback = np.unique(v, return_inverse=True)
-        ctx = self.word_rows(uv)
-        for j in range(k):
-            word = lowest if k == 1 else self._level(rows[:, 4 * k + j], j, lowest)
-            total = ctx[:, 4 * j]
-            down = np.where(total > 0, ctx[:, 4 * j + 1: 4 * j + 4] @ self.d_pair[j][1:] / np.maximum(total, 1), 1.0)
-            d = self.d_pair[j][np.minimum(c[:, j], 3)]
-            out[:, j] = np.log10((c[:, j] - d) / np.maximum(total, 1)[vback] + down[vback] * word[back])
-        return out
+        return c, self.word_rows(uw), wback, self.word_rows(uv), vback
+
+    def _pair_level(self, j: int, c: np.ndarray, ctx: np.ndarray, vback: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What pairs themselves have of the mass of their context, and what it hands down."""
+        total = ctx[:, 4 * j]
+        down = np.where(total > 0, ctx[:, 4 * j + 1: 4 * j + 4] @ self.d_pair[j][1:] / np.maximum(total, 1), 1.0)
+        return (c - self.d_pair[j][np.minimum(c, 3)]) / np.maximum(total, 1)[vback], down[vback]
+
+    def log10(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after the token before it, by a model of one class."""
+        c, rows, wback, ctx, vback = self._lookup(hashes, starts)
+        word = self._level(rows[:, 4], 0, np.full(len(rows), 1.0 / (self.n_words + 1)))
+        own, down = self._pair_level(0, c[:, 0], ctx, vback)
+        return np.log10(own + down * word[wback])
+
+    def log_ratio(self, hashes: np.ndarray, starts: np.ndarray, firm: float) -> np.ndarray:
+        """For each token the log of its probability in class 1 over that in class 0.
+
+        A class's pairs back off to the pairs of all classes, rescaled by the class's word level, and its words to
+        the words of all; a word's evidence is shrunk by n / (n + firm), n being its continuation count in all."""
+        c, rows, wback, ctx, vback = self._lookup(hashes, starts)
+        k = self.classes
+        every = self._level(rows[:, 5 * k + 4], k, np.full(len(rows), 1.0 / (self.n_words + 1)))
+        own, down = self._pair_level(k, c.sum(1), ctx, vback)
+        shared = own + down * every[wback]
+        trust = (rows[:, 5 * k + 4] / (rows[:, 5 * k + 4] + firm))[wback]
+        logs = []
+        for j in (0, 1):
+            ratio = self._level(rows[:, 4 * k + 4 + j], j, every) / every
+            own, down = self._pair_level(j, c[:, j], ctx, vback)
+            logs.append(np.log(own + down * shared * ratio[wback]))
+        return (logs[1] - logs[0]) * trust
 
     def _level(self, cont: np.ndarray, j: int, below: np.ndarray) -> np.ndarray:
         if not self.cont[j]:
@@ -289,7 +313,7 @@ def train(docs: DataFrame, text_col: str = "text", class_col: str | None = None,
 
         yield from texts(batches, keys_of)
 
-    width = 5 * classes + 1
+    width = 5 * model.columns
 
     def merge_pairs(table: pa.Table) -> pa.Table:
         """Writes a range of pairs; hands on its share of the word table (cls: width; counts: rows) and, as
@@ -302,14 +326,15 @@ def train(docs: DataFrame, text_col: str = "text", class_col: str | None = None,
         v, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ids = np.unique(np.concatenate((v, w)))
         vi, wi, rows = np.searchsorted(ids, v), np.searchsorted(ids, w), np.zeros((len(ids), width), np.int64)
-        for j in range(classes):
+        counts = np.column_stack((counts, counts.sum(1))) if classes > 1 else counts
+        k = model.columns
+        for j in range(k):
             c = counts[:, j]
             rows[:, 4 * j] = np.bincount(vi, c, len(ids))
             for m in (1, 2, 3):
                 rows[:, 4 * j + m] = np.bincount(vi, (c == m) if m < 3 else (c >= 3), len(ids))
-            rows[:, 4 * classes + j] = np.bincount(wi, c > 0, len(ids))
-        rows[:, 5 * classes] = np.bincount(wi, None, len(ids))
-        out = [(-1, 0, classes, b"", _pack(np.array([[(counts[:, j] == m).sum() for m in (1, 2, 3, 4)] for j in range(classes)], np.int64)))]
+            rows[:, 4 * k + j] = np.bincount(wi, c > 0, len(ids))
+        out = [(-1, 0, k, b"", _pack(np.array([[(counts[:, j] == m).sum() for m in (1, 2, 3, 4)] for j in range(k)], np.int64)))]
         cuts = np.searchsorted(ids, np.arange(1, 1 << bits) * model.span)
         for t, (i, r) in enumerate(zip(np.split(ids, cuts), np.split(rows, cuts), strict=True)):
             if len(i):
@@ -317,29 +342,27 @@ def train(docs: DataFrame, text_col: str = "text", class_col: str | None = None,
         return pa.Table.from_batches([_batch(out)])
 
     parts = stash(src.mapInArrow(count_pairs, _ROW).groupBy("shard").applyInArrow(merge_pairs, _ROW), "parts")
-    few = np.zeros((classes, 4), np.int64)
+    k = model.columns
+    few = np.zeros((k, 4), np.int64)
     for r in parts.where("shard = -1").collect():  # a row a hash range
-        few += _unpack_rows(bytes(r.counts), classes, 4)
+        few += _unpack_rows(bytes(r.counts), k, 4)
     model.d_pair = np.array([discounts(x) for x in few])
 
     def merge_table(table: pa.Table) -> pa.Table:
         t = table.column("shard")[0].as_py()
         rows = np.zeros((model.span, width), np.int64)
-        for n, k, v in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
-            rows[_unpack(k, n, np.int64) - t * model.span] += _unpack_rows(v, n, width)
+        for n, ids, values in zip(*(table.column(x).to_pylist() for x in ("n", "keys", "counts")), strict=True):
+            rows[_unpack(ids, n, np.int64) - t * model.span] += _unpack_rows(values, n, width)
         save(folder, f"table-{t}", rows if rows.max() >= 1 << 32 else rows.astype(np.uint32))
-        cont = rows[:, 4 * classes:]
-        stats = [int((cont[:, j] == m).sum()) for j in range(classes + 1) for m in (1, 2, 3, 4)] + cont.sum(0).tolist() + [int((cont[:, j] >= 3).sum()) for j in range(classes + 1)]
+        cont = rows[:, 4 * k:]
+        stats = [int((cont[:, j] == m).sum()) for j in range(k) for m in (1, 2, 3, 4)] + cont.sum(0).tolist() + [int((cont[:, j] >= 3).sum()) for j in range(k)]
         return pa.table([[t], [model.span], [stats]], schema=row)
 
-    got = parts.where("shard >= 0").groupBy("shard").applyInArrow(merge_table, "shard int, n long, total array<long>").collect()
-    stats = np.sum([r.total for r in got], axis=0) if got else np.zeros(6 * (classes + 1), np.int64)
-    k = classes + 1
+    got = parts.where("shard >= 0").groupBy("shard").applyInArrow(merge_table, "shard int, n long, total array<long>").collect()  # a row an id range
+    stats = np.sum([r.total for r in got], axis=0) if got else np.zeros(6 * k, np.int64)
     few, model.cont, many = stats[: 4 * k].reshape(k, 4), stats[4 * k: 5 * k].astype(float), stats[5 * k:]
     model.d_word = np.array([discounts(x) for x in few])
     model.held = np.array([(model.d_word[j][1:] @ np.array([few[j][0], few[j][1], many[j]])) / max(model.cont[j], 1) for j in range(k)])
-    if classes == 1:  # one class: its own words are all words
-        model.d_word[0], model.cont[0], model.held[0] = model.d_word[1], model.cont[1], model.held[1]
     return model
 
 

@@ -38,7 +38,7 @@ def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
                 c = model.word_counts(h)[:, 0]
                 sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731,B023
                 cols = [np.diff(at), sums((c > 0).astype(np.int64)), np.full(len(at) - 1, total, np.int64),
-                        sums(np.log10((c + 1) / (total + v + 1))), sums(model.log10(h, at)[:, 0])]
+                        sums(np.log10((c + 1) / (total + v + 1))), sums(model.log10(h, at))]
                 part = batch.slice(i, len(at) - 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, cols)], [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -161,9 +161,13 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
     return out
 
 
-def ordinary_bits(word: str, shares: dict[str, float]) -> float:
-    """log2 likelihood a character by the class shares of ordinary candidates' surroundings."""
-    return sum(math.log2(shares[c] / CLASSES[c]) for c in word) / max(1, len(word))
+#: Class shares of ordinary strings: words (English letter use puts a third of letters in a-f) and numbers.
+ORDINARY = ({"d": 0.03, "h": 0.3, "l": 0.6, "H": 0.01, "U": 0.03, "s": 0.03}, {"d": 0.9, "h": 0.01, "l": 0.01, "H": 0.005, "U": 0.005, "s": 0.07})
+
+
+def ordinary_bits(word: str) -> float:
+    """log2 likelihood a character as a word or as a number, whichever is likelier."""
+    return max(sum(math.log2(shares[c] / CLASSES[c]) for c in word) for shares in ORDINARY) / max(1, len(word))
 
 
 # ---------------------------------------------------------------- jobs
@@ -188,9 +192,8 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, _FOUND)
 
 
-def learn(found: DataFrame, sample: int = SAMPLE) -> tuple[list[Automaton], dict[str, float]]:
-    """Grammars of the labelled credentials by kind, from a bounded sample, and class shares of ordinary words
-    (English letter use puts about a third of letters in a-f; digits and signs are rare)."""
+def learn(found: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
+    """Grammars of the labelled credentials by kind, from a bounded sample."""
     values = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value").where("kind < 3").distinct()
     rows = [r for k in range(3) for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]  # at most 3 * sample
     grammars = []
@@ -198,17 +201,17 @@ def learn(found: DataFrame, sample: int = SAMPLE) -> tuple[list[Automaton], dict
         words = [r.value for r in rows if r.kind == k]
         if len(words) >= LEAST:
             grammars.append(infer(words))
-    return grammars, {"d": 0.03, "h": 0.3, "l": 0.6, "H": 0.01, "U": 0.03, "s": 0.03}
+    return grammars
 
 
 def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", margin: float = MARGIN) -> DataFrame:
     """(doc_id, spans): base and grammar spans with kinds and values, ordered by start, then kind."""
     found = stash(scan(docs, id_col, text_col), "spans")
-    grammars, shares = learn(found)
+    grammars = learn(found)
 
     def secret(value: str) -> bool:
         word = value.translate(_CLASS_OF)
-        plain = ordinary_bits(word, shares)
+        plain = ordinary_bits(word)
         return any(g.bits(word) - plain >= margin for g in grammars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
