@@ -9,7 +9,7 @@ METHODS = ("multiplicative", "power", "shin")
 EVEN = 1e-12
 FLOOR = 1e-15
 STEPS = 14
-SHIN_STEPS = 40
+SHIN_STEPS = 8
 
 
 def let(value: Column, body) -> Column:
@@ -52,15 +52,17 @@ def shin_probability(q: Column, z: Column, book: Column) -> Column:
 
 
 def _shin(q: Column) -> Column:
-    """Insider share z in [0, 0.5) with probabilities summing to 1, as the fixed point of
-    z = (sum of roots - 2) / (n - 2) for three outcomes and more; null without one."""
+    """Insider share z in [0, 0.5) with probabilities summing to 1; null without one. With r the root of
+    z^2 + 4 (1 - z) q^2 / book, the sum of r less 2 less (n - 2) z is zero there; Newton steps from 0."""
 
     def solved(book: Column) -> Column:
-        roots = lambda z: total(F.transform(q, lambda x: F.sqrt(z * z + 4.0 * (1.0 - z) * x * x / book)))
-        step = lambda z, _: (roots(z) - 2.0) / (F.size(q) - 2)
+        def step(z: Column, _: Column) -> Column:
+            root = lambda x: F.sqrt(z * z + 4.0 * (1.0 - z) * x * x / book)
+            return let(F.transform(q, root), lambda r: z - (total(r) - 2.0 - (F.size(q) - 2) * z) / (total(F.zip_with(q, r, lambda x, y: (z - 2.0 * x * x / book) / y)) - (F.size(q) - 2)))
+
         z = F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), F.lit(0.0), step)
         fair = lambda v: F.when((v >= 0) & (v < 0.5), F.transform(q, lambda x: shin_probability(x, v, book)))
-        return F.when(F.size(q) > 2, let(z, fair))
+        return let(z, fair)
 
     return let(total(q), solved)
 
