@@ -104,4 +104,6 @@ def quality_rules(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataF
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
-    return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    # Row ids are never negative. They keep a later filter on ``kept`` above this projection: pushed below, it would
+    # hold every metric's whole expression over again, and the optimizer wouldn't end.
+    return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules) & (F.monotonically_increasing_id() >= 0))
