@@ -1 +1,90 @@
+"""Joins: equi, as-of, range, nearest and text-prefix."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..fixtures import matches, table
+from .prices import _QUOTE, quotes
+from .registry import query
+
+
+def asof(left, right, keys, left_time, right_time, values, strict=False):
+    """For each left row the right row's ``values`` with the last time not after (or before) its own: both sides are
+    united and carried forward in one window by key; a side's rank breaks ties, so nothing is joined."""
+    order = 1 if not strict else 0
+    both = left.select(*keys, F.col(left_time).alias("_t"), F.lit(order).alias("_s"), F.struct(*left.columns).alias("_l"), F.lit(None).alias("_r"))
+    other = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1 - order).alias("_s"), F.lit(None).alias("_l"), F.struct(*values).alias("_r"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.unionByName(other).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_l is not null").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
+@query("j1_inner_join", f"WITH {_QUOTE} SELECT league, count(*) AS n, round(avg(price), 6) AS mean_price FROM quotes JOIN fx_match USING (match_id) WHERE round_no = 1 GROUP BY 1", "odds")
+def inner_join(spark, sf):
+    q = quotes(spark, sf).where("round_no = 1").select("match_id", "price")
+    return q.join(matches(spark, sf).select("match_id", "league"), "match_id").groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_price"))
+
+
+@query("j4_asof_backward", "SELECT e.event_id, max(o.o_orderkey) AS last_key FROM (SELECT event_id, user_id, cast(ts AS date) - interval 9500 days + to_days((event_id % 9500)::int) AS t FROM events) e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.t AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = e.user_id AND x.o_orderdate <= e.t AND x.o_orderdate > o.o_orderdate) GROUP BY 1")
+def asof_backward(spark, sf):
+    """Each event's user's last order at or before a shifted event day."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), (F.date_add(F.date_sub(F.col("ts").cast("date"), 9500), (F.col("event_id") % 9500).cast("int"))).cast("timestamp").alias("t"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d")).agg(F.max("o_orderkey").alias("last_key"))
+    return asof(e, o, ["k"], "t", "d", ["last_key"]).select("event_id", "last_key")
+
+
+@query("j5_results_before_decision", "SELECT a.match_id, count(b.match_id) AS seen FROM fx_match a LEFT JOIN fx_match b ON a.grp = b.grp AND (a.home = b.home OR a.home = b.away) AND b.match_date < a.match_date GROUP BY 1", "match")
+def results_before_decision(spark, sf):
+    """How many results of its home team a decision may see: a running count over days, strictly before."""
+    m = matches(spark, sf)
+    days = m.select("grp", F.explode(F.array_distinct(F.array("home", "away"))).alias("team"), "match_date").groupBy("grp", "team", "match_date").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("grp", "team").orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("seen", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return m.select("match_id", "grp", F.col("home").alias("team"), "match_date").join(days, ["grp", "team", "match_date"]).select("match_id", "seen")
+
+
+@query("j6_nearest_within", "SELECT match_id, event_id FROM (SELECT m.match_id, e.event_id, row_number() OVER (PARTITION BY m.match_id ORDER BY abs(e.s - m.s), e.event_id) AS k FROM (SELECT match_id, grp, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match) m JOIN (SELECT event_id, user_id, floor(epoch(ts))::bigint AS s FROM events) e ON e.user_id % 25 = m.grp AND abs(e.s - m.s) <= 1800) t WHERE k = 1", "match")
+def nearest_within(spark, sf, tolerance=1800):
+    """Nearest event of the group within a tolerance: time buckets make it an equi-join, each event in its own and
+    both neighbouring buckets."""
+    m = matches(spark, sf).select("match_id", "grp", (F.lit(1704067200) + (F.col("match_id") * 977) % 2592000).alias("s"))
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 25).alias("grp"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("es"))
+    e = e.withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("es") / tolerance) + i)))
+    x = m.withColumn("b", F.floor(F.col("s") / tolerance)).join(e, ["grp", "b"]).where(F.abs(F.col("es") - F.col("s")) <= tolerance)
+    return x.groupBy("match_id").agg(F.min(F.struct(F.abs(F.col("es") - F.col("s")).alias("gap"), "event_id")).alias("x")).select("match_id", "x.event_id")
+
+
+@query("j7_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
+def semi(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("j8_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
+def anti(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("j13_full_outer_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'gone' WHEN a.k IS NULL THEN 'new' ELSE 'changed' END AS status FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1998-01-01' GROUP BY 1) a FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1997-01-01' OR o_orderstatus = 'P' GROUP BY 1) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n")
+def full_outer_diff(spark, sf):
+    """Keys gone, new or changed between two digests."""
+    o = table(spark, sf, "orders")
+    a = o.where("o_orderdate < date '1998-01-01'").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("na"))
+    b = o.where("o_orderdate < date '1997-01-01' or o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("nb"))
+    x = a.join(b, "k", "full_outer").where(~F.col("na").eqNullSafe(F.col("nb")))
+    return x.select("k", F.when(F.col("nb").isNull(), "gone").when(F.col("na").isNull(), "new").otherwise("changed").alias("status"))
+
+
+@query("j14_fuzzy_candidates", "SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY levenshtein(right(s_name, 9), right(c_name, 9)), c_custkey) AS k FROM supplier JOIN customer ON s_nationkey = c_nationkey) t WHERE k <= 8")
+def fuzzy_candidates(spark, sf):
+    """The eight nearest names by edit distance within a nation."""
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    x = s.join(c, s["s_nationkey"] == c["c_nationkey"]).withColumn("gap", F.levenshtein(F.substring("s_name", -9, 9), F.substring("c_name", -9, 9)))
+    w = Window.partitionBy("s_suppkey").orderBy("gap", "c_custkey")
+    return x.withColumn("k", F.row_number().over(w)).where("k <= 8").select("s_suppkey", "c_custkey")
+
+
+@query("j16_key_lookup", "SELECT concat_ws('|', league, match_date::varchar, home::varchar, away::varchar) AS key, max(CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END) AS y FROM fx_match GROUP BY 1", "match")
+def key_lookup(spark, sf):
+    y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
+    return matches(spark, sf).groupBy(F.concat_ws("|", "league", F.col("match_date").cast("string"), F.col("home").cast("string"), F.col("away").cast("string")).alias("key")).agg(F.max(y).alias("y"))

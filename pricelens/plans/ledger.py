@@ -1 +1,103 @@
+"""Hash ledger, digests and anchors over quotes of the events table."""
 
+from __future__ import annotations
+
+import hashlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..fixtures import matches, table
+from .registry import query
+
+SEGMENT = 1000
+_LINE = "concat_ws('|', event_id::varchar, user_id::varchar, event_type, printf('%.2f', value))"
+
+
+def lines(spark, sf) -> DataFrame:
+    """Canonical text of every row; number formats are pinned."""
+    return table(spark, sf, "events").select("event_id", "user_id", F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type", F.format_string("%.2f", "value")).alias("line"))
+
+
+def build_chain(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(event_id, prev_hash, row_hash, seg): id ranges are chained in parallel, each from its own number; their heads
+    can be chained again, so no task holds the whole ledger."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("event_id")
+        prev, hashes, prevs = f"segment {pdf['seg'].iloc[0]}", [], []
+        for line in pdf["line"]:
+            prevs.append(prev)
+            prev = hashlib.sha256((prev + line).encode()).hexdigest()
+            hashes.append(prev)
+        return pdf.assign(prev_hash=prevs, row_hash=hashes)[["event_id", "line", "prev_hash", "row_hash", "seg"]]
+
+    return rows.withColumn("seg", F.floor(F.col("event_id") / segment)).groupBy("seg").applyInPandas(chain, "event_id long, line string, prev_hash string, row_hash string, seg long")
+
+
+def verify_chain(chain: DataFrame) -> DataFrame:
+    """(seg, rows, first_bad): recomputes every row's hash and its link within its segment, all in parallel."""
+    w = Window.partitionBy("seg").orderBy("event_id")
+    before = F.coalesce(F.lag("row_hash").over(w), F.concat(F.lit("segment "), F.col("seg").cast("string")))
+    ok = (F.col("prev_hash") == before) & (F.sha2(F.concat("prev_hash", "line"), 256) == F.col("row_hash"))
+    return chain.withColumn("ok", ok).groupBy("seg").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(~F.col("ok"), F.col("event_id"))).alias("first_bad"))
+
+
+@query("h1_row_hash", f"SELECT event_id, sha256({_LINE}) AS row_hash FROM events")
+def row_hash(spark, sf):
+    return lines(spark, sf).select("event_id", F.sha2("line", 256).alias("row_hash"))
+
+
+@query("h2_chain_build")
+def chain_build(spark, sf):
+    return build_chain(lines(spark, sf)).select("event_id", "seg", "prev_hash", "row_hash")
+
+
+@query("h3_chain_verify", f"SELECT event_id // {SEGMENT} AS seg, count(*) AS n_rows, NULL::bigint AS first_bad FROM events GROUP BY 1")
+def chain_verify(spark, sf):
+    return verify_chain(build_chain(lines(spark, sf)))
+
+
+@query("h6_group_digest", f"SELECT user_id, count(*) AS n, sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS digest FROM events GROUP BY 1")
+def group_digest(spark, sf):
+    """Order-independent digest of each key's lines."""
+    return lines(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+
+
+@query("h7_rows_digest", "SELECT o_custkey AS k, sha256(string_agg(printf('%.4f', o_totalprice), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+def rows_digest(spark, sf):
+    x = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.format_string("%.4f", "o_totalprice").alias("v")))).alias("v"))
+    return x.select("k", F.sha2(F.array_join("v.v", ","), 256).alias("digest"))
+
+
+@query("h8_set_hash", "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS set_hash FROM (SELECT DISTINCT source, md5(text) AS h FROM documents) t GROUP BY 1")
+def set_hash(spark, sf):
+    x = table(spark, sf, "documents").select("source", F.md5("text").alias("h")).distinct()
+    return x.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("set_hash"))
+
+
+@query("h9_content_dedup", "SELECT md5(text) AS content, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")
+def content_dedup(spark, sf):
+    """Earliest claim of each content."""
+    return table(spark, sf, "documents").groupBy(F.md5("text").alias("content")).agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))
+
+
+@query("a38_ledger_head", f"SELECT count(*) AS n_rows, max(event_id) AS last_id, arg_max(sha256({_LINE}), event_id) AS head FROM events")
+def ledger_head(spark, sf):
+    return lines(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("last_id"), F.sha2(F.max_by("line", "event_id"), 256).alias("head"))
+
+
+@query("s11_content_append", "SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 0 AND sha256(x.source || x.text) = sha256(d.source || d.text))")
+def content_append(spark, sf):
+    """Idempotent sink: of a new round (odd ids) only content that the table (even ids) lacks."""
+    d = table(spark, sf, "documents").withColumn("h", F.sha2(F.concat("source", "text"), 256))
+    return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+
+
+@query("q9_leak_audit", "SELECT a.grp, count(*) AS n FROM fx_match a GROUP BY 1", "match")
+def leak_audit(spark, sf):
+    """Every decision's last visible result lies before it: the audited decisions of each group."""
+    w = Window.partitionBy("grp").orderBy(F.datediff("match_date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    x = matches(spark, sf).withColumn("seen", F.max("match_date").over(w))
+    return x.groupBy("grp").agg(F.count_if(F.col("seen").isNull() | (F.col("seen") < F.col("match_date"))).alias("n"))

@@ -1 +1,69 @@
+"""Latest rows, change logs, ranks, top-k and set operations."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..fixtures import matches, table
+from .registry import query
+
+
+@query("w1_latest_per_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def latest_per_key(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@query("w3_change_log", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before IS DISTINCT FROM event_type")
+def change_log(spark, sf):
+    """Rows that differ from their key's value before."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return table(spark, sf, "events").withColumn("before", F.lag("event_type").over(w)).where(~F.col("before").eqNullSafe(F.col("event_type"))).select("event_id", "user_id", "event_type")
+
+
+@query("w4_dense_rank_pseudonym", "SELECT l_orderkey, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS part_no FROM lineitem")
+def dense_rank_pseudonym(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")).cast("long").alias("part_no"))
+
+
+@query("w5_replay_order", "SELECT match_id, row_number() OVER (PARTITION BY grp ORDER BY match_date, match_id % 24, league, home, match_id) AS place FROM fx_match", "match")
+def replay_order(spark, sf):
+    w = Window.partitionBy("grp").orderBy("match_date", F.col("match_id") % 24, "league", "home", "match_id")
+    return matches(spark, sf).select("match_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("w6_usual_gap", "SELECT grp, count(*) AS gaps, round(quantile_cont(gap, 0.9), 6) AS p90 FROM (SELECT grp, (match_date - lag(match_date) OVER (PARTITION BY grp ORDER BY match_date))::int AS gap FROM (SELECT DISTINCT grp, match_date FROM fx_match) d) t WHERE gap <= 10 GROUP BY 1 HAVING count(*) >= 10", "match")
+def usual_gap(spark, sf):
+    d = matches(spark, sf).select("grp", "match_date").distinct()
+    x = d.withColumn("gap", F.datediff("match_date", F.lag("match_date").over(Window.partitionBy("grp").orderBy("match_date")))).where("gap <= 10")
+    return x.groupBy("grp").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.expr("percentile(gap, 0.9)"), 6).alias("p90")).where("gaps >= 10")
+
+
+@query("w7_top_k", "SELECT grp, match_id FROM (SELECT grp, match_id, row_number() OVER (PARTITION BY grp ORDER BY home_goals + away_goals DESC, match_date, match_id) AS k FROM fx_match) t WHERE k <= 6", "match")
+def top_k(spark, sf):
+    w = Window.partitionBy("grp").orderBy(F.desc(F.col("home_goals") + F.col("away_goals")), "match_date", "match_id")
+    return matches(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 6").select("grp", "match_id")
+
+
+@query("w8_earliest_of_cluster", "SELECT sha256(text) AS cluster, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY 1")
+def earliest_of_cluster(spark, sf):
+    return table(spark, sf, "documents").where("lang = 'en'").groupBy(F.sha2("text", 256).alias("cluster")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("u1_union_names", "SELECT grp, home AS team FROM fx_match UNION SELECT grp, away FROM fx_match", "match")
+def union_names(spark, sf):
+    m = matches(spark, sf)
+    return m.select("grp", F.col("home").alias("team")).union(m.select("grp", "away")).distinct()
+
+
+@query("u2_set_difference", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_difference(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")).subtract(o.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("u3_event_union", "SELECT kind, count(*) AS n, min(day)::date::varchar AS first_day FROM (SELECT 0 AS kind, match_date AS day FROM fx_match UNION ALL SELECT 1, match_date + 1 FROM fx_match) t GROUP BY 1", "match")
+def event_union(spark, sf):
+    m = matches(spark, sf)
+    x = m.select(F.lit(0).alias("kind"), F.col("match_date").alias("at")).unionByName(m.select(F.lit(1).alias("kind"), F.date_add("match_date", 1).alias("at")))
+    return x.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("at").cast("string").alias("first_day"))
