@@ -26,11 +26,11 @@ def inner_join(spark, sf):
     return q.join(matches(spark, sf).select("match_id", "league"), "match_id").groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_price"))
 
 
-@query("j4_asof_backward", "SELECT e.event_id, max(o.o_orderkey) AS last_key FROM (SELECT event_id, user_id, cast(ts AS date) - interval 9500 days + to_days((event_id % 9500)::int) AS t FROM events) e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.t AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = e.user_id AND x.o_orderdate <= e.t AND x.o_orderdate > o.o_orderdate) GROUP BY 1")
+@query("j4_asof_backward", "SELECT e.event_id, max(o.o_orderkey)::varchar AS last_key FROM (SELECT event_id, user_id, cast(ts AS date) - interval 9500 days + to_days((event_id % 9500)::int) AS t FROM events) e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.t AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = e.user_id AND x.o_orderdate <= e.t AND x.o_orderdate > o.o_orderdate) GROUP BY 1")
 def asof_backward(spark, sf):
     """Each event's user's last order at or before a shifted event day."""
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), (F.date_add(F.date_sub(F.col("ts").cast("date"), 9500), (F.col("event_id") % 9500).cast("int"))).cast("timestamp").alias("t"))
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d")).agg(F.max("o_orderkey").alias("last_key"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("d")).agg(F.max("o_orderkey").cast("string").alias("last_key"))
     return asof(e, o, ["k"], "t", "d", ["last_key"]).select("event_id", "last_key")
 
 

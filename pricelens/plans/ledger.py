@@ -41,7 +41,7 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     w = Window.partitionBy("seg").orderBy("event_id")
     before = F.coalesce(F.lag("row_hash").over(w), F.concat(F.lit("segment "), F.col("seg").cast("string")))
     ok = (F.col("prev_hash") == before) & (F.sha2(F.concat("prev_hash", "line"), 256) == F.col("row_hash"))
-    return chain.withColumn("ok", ok).groupBy("seg").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(~F.col("ok"), F.col("event_id"))).alias("first_bad"))
+    return chain.withColumn("ok", ok).groupBy("seg").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(~F.col("ok"), F.col("event_id"))).cast("string").alias("first_bad"))
 
 
 @query("h1_row_hash", f"SELECT event_id, sha256({_LINE}) AS row_hash FROM events")
@@ -54,7 +54,7 @@ def chain_build(spark, sf):
     return build_chain(lines(spark, sf)).select("event_id", "seg", "prev_hash", "row_hash")
 
 
-@query("h3_chain_verify", f"SELECT event_id // {SEGMENT} AS seg, count(*) AS n_rows, NULL::bigint AS first_bad FROM events GROUP BY 1")
+@query("h3_chain_verify", f"SELECT event_id // {SEGMENT} AS seg, count(*) AS n_rows, NULL::varchar AS first_bad FROM events GROUP BY 1")
 def chain_verify(spark, sf):
     return verify_chain(build_chain(lines(spark, sf)))
 

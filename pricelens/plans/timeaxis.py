@@ -24,14 +24,14 @@ def kickoffs(spark, sf):
     return m.withColumn("kickoff", T.local_to_utc(local))
 
 
-@query("p1_kickoff_utc", f"WITH {_KICK} SELECT match_id, epoch(utc)::bigint AS kickoff FROM kick", "match")
+@query("p1_kickoff_utc", f"WITH {_KICK} SELECT match_id, epoch(utc)::bigint::varchar AS kickoff FROM kick", "match")
 def kickoff_utc(spark, sf):
-    return kickoffs(spark, sf).select("match_id", F.unix_timestamp("kickoff").alias("kickoff"))
+    return kickoffs(spark, sf).select("match_id", F.unix_timestamp("kickoff").cast("string").alias("kickoff"))
 
 
-@query("p2_decision_instant", f"WITH {_KICK}, d AS (SELECT *, {_UTC.format(x='noon_at')} AS noon_utc FROM (SELECT *, {_DDAY} + interval 12 hours AS noon_at FROM kick) t) SELECT match_id, CASE WHEN utc IS NULL OR noon_utc < utc THEN epoch(noon_utc)::bigint END AS decided FROM d", "match")
+@query("p2_decision_instant", f"WITH {_KICK}, d AS (SELECT *, {_UTC.format(x='noon_at')} AS noon_utc FROM (SELECT *, {_DDAY} + interval 12 hours AS noon_at FROM kick) t) SELECT match_id, CASE WHEN utc IS NULL OR noon_utc < utc THEN epoch(noon_utc)::bigint::varchar END AS decided FROM d", "match")
 def decision_instant(spark, sf):
-    return kickoffs(spark, sf).select("match_id", F.unix_timestamp(T.decision_at(F.col("match_date"), F.col("kickoff"))).alias("decided"))
+    return kickoffs(spark, sf).select("match_id", F.unix_timestamp(T.decision_at(F.col("match_date"), F.col("kickoff"))).cast("string").alias("decided"))
 
 
 @query("p3_result_known", f"WITH {_KICK}, d AS (SELECT *, match_date + interval 27 hours AS late FROM kick) SELECT match_id, epoch(coalesce(utc + interval 3 hours, {_UTC.format(x='late')}))::bigint AS known FROM d", "match")
