@@ -101,3 +101,23 @@ def leak_audit(spark, sf):
     w = Window.partitionBy("grp").orderBy(F.datediff("match_date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
     x = matches(spark, sf).withColumn("seen", F.max("match_date").over(w))
     return x.groupBy("grp").agg(F.count_if(F.col("seen").isNull() | (F.col("seen") < F.col("match_date"))).alias("n"))
+
+
+_ANCHOR = f"anchors AS (SELECT event_id AS last_id, event_id + 1 AS n_rows, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE sha256({_LINE}) END AS head FROM events WHERE event_id % 500 = 499)"
+
+
+@query("h4_anchor_check", f"WITH {_ANCHOR} SELECT a.last_id, CASE WHEN e.event_id IS NULL THEN 'row_missing' WHEN sha256({_LINE}) <> a.head THEN 'head_differs' WHEN (SELECT count(*) FROM events) < a.n_rows THEN 'rows_missing' ELSE 'ok' END AS verdict FROM anchors a LEFT JOIN events e ON e.event_id = a.last_id")
+def anchor_check(spark, sf):
+    """Every anchor's row is hashed again and compared with its head; the ledger must hold as many rows as it says."""
+    rows = lines(spark, sf)
+    a = rows.where("event_id % 500 = 499").select(F.col("event_id").alias("last_id"), (F.col("event_id") + 1).alias("n_rows"), F.when(F.col("event_id") % 7 == 0, "other").otherwise(F.sha2("line", 256)).alias("head"))
+    x = a.join(rows.select(F.col("event_id").alias("last_id"), "line"), "last_id", "left").crossJoin(rows.agg(F.count(F.lit(1)).alias("have")))
+    verdict = F.when(F.col("line").isNull(), "row_missing").when(F.sha2("line", 256) != F.col("head"), "head_differs").when(F.col("have") < F.col("n_rows"), "rows_missing").otherwise("ok")
+    return x.select("last_id", verdict.alias("verdict"))
+
+
+@query("h5_head_publication", "SELECT day, n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY day) AS before FROM (SELECT (epoch(ts)::bigint // 86400) AS day, max(event_id) AS n_rows FROM events GROUP BY 1) t) u WHERE before IS DISTINCT FROM n_rows")
+def head_publication(spark, sf):
+    """Each day's head, only where it differs from the day's before; one row a day enters the window."""
+    x = table(spark, sf, "events").groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day")).agg(F.max("event_id").alias("n_rows"))
+    return x.withColumn("before", F.lag("n_rows").over(Window.orderBy("day"))).where(~F.col("n_rows").eqNullSafe(F.col("before"))).select("day", "n_rows")

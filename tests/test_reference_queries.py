@@ -10,7 +10,7 @@ from pricelens.plans.ledger import build_chain, lines, verify_chain
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 
 
 @pytest.fixture(scope="module")
