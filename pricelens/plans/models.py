@@ -1 +1,328 @@
+"""Ratings, goal models, pools and the checks over them."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..fixtures import matches, odds
+from ..functions import prices as P
+from ..functions import scores as S
+from ..functions import timeaxis as T
+from ..operators.goals import fit_strengths, outcome_and_totals, score_cells
+from ..operators.replay import Elo, ordered_draw, quadratic_draw, replay
+from .metrics import _PROB, _Y, bootstrap_mean, scored
+from .registry import query
+
+_TEAM_Y = S.outcome_index(F.col("home_goals"), F.col("away_goals"))
+WEIGHT_LIMIT, MIN_ROWS = 5.0, 300
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+def ratings(spark, sf, **config) -> DataFrame:
+    return replay(matches(spark, sf), lambda: Elo(**config), ["r_home", "r_away", "expected"])
+
+
+def loss_of(p, y=_TEAM_Y):
+    return S.log_loss(p, y)
+
+
+@query("m1_replay_counts")
+def replay_counts(spark, sf):
+    """Decisions and rows without one, by group."""
+    x = ratings(spark, sf)
+    return x.groupBy("grp").agg(F.count("expected").alias("decisions"), F.count_if(F.col("expected").isNull()).alias("no_decision"), _r(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26))))).alias("log_loss"))
+
+
+@query("m2_elo_ratings")
+def elo_ratings(spark, sf):
+    x = replay(matches(spark, sf), lambda: Elo(margin="log"), ["r_home", "r_away", "expected"])
+    return x.select("match_id", "grp", _r("r_home").alias("r_home"), _r("r_away").alias("r_away"), _r("expected").alias("expected"))
+
+
+@query("m22_scaffold_rating")
+def scaffold_rating(spark, sf):
+    """Unfitted ratings with a fixed draw rate, clamped and normalised."""
+    x = replay(matches(spark, sf), lambda: Elo(margin="linear", regress=0.0, newcomer=0.0), ["r_home", "r_away", "expected"])
+    raw = F.array(F.col("expected") - 0.13, F.lit(0.26), 1 - F.col("expected") - 0.13)
+    p = P._multiplicative(F.transform(raw, lambda v: F.greatest(F.least(v, F.lit(0.98)), F.lit(0.01))))
+    return x.withColumn("p", p).select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+
+
+_E = "((match_id % 99 + 0.5E0) / 100)"
+
+
+@query("m3_draw_mapping", f"SELECT match_id, round({_E} - 0.52*{_E}*(1-{_E}), 6) AS qh, round(1.04*{_E}*(1-{_E}), 6) AS qd, round(1/(1+exp(0.53 - 0.9*ln({_E}/(1-{_E})))), 6) AS oh, round(1/(1+exp(0.53 + 0.9*ln({_E}/(1-{_E})))), 6) AS oa FROM fx_match", "match")
+def draw_mapping(spark, sf):
+    e = (F.col("match_id") % 99 + 0.5) / 100
+    x = matches(spark, sf).select("match_id", quadratic_draw(e, F.lit(0.26)).alias("q"), ordered_draw(e, F.lit(0.9), F.lit(0.53)).alias("o"))
+    return x.select("match_id", _r(F.get("q", 0)).alias("qh"), _r(F.get("q", 1)).alias("qd"), _r(F.get("o", 0)).alias("oh"), _r(F.get("o", 2)).alias("oa"))
+
+
+def minimise(rows: DataFrame, loss, low: float, high: float, rounds: int = 4, points: int = 11) -> tuple[float, float]:
+    """(parameter, mean loss): each round is one aggregation with a column for each candidate, then the range shrinks."""
+    for _ in range(rounds):
+        at = np.linspace(low, high, points)
+        got = rows.agg(*[F.avg(loss(F.lit(float(v)))).alias(f"c{i}") for i, v in enumerate(at)]).first()
+        best = min(range(points), key=lambda i: (got[i], i))
+        low, high = at[max(best - 1, 0)], at[min(best + 1, points - 1)]
+    return float(at[best]), float(got[best])
+
+
+@query("m4_draw_fit")
+def draw_fit(spark, sf):
+    """The draw rate with the least loss on the seasons before 1997; the ratings are replayed once."""
+    x = ratings(spark, sf).where("match_date < date '1997-01-01'").select("expected", _TEAM_Y.alias("y")).persist()
+    d, loss = minimise(x, lambda v: loss_of(quadratic_draw(F.col("expected"), v), F.col("y")), 0.0, 0.5)
+    c, loss2 = minimise(x, lambda v: loss_of(ordered_draw(F.col("expected"), F.lit(1.0), v), F.col("y")), 0.05, 2.0)
+    x.unpersist()
+    return spark.createDataFrame([("quadratic", round(d, 6), round(loss, 6)), ("ordered", round(c, 6), round(loss2, 6))], "form string, value double, log_loss double")
+
+
+def strengths(spark, sf) -> DataFrame:
+    m = matches(spark, sf)
+    days = m.select("grp", T.fit_day(F.col("match_date"), 364).alias("fit_day")).distinct()
+    return fit_strengths(m.withColumn("grp", F.col("grp").cast("int")), days.withColumn("grp", F.col("grp").cast("int")))
+
+
+@query("m5_goal_model_fit")
+def goal_model_fit(spark, sf):
+    return strengths(spark, sf).groupBy("grp", "fit_day").agg(F.count(F.lit(1)).alias("teams"), _r(F.first("edge"), 5).alias("edge"), _r(F.first("rho"), 5).alias("rho"))
+
+
+@query("m8_team_strengths")
+def team_strengths(spark, sf):
+    return strengths(spark, sf).select("grp", "fit_day", "team", _r("attack", 5).alias("attack"), _r("defence", 5).alias("defence"))
+
+
+_LM = "l AS (SELECT match_id, 0.8E0 + (match_id % 17) / 10.0E0 AS lam, 0.6E0 + (match_id % 13) / 10.0E0 AS mu FROM fx_match)"
+
+
+@query("m7_score_matrix", f"""WITH {_LM}, u AS (SELECT DISTINCT lam, mu FROM l), c AS (SELECT lam, mu, i, j, exp(-lam) * pow(lam, i) / factorial(i::int) * exp(-mu) * pow(mu, j) / factorial(j::int) * CASE WHEN i = 0 AND j = 0 THEN 1 + 0.1*lam*mu WHEN i = 0 AND j = 1 THEN 1 - 0.1*lam WHEN i = 1 AND j = 0 THEN 1 - 0.1*mu WHEN i = 1 AND j = 1 THEN 1.1 ELSE 1 END AS p FROM u, (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j)),
+o AS (SELECT lam, mu, sum(p) AS s, sum(p) FILTER (i > j) AS h, sum(p) FILTER (i = j) AS d, sum(p) FILTER (i + j > 2) AS v FROM c GROUP BY 1, 2) SELECT match_id, round(h/s, 6) AS ph, round(d/s, 6) AS pd, round(v/s, 6) AS over_25 FROM l JOIN o USING (lam, mu)""", "match")
+def score_matrix(spark, sf):
+    i = F.col("match_id")
+    x = matches(spark, sf).select("match_id", (0.8 + (i % 17) / 10.0).alias("lam"), (0.6 + (i % 13) / 10.0).alias("mu"))
+    x = x.withColumn("s", outcome_and_totals(score_cells(F.col("lam"), F.col("mu"), F.lit(-0.1))))
+    return x.select("match_id", _r("s.h").alias("ph"), _r("s.d").alias("pd"), _r("s.over").alias("over_25"))
+
+
+def members(spark, sf) -> DataFrame:
+    """One row a match with three forecasts: a rating, and the opening prices of two books."""
+    market = odds(spark, sf).where("phase = 0 and book in (0, 1)").withColumn("p", P.devig(F.col("o"), "multiplicative")).groupBy("match_id", "league", "season", "y").agg(F.max(F.when(F.col("book") == 0, F.col("p"))).alias("m0"), F.max(F.when(F.col("book") == 1, F.col("p"))).alias("m1")).where("m0 is not null and m1 is not null")
+    elo = ratings(spark, sf).select("match_id", quadratic_draw(F.col("expected"), F.lit(0.26)).alias("elo"))
+    return market.join(elo, "match_id")
+
+
+def fit_pool(rows: DataFrame, keys: list[str], names: list[str], steps: int = 30) -> dict[tuple, list[float]]:
+    """Weights in [0, 5] of a log-linear pool for each key, all keys in one aggregation a step: sums of gradient and
+    curvature come back, one row a key. Keys with too few rows, or that don't settle, are left out."""
+    k = len(names)
+    logs = rows.select(*keys, "y", *[F.transform(n, lambda v: F.log(F.greatest(v, F.lit(P.FLOOR)))).alias(f"_{i}") for i, n in enumerate(names)]).persist()
+    spark, found, done = rows.sparkSession, {}, {}
+    for step in range(steps):
+        if step:
+            w = spark.createDataFrame([(*key, [float(v) for v in b]) for key, b in found.items()], f"{', '.join(f'{c} {dict(rows.dtypes)[c]}' for c in keys)}, w array<double>")
+            x = logs.join(F.broadcast(w), keys)
+        else:
+            x = logs.withColumn("w", F.array(F.lit(1.0), *[F.lit(0.0)] * (k - 1)))
+        score = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda o: sum((F.get("w", i) * F.get(f"_{i}", o) for i in range(1, k)), F.get("w", 0) * F.get("_0", o)))
+        x = x.withColumn("q", P.let(score, lambda s: P._multiplicative(F.transform(s, lambda v: F.exp(v - F.array_max(s))))))
+        dot = lambda a: F.aggregate(F.zip_with("q", a, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+        x = x.withColumns({f"e{i}": dot(F.col(f"_{i}")) for i in range(k)})
+        sums = [F.sum(F.get(f"_{i}", "y") - F.col(f"e{i}")).alias(f"g{i}") for i in range(k)]
+        sums += [F.sum(dot(F.zip_with(f"_{i}", f"_{j}", lambda u, v: u * v)) - F.col(f"e{i}") * F.col(f"e{j}")).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
+        moved = 0.0
+        for r in x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+            key = tuple(r[c] for c in keys)
+            if r["n"] < MIN_ROWS:
+                found.pop(key, None)
+                continue
+            b = np.array(found.get(key, [1.0] + [0.0] * (k - 1)))
+            g = np.array([r[f"g{i}"] for i in range(k)])
+            h = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
+            free = ~(((b <= 0) & (g < 0)) | ((b >= WEIGHT_LIMIT) & (g > 0)))
+            new = b.copy()
+            if free.any():
+                new[free] += np.linalg.solve(h[np.ix_(free, free)], g[free])
+            new = np.clip(new, 0.0, WEIGHT_LIMIT)
+            done[key] = float(np.abs(new - b).max())
+            moved = max(moved, done[key])
+            found[key] = new
+        if moved < 1e-9 or not found:
+            break
+    logs.unpersist()
+    return {key: [float(v) for v in b] for key, b in found.items() if done[key] < 1e-6}
+
+
+def _weights(spark, fitted: dict, schema: str) -> DataFrame:
+    return spark.createDataFrame([(*k, *[round(v, 5) for v in w]) for k, w in fitted.items()], schema)
+
+
+@query("m9_pool_weights")
+def pool_weights(spark, sf):
+    return _weights(spark, fit_pool(members(spark, sf), ["league"], ["m0", "m1", "elo"]), "league string, w_m0 double, w_m1 double, w_elo double")
+
+
+@query("m21_frozen_weights")
+def frozen_weights(spark, sf, least=1000):
+    """Weights of each league, else the pooled ones with the reason; no pooled fit is an error."""
+    x = members(spark, sf).where("season < 1999")
+    own = fit_pool(x, ["league"], ["m0", "m1", "elo"])
+    pooled = fit_pool(x.withColumn("one", F.lit("all")), ["one"], ["m0", "m1", "elo"]).get(("all",))
+    if pooled is None and own:
+        raise ValueError("the pool can't be fitted")
+    w = _weights(spark, own, "league string, w_m0 double, w_m1 double, w_elo double")
+    n = x.groupBy("league").agg(F.count(F.lit(1)).alias("n")).join(w, "league", "left")
+    use = (F.col("n") >= least) & F.col("w_m0").isNotNull()
+    cols = [F.when(use, F.col(c)).otherwise(F.lit(None if pooled is None else round(pooled[i], 5)).cast("double")).alias(c) for i, c in enumerate(("w_m0", "w_m1", "w_elo"))]
+    return n.select("league", "n", *cols, F.when(F.col("n") < least, "few_rows").when(~use, "not_fitted").alias("fallback"))
+
+
+@query("w9_expanding_folds")
+def expanding_folds(spark, sf, least=1000):
+    """Weights for a season from all seasons before it, by league where it has enough rows, else pooled."""
+    x = members(spark, sf)
+    seasons = x.select("season").distinct().withColumnRenamed("season", "fold")
+    past = x.join(F.broadcast(seasons), F.col("season") < F.col("fold"))
+    own = _weights(spark, fit_pool(past, ["league", "fold"], ["m0", "m1", "elo"]), "league string, fold int, w_m0 double, w_m1 double, w_elo double")
+    pooled = _weights(spark, fit_pool(past, ["fold"], ["m0", "m1", "elo"]), "fold int, p_m0 double, p_m1 double, p_elo double")
+    n = past.groupBy("league", "fold").agg(F.count(F.lit(1)).alias("n")).join(own, ["league", "fold"], "left").join(pooled, "fold", "left")
+    use = F.coalesce((F.col("n") >= least) & F.col("w_m0").isNotNull(), F.lit(False))
+    pick = [F.when(use, F.col(f"w_{c}")).otherwise(F.coalesce(f"p_{c}", F.lit(1.0 if c == "m0" else 0.0))).alias(f"w_{c}") for c in ("m0", "m1", "elo")]
+    return n.select("league", "fold", "n", *pick, F.when(use, "league").when(F.col("p_m0").isNotNull(), "pooled").otherwise("market").alias("kind"))
+
+
+_W = "(1 + ascii(right(league, 1)) % 3) / 3.0E0"
+_POOLED = f"pl AS (SELECT a.match_id, {_W} AS w, a.ph AS ah, a.pd AS ad, a.pa AS aa, b.ph AS bh, b.pd AS bd, b.pa AS ba FROM prob a JOIN prob b ON a.match_id = b.match_id AND a.phase = b.phase AND a.book = 0 AND b.book = 1 AND a.phase = 0), pq AS (SELECT match_id, pow(ah, w) * pow(bh, 1 - w) AS h, pow(ad, w) * pow(bd, 1 - w) AS d, pow(aa, w) * pow(ba, 1 - w) AS a FROM pl)"
+
+
+@query("m10_blend", f"WITH {_PROB}, {_POOLED} SELECT match_id, round(h/(h+d+a), 6) AS ph, round(d/(h+d+a), 6) AS pd, round(a/(h+d+a), 6) AS pa FROM pq", "odds")
+def blend(spark, sf):
+    """Pool of two books with a weight by league, joined from a table of leagues."""
+    x = odds(spark, sf).where("phase = 0 and book in (0, 1)").withColumn("p", P.devig(F.col("o"), "multiplicative"))
+    x = x.groupBy("match_id", "league").agg(F.max(F.when(F.col("book") == 0, F.col("p"))).alias("u"), F.max(F.when(F.col("book") == 1, F.col("p"))).alias("v")).where("u is not null and v is not null")
+    w = matches(spark, sf).select("league").distinct().withColumn("w", (1 + F.ascii(F.right("league", F.lit(1))) % 3) / 3.0)
+    p = x.join(w, "league").withColumn("p", P.pool([F.col("u"), F.col("v")], [F.col("w"), 1 - F.col("w")]))
+    return p.select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+
+
+@query("m11_market_strategy", f"WITH {_PROB} SELECT match_id, round(ph, 6) AS ph, round(pd, 6) AS pd, round(pa, 6) AS pa FROM prob WHERE book = 0 AND phase = 0", "odds")
+def market_strategy(spark, sf):
+    return scored(spark, sf).where("book = 0 and phase = 0").select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+
+
+_PICK = "('0x' || substr(sha256('placebo|' || match_id::varchar), 1, 8))::bigint % 3"
+
+
+@query("m12_placebo", f"SELECT match_id, {_PICK} AS pick, round(CASE {_PICK} WHEN 0 THEN h WHEN 1 THEN d ELSE a END, 6) AS price FROM fx_odds WHERE book = 0 AND phase = 0", "odds")
+def placebo(spark, sf):
+    """A pick by the hash of the match's identity, at its opening price."""
+    pick = F.conv(F.substring(F.sha2(F.concat(F.lit("placebo|"), F.col("match_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 3
+    return odds(spark, sf).where("book = 0 and phase = 0").withColumn("pick", pick).select("match_id", "pick", _r(F.get("o", F.col("pick").cast("int"))).alias("price"))
+
+
+def candidate_losses(spark, sf, grid: list[dict]) -> list[float]:
+    """Loss of each configuration on the seasons from 1995 to 1997: one job over candidates and groups."""
+    c = spark.createDataFrame([(i, float(g["k"]), float(g["home"])) for i, g in enumerate(grid)], "candidate int, k double, edge double")
+    x = replay(matches(spark, sf).crossJoin(F.broadcast(c)), lambda _, k, e: Elo(k=k, home=e), ["r_home", "r_away", "expected"], ["candidate", "k", "edge"])
+    x = x.where("match_date >= date '1995-01-01' and match_date < date '1998-01-01'")
+    got = {r["candidate"]: r["loss"] for r in x.groupBy("candidate").agg(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))).alias("loss")).collect()}
+    return [got.get(i, float("inf")) for i in range(len(grid))]
+
+
+GRID = {"k": (10.0, 20.0, 40.0), "home": (0.0, 60.0, 120.0)}
+
+
+@query("m14_candidate_loss")
+def candidate_loss(spark, sf):
+    grid = [{"k": k, "home": 60.0} for k in GRID["k"]]
+    return spark.createDataFrame([(g["k"], g["home"], round(v, 6)) for g, v in zip(grid, candidate_losses(spark, sf, grid), strict=True)], "k double, home double, log_loss double")
+
+
+@query("m13_coordinate_descent")
+def coordinate_descent(spark, sf, grid=None):
+    """One pass over the parameters in their order; ties keep the first; no candidate is measured twice."""
+    grid = grid or GRID
+    best, known = {k: v[0] for k, v in grid.items()}, {}
+    for name, values in grid.items():
+        tried = [best | {name: v} for v in values]
+        new = [t for t in tried if tuple(t.values()) not in known]
+        known |= {tuple(t.values()): v for t, v in zip(new, candidate_losses(spark, sf, new), strict=True)}
+        best = min(tried, key=lambda t: known[tuple(t.values())])
+    return spark.createDataFrame([(*k, round(v, 6), k == tuple(best.values())) for k, v in known.items()], "k double, home double, log_loss double, chosen boolean")
+
+
+def component_rows(spark, sf) -> DataFrame:
+    """One row a match and forecast, only matches that every forecast has."""
+    p = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("p")) for n in ("m0", "m1", "elo")])).alias("s")
+    return members(spark, sf).select("match_id", "league", "season", "y", p).select("match_id", "league", "season", "y", "s.strategy", "s.p").withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
+
+
+@query("m15_component_rows")
+def components(spark, sf):
+    return component_rows(spark, sf).groupBy("league", "season", "strategy").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll")).alias("log_loss"))
+
+
+@query("m16_final_evaluation")
+def final_evaluation(spark, sf):
+    """Development weights on the holdout, against the market, with the interval of the gap."""
+    x = members(spark, sf)
+    w = fit_pool(x.where("season < 1999").withColumn("one", F.lit("all")), ["one"], ["m0", "m1", "elo"]).get(("all",), [1.0, 0.0, 0.0])
+    x = x.where("season >= 1999").withColumn("blend", P.pool([F.col(c) for c in ("m0", "m1", "elo")], [F.lit(v) for v in w]))
+    x = x.withColumn("gap", S.log_loss(F.col("blend"), F.col("y")) - S.log_loss(F.col("m0"), F.col("y"))).withColumn("part", F.lit("holdout"))
+    return bootstrap_mean(x, "gap", "match_id", ["part"])
+
+
+_LIVE = "SELECT league, CASE WHEN m.home = 11 OR m.away = 11 THEN 'unmapped' WHEN EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0) THEN 'stale' WHEN o.d IS NULL THEN 'no_quote' ELSE 'decision' END AS status, count(*) AS n FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 2 AND o.phase = 0 WHERE m.match_date >= date '1997-01-01' GROUP BY 1, 2"
+
+
+def stale(m: DataFrame, days: int = 10) -> DataFrame:
+    """``m`` with ``stale``: a fixture of the group in the ten days before lacks its result. The range is a window."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("grp").orderBy(F.datediff("match_date", F.lit("1970-01-01"))).rangeBetween(-days, -1)
+    return m.withColumn("stale", F.coalesce(F.max((F.col("match_id") % 50 == 0).cast("int")).over(w), F.lit(0)) == 1)
+
+
+@query("m17_live_decisions", _LIVE, "odds")
+def live_decisions(spark, sf):
+    from ..fixtures import with_odds
+
+    m = stale(matches(spark, sf)).where("match_date >= date '1997-01-01'")
+    x = with_odds(m).where("book = 2 and phase = 0")
+    status = F.when((F.col("home") == 11) | (F.col("away") == 11), "unmapped").when(F.col("stale"), "stale").when(F.col("d").isNull(), "no_quote").otherwise("decision")
+    return x.groupBy("league", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m18_staleness", "SELECT match_id FROM fx_match m WHERE EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0)", "match")
+def staleness(spark, sf):
+    return stale(matches(spark, sf)).where("stale").select("match_id")
+
+
+@query("m19_shadow_rows")
+def shadow_rows(spark, sf):
+    """The forecasts of every strategy for the last season, one row a match and strategy."""
+    return component_rows(spark, sf).where("season >= 2000").select("match_id", "strategy", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+
+
+@query("m20_check_registry")
+def check_registry(spark, sf):
+    """(check, gate, passed, detail): an unmeasured check never passes."""
+    x = component_rows(spark, sf).groupBy("strategy").agg(F.avg("ll").alias("ll"), F.count(F.lit(1)).alias("n"))
+    x = x.agg(*[F.max(F.when(F.col("strategy") == s, F.col("ll"))).alias(s) for s in ("m0", "m1", "elo")], F.max("n").alias("n"))
+    row = lambda name, gate, ok, detail: F.struct(F.lit(name).alias("check"), F.lit(gate).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), _r(detail).alias("detail"))
+    return x.select(F.inline(F.array(row("elo_not_worse", True, F.col("elo") - F.col("m0") <= 0.001, F.col("elo") - F.col("m0")), row("books_agree", False, F.abs(F.col("m1") - F.col("m0")) <= 0.05, F.col("m1") - F.col("m0")), row("rows", True, F.col("n") >= 1000, F.col("n").cast("double")))))
+
+
+@query("a39_gap_penalty")
+def gap_penalty(spark, sf, dropped=1996):
+    """Loss on the next season with one season of input missing, less the loss with all of it."""
+    ll = loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))
+    m = matches(spark, sf)
+    runs = [replay(m.where(f"season <> {d}"), Elo, ["r_home", "r_away", "expected"]).where(f"year(match_date) = {dropped + 1}").groupBy("grp").agg(F.avg(ll).alias(n)) for d, n in ((dropped, "gapped"), (-1, "full"))]
+    return runs[0].join(runs[1], "grp").select("grp", _r("gapped").alias("gapped"), _r("full").alias("full_loss"), _r(F.col("gapped") - F.col("full")).alias("penalty"))
