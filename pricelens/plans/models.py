@@ -12,10 +12,9 @@ from ..functions import scores as S
 from ..functions import timeaxis as T
 from ..operators.goals import fit_strengths, outcome_and_totals, score_cells
 from ..operators.replay import Elo, ordered_draw, quadratic_draw, replay
-from .metrics import _PROB, _Y, bootstrap_mean, scored
+from .metrics import _PROB, bootstrap_mean, scored
 from .registry import query
 
-_TEAM_Y = S.outcome_index(F.col("home_goals"), F.col("away_goals"))
 WEIGHT_LIMIT, MIN_ROWS = 5.0, 300
 
 
@@ -27,8 +26,12 @@ def ratings(spark, sf, **config) -> DataFrame:
     return replay(matches(spark, sf), lambda: Elo(**config), ["r_home", "r_away", "expected"])
 
 
-def loss_of(p, y=_TEAM_Y):
-    return S.log_loss(p, y)
+def outcome():
+    return S.outcome_index(F.col("home_goals"), F.col("away_goals"))
+
+
+def loss_of(p, y=None):
+    return S.log_loss(p, outcome() if y is None else y)
 
 
 @query("m1_replay_counts")
@@ -76,7 +79,7 @@ def minimise(rows: DataFrame, loss, low: float, high: float, rounds: int = 4, po
 @query("m4_draw_fit")
 def draw_fit(spark, sf):
     """The draw rate with the least loss on the seasons before 1997; the ratings are replayed once."""
-    x = ratings(spark, sf).where("match_date < date '1997-01-01'").select("expected", _TEAM_Y.alias("y")).persist()
+    x = ratings(spark, sf).where("match_date < date '1997-01-01'").select("expected", outcome().alias("y")).persist()
     d, loss = minimise(x, lambda v: loss_of(quadratic_draw(F.col("expected"), v), F.col("y")), 0.0, 0.5)
     c, loss2 = minimise(x, lambda v: loss_of(ordered_draw(F.col("expected"), F.lit(1.0), v), F.col("y")), 0.05, 2.0)
     x.unpersist()
@@ -197,7 +200,7 @@ def expanding_folds(spark, sf, least=1000):
     return n.select("league", "fold", "n", *pick, F.when(use, "league").when(F.col("p_m0").isNotNull(), "pooled").otherwise("market").alias("kind"))
 
 
-_W = "(1 + ascii(right(league, 1)) % 3) / 3.0E0"
+_W = "(1 + ascii(right(a.league, 1)) % 3) / 3.0E0"
 _POOLED = f"pl AS (SELECT a.match_id, {_W} AS w, a.ph AS ah, a.pd AS ad, a.pa AS aa, b.ph AS bh, b.pd AS bd, b.pa AS ba FROM prob a JOIN prob b ON a.match_id = b.match_id AND a.phase = b.phase AND a.book = 0 AND b.book = 1 AND a.phase = 0), pq AS (SELECT match_id, pow(ah, w) * pow(bh, 1 - w) AS h, pow(ad, w) * pow(bd, 1 - w) AS d, pow(aa, w) * pow(ba, 1 - w) AS a FROM pl)"
 
 

@@ -1 +1,108 @@
+"""Parsing and sinks over lines, documents and rounds that Spark derives from the match and odds tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..fixtures import matches, odds, table
+from ..sources import documents as D
+from ..sources import sinks, wide
+from .registry import query
+
+# The rows' faults go by the match's number: date, team, goals, result, width.
+_DAY = "CASE WHEN match_id % 19 = 0 THEN '31/02/1999' ELSE strftime(match_date, '%d/%m/%Y') END"
+_FAULT = "CASE WHEN match_id % 37 = 0 THEN 'width' WHEN match_id % 19 = 0 THEN 'date' WHEN match_id % 23 = 0 THEN 'time' WHEN match_id % 29 = 0 THEN 'team' WHEN match_id % 31 = 0 THEN 'goals' WHEN match_id % 41 = 0 THEN 'result' END"
+
+
+def wide_rows(spark, sf):
+    """Matches as (match_id, cells, fits) with text cells, as the reader gives them."""
+    i = F.col("match_id")
+    won = F.when(F.col("home_goals") > F.col("away_goals"), "H").when(F.col("home_goals") < F.col("away_goals"), "A").otherwise("D")
+    price = lambda c, b, ph: F.max(F.when((F.col("book") == b) & (F.col("phase") == ph), F.when((F.col("match_id") % 43 == 0) & (F.col("book") == 1), "0.5").otherwise(F.col(c).cast("string"))))
+    o = odds(spark, sf).where("book < 3").groupBy("match_id").agg(*[price(c, b, ph).alias(f"{n}{'C' if ph else ''}{o}") for b, n in enumerate("XYZ") for ph in (0, 1) for c, o in zip("hda", wide.OUTCOMES, strict=True)])
+    m = matches(spark, sf).withColumns({
+        "Div": F.col("league"), "Date": F.when(i % 19 == 0, "31/02/1999").otherwise(F.date_format("match_date", "dd/MM/yyyy")), "Time": F.when(i % 23 == 0, "25:00").when(i % 13 == 0, "").otherwise("15:00"),
+        "HomeTeam": F.when(i % 29 == 0, "").otherwise(F.concat(F.lit("T"), F.col("home").cast("string"))), "AwayTeam": F.concat(F.lit("T"), F.col("away").cast("string")),
+        "FTHG": F.when(i % 31 == 0, "x").otherwise(F.col("home_goals").cast("string")), "FTAG": F.col("away_goals").cast("string"), "FTR": F.when(i % 41 == 0, F.when(won == "H", "A").otherwise("H")).otherwise(won), "HS": F.when(i % 3 == 0, "n/a").otherwise((i % 20).cast("string"))})
+    names = ["Div", "Date", "Time", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "HS"]
+    x = m.select("match_id", "league", *names).join(o, "match_id")
+    cells = F.create_map(*[v for c in [*names, *[c for c in o.columns if c != "match_id"]] for v in (F.lit(c), F.coalesce(F.col(c), F.lit("")))])
+    return x.select("match_id", "league", cells.alias("cells"), (i % 37 != 0).alias("fits"))
+
+
+@query("s2_row_validation", f"SELECT league, {_FAULT} AS reason, count(*) AS n FROM fx_match GROUP BY 1, 2", "match")
+def row_validation(spark, sf):
+    x = wide_rows(spark, sf)
+    reason = None
+    for lg in range(5):
+        r = wide.first_reason(F.col("cells"), F.col("fits"), "main", f"L{lg}", "1992-01-01", "2002-12-31")
+        reason = F.when(F.col("league") == f"L{lg}", r) if reason is None else reason.when(F.col("league") == f"L{lg}", r)
+    return x.groupBy("league", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s4_file_duplicates", "SELECT match_id FROM (SELECT match_id, row_number() OVER (PARTITION BY league, match_date, home, away ORDER BY match_id) AS k FROM fx_match) t WHERE k > 1", "match")
+def file_duplicates(spark, sf):
+    """The second and later rows of a day and pair of teams in a league's file."""
+    k = F.row_number().over(Window.partitionBy("league", "match_date", "home", "away").orderBy("match_id"))
+    return matches(spark, sf).withColumn("k", k).where("k > 1").select("match_id")
+
+
+@query("s5_unpivot_odds", "SELECT CASE book WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS book, outcome, CASE phase WHEN 1 THEN 'closing' ELSE 'pre' END AS phase, count(*) AS n, count(*) FILTER (match_id % 43 = 0 AND book = 1) AS invalid, round(avg(CASE WHEN NOT (match_id % 43 = 0 AND book = 1) THEN p END), 5) AS mean_price FROM (SELECT match_id, book, phase, 'H' AS outcome, h AS p FROM fx_odds UNION ALL SELECT match_id, book, phase, 'D', d FROM fx_odds WHERE d IS NOT NULL UNION ALL SELECT match_id, book, phase, 'A', a FROM fx_odds) t WHERE book < 3 GROUP BY 1, 2, 3", "odds")
+def unpivot_odds(spark, sf):
+    x = wide.unpivot_odds(wide_rows(spark, sf), ["match_id"], ("X", "Y", "Z"))
+    return x.groupBy("book", "outcome", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg("price"), 5).alias("mean_price"))
+
+
+@query("s6_stats_map", "SELECT league, count(*) FILTER (match_id % 3 <> 0) AS n, sum(CASE WHEN match_id % 3 <> 0 THEN match_id % 20 END)::bigint AS total FROM fx_match GROUP BY 1", "match")
+def stats_map(spark, sf):
+    x = wide_rows(spark, sf).select("league", wide.stats(F.col("cells"), ("HS",))["HS"].alias("hs"))
+    return x.groupBy("league").agg(F.count("hs").alias("n"), F.sum("hs").alias("total"))
+
+
+@query("s7_flatten_odds", "SELECT match_id::varchar AS id, 'b' || book AS book, outcome, round(p, 6) AS price FROM (SELECT match_id, book, 'home' AS outcome, h AS p FROM fx_odds WHERE phase = 0 UNION ALL SELECT match_id, book, 'draw', d FROM fx_odds WHERE phase = 0 AND d IS NOT NULL UNION ALL SELECT match_id, book, 'away', a FROM fx_odds WHERE phase = 0) t", "odds")
+def flatten_odds(spark, sf):
+    """Odds as nested JSON texts, flattened again."""
+    o = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("price")) for n, c in (("home", "h"), ("draw", "d"), ("away", "a"))]), lambda v: v["price"].isNotNull())
+    b = odds(spark, sf).where("phase = 0").groupBy("match_id").agg(F.collect_list(F.struct(F.concat(F.lit("b"), F.col("book").cast("string")).alias("key"), F.array(F.struct(F.lit("h2h").alias("key"), o.alias("outcomes"))).alias("markets"))).alias("bookmakers"))
+    x = D.flatten_odds(b.select(F.to_json(F.struct(F.col("match_id").cast("string").alias("id"), "bookmakers")).alias("payload")))
+    return x.select("id", "book", "outcome", F.round("price", 6).alias("price"))
+
+
+@query("s8_parse_scores", "SELECT match_id::varchar AS id, CASE WHEN match_id % 4 = 0 THEN 'open' WHEN match_id % 7 = 0 THEN 'no_score' ELSE 'settled' END AS status, CASE WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN home_goals END AS home_goals, CASE WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN away_goals END AS away_goals FROM fx_match", "match")
+def parse_scores(spark, sf):
+    """Score documents whose entries stand in either order."""
+    i = F.col("match_id")
+    name = lambda c: F.concat(F.lit("T"), F.col(c).cast("string"))
+    h, a = (F.struct(name(t).alias("name"), F.col(f"{t}_goals").cast("string").alias("score")) for t in ("home", "away"))
+    scores = F.when(i % 7 == 0, F.array(a)).when(i % 2 == 0, F.array(h, a)).otherwise(F.array(a, h))
+    return D.parse_scores(matches(spark, sf).select(F.to_json(F.struct(i.cast("string").alias("id"), (i % 4 != 0).alias("completed"), name("home").alias("home_team"), name("away").alias("away_team"), scores.alias("scores"))).alias("payload")))
+
+
+@query("s13_fixture_upsert", "SELECT match_id AS id, CASE WHEN match_id % 3 = 0 THEN home ELSE away END AS team, CASE WHEN match_id % 2 = 0 THEN season + 1 ELSE season END AS begins FROM fx_match WHERE match_id % 2 = 0 OR match_id % 3 = 0", "match")
+def fixture_upsert(spark, sf):
+    m = matches(spark, sf)
+    old = m.where("match_id % 3 = 0").select(F.col("match_id").alias("id"), F.col("home").alias("team"), F.col("season").alias("begins"))
+    new = m.where("match_id % 2 = 0").select(F.col("match_id").alias("id"), F.col("away").alias("team"), F.col("season").alias("begins"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn("begins", F.col("begins") + F.col("seq"))
+    return sinks.upsert_time(old, new, "id", "begins")
+
+
+@query("s14_ledger_append", "SELECT DISTINCT o_custkey AS match_id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1)")
+def ledger_append(spark, sf):
+    """The keys that an append writes."""
+    o = table(spark, sf, "orders").withColumn("h", F.sha2(F.col("o_custkey").cast("string"), 256))
+    return sinks.new_rows(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"), ["h"]).select(F.col("o_custkey").alias("match_id"))
+
+
+@query("s15_result_append", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def result_append(spark, sf):
+    """Results of known fixtures that have none yet."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
+    known = table(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("k"))
+    return sinks.new_rows(o.select("k").join(known, "k", "left_semi"), o.where("o_orderstatus = 'P'"), ["k"])
+
+
+@query("s16_prediction_append", "SELECT DISTINCT l_orderkey AS match_id, l_suppkey AS config FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
+def prediction_append(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("config"), "l_returnflag")
+    return sinks.new_rows(x.where("l_returnflag = 'N'"), x.where("l_returnflag = 'R'"), ["match_id", "config"]).select("match_id", "config")
