@@ -72,8 +72,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, id_col="do
         hist = inside.groupBy("k", F.shiftright("h", BITS - done).alias("bucket")).agg(F.sum("size").alias("n"))
         w = Window.partitionBy("k").orderBy("bucket")
         hist = hist.withColumn("upto", F.sum("n").over(w)).join(found, "k")
-        hist = hist.where(F.col("upto") <= F.col("left")).groupBy("k").agg((F.max("bucket") + 1).alias("next"), F.max("upto").alias("used"))
-        found = found.join(hist, "k", "left").select("k", F.coalesce(F.shiftleft(F.col("next"), BITS - done), "lo").alias("lo"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+        # The boundary bucket is the first that doesn't fit, whether or not empty ones lie before it.
+        over = F.col("upto") > F.col("left")
+        hist = hist.groupBy("k").agg(F.min(F.when(over, F.col("bucket"))).alias("next"), F.max(F.when(~over, F.col("upto"))).alias("used"))
+        rest = F.lit(1 << BITS) if done == bits else F.col("lo")
+        found = found.join(hist, "k", "left").select("k", F.coalesce(F.shiftleft(F.col("next"), BITS - done), rest.cast("long")).alias("lo"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
         found = stash(found, "bounds")
     goal = goal.join(found.select("k", "lo"), "k")
     out = rows.withColumn("k", _key(F.col("source"))).join(goal, "k")
