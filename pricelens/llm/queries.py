@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import op1_bpe, op2_quality, op3_chat, op4_minhash, op5_vectors, op6_urls, op7_mixing, op9_secrets, op10_lm
 from . import op8_toxicity as toxicity
+from .oracle import oracle_sql  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +71,3 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_bpe_encode, op2_quality_rules, op3_chat_perspectives, op4_minhash_dedup, op5_vector_dedup, op6_url_filter, op7_source_mix, op8_toxicity_kn, op9_secret_scan, op10_lm_scores)
     return {f.__name__: f for f in every}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
