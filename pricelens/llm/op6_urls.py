@@ -21,6 +21,8 @@ from .common import stash
 #: (host, path, verdict), fixed values of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS = 0.85, 6
+#: An absolute link; group 2 is its host.
+LINK = r"""href=["']([A-Za-z]+:)?//([^/"'?#>\s]+)"""
 #: Distrust above trust from which a host is blocked, in units of an even share of the seeds' weight.
 THRESHOLD = 0.5
 
@@ -49,7 +51,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts; parents of a host count as linked both ways."""
-    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""href=["']([A-Za-z]+:)?//([^/"'?#>\s]+)"""), 2)).alias("dst"))
+    links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 2)).alias("dst"))
     links = links.select(F.col("host").alias("src"), _ascii_lower(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     labels = F.split("host", r"\.")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .op2_quality import RULES, STOP_WORDS, WINDOW
 from .op3_chat import END, PART, START
+from .op6_urls import DAMPING, LINK, ROUNDS, THRESHOLD
+from .op6_urls import RULES as HOST_RULES
 from .op7_mixing import BITS, MOST, WEIGHTS
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -38,5 +40,33 @@ u AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY
 SELECT doc_id, size, source_size, round(target, 6) AS target, size * (whole + (upto::double <= target - whole * source_size AND whole < {MOST})::int) AS taken FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source"""
 
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BY_LENGTH = sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1]))
+_LINK = LINK.replace("'", "''")
+
+
+def _fit(value) -> str:
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in _BY_LENGTH) + " END"
+
+
+def _ranks(name: str, src: str, dst: str, seed: str) -> str:
+    """Tables of one propagation: ``name`` has (host, score) after all rounds over edges src -> dst."""
+    parts = [f"{name}_p AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS p FROM e)", f"{name}_0 AS (SELECT host, {seed} AS score FROM sh WHERE {seed} > 0)"]
+    for k in range(1, ROUNDS + 1):
+        parts.append(f"{name}_{k} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT dst AS host, {DAMPING} * sum(score * p) AS score FROM {name}_{k - 1} r JOIN {name}_p q ON r.host = q.src GROUP BY 1 UNION ALL SELECT host, {1 - DAMPING} * score FROM {name}_0) t GROUP BY 1)")
+    return ",\n".join(parts)
+
+
+OP6 = rf"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_AZ.lower()}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+f AS MATERIALIZED (SELECT page_id, host, path, {_fit(lambda h, p, v: h + p)} AS rule, {_fit(lambda h, p, v: v)} AS fit FROM p),
+up AS (SELECT DISTINCT host AS src, array_to_string(labels[i:], '.') AS dst FROM (SELECT host, string_split(host, '.') AS labels, unnest(range(2, len(string_split(host, '.')))) AS i FROM p) t),
+l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 2)), '{_AZ}', '{_AZ.lower()}') AS dst, 1 AS n FROM p UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up),
+e AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+sh AS MATERIALIZED (SELECT host, count(*) FILTER (fit = 'allow') / count(*) AS good, count(*) FILTER (fit = 'block') / count(*) AS bad FROM f WHERE host <> '' GROUP BY 1),
+{_ranks("trust", "src", "dst", "good")},
+{_ranks("against", "dst", "src", "bad")}
+SELECT page_id, f.host, path, rule, CASE WHEN fit IS NOT NULL THEN fit WHEN round(coalesce(a.score, 0), 9) - round(coalesce(t.score, 0), 9) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict FROM f LEFT JOIN trust_{ROUNDS} t ON f.host = t.host LEFT JOIN against_{ROUNDS} a ON f.host = a.host"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_chat_perspectives": OP3, "op7_source_mix": OP7}
+    return {"op2_quality_rules": OP2, "op3_chat_perspectives": OP3, "op6_url_filter": OP6, "op7_source_mix": OP7}
