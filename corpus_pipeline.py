@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all but the last return the columns
 of ``documents``. ``run`` writes each result into the shared folder as Parquet and reads it again.
+
+Cases: null and empty texts fail the quality rules; to the other stages they are documents without words, links or
+secrets, mixed by their hash and encoded to no tokens. Null ids are kept, each row for itself; repeated ids are one
+document to the near-duplicate stage and rows of their own to the others; null sources are one source; extra columns
+are carried along, whatever their names, up to the last stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,25 +28,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id."""
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id. Rows that share
+    an id are one document, of which the row with the smallest digest stays; rows without an id all stay."""
     kept = op4_minhash.near_duplicates(docs, 80, shingle=5).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("_id"), row.alias("_doc"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("_digest"))
+    one = rows.join(kept, rows["_id"] == kept["doc_id"], "left_semi").groupBy("_id").agg(F.min_by("_doc", "_digest").alias("_doc"))
+    return docs.where("doc_id is null").unionByName(one.select("_doc.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the secret scan finds is replaced by a mark."""
-    spans = op9_secrets.secret_spans(docs).where(F.size("spans") > 0).select("doc_id", F.transform("spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))).alias("cut")).dropDuplicates(["doc_id"])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int")), F.lit(MARK))).alias("out"))
-    clean = F.aggregate("cut", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("cut").isNull(), F.col("text")).otherwise(clean))
-    return out.withColumn("n_chars", F.when(F.col("cut").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return op9_secrets.redact(docs, MARK)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = op7_mixing.mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return op7_mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

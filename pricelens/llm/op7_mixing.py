@@ -7,7 +7,7 @@ document is ever sorted, and a larger budget's documents contain a smaller one's
 
 Cases: null texts have size 0; a null source is a source of its own and comes last; a null id hashes like an
 empty one; rows with the same id are taken alike; documents of size 0 follow their hash; an empty table gives an
-empty table; other columns are kept in ``doc``.
+empty table; other columns are kept by ``mixed_documents`` and not read by ``mix_sources``.
 """
 
 from __future__ import annotations
@@ -51,12 +51,18 @@ def _key(source):
     return F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document."""
-    h = F.conv(F.substring(F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"),
-                       F.shiftright(h, 60 - BITS).alias("h"))
-    rows = stash(rows, "sizes")
+def _hash(doc_id):
+    h = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    return F.shiftright(h, 60 - BITS)
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return stash(docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"), _hash(docs[id_col]).alias("h")), "sizes")
+
+
+def thresholds(rows: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
+    """(k, source_size, target, whole, lo), one row a source, from (source, size, h): documents are taken ``whole``
+    times, and once more those whose hash is below ``lo``."""
     goal = stash(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     goal = goal.withColumns({"k": _key(F.col("source")), "whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")})
     goal = goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).drop("source")
@@ -78,7 +84,23 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, id_col="do
         rest = F.lit(1 << BITS) if done == bits else F.col("lo")
         found = found.join(hist, "k", "left").select("k", F.coalesce(F.shiftleft(F.col("next"), BITS - done), rest.cast("long")).alias("lo"), (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
         found = stash(found, "bounds")
-    goal = goal.join(found.select("k", "lo"), "k")
-    out = rows.withColumn("k", _key(F.col("source"))).join(goal, "k")
-    out = out.withColumn("copies", F.col("whole") + F.when((F.col("h") < F.col("lo")) & (F.col("whole") < most), 1).otherwise(0))
+    return goal.join(found.select("k", "lo"), "k").select("k", "source_size", "target", "whole", "lo")
+
+
+def _copies(most: float):
+    return F.col("whole") + F.when((F.col("h") < F.col("lo")) & (F.col("whole") < most), 1).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, most: float = MOST, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document."""
+    rows = _sizes(docs, id_col, text_col, source_col)
+    out = rows.withColumn("k", _key(F.col("source"))).join(thresholds(rows, weights, most), "k").withColumn("copies", _copies(most))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Only the table of thresholds, a row a source, meets the
+    texts, so these are not joined by their ids."""
+    bounds = stash(thresholds(_sizes(docs, id_col, text_col, source_col), weights, most), "thresholds")
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), _hash(docs[id_col]).alias("h"), _key(docs[source_col].cast("string")).alias("k")).join(bounds, "k")
+    return out.select("doc", F.explode(F.array_repeat(F.lit(0), _copies(most).cast("int"))).alias("copy")).select("doc.*")

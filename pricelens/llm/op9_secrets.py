@@ -34,6 +34,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT = re.compile("[0-9]")
 #: Distinct credentials of a kind that a grammar is learnt from, at most, and at least.
 SAMPLE, LEAST = 1000, 20
+#: Rows that a redaction holds at once.
+ROWS = 500
 #: Significance of the merge test, and bits a character above ordinary text from which a candidate is a secret.
 ALPHA, MARGIN, SMOOTH = 0.05, 1.0, 1e-4
 #: Alphabet of the grammars: classes of characters with how many characters each has.
@@ -204,16 +206,22 @@ def learn(found: DataFrame, sample: int = SAMPLE) -> list[Automaton]:
     return grammars
 
 
-def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", margin: float = MARGIN) -> DataFrame:
-    """(doc_id, spans): base and grammar spans with kinds and values, ordered by start, then kind."""
-    found = stash(scan(docs, id_col, text_col), "spans")
-    grammars = learn(found)
+def _decider(grammars: list[Automaton], margin: float):
+    """Whether a candidate is a secret."""
 
     def secret(value: str) -> bool:
         word = value.translate(_CLASS_OF)
         plain = ordinary_bits(word)
         return any(g.bits(word) - plain >= margin for g in grammars)
 
+    return secret
+
+
+def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", margin: float = MARGIN) -> DataFrame:
+    """(doc_id, spans): base and grammar spans with kinds and values, ordered by start, then kind."""
+    found = stash(scan(docs, id_col, text_col), "spans")
+    secret = _decider(learn(found), margin)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [sorted((x for x in rows if x["kind"] < 3 or secret(x["value"])), key=lambda x: (x["start"], x["kind"])) for rows in batch.column(1).to_pylist()]
@@ -222,6 +230,47 @@ def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", margin: floa
     return found.mapInArrow(work, _FOUND)
 
 
+def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with each (start, end) replaced by ``mark``; of overlapping spans the later one only extends the cut."""
+    at, out = 0, []
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, mark: str, id_col="doc_id", text_col="text", length_col: str | None = "n_chars", margin: float = MARGIN) -> DataFrame:
+    """``docs`` with a mark in place of every span; a changed text's length is updated in ``length_col``.
+
+    The grammars are learnt in a first pass, then each row is scanned again where it lies: texts are not shuffled,
+    and null or repeated ids need no key."""
+    secret = _decider(learn(stash(scan(docs, id_col, text_col), "spans")), margin)
+    names = docs.columns
+    t, n = names.index(text_col), names.index(length_col) if length_col in names else None
+
+    def clean(text: str | None) -> str | None:
+        if not text:
+            return text
+        base = base_spans(text)
+        more = [(s, e) for s, e in candidates(text, base) if secret(text[s:e])]
+        return cut(text, sorted([(s, e) for s, _, e in base] + more), mark) if base or more else text
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                cols = list(part.columns)
+                old = cols[t].to_pylist()
+                new = [clean(x) for x in old]
+                cols[t] = pa.array(new, cols[t].type)
+                if n is not None:
+                    cols[n] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, cols[n].to_pylist(), strict=True)], cols[n].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def joined(spans: list[dict]) -> str:
     return ",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in spans)
 

@@ -47,3 +47,46 @@ def test_stages_keep_columns_and_empty_tables(spark):
         assert docs.count() == 0
         if k < len(cp.STAGES) - 1:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _prose(k, n=120):
+    """Text that the quality rules keep, different for each k."""
+    return " ".join(w for i in range(n // 4) for w in ("the", f"story{k}x{i}", "of", f"rivers{k * 7 + i}"))
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, extra columns with clashing names."""
+    key = ' api_key = "abcdEFGH12345678" and ' + "0af9" * 10
+    texts = [(1, _prose(1)), (1, _prose(1)), (1, _prose(2)), (None, _prose(3) + key), (None, _prose(3) + key), (4, None), (5, ""), (6, " \n\t"), (7, _prose(4, 40_000) + key), (8, _prose(5)), (9, _prose(5)), (10, "few words"), (11, key)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, copies int, h long, k string, kept boolean, spans string, size long, _id long, _doc string"
+    rows = [(i, t, None, None if n % 3 else "s", len(t or ""), "d", 9, 7, None, False, "x", n, 5, None) for n, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    show = lambda d: sorted(map(repr, d.select("doc_id", "text", "source", "size").collect()))
+    held = lambda ok: sorted(repr(r) for r in docs.select("doc_id", "text", "source", "size").collect() if ok(r))
+
+    got = cp.keep_quality(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert show(got) == held(lambda r: (r.doc_id in (1, 7, 8, 9) or r.doc_id is None) and not brute.quality(r.text)[5])
+
+    got = cp.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    ids = [r.doc_id for r in got.collect()]
+    assert sorted(ids, key=lambda i: i or 0) == [None, None, 1, 4, 5, 6, 7, 8, 10, 11]
+    assert show(got) == show(cp.drop_near_duplicates(spark, docs.repartition(5), SF))
+
+    got = cp.redact_secrets(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = []
+    for r in docs.collect():
+        cut = op9_secrets.cut(r.text, [(s, e) for s, _, e in brute.spans(r.text)], cp.MARK) if r.text else r.text
+        want.append((r["size"], cut, len(cut or "")))
+    assert sorted(got.select("size", "text", "n_chars").collect()) == sorted(want)
+    assert sum("[SECRET]" in (t or "") for _, t, _ in want) == 4 and not any("abcdEFGH" in (t or "") for _, t, _ in want)
+
+    got = cp.mix(spark, docs, SF)
+    assert got.columns == docs.columns
+    times = {(r.doc_id, r.source): r.copies for r in op7_mixing.mix_sources(docs).collect()}
+    assert show(got) == sorted(repr(r) for r in docs.select("doc_id", "text", "source", "size").collect() for _ in range(times[r.doc_id, r.source]))
+
+    got = {r.n_tokens for r in cp.encode(spark, docs, SF).where("doc_id in (4, 5, 6)").collect()}
+    assert got == {0} and cp.encode(spark, docs, SF).count() == len(rows)
