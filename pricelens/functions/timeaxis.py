@@ -63,3 +63,8 @@ def fit_day(day: Column, cadence: int) -> Column:
 def closing(commence: Column, now: Column, minutes: int = 20) -> Column:
     left = F.unix_timestamp(commence) - F.unix_timestamp(now)
     return left.between(0, minutes * 60)
+
+
+def before_kickoff(observed: Column, kickoff: Column, is_closing: Column) -> Column:
+    """Quotes from before the kick-off; a closing quote may lie at that very instant."""
+    return (observed < kickoff) | (is_closing & (observed == kickoff))

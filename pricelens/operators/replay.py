@@ -1,7 +1,9 @@
 """Leak-free replay of a strategy, and the rating strategies.
 
 A strategy is an object with ``predict(row) -> tuple of floats or None`` and ``observe(row)``. Groups are independent
-and run in parallel; within a group all decisions of a day are made before that day's results are observed."""
+and run in parallel. Within a group every match is two events, its decision at the decision instant and its result at
+the instant it is known; events run in the order of instant, kind (decisions first) and match, so a decision sees just
+the results known before it."""
 
 from __future__ import annotations
 
@@ -9,10 +11,13 @@ import math
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import timeaxis as T
+
 
 class Strategy(Protocol):
     def predict(self, row) -> tuple | None: ...
@@ -21,23 +26,33 @@ class Strategy(Protocol):
 
 
 def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str], params: list[str] = (), group: str = "grp") -> DataFrame:
-    """``matches`` with the columns ``names`` of each decision (null without one). ``make`` gets the values of the
-    ``params`` columns, which belong to the group."""
+    """``matches`` with ``decided``, whether a decision falls before the kick-off, and the columns ``names`` of each
+    decision (null without one, or if the strategy makes none). ``make`` gets the values of the ``params`` columns,
+    which belong to the group. A table without ``kickoff`` is one of unknown kick-offs."""
     keep = ["match_id", "match_date", "home", "away", "home_goals", "away_goals"]
     keys = [group, *params]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys, *keep).schema), *(f"{n} double" for n in names)])
+    kickoff = matches["kickoff"] if "kickoff" in matches.columns else F.lit(None).cast("timestamp")
+    day = matches["match_date"]
+    x = matches.select(*keys, *keep, F.unix_timestamp(kickoff).alias("_start"), F.unix_timestamp(T.decision_at(day, kickoff)).alias("_at"), F.unix_timestamp(T.result_known_at(day, kickoff)).alias("_known"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys, *keep).schema), "decided boolean", *(f"{n} double" for n in names)])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["match_date", "match_id"], kind="stable")
-        strategy, out = make(*key[1:]), []
-        for _, day in pdf.groupby("match_date", sort=False):
-            rows = list(day.itertuples(index=False))
-            out += [strategy.predict(r) or (None,) * len(names) for r in rows]
-            for r in rows:
-                strategy.observe(r)
-        return pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=float)], axis=1)[[*keys, *keep, *names]]
-
-    return matches.select(*keys, *keep).groupBy(*keys).applyInPandas(run, schema)
+        pdf = pdf.sort_values(["match_date", "_start", "match_id"], na_position="first", kind="stable").reset_index(drop=True)
+        pdf["decided"] = pdf["_at"].notna()
+        asked = np.flatnonzero(pdf["decided"])
+        at = np.concatenate((pdf["_at"].to_numpy(float)[asked], pdf["_known"].to_numpy(float)))
+        which, kind = np.concatenate((asked, np.arange(len(pdf)))), np.repeat((0, 1), (len(asked), len(pdf)))
+        rows, strategy, none = list(pdf[keep].itertuples(index=False)), make(*key[1:]), (None,) * len(names)
+        out = [none] * len(rows)
+        for e in np.lexsort((which, kind, at)).tolist():
+            i = int(which[e])
+            if kind[e]:
+                strategy.observe(rows[i])
+            else:
+                out[i] = strategy.predict(rows[i]) or none
+        return pd.concat([pdf, pd.DataFrame(out, columns=names, dtype=float)], axis=1)[[*keys, *keep, "decided", *names]]
+
+    return x.groupBy(*keys).applyInPandas(run, schema)
 
 
 class Elo:

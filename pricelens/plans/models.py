@@ -14,6 +14,7 @@ from ..operators.goals import fit_strengths, outcome_and_totals, score_cells
 from ..operators.replay import Elo, ordered_draw, quadratic_draw, replay
 from .metrics import _PROB, bootstrap_mean, scored
 from .registry import query
+from .timeaxis import kickoffs
 
 WEIGHT_LIMIT, MIN_ROWS = 5.0, 300
 
@@ -22,8 +23,14 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
+def rated(m: DataFrame, **config) -> DataFrame:
+    """Every match with its ratings at the decision instant."""
+    return replay(m, lambda: Elo(**config), ["r_home", "r_away", "expected"])
+
+
 def ratings(spark, sf, **config) -> DataFrame:
-    return replay(matches(spark, sf), lambda: Elo(**config), ["r_home", "r_away", "expected"])
+    """The matches with a forecast."""
+    return rated(kickoffs(spark, sf), **config).where("expected is not null")
 
 
 def outcome():
@@ -37,20 +44,20 @@ def loss_of(p, y=None):
 @query("m1_replay_counts")
 def replay_counts(spark, sf):
     """Decisions and rows without one, by group."""
-    x = ratings(spark, sf)
-    return x.groupBy("grp").agg(F.count("expected").alias("decisions"), F.count_if(F.col("expected").isNull()).alias("no_decision"), _r(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26))))).alias("log_loss"))
+    x = rated(kickoffs(spark, sf))
+    return x.groupBy("grp").agg(F.count_if("decided").alias("decisions"), F.count_if(~F.col("decided")).alias("no_decision"), F.count_if(F.col("decided") & F.col("expected").isNull()).alias("no_prediction"), _r(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26))))).alias("log_loss"))
 
 
 @query("m2_elo_ratings")
 def elo_ratings(spark, sf):
-    x = replay(matches(spark, sf), lambda: Elo(margin="log"), ["r_home", "r_away", "expected"])
+    x = ratings(spark, sf, margin="log")
     return x.select("match_id", "grp", _r("r_home").alias("r_home"), _r("r_away").alias("r_away"), _r("expected").alias("expected"))
 
 
 @query("m22_scaffold_rating")
 def scaffold_rating(spark, sf):
     """Unfitted ratings with a fixed draw rate, clamped and normalised."""
-    x = replay(matches(spark, sf), lambda: Elo(margin="linear", regress=0.0, newcomer=0.0), ["r_home", "r_away", "expected"])
+    x = ratings(spark, sf, margin="linear", regress=0.0, newcomer=0.0)
     raw = F.array(F.col("expected") - 0.13, F.lit(0.26), 1 - F.col("expected") - 0.13)
     p = P._multiplicative(F.transform(raw, lambda v: F.greatest(F.least(v, F.lit(0.98)), F.lit(0.01))))
     return x.withColumn("p", p).select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
@@ -232,7 +239,7 @@ def placebo(spark, sf):
 def candidate_losses(spark, sf, grid: list[dict]) -> list[float]:
     """Loss of each configuration on the seasons from 1995 to 1997: one job over candidates and groups."""
     c = spark.createDataFrame([(i, float(g["k"]), float(g["home"])) for i, g in enumerate(grid)], "candidate int, k double, edge double")
-    x = replay(matches(spark, sf).crossJoin(F.broadcast(c)), lambda _, k, e: Elo(k=k, home=e), ["r_home", "r_away", "expected"], ["candidate", "k", "edge"])
+    x = replay(kickoffs(spark, sf).crossJoin(F.broadcast(c)), lambda _, k, e: Elo(k=k, home=e), ["r_home", "r_away", "expected"], ["candidate", "k", "edge"])
     x = x.where("match_date >= date '1995-01-01' and match_date < date '1998-01-01'")
     got = {r["candidate"]: r["loss"] for r in x.groupBy("candidate").agg(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))).alias("loss")).collect()}
     return [got.get(i, float("inf")) for i in range(len(grid))]
@@ -326,6 +333,6 @@ def check_registry(spark, sf):
 def gap_penalty(spark, sf, dropped=1996):
     """Loss on the next season with one season of input missing, less the loss with all of it."""
     ll = loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))
-    m = matches(spark, sf)
-    runs = [replay(m.where(f"season <> {d}"), Elo, ["r_home", "r_away", "expected"]).where(f"year(match_date) = {dropped + 1}").groupBy("grp").agg(F.avg(ll).alias(n)) for d, n in ((dropped, "gapped"), (-1, "full"))]
+    m = kickoffs(spark, sf)
+    runs = [rated(m.where(f"season <> {d}")).where(f"year(match_date) = {dropped + 1}").groupBy("grp").agg(F.avg(ll).alias(n)) for d, n in ((dropped, "gapped"), (-1, "full"))]
     return runs[0].join(runs[1], "grp").select("grp", _r("gapped").alias("gapped"), _r("full").alias("full_loss"), _r(F.col("gapped") - F.col("full")).alias("penalty"))

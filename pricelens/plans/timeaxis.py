@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import matches
+from ..fixtures import matches, with_odds
 from ..functions import timeaxis as T
 from .registry import query
 
@@ -66,6 +66,14 @@ def closing_window(spark, sf):
     return kickoffs(spark, sf).where(T.closing(F.col("kickoff"), now)).select("match_id")
 
 
+@query("p15_before_kickoff", f"WITH {_KICK} SELECT match_id, book, phase FROM fx_odds JOIN kick USING (match_id) WHERE utc IS NOT NULL AND ((match_id * 5 + book) % 3 = 0 OR (phase = 1 AND (match_id * 5 + book) % 3 = 1))", "odds")
+def quotes_before_kickoff(spark, sf):
+    """Quotes observed ten minutes before, at, or ten minutes after the kick-off."""
+    x = with_odds(kickoffs(spark, sf))
+    observed = F.timestamp_seconds(F.unix_timestamp("kickoff") + ((F.col("match_id") * 5 + F.col("book")) % 3 - 1) * 600)
+    return x.where(T.before_kickoff(observed, F.col("kickoff"), F.col("phase") == 1)).select("match_id", "book", "phase")
+
+
 @query("m6_fit_days", "SELECT grp, (match_date - ((match_date - date '2000-01-03') % 28 + 28)::int % 28)::date::varchar AS fit_day, count(*) AS n FROM fx_match GROUP BY 1, 2", "match")
 def fit_days(spark, sf):
     return matches(spark, sf).groupBy("grp", T.fit_day(F.col("match_date"), 28).cast("string").alias("fit_day")).agg(F.count(F.lit(1)).alias("n"))

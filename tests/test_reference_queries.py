@@ -1,4 +1,6 @@
-"""Every registered query with SQL gives what its SQL gives; invariants for the others."""
+"""Every registered query with SQL gives what its SQL gives; loops and invariants for the others."""
+
+import math
 
 import duckdb
 import pytest
@@ -6,7 +8,9 @@ import pytest
 import __spark_entry__ as entry
 from pricelens import plans
 from pricelens.functions import prices as P
+from pricelens.functions import timeaxis as T
 from pricelens.plans.ledger import build_chain, lines, verify_chain
+from pricelens.plans.timeaxis import kickoffs
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +59,39 @@ def test_tampered_chain_is_found(spark):
     assert [r.first_bad for r in verify_chain(bad).where("first_bad is not null").collect()] == ["500"]
     gone = chain.where("event_id <> 321")
     assert [r.first_bad for r in verify_chain(gone).where("first_bad is not null").collect()] == ["322"]
+
+
+def test_ratings_equal_a_loop_over_events(spark):
+    """Decisions see just the results known before them, in the order of instants; ratings from first principles."""
+    at = lambda c: F.unix_timestamp(c)
+    day, kick = F.col("match_date"), F.col("kickoff")
+    rows = [r.asDict() for r in kickoffs(spark, SF).withColumns({"start": at("kickoff"), "asked": at(T.decision_at(day, kick)), "known": at(T.result_known_at(day, kick))}).collect()]
+    want, blind = {}, 0
+    for g in {r["grp"] for r in rows}:
+        mine = sorted((r for r in rows if r["grp"] == g), key=lambda r: (r["match_date"], r["start"] if r["start"] is not None else -math.inf, r["match_id"]))
+        events = sorted([(r["asked"], 0, i) for i, r in enumerate(mine) if r["asked"] is not None] + [(r["known"], 1, i) for i, r in enumerate(mine)])
+        rating, last = {}, {}
+
+        def now(team, day, rating=rating, last=last):
+            mean = sum(rating.values()) / len(rating) if rating else 1500.0
+            if team not in rating:
+                return mean - 50.0
+            return rating[team] + (0.2 * (mean - rating[team]) if (day - last[team]).days > 60 else 0.0)
+
+        for _, kind, i in events:
+            r = mine[i]
+            h, a = now(r["home"], r["match_date"]), now(r["away"], r["match_date"])
+            e = 1 / (1 + 10 ** ((a - h - 60.0) / 400))
+            if kind == 0:
+                want[r["match_id"]] = (h, a, e)
+                blind += any(x["match_date"] < r["match_date"] and x["known"] > r["asked"] for x in mine)
+                continue
+            gap = r["home_goals"] - r["away_goals"]
+            move = 20.0 * (1 + math.log(max(abs(gap), 1))) * ((gap > 0) + 0.5 * (gap == 0) - e)
+            rating[r["home"]], rating[r["away"]] = h + move, a - move
+            last[r["home"]] = last[r["away"]] = r["match_date"]
+    got = {r.match_id: (r.r_home, r.r_away, r.expected) for r in plans.queries()["m2_elo_ratings"](spark, SF).collect()}
+    assert blind and got.keys() == want.keys() and len(got) < len(rows)
+    assert all(abs(x - y) < 2e-6 for k, v in want.items() for x, y in zip(v, got[k], strict=True))
+    counts = plans.queries()["m1_replay_counts"](spark, SF).agg(F.sum("decisions"), F.sum("no_decision"), F.sum("no_prediction")).first()
+    assert tuple(counts) == (len(want), len(rows) - len(want), 0)
