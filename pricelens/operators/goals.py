@@ -71,6 +71,8 @@ def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, wi
         attack, defence, edge, rho = found
         return pd.DataFrame({"grp": key[0], "fit_day": key[1], "team": teams, "attack": attack, "defence": defence, "edge": edge, "rho": rho})[cols]
 
+    # Small rows, dear fits: without a number of its own, adaptive execution would put them into one task.
+    rows = rows.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, "grp", "fit_day")
     return rows.groupBy("grp", "fit_day").applyInPandas(fit, "grp int, fit_day date, team long, attack double, defence double, edge double, rho double")
 
 

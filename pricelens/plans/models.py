@@ -16,7 +16,7 @@ from .metrics import _PROB, bootstrap_mean, scored
 from .registry import query
 from .timeaxis import kickoffs
 
-WEIGHT_LIMIT, MIN_ROWS = 5.0, 300
+WEIGHT_LIMIT, MIN_ROWS, CADENCE = 5.0, 300, 1
 
 
 def _r(c, n=6):
@@ -94,8 +94,9 @@ def draw_fit(spark, sf):
 
 
 def strengths(spark, sf) -> DataFrame:
+    """Fits on every day with a decision."""
     m = matches(spark, sf)
-    days = m.select("grp", T.fit_day(F.col("match_date"), 364).alias("fit_day")).distinct()
+    days = m.select("grp", T.fit_day(T.decision_day(F.col("match_date")), CADENCE).alias("fit_day")).distinct()
     return fit_strengths(m.withColumn("grp", F.col("grp").cast("int")), days.withColumn("grp", F.col("grp").cast("int")))
 
 

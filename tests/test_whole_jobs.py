@@ -2,10 +2,12 @@
 
 import hashlib
 from collections import defaultdict
+from datetime import timedelta
 
 import numpy as np
 
 from pricelens import plans
+from pricelens.fixtures import matches
 from pricelens.functions import scores as S
 from pricelens.plans.metrics import _SEED, closing_losses
 
@@ -32,3 +34,14 @@ def test_interval_of_a_mean_rests_on_2000_draws(spark):
 
 def test_interval_of_a_slope_rests_on_2000_draws(spark):
     assert {r.draws for r in plans.queries()["a9_slope_interval"](spark, SF).collect()} == {2000}
+
+
+def test_goal_models_are_fitted_on_every_decision_day(spark):
+    days = defaultdict(list)
+    for r in matches(spark, SF).select("grp", "match_date").collect():
+        days[r.grp].append(r.match_date)
+    # Friday to Monday belong to the Friday, other days to the Tuesday.
+    decided = {(g, d - timedelta((d.weekday() - (1 if 1 <= d.weekday() <= 3 else 4)) % 7)) for g, ds in days.items() for d in ds}
+    enough = {(g, d) for g, d in decided if sum(1 <= (d - x).days <= 1095 for x in days[g]) >= 30}
+    got = {(r.grp, r.fit_day) for r in plans.queries()["m5_goal_model_fit"](spark, SF).collect()}
+    assert got <= enough and len(got) > 0.95 * len(enough)
