@@ -89,9 +89,19 @@ def official_links(spark, sf):
 
 @query("w2_latest_before", "SELECT match_id, official FROM (SELECT m.match_id, x.event_id AS official, row_number() OVER (PARTITION BY m.match_id ORDER BY x.s DESC, x.event_id DESC) AS k FROM (SELECT match_id, grp, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match WHERE match_id % 20 = 0) m JOIN (SELECT event_id, user_id, floor(epoch(ts))::bigint AS s FROM events) x ON x.user_id % 25 = m.grp AND x.s < m.s) t WHERE k = 1", "match")
 def latest_before(spark, sf):
+    """The slice of matches that the SQL has; ``w2_latest_before_whole`` has all."""
+    return last_event(matches(spark, sf).where("match_id % 20 = 0"), table(spark, sf, "events"))
+
+
+@query("w2_latest_before_whole")
+def latest_before_whole(spark, sf):
+    return last_event(matches(spark, sf), table(spark, sf, "events"))
+
+
+def last_event(m, events):
     """The last event of the group strictly before an instant; both sides are united in one window, not joined."""
-    m = matches(spark, sf).where("match_id % 20 = 0").select(F.col("grp").cast("long").alias("g"), (F.lit(1704067200) + (F.col("match_id") * 977) % 2592000).alias("s"), F.lit(0).alias("side"), F.col("match_id").alias("match_id"), F.lit(None).cast("long").alias("event_id"))
-    e = table(spark, sf, "events").select((F.col("user_id") % 25).alias("g"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("match_id"), "event_id")
+    m = m.select(F.col("grp").cast("long").alias("g"), (F.lit(1704067200) + (F.col("match_id") * 977) % 2592000).alias("s"), F.lit(0).alias("side"), F.col("match_id").alias("match_id"), F.lit(None).cast("long").alias("event_id"))
+    e = events.select((F.col("user_id") % 25).alias("g"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("match_id"), "event_id")
     w = Window.partitionBy("g").orderBy("s", "side", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     x = m.unionByName(e).withColumn("official", F.last("event_id", ignorenulls=True).over(w))
     return x.where("match_id is not null and official is not null").select("match_id", "official")

@@ -37,10 +37,29 @@ def mention_counts(spark, sf):
 c AS (SELECT doc_id, match_id, match_date, count(*) AS hits FROM mention m JOIN fx ON fx.team = m.team AND fx.match_date > m.day AND fx.match_date <= m.day + 8 GROUP BY 1, 2, 3)
 SELECT doc_id, match_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, match_date, match_id) AS k FROM c) t WHERE k <= 6""", "match")
 def candidate_fixtures(spark, sf):
-    """Fixtures of mentioned teams in the eight days after an item: days are spread out, so the range is an equi-join."""
-    fx = matches(spark, sf).where("match_id % 10 = 0").select("match_id", "match_date", F.explode(F.array("home", "away")).alias("team"))
-    m = mentions(spark, sf).withColumn("match_date", F.explode(F.transform(F.sequence(F.lit(1), F.lit(HORIZON)), lambda i: F.date_add(F.col("day"), i))))
-    c = m.join(fx, ["team", "match_date"]).groupBy("doc_id", "match_id", "match_date").agg(F.count(F.lit(1)).alias("hits"))
+    """The slice of fixtures that the SQL has; ``j9_candidate_fixtures_whole`` ranks all."""
+    return next_fixtures(mentions(spark, sf), matches(spark, sf).where("match_id % 10 = 0"))
+
+
+@query("j9_candidate_fixtures_whole")
+def candidate_fixtures_whole(spark, sf):
+    return next_fixtures(mentions(spark, sf), matches(spark, sf))
+
+
+def next_fixtures(mentioned, fixtures):
+    """Fixtures of mentioned teams in the eight days after an item: days are spread out, so the range is an equi-join.
+
+    A fixture has two hits if both its teams are mentioned. An item's first six are among the first six of each day
+    and pair of mentioned teams and the first six of each day and mentioned team, so no more than those are joined."""
+    day = Window.partitionBy("match_date", "key").orderBy("match_id")
+    home, away = F.col("home"), F.col("away")
+    keys = F.array_distinct(F.array(F.array(home), F.array(away), F.array_sort(F.array(home, away))))
+    fx = fixtures.select("match_id", "match_date", F.array_distinct(F.array(home, away)).alias("sides"), F.explode(keys).alias("key"))
+    fx = fx.withColumn("k", F.row_number().over(day)).where(F.col("k") <= MOST_FIXTURES).drop("k")
+    m = mentioned.groupBy("doc_id", "day").agg(F.array_sort(F.collect_set("team")).alias("teams"))
+    pairs = F.flatten(F.transform("teams", lambda a: F.transform(F.filter("teams", lambda b: b >= a), lambda b: F.array_distinct(F.array(a, b)))))
+    m = m.select("*", F.explode(pairs).alias("key")).withColumn("match_date", F.explode(F.transform(F.sequence(F.lit(1), F.lit(HORIZON)), lambda i: F.date_add(F.col("day"), i))))
+    c = m.join(fx, ["key", "match_date"]).select("doc_id", "match_id", "match_date", F.size(F.array_intersect("teams", "sides")).cast("long").alias("hits")).distinct()
     w = Window.partitionBy("doc_id").orderBy(F.desc("hits"), "match_date", "match_id")
     return c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_FIXTURES).select("doc_id", "match_id", "hits")
 

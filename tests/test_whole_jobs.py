@@ -10,6 +10,8 @@ from pricelens import plans
 from pricelens.fixtures import matches
 from pricelens.functions import scores as S
 from pricelens.plans.metrics import _SEED, closing_losses
+from pricelens.plans.news import mentions
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +47,23 @@ def test_goal_models_are_fitted_on_every_decision_day(spark):
     enough = {(g, d) for g, d in decided if sum(1 <= (d - x).days <= 1095 for x in days[g]) >= 30}
     got = {(r.grp, r.fit_day) for r in plans.queries()["m5_goal_model_fit"](spark, SF).collect()}
     assert got <= enough and len(got) > 0.95 * len(enough)
+
+
+def test_every_match_gets_its_latest_event(spark):
+    events, want = defaultdict(list), {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s")).collect():
+        events[r.user_id % 25].append((r.s, r.event_id))
+    for r in matches(spark, SF).select("match_id", "grp").collect():
+        if past := [e for e in events[r.grp] if e[0] < 1704067200 + r.match_id * 977 % 2592000]:
+            want[r.match_id] = max(past)[1]
+    assert dict(map(tuple, plans.queries()["w2_latest_before_whole"](spark, SF).collect())) == want and any(k % 20 for k in want)
+
+
+def test_all_fixtures_are_candidates(spark):
+    fx, teams, want = matches(spark, SF).select("match_id", "match_date", "home", "away").collect(), defaultdict(set), set()
+    for r in mentions(spark, SF).collect():
+        teams[r.doc_id, r.day].add(r.team)
+    for (doc, day), mine in teams.items():
+        found = [(-len(mine & {r.home, r.away}), r.match_date, r.match_id) for r in fx if 1 <= (r.match_date - day).days <= 8 and mine & {r.home, r.away}]
+        want |= {(doc, i, -n) for n, _, i in sorted(found)[:6]}
+    assert set(map(tuple, plans.queries()["j9_candidate_fixtures_whole"](spark, SF).collect())) == want
