@@ -160,8 +160,19 @@ OUTCOMES = ("asked", "no_news", "stale", "deferred", "error", "budget", "outage"
 
 @query("n10_final_status", f"SELECT user_id, list_extract({list(OUTCOMES)!r}, min(place)::int) AS status FROM (SELECT user_id, 1 + (event_id * 5 + length(event_type)) % 8 AS place FROM events WHERE event_id % 7 = 0) t GROUP BY 1")
 def final_status(spark, sf):
+    """The slice of events that the SQL has; ``n10_final_status_whole`` reads all."""
+    return first_status(table(spark, sf, "events").where("event_id % 7 = 0"), F.col("event_id") * 5 + F.length("event_type"))
+
+
+@query("n10_final_status_whole")
+def final_status_whole(spark, sf):
+    """All events; the status follows from user and event type."""
+    return first_status(table(spark, sf, "events"), F.col("user_id") * 5 + F.length("event_type"))
+
+
+def first_status(events, place):
     order = F.array(*map(F.lit, OUTCOMES))
-    x = table(spark, sf, "events").where("event_id % 7 = 0").withColumn("status", F.get(order, ((F.col("event_id") * 5 + F.length("event_type")) % 8).cast("int")))
+    x = events.withColumn("status", F.get(order, (place % 8).cast("int")))
     return x.groupBy("user_id").agg(F.min(F.array_position(order, F.col("status"))).alias("k")).select("user_id", F.element_at(order, F.col("k").cast("int")).alias("status"))
 
 

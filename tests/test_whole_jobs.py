@@ -10,7 +10,7 @@ from pricelens import plans
 from pricelens.fixtures import matches
 from pricelens.functions import scores as S
 from pricelens.plans.metrics import _SEED, closing_losses
-from pricelens.plans.news import mentions
+from pricelens.plans.news import OUTCOMES, mentions
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,14 @@ def test_all_fixtures_are_candidates(spark):
         found = [(-len(mine & {r.home, r.away}), r.match_date, r.match_id) for r in fx if 1 <= (r.match_date - day).days <= 8 and mine & {r.home, r.away}]
         want |= {(doc, i, -n) for n, _, i in sorted(found)[:6]}
     assert set(map(tuple, plans.queries()["j9_candidate_fixtures_whole"](spark, SF).collect())) == want
+
+
+def test_openings_and_statuses_read_all_events(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", F.to_date(F.col("ts").cast("timestamp")).alias("day")).collect()
+    phases, places = defaultdict(list), defaultdict(list)
+    for r in events:
+        phases[f"{r.user_id}|{r.day}"].append(r.event_type)
+        places[r.user_id].append((r.user_id * 5 + len(r.event_type)) % 8)
+    got = {r.phase: (r.openings, r.verdict) for r in plans.queries()["q10_single_opening_whole"](spark, SF).collect()}
+    assert got == {k: (len(v), "rerun" if v == ["error"] else "refused") for k, v in phases.items()} and len({v for _, v in got.values()}) == 2
+    assert dict(map(tuple, plans.queries()["n10_final_status_whole"](spark, SF).collect())) == {k: OUTCOMES[min(v)] for k, v in places.items()}
