@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..fixtures import matches, table
 from .registry import query
 
-SEGMENT = 1000
+#: Rows of a segment, levels of segment heads above the rows, and where a new ledger starts.
+SEGMENT, LEVELS, GENESIS = 1000, 2, "0" * 64
 _LINE = "concat_ws('|', event_id::varchar, user_id::varchar, event_type, printf('%.2f', value))"
 
 
@@ -20,28 +21,66 @@ def lines(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", "user_id", F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type", F.format_string("%.2f", "value")).alias("line"))
 
 
-def build_chain(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(event_id, prev_hash, row_hash, seg): id ranges are chained in parallel, each from its own number; their heads
-    can be chained again, so no task holds the whole ledger."""
+def build_chain(rows: DataFrame, segment: int = SEGMENT, start: str = GENESIS) -> DataFrame:
+    """(level, event_id, line, prev_hash, row_hash, seg): id ranges of rows (level 0) are chained in parallel, each from
+    its own number. A segment's id, head and row count are a row of the next level, chained in the same way, so no task
+    holds the whole ledger; the last level is one chain that resumes from a known head ``start``."""
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("event_id")
-        prev, hashes, prevs = f"segment {pdf['seg'].iloc[0]}", [], []
+        prev, hashes, prevs = pdf["start"].iloc[0], [], []
         for line in pdf["line"]:
             prevs.append(prev)
             prev = hashlib.sha256((prev + line).encode()).hexdigest()
             hashes.append(prev)
-        return pdf.assign(prev_hash=prevs, row_hash=hashes)[["event_id", "line", "prev_hash", "row_hash", "seg"]]
-
-    return rows.withColumn("seg", F.floor(F.col("event_id") / segment)).groupBy("seg").applyInPandas(chain, "event_id long, line string, prev_hash string, row_hash string, seg long")
-
-
-def verify_chain(chain: DataFrame) -> DataFrame:
-    """(seg, rows, first_bad): recomputes every row's hash and its link within its segment, all in parallel."""
-    w = Window.partitionBy("seg").orderBy("event_id")
-    before = F.coalesce(F.lag("row_hash").over(w), F.concat(F.lit("segment "), F.col("seg").cast("string")))
-    ok = (F.col("prev_hash") == before) & (F.sha2(F.concat("prev_hash", "line"), 256) == F.col("row_hash"))
-    return chain.withColumn("ok", ok).groupBy("seg").agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.when(~F.col("ok"), F.col("event_id"))).cast("string").alias("first_bad"))
+        return pdf.assign(prev_hash=prevs, row_hash=hashes)[["level", "event_id", "line", "prev_hash", "row_hash", "seg"]]
+
+    out, x = None, rows.select("event_id", "line")
+    for level in range(LEVELS + 1):
+        top = level == LEVELS
+        x = x.withColumns({"level": F.lit(level), "seg": F.lit(0).cast("long") if top else F.floor(F.col("event_id") / segment)})
+        x = x.withColumn("start", F.lit(start) if top else F.concat(F.lit("segment "), F.col("seg").cast("string")))
+        x = x.groupBy("seg").applyInPandas(chain, "level int, event_id long, line string, prev_hash string, row_hash string, seg long")
+        out = x if out is None else out.unionByName(x)
+        x = heads(x).select(F.col("seg").alias("event_id"), "line")
+    return out
+
+
+def heads(chain: DataFrame) -> DataFrame:
+    """(level, seg, line): each segment's row in the next level."""
+    x = chain.groupBy("level", "seg").agg(F.max_by("row_hash", "event_id").alias("h"), F.count(F.lit(1)).alias("n"))
+    return x.select("level", "seg", F.concat_ws("|", F.col("seg").cast("string"), "h", F.col("n").cast("string")).alias("line"))
+
+
+def ledger_top(chain: DataFrame) -> str | None:
+    """The head that stands for the whole ledger."""
+    return chain.where(F.col("level") == LEVELS).agg(F.max_by("row_hash", "event_id")).first()[0]
+
+
+def verify_chain(chain: DataFrame, segment: int = SEGMENT, start: str = GENESIS, head: str | None = None) -> DataFrame:
+    """(seg, n_rows, first_bad): recomputes every row's hash and its link within its segment, all in parallel, and joins
+    every segment's tail and row count with its row in the next level. ``first_bad`` is the first bad row's id, else
+    'tail' or 'missing' for a segment that isn't the one recorded, else 'link' for a fault in the levels above it.
+    Only a known ``head`` shows that the ledger's end is gone with its rows in all levels: then seg -1 is 'head'."""
+    w = Window.partitionBy("level", "seg").orderBy("event_id")
+    first = F.when(F.col("level") == LEVELS, F.lit(start)).otherwise(F.concat(F.lit("segment "), F.col("seg").cast("string")))
+    ok = (F.col("prev_hash") == F.coalesce(F.lag("row_hash").over(w), first)) & (F.sha2(F.concat("prev_hash", "line"), 256) == F.col("row_hash"))
+    bad = F.min(F.when(~F.col("ok"), F.col("event_id"))).cast("string")
+    x = chain.withColumn("ok", ok)
+    found = x.groupBy("level", "seg").agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("bad"))
+    above = chain.where("level > 0").select((F.col("level") - 1).alias("level"), F.col("event_id").alias("seg"), F.col("line").alias("recorded"))
+    below = heads(chain).where(F.col("level") < LEVELS)
+    tails = below.join(above, ["level", "seg"], "full").select("level", "seg", F.when(F.col("line").isNull(), "missing").when(F.col("recorded").isNull() | (F.col("line") != F.col("recorded")), "tail").alias("tail"))
+    x = found.join(tails, ["level", "seg"], "full").withColumn("bad", F.coalesce("bad", "tail")).persist()
+    out = x.where("level = 0")
+    for level in range(1, LEVELS + 1):
+        up = F.lit(0) if level == LEVELS else F.floor(F.col("seg") / segment**level)
+        faults = x.where((F.col("level") == level) & F.col("bad").isNotNull()).select(F.col("seg").cast("long").alias("_up"), F.lit("link").alias("_link"))
+        out = out.withColumn("_up", up.cast("long")).join(faults, "_up", "left").withColumn("bad", F.coalesce("bad", "_link")).drop("_up", "_link")
+    out = out.select("seg", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.col("bad").alias("first_bad"))
+    if head is not None and ledger_top(chain) != head:
+        out = out.unionByName(chain.sparkSession.createDataFrame([(-1, 0, "head")], "seg long, n_rows long, first_bad string"))
+    return out
 
 
 @query("h1_row_hash", f"SELECT event_id, sha256({_LINE}) AS row_hash FROM events")
@@ -51,7 +90,7 @@ def row_hash(spark, sf):
 
 @query("h2_chain_build")
 def chain_build(spark, sf):
-    return build_chain(lines(spark, sf)).select("event_id", "seg", "prev_hash", "row_hash")
+    return build_chain(lines(spark, sf)).select("level", "event_id", "seg", "prev_hash", "row_hash")
 
 
 @query("h3_chain_verify", f"SELECT event_id // {SEGMENT} AS seg, count(*) AS n_rows, NULL::varchar AS first_bad FROM events GROUP BY 1")

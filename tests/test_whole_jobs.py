@@ -9,6 +9,7 @@ import numpy as np
 from pricelens import plans
 from pricelens.fixtures import matches
 from pricelens.functions import scores as S
+from pricelens.plans.ledger import build_chain, ledger_top, verify_chain
 from pricelens.plans.metrics import _SEED, closing_losses
 from pricelens.plans.news import OUTCOMES, mentions
 from pyspark.sql import functions as F
@@ -78,3 +79,19 @@ def test_openings_and_statuses_read_all_events(spark):
     got = {r.phase: (r.openings, r.verdict) for r in plans.queries()["q10_single_opening_whole"](spark, SF).collect()}
     assert got == {k: (len(v), "rerun" if v == ["error"] else "refused") for k, v in phases.items()} and len({v for _, v in got.values()}) == 2
     assert dict(map(tuple, plans.queries()["n10_final_status_whole"](spark, SF).collect())) == {k: OUTCOMES[min(v)] for k, v in places.items()}
+
+
+def test_cut_and_rebuilt_segments_are_found(spark):
+    rows = spark.range(100).select(F.col("id").alias("event_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("line"))
+    chain = build_chain(rows, 10).persist()
+    top, low = ledger_top(chain), F.col("level") == 0
+    bad = lambda c, **k: {(r.seg, r.first_bad) for r in verify_chain(c, 10, **k).where("first_bad is not null").collect()}
+    assert bad(chain, head=top) == set()
+    assert bad(chain.where(~(low & (F.col("event_id") == 39)))) == {(3, "tail")}
+    assert bad(chain.where(~(low & (F.col("seg") == 9)))) == {(9, "missing")}
+    other = build_chain(rows.withColumn("line", F.concat("line", F.lit("!"))), 10)
+    rebuilt = chain.where(~(low & (F.col("seg") == 4))).unionByName(other.where(low & (F.col("seg") == 4)))
+    assert bad(rebuilt) == {(4, "tail")}
+    assert bad(build_chain(rows.where("event_id < 90"), 10), head=top) == {(-1, "head")}
+    assert ledger_top(build_chain(rows, 10, start=top)) != top
+    assert {s for s, _ in bad(build_chain(rows, 10, start=top))} == set(range(10))
