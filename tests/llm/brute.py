@@ -78,35 +78,64 @@ def lm_base(rows):
     return {i: (len(ts), sum(c[x] > 0 for x in ts), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in ts)) for i, ts in toks.items()}
 
 
-def kneser_ney(rows):
-    """{id: log10 probability}: interpolated modified Kneser-Ney of order two."""
-    toks = {i: [*WORD.findall(low(t)), None] for i, t in rows}
-    pair = Counter()
-    for i, ts in toks.items():
-        if crc(i, 7) != 2:
+def discounts(counts):
+    n = [0, *(sum(c == k for c in counts) for k in (1, 2, 3, 4))]
+    if min(n[1:4]) <= 0:
+        return [0, 0.5, 0.75, 0.9]
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+    return [min(max(x, lo), hi) for x, lo, hi in zip(d, (0, 0.1, 0.2, 0.3), (0, 0.95, 1.9, 2.85), strict=True)]
+
+
+def kneser_ney(texts, order=3, below=None):
+    """Interpolated modified Kneser-Ney: a function from tokens to their probabilities. Trigrams and what follows a
+    text's start have their counts; other pairs count the distinct words before them, words likewise."""
+    tri, pair = Counter(), Counter()
+    for ts in texts:
+        if order == 3:
+            tri.update(zip(["<s>", *ts], ts, ts[1:], strict=False))
+            pair["<s>", ts[0]] += 1
+        else:
             pair.update(zip(["<s>", *ts], ts, strict=False))
-    words = {w for _, w in pair}
-
-    def discounts(counts):
-        n = [0, *(sum(c == k for c in counts) for k in (1, 2, 3, 4))]
-        if min(n[1:4]) <= 0:
-            return [0, 0.5, 0.75, 0.9]
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
-        return [min(max(x, lo), hi) for x, lo, hi in zip(d, (0, 0.1, 0.2, 0.3), (0, 0.95, 1.9, 2.85), strict=True)]
-
-    cont, ctx, after = Counter(w for _, w in pair), Counter(), {}
-    for (v, _), c in pair.items():
-        ctx[v] += c
-        after.setdefault(v, Counter())[min(c, 3)] += 1
-    d2, d1, total = discounts(pair.values()), discounts(cont.values()), sum(cont.values())
-    held = sum(d1[min(c, 3)] for c in cont.values()) / max(total, 1)
-    uni = lambda w: (((cont[w] - d1[min(cont[w], 3)]) / total + held / (len(words) + 1)) if total else 1 / (len(words) + 1))
-
-    def p(v, w):
-        if not ctx[v]:
-            return uni(w)
-        c = pair[v, w]
-        return (c - d2[min(c, 3)]) / ctx[v] + sum(d2[k] * n for k, n in after[v].items()) / ctx[v] * uni(w)
-
-    return {i: sum(math.log10(p(v, w)) for v, w in zip(["<s>", *ts], ts, strict=False)) for i, ts in toks.items()}
+    for _, v, w in tri:
+        pair[v, w] += 1
+    cont = Counter(w for _, w in pair)
+
+    def followed(grams):
+        total, few = Counter(), {}
+        for g, c in grams.items():
+            total[g[:-1]] += c
+            few.setdefault(g[:-1], Counter())[min(c, 3)] += 1
+        d = discounts(grams.values())
+
+        def level(g, low):
+            ctx, c = g[:-1], grams[g]
+            return (c - d[min(c, 3)]) / total[ctx] + sum(d[k] * n for k, n in few[ctx].items()) / total[ctx] * low if total[ctx] else low
+
+        return level
+
+    d1, total = discounts(cont.values()), sum(cont.values())
+    held = sum(d1[min(c, 3)] for c in cont.values()) / total if total else 1.0
+    second, third = followed(pair), followed(tri)
+
+    def p(ts):
+        out, u, v = [], None, "<s>"
+        for w in ts:
+            low = below(w) if below else 1 / (len(cont) + 1)
+            low = second((v, w), (cont[w] - d1[min(cont[w], 3)]) / total + held * low if total else low)
+            out.append(third((u, v, w), low) if order == 3 and u is not None else low)
+            u, v = v, w
+        return out
+
+    return p
+
+
+def tokens_of(t):
+    return [*WORD.findall(low(t)), None]
+
+
+def lm_scores(rows, order=3):
+    """{id: log10 probability} of (id, text) rows."""
+    toks = {i: tokens_of(t) for i, t in rows}
+    p = kneser_ney([ts for i, ts in toks.items() if crc(i, 7) != 2], order)
+    return {i: sum(map(math.log10, p(ts))) for i, ts in toks.items()}

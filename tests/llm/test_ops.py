@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.llm import op1_bpe, op2_quality, op3_chat, op4_minhash, op5_vectors, op6_urls, op7_mixing, op8_toxicity, op9_secrets, op10_lm, queries
+from pricelens.llm import kneser_ney, op1_bpe, op2_quality, op3_chat, op4_minhash, op5_vectors, op6_urls, op7_mixing, op8_toxicity, op9_secrets, op10_lm, queries
 
 from . import brute
 
@@ -213,19 +214,45 @@ def test_automaton_learns_format():
     assert g.bits("dh" * 20) > g.bits("dl" * 20) + 1
 
 
-def test_language_model_equals_brute_force(spark, corpus):
-    rows = [*enumerate(ODD), *((1000 + i, t) for i, t in corpus)]
-    got = {r.doc_id: r for r in op10_lm.lm_scores(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
-    base, full = brute.lm_base(rows), brute.kneser_ney(rows)
+@pytest.mark.parametrize("order, entries", [(3, kneser_ney.RANGE), (3, 400), (2, 5000)])
+def test_language_model_equals_brute_force(spark, corpus, order, entries, monkeypatch):
+    """Also with ranges so small that followers of common pairs are dealt over several."""
+    monkeypatch.setattr(op10_lm, "train", functools.partial(kneser_ney.train, entries=entries))
+    rows = [*enumerate(ODD), *((1000 + i, t) for i, t in corpus), (5000, "long " + " ".join(t for _, t in corpus[:100])), (5001, corpus[0][1]), (5002, corpus[0][1])]
+    got = {r.doc_id: r for r in op10_lm.lm_scores(docs(spark, [t for _, t in rows], [i for i, _ in rows]), order=order).collect()}
+    base, full = brute.lm_base(rows), brute.lm_scores(rows, order)
     for i, _ in rows:
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == base[i][:3] and r.held_out == (brute.crc(i, 7) == 2)
         assert math.isclose(r.base_score, base[i][3], rel_tol=1e-9) and math.isclose(r.score, full[i], rel_tol=1e-7), i
     held = [i for i, _ in rows if got[i].held_out and got[i].n_tokens > 20]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+
+
+def test_language_model_odd_tables(spark):
     none = op10_lm.lm_scores(docs(spark, ["a b"], [next(i for i in range(99) if brute.crc(i, 7) == 2)])).collect()
     assert none[0].base_score == none[0].score == 0.0
     assert op10_lm.lm_scores(docs(spark, [])).count() == 0
+    n = 10 + (brute.crc(1, 7) != 2)
+    twice = op10_lm.lm_scores(spark.createDataFrame([(None, "a b a b"), (None, "a b a b"), (1, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in twice) == [(0, 5, n), (0, 5, n), (1, 1, n)]
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs(spark, ["a"]), order=4)
+
+
+def test_model_probabilities_sum_to_one(spark, corpus):
+    """Over all words and one unseen one, after any two words."""
+    texts = [" ".join(brute.WORD.findall(t)[:40]) for _, t in corpus[:40]]
+    model = kneser_ney.train(docs(spark, texts), entries=100)
+    words = sorted({w for t in texts for w in brute.tokens_of(t) if w})
+    for head in ("", f"{words[0]} ", " ".join(texts[0].split()[:2]) + " ", "unseen " + texts[1].split()[0] + " "):
+        total = 0.0
+        for w in [*words, "never-seen", None]:
+            text = head + (w or "")
+            data = np.frombuffer(text.encode(), np.uint8)
+            h, at = kneser_ney.tokens(data, np.array([0, len(data)]))
+            total += model.levels(h, at)[1][len(head.split())]
+        assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
 def test_columns_by_name(spark):
