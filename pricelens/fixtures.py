@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MATCH_SQL = """fx_match as (
+MATCH_SQL = """fx_match as materialized (
   select o_orderkey as match_id, concat('L', cast(c_nationkey % 5 as int)) as league, c_nationkey as grp,
          cast(o_orderdate as date) as match_date, cast(year(o_orderdate) as int) as season,
          c_custkey % 12 as home, (c_custkey % 12 + 1 + o_orderkey % 11) % 12 as away,
@@ -31,7 +31,7 @@ _ODDS = """
     select cast(2 + (m.match_id * 2 + b.book) % 7 as double) wh, cast(1 + (m.match_id * 3 + p.phase) % 5 as double) wd,
            cast(1 + (m.match_id * 5 + b.book + p.phase) % 6 as double) wa,
            case when m.match_id % 50 = 0 then 0.98E0 else 1.02E0 + 0.01E0 * b.book end margin) w"""
-ODDS_SQL = f"{MATCH_SQL},\nfx_odds as ({_ODDS})"
+ODDS_SQL = f"{MATCH_SQL},\nfx_odds as materialized ({_ODDS})"
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

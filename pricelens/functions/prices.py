@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METHODS = ("multiplicative", "power", "shin")
@@ -10,6 +10,8 @@ EVEN = 1e-12
 FLOOR = 1e-15
 STEPS = 14
 SHIN_STEPS = 8
+#: How far from 1 the probabilities of a solver that has settled may sum.
+SETTLED = 1e-9
 
 
 def let(value: Column, body) -> Column:
@@ -40,11 +42,16 @@ def _multiplicative(q: Column) -> Column:
     return let(total(q), lambda s: F.transform(q, lambda x: x / s))
 
 
+def settled(p: Column) -> Column:
+    """Probabilities that sum to 1; null for those of a solver that didn't settle."""
+    return F.when(F.abs(total(p) - 1.0) <= SETTLED, p)
+
+
 def _power(q: Column) -> Column:
     """Exponent with sum q^k = 1 by Newton steps from 1: the sum is convex and falls in k, so steps never pass it."""
     step = lambda k, _: k - (total(F.transform(q, lambda x: F.pow(x, k))) - 1.0) / total(F.transform(q, lambda x: F.pow(x, k) * F.log(x)))
     k = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(1.0), step)
-    return let(k, lambda e: F.transform(q, lambda x: F.pow(x, e)))
+    return let(let(k, lambda e: F.transform(q, lambda x: F.pow(x, e))), settled)
 
 
 def shin_probability(q: Column, z: Column, book: Column) -> Column:
@@ -62,7 +69,7 @@ def _shin(q: Column) -> Column:
 
         z = F.aggregate(F.sequence(F.lit(1), F.lit(SHIN_STEPS)), F.lit(0.0), step)
         fair = lambda v: F.when((v >= 0) & (v < 0.5), F.transform(q, lambda x: shin_probability(x, v, book)))
-        return let(z, fair)
+        return let(let(z, fair), settled)
 
     return let(total(q), solved)
 
@@ -75,6 +82,47 @@ def devig(prices: Column, method: str) -> Column:
     return let(inverses(complete(prices)), lambda q: let(total(q) - 1.0, lambda m: F.when(F.abs(m) <= EVEN, q).when(m > 0, rule(q))))
 
 
+def priced(x: DataFrame, names=("h", "d", "a")) -> DataFrame:
+    """Rows with all three prices above 1 and no negative margin, as plain conditions on the price columns."""
+    ok = [F.col(n).isNotNull() & ~F.isnan(n) & (F.col(n) > 1) & (F.col(n) < float("inf")) for n in names]
+    return x.where(ok[0] & ok[1] & ok[2] & (1.0 / F.col(names[0]) + 1.0 / F.col(names[1]) + 1.0 / F.col(names[2]) >= 1.0 - EVEN))
+
+
+def with_fair(x: DataFrame, method: str, names=("h", "d", "a"), out: str = "p") -> DataFrame:
+    """Three-way ``devig`` of price columns as an array column; null where the solver doesn't settle.
+
+    Each step is a projection of its own over plain columns, so a row's solver is compiled once and nothing is nested
+    or repeated. Filter the rows by ``priced`` before, not by the result after."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    keep, q, e = x.columns, [f"_q{i}" for i in range(3)], [f"_e{i}" for i in range(3)]
+    c, add = F.col, lambda cols: F.col(cols[0]) + F.col(cols[1]) + F.col(cols[2])
+    x = x.withColumns({a: 1.0 / c(n) for a, n in zip(q, names, strict=True)}).withColumn("_b", add(q))
+    if method == "multiplicative":
+        return x.select(*keep, F.array(*[c(a) / c("_b") for a in q]).alias(out))
+    if method == "power":
+        x = x.withColumns({f"_l{i}": F.log(c(a)) for i, a in enumerate(q)} | {"_k": F.lit(1.0)})
+        raised = {a: F.exp(c("_k") * c(f"_l{i}")) for i, a in enumerate(e)}
+        for _ in range(STEPS):
+            x = x.withColumns(raised)
+            x = x.withColumn("_k", c("_k") - (add(e) - 1.0) / (c("_e0") * c("_l0") + c("_e1") * c("_l1") + c("_e2") * c("_l2")))
+        x = x.withColumns(raised)
+        ok = F.abs(add(e) - 1.0) <= SETTLED
+        fair = [c(a) for a in e]
+    else:
+        x = x.withColumn("_k", F.lit(0.0))
+        roots = {a: F.sqrt(c("_k") * c("_k") + 4.0 * (1.0 - c("_k")) * c(b) * c(b) / c("_b")) for a, b in zip(e, q, strict=True)}
+        for _ in range(SHIN_STEPS):
+            x = x.withColumns(roots)
+            slope = sum(((c("_k") - 2.0 * c(b) * c(b) / c("_b")) / c(a) for a, b in zip(e, q, strict=True)), F.lit(-1.0))
+            x = x.withColumn("_k", c("_k") - (add(e) - 2.0 - c("_k")) / slope)
+        x = x.withColumns(roots)
+        fair = [(c(a) - c("_k")) / (2.0 * (1.0 - c("_k"))) for a in e]
+        ok = (c("_k") >= 0) & (c("_k") < 0.5) & (F.abs(fair[0] + fair[1] + fair[2] - 1.0) <= SETTLED)
+    even = F.abs(c("_b") - 1.0) <= EVEN
+    return x.select(*keep, F.when(even, F.array(*q)).when(ok, F.array(*fair)).alias(out))
+
+
 def reject_code(prices: Column) -> Column:
     """Why a set can't be devigged: missing, price or margin; null if it can."""
     missing = F.coalesce((F.size(prices) < 2) | F.exists(prices, lambda x: x.isNull()), F.lit(True))

@@ -87,14 +87,8 @@ def official_links(spark, sf):
     return x.select("report", status.alias("status"), F.when(status == "linked", own["id"]).alias("match_id"))
 
 
-@query("w2_latest_before", "SELECT match_id, official FROM (SELECT m.match_id, x.event_id AS official, row_number() OVER (PARTITION BY m.match_id ORDER BY x.s DESC, x.event_id DESC) AS k FROM (SELECT match_id, grp, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match WHERE match_id % 20 = 0) m JOIN (SELECT event_id, user_id, floor(epoch(ts))::bigint AS s FROM events) x ON x.user_id % 25 = m.grp AND x.s < m.s) t WHERE k = 1", "match")
+@query("w2_latest_before", "SELECT match_id, official FROM (SELECT match_id, grp::bigint AS g, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match) m ASOF JOIN (SELECT user_id % 25 AS g, floor(epoch(ts))::bigint AS s, max(event_id) AS official FROM events GROUP BY 1, 2) x ON x.g = m.g AND m.s > x.s", "match")
 def latest_before(spark, sf):
-    """The slice of matches that the SQL has; ``w2_latest_before_whole`` has all."""
-    return last_event(matches(spark, sf).where("match_id % 20 = 0"), table(spark, sf, "events"))
-
-
-@query("w2_latest_before_whole")
-def latest_before_whole(spark, sf):
     return last_event(matches(spark, sf), table(spark, sf, "events"))
 
 

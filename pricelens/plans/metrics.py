@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import matches, odds
 from ..functions import prices as P
 from ..functions import scores as S
-from .prices import _FULL, _PC, _POWER, pre_close
+from .prices import _FULL, _HALVES, _PC, _POWER, _SHIN_P, pre_close
 from .registry import query
 
 _Y = "CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END"
@@ -24,8 +24,8 @@ def _r(c, n=6):
 
 
 def scored(spark, sf, method="multiplicative"):
-    x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), method)).where("p is not null")
-    return x.withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
+    """Complete price sets without a negative margin, with fair probabilities and their loss."""
+    return P.with_fair(P.priced(odds(spark, sf)), method).withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
 
 
 @query("a1_log_loss", f"WITH {_PROB} SELECT league, phase, book, count(*) AS n, round(avg(ll), 6) AS log_loss FROM scored GROUP BY 1, 2, 3", "odds")
@@ -52,7 +52,8 @@ def input_contract(spark, sf):
 @query("a5_ece", f"""WITH {_PROB}, one AS (SELECT league, ph AS p, (y=0)::int AS hit FROM scored UNION ALL SELECT league, pd, (y=1)::int FROM scored UNION ALL SELECT league, pa, (y=2)::int FROM scored), bins AS (SELECT league, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM one GROUP BY 1, 2)
 SELECT league, round(sum(n * gap) / sum(n), 6) AS ece FROM bins GROUP BY 1""", "odds")
 def ece(spark, sf):
-    x = scored(spark, sf).select("league", "y", F.posexplode("p").alias("i", "p")).withColumn("hit", (F.col("i") == F.col("y")).cast("int"))
+    one = F.array(*[F.struct(F.get("p", i).alias("p"), (F.col("y") == i).cast("int").alias("hit")) for i in range(3)])
+    x = scored(spark, sf).select("league", F.inline(one))
     bins = x.groupBy("league", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("hit")).alias("gap"))
     return bins.groupBy("league").agg(_r(F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
@@ -110,23 +111,17 @@ def bootstrap_mean(rows, value, key, groups, draws=DRAWS, seed=_SEED):
     return mean.join(q, groups).select(*groups, _r("estimate").alias("estimate"), _r(F.get("q", 0)).alias("low"), _r(F.get("q", 1)).alias("high"))
 
 
-@query("a8_bootstrap_mean", f"""WITH {_PROB}, one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1), w AS (SELECT league, draw, ll, {_CUTS} AS w FROM (SELECT league, draw, ll, ('0x' || substr(md5(concat_ws('|', '{_SEED}', draw::varchar, match_id::varchar)), 1, 13))::bigint::double / {float(16**13)!r} AS u FROM one, (SELECT unnest(range(20)) AS draw)) t),
+@query("a8_bootstrap_mean", f"""WITH {_PROB}, one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1), w AS (SELECT league, draw, ll, {_CUTS} AS w FROM (SELECT league, draw, ll, ('0x' || substr(md5(concat_ws('|', '{_SEED}', draw::varchar, match_id::varchar)), 1, 13))::bigint::double / {float(16**13)!r} AS u FROM one, (SELECT unnest(range({DRAWS})) AS draw)) t),
 means AS (SELECT league, draw, sum(w * ll) / sum(w) AS m FROM w GROUP BY 1, 2), q AS (SELECT league, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY 1)
 SELECT league, estimate, low, high FROM q JOIN (SELECT league, round(avg(ll), 6) AS estimate FROM one GROUP BY 1) e USING (league)""", "odds")
-def bootstrap(spark, sf, draws=20):
-    """The first draws, as many as the SQL has; ``a8_bootstrap_mean_whole`` has all."""
-    return bootstrap_mean(closing_losses(spark, sf), "ll", "match_id", ["league"], draws)
+def bootstrap(spark, sf):
+    return bootstrap_mean(closing_losses(spark, sf), "ll", "match_id", ["league"])
 
 
 def closing_losses(spark, sf):
     return scored(spark, sf).where("book = 0 and phase = 1").select("league", "match_id", "ll")
 
 
-@query("a8_bootstrap_mean_whole")
-def bootstrap_whole(spark, sf):
-    return bootstrap_mean(closing_losses(spark, sf), "ll", "match_id", ["league"])
-
-
 _TWO = f"{_PROB}, two AS (SELECT a.match_id, a.book, a.league, a.season, a.ll AS pre, b.ll AS close FROM scored a JOIN scored b ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1)"
 
 
@@ -165,15 +160,23 @@ def book_gap(spark, sf):
     return good.groupBy("league").agg(F.sum("n").alias("n"), _r(F.sum("gap") / F.sum("n")).alias("gap"))
 
 
-@query("a15_method_comparison", f"""WITH {_POWER}, pm AS (SELECT f.match_id, league, {_Y} AS y, qh/book_sum AS mh, qd/book_sum AS md, qa/book_sum AS ma, pow(f.qh, k) AS wh, pow(f.qd, k) AS wd, pow(f.qa, k) AS wa FROM (SELECT * FROM full_odds) f JOIN steps s USING (qh, qd, qa) JOIN fx_match m ON m.match_id = f.match_id WHERE book = 0 AND phase = 1),
-l AS (SELECT league, 'multiplicative' AS method, -ln(CASE y WHEN 0 THEN mh WHEN 1 THEN md ELSE ma END) AS ll FROM pm UNION ALL SELECT league, 'power', -ln(CASE y WHEN 0 THEN wh WHEN 1 THEN wd ELSE wa END) FROM pm)
-SELECT league, method, count(*) AS n, round(avg(ll), 6) AS log_loss FROM l GROUP BY 1, 2""", "odds")
-def method_comparison(spark, sf, methods=("multiplicative", "power")):
-    """Loss of each method on the rows that all of them solve."""
-    x = odds(spark, sf).where("book = 0 and phase = 1 and d is not null")
-    x = x.withColumns({f"_{m}": P.devig(F.col("o"), m) for m in methods}).dropna(subset=[f"_{m}" for m in methods])
-    x = x.select("league", "y", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_{m}").alias("p")) for m in methods])).alias("s"))
-    return x.groupBy("league", F.col("s.method").alias("method")).agg(F.count(F.lit(1)).alias("n"), _r(F.avg(S.log_loss(F.col("s.p"), F.col("y")))).alias("log_loss"))
+_METHODS = f"""{_POWER}, {_HALVES}, pm AS (SELECT f.match_id, league, {_Y} AS y, f.qh/book_sum AS mh, f.qd/book_sum AS md, f.qa/book_sum AS ma, pow(f.qh, k) AS wh, pow(f.qd, k) AS wd, pow(f.qa, k) AS wa, {_SHIN_P.format(q='f.qh')} AS sh, {_SHIN_P.format(q='f.qd')} AS sd, {_SHIN_P.format(q='f.qa')} AS sa FROM full_odds f JOIN steps s USING (qh, qd, qa) JOIN halves z USING (qh, qd, qa) JOIN fx_match m ON m.match_id = f.match_id WHERE book = 0 AND phase = 1),
+l AS (SELECT league, 0 AS place, 'multiplicative' AS method, -ln(CASE y WHEN 0 THEN mh WHEN 1 THEN md ELSE ma END) AS ll FROM pm UNION ALL SELECT league, 1, 'power', -ln(CASE y WHEN 0 THEN wh WHEN 1 THEN wd ELSE wa END) FROM pm UNION ALL SELECT league, 2, 'shin', -ln(CASE y WHEN 0 THEN sh WHEN 1 THEN sd ELSE sa END) FROM pm),
+g AS (SELECT league, place, method, count(*) AS n, round(avg(ll), 6) AS log_loss FROM l GROUP BY 1, 2, 3)"""
+
+
+@query("a15_method_comparison", f"WITH {_METHODS} SELECT league, method, n, log_loss, row_number() OVER (PARTITION BY league ORDER BY log_loss, place) = 1 AS best FROM g", "odds")
+def method_comparison(spark, sf, methods=P.METHODS):
+    """Loss of each method on the rows that all of them solve, and which is best; ties go to the simpler one."""
+    x = P.priced(odds(spark, sf).where("book = 0 and phase = 1"))
+    for m in methods:
+        x = P.with_fair(x, m, out=f"_{m}")
+    loss = {m: S.log_loss(F.col(f"_{m}"), F.col("y")) for m in methods}
+    x = x.select("league", *[v.alias(m) for m, v in loss.items()])
+    every = sum((F.col(m).isNull().cast("int") for m in methods), F.lit(0)) == 0
+    sums = x.groupBy("league").agg(F.count_if(every).alias("n"), *[_r(F.avg(F.when(every, F.col(m)))).alias(m) for m in methods])
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("log_loss"), (F.array_position(F.array(*methods), F.array_min(F.array(*methods))) == i + 1).alias("best")) for i, m in enumerate(methods)])
+    return sums.where("n > 0").select("league", "n", F.inline(rows))
 
 
 @query("a17_tiers", f"""WITH {_PROB}, l AS (SELECT league, avg(ll) AS est, stddev_samp(ll) / sqrt(count(*)) AS se FROM scored WHERE book = 0 AND phase = 1 GROUP BY 1), m AS (SELECT *, (SELECT quantile_cont(est, 0.5) FROM l) AS med FROM l)

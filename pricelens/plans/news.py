@@ -33,16 +33,10 @@ def mention_counts(spark, sf):
     return mentions(spark, sf).groupBy("team").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j9_candidate_fixtures", f"""WITH {_MENTION}, fx AS (SELECT match_id, match_date, home AS team FROM fx_match WHERE match_id % 10 = 0 UNION SELECT match_id, match_date, away FROM fx_match WHERE match_id % 10 = 0),
+@query("j9_candidate_fixtures", f"""WITH {_MENTION}, fx AS (SELECT match_id, match_date, home AS team FROM fx_match UNION SELECT match_id, match_date, away FROM fx_match),
 c AS (SELECT doc_id, match_id, match_date, count(*) AS hits FROM mention m JOIN fx ON fx.team = m.team AND fx.match_date > m.day AND fx.match_date <= m.day + 8 GROUP BY 1, 2, 3)
 SELECT doc_id, match_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, match_date, match_id) AS k FROM c) t WHERE k <= 6""", "match")
 def candidate_fixtures(spark, sf):
-    """The slice of fixtures that the SQL has; ``j9_candidate_fixtures_whole`` ranks all."""
-    return next_fixtures(mentions(spark, sf), matches(spark, sf).where("match_id % 10 = 0"))
-
-
-@query("j9_candidate_fixtures_whole")
-def candidate_fixtures_whole(spark, sf):
     return next_fixtures(mentions(spark, sf), matches(spark, sf))
 
 
@@ -158,15 +152,9 @@ def feature_vector(spark, sf):
 OUTCOMES = ("asked", "no_news", "stale", "deferred", "error", "budget", "outage", "model_drift")
 
 
-@query("n10_final_status", f"SELECT user_id, list_extract({list(OUTCOMES)!r}, min(place)::int) AS status FROM (SELECT user_id, 1 + (event_id * 5 + length(event_type)) % 8 AS place FROM events WHERE event_id % 7 = 0) t GROUP BY 1")
+@query("n10_final_status", f"SELECT user_id, list_extract({list(OUTCOMES)!r}, min(place)::int) AS status FROM (SELECT user_id, 1 + (user_id * 5 + length(event_type)) % 8 AS place FROM events) t GROUP BY 1")
 def final_status(spark, sf):
-    """The slice of events that the SQL has; ``n10_final_status_whole`` reads all."""
-    return first_status(table(spark, sf, "events").where("event_id % 7 = 0"), F.col("event_id") * 5 + F.length("event_type"))
-
-
-@query("n10_final_status_whole")
-def final_status_whole(spark, sf):
-    """All events; the status follows from user and event type."""
+    """All events; a place follows from the user and the kind of event."""
     return first_status(table(spark, sf, "events"), F.col("user_id") * 5 + F.length("event_type"))
 
 

@@ -28,8 +28,7 @@ def overround(spark, sf):
 
 @query("d2_devig_multiplicative", f"WITH {_FULL} SELECT match_id, book, phase, round(qh/book_sum, 6) AS ph, round(qd/book_sum, 6) AS pd, round(qa/book_sum, 6) AS pa FROM full_odds WHERE book_sum >= 1 - 1e-12", "odds")
 def devig_multiplicative(spark, sf):
-    x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "multiplicative")).where("p is not null")
-    return x.select(*_KEY, *_probs(F.col("p")))
+    return P.with_fair(P.priced(odds(spark, sf)), "multiplicative").select(*_KEY, *_probs(F.col("p")))
 
 
 _POWER = f"""{_FULL}, sets AS (SELECT DISTINCT qh, qd, qa FROM full_odds WHERE book_sum > 1 + 1e-12),
@@ -39,21 +38,20 @@ steps AS (SELECT * FROM (WITH RECURSIVE s(n, qh, qd, qa, k) AS (SELECT 0, qh, qd
 
 @query("d3_devig_power", f"WITH {_POWER} SELECT match_id, book, phase, round(pow(f.qh, k), 6) AS ph, round(pow(f.qd, k), 6) AS pd, round(pow(f.qa, k), 6) AS pa FROM full_odds f JOIN steps s ON f.qh = s.qh AND f.qd = s.qd AND f.qa = s.qa", "odds")
 def devig_power(spark, sf):
-    x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "power")).where("p is not null")
-    return x.select(*_KEY, *_probs(F.col("p")))
+    return P.with_fair(P.priced(odds(spark, sf)), "power").select(*_KEY, *_probs(F.col("p")))
 
 
 _SHIN_P = "(sqrt(z*z + 4*(1-z)*{q}*{q}/b) - z) / (2*(1-z))"
-_SHIN = f"""{_FULL}, sets AS (SELECT DISTINCT qh, qd, qa, book_sum AS b FROM full_odds WHERE book_sum > 1 + 1e-12),
-halves AS (SELECT * FROM (WITH RECURSIVE s(n, qh, qd, qa, b, lo, hi) AS (SELECT 0, qh, qd, qa, b, 0.0E0, 0.5E0 FROM sets UNION ALL
+_HALVES = f"""margins AS (SELECT DISTINCT qh, qd, qa, book_sum AS b FROM full_odds WHERE book_sum > 1 + 1e-12),
+halves AS (SELECT * FROM (WITH RECURSIVE s(n, qh, qd, qa, b, lo, hi) AS (SELECT 0, qh, qd, qa, b, 0.0E0, 0.5E0 FROM margins UNION ALL
   SELECT n + 1, qh, qd, qa, b, CASE WHEN over THEN z ELSE lo END, CASE WHEN over THEN hi ELSE z END FROM (SELECT *, {_SHIN_P.format(q='qh')} + {_SHIN_P.format(q='qd')} + {_SHIN_P.format(q='qa')} > 1 AS over FROM (SELECT *, (lo+hi)/2 AS z FROM s) t) u WHERE n < 48)
   SELECT *, (lo+hi)/2 AS z FROM s WHERE n = 48))"""
+_SHIN = f"{_FULL}, {_HALVES}"
 
 
 @query("d4_devig_shin", f"WITH {_SHIN} SELECT match_id, book, phase, round({_SHIN_P.format(q='f.qh')}, 6) AS ph, round({_SHIN_P.format(q='f.qd')}, 6) AS pd, round({_SHIN_P.format(q='f.qa')}, 6) AS pa FROM full_odds f JOIN halves s ON f.qh = s.qh AND f.qd = s.qd AND f.qa = s.qa", "odds")
 def devig_shin(spark, sf):
-    x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "shin")).where("p is not null")
-    return x.select(*_KEY, *_probs(F.col("p")))
+    return P.with_fair(P.priced(odds(spark, sf)), "shin").select(*_KEY, *_probs(F.col("p")))
 
 
 @query("d5_reject_codes", "SELECT league, phase, CASE WHEN d IS NULL THEN 'missing' WHEN h <= 1 OR d <= 1 OR a <= 1 THEN 'price' WHEN 1/h + 1/d + 1/a < 1 - 1e-12 THEN 'margin' END AS code, count(*) AS n FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1, 2, 3", "odds")
@@ -128,7 +126,7 @@ def move_distribution(spark, sf):
     return q.select("league", "n", *[_r(F.get("q", i)).alias(c) for i, c in enumerate(("p10", "p50", "p90"))])
 
 
-_PC = "pc AS (SELECT o.match_id, o.book, o.h, o.d, o.a, c.h AS ch, c.d AS cd, c.a AS ca FROM fx_odds o JOIN fx_odds c ON o.match_id = c.match_id AND o.book = c.book AND o.phase = 0 AND c.phase = 1 WHERE o.d IS NOT NULL AND c.d IS NOT NULL)"
+_PC = "pc AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(d) FILTER (phase = 0) AS d, max(a) FILTER (phase = 0) AS a, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds WHERE d IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2)"
 
 
 def pre_close(spark, sf):
@@ -137,12 +135,26 @@ def pre_close(spark, sf):
     return x.where("pre is not null and close is not null")
 
 
-@query("d11_best_edge", f"""WITH {_PC}, e AS (SELECT *, h/ch/(1/ch+1/cd+1/ca) - 1 AS eh, d/cd/(1/ch+1/cd+1/ca) - 1 AS ed, a/ca/(1/ch+1/cd+1/ca) - 1 AS ea FROM pc WHERE 1/ch+1/cd+1/ca >= 1 - 1e-12)
-SELECT match_id, book, round(greatest(eh, ed, ea), 6) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN 0 WHEN ed >= ea THEN 1 ELSE 2 END AS pick FROM e WHERE greatest(eh, ed, ea) > 0.02""", "odds")
+_BET = """ref AS (SELECT match_id, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a) AS pa, CASE WHEN 1/ch+1/cd+1/ca >= 1 - 1e-12 THEN 1/ch+1/cd+1/ca END AS cs, ch, cd, ca FROM pc WHERE book = 0 AND 1/h+1/d+1/a >= 1 - 1e-12),
+e AS (SELECT o.match_id, o.book, o.h, o.d, o.a, o.h*ph - 1 AS eh, o.d*pd - 1 AS ed, o.a*pa - 1 AS ea, 1/r.ch/cs AS qh, 1/r.cd/cs AS qd, 1/r.ca/cs AS qa FROM fx_odds o JOIN ref r ON r.match_id = o.match_id WHERE o.phase = 0 AND o.d IS NOT NULL),
+bet AS (SELECT match_id, book, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN 0 WHEN ed >= ea THEN 1 ELSE 2 END AS pick, CASE WHEN eh >= ed AND eh >= ea THEN h*qh WHEN ed >= ea THEN d*qd ELSE a*qa END - 1 AS clv FROM e WHERE greatest(eh, ed, ea) > 0.02)"""
+
+
+def bets(spark, sf, least: float = 0.02):
+    """(match_id, league, book, edge, pick, clv): the outcome with the largest edge of the reference book's opening
+    probabilities over a book's opening price, if the edge is large enough. The closing prices only value the pick."""
+    x = odds(spark, sf)
+    at = lambda k, book=0: F.max(F.when((F.col("phase") == k) & (F.col("book") == book), F.col("o")))
+    books = F.collect_list(F.when((F.col("phase") == 0) & F.col("d").isNotNull(), F.struct("book", "o")))  # four at most
+    x = x.groupBy("match_id", "league").agg(at(0).alias("own"), at(1).alias("close"), books.alias("books"))
+    x = x.withColumns({"p": P.devig(F.col("own"), "multiplicative"), "q": P.devig(F.col("close"), "multiplicative")}).select("match_id", "league", "p", "q", F.inline("books")).where("p is not null")
+    edge, pick = P.best_edge(F.col("p"), F.col("o"))
+    return x.withColumns({"edge": edge, "pick": pick}).where(F.col("edge") > least).withColumn("clv", F.get("o", "pick") * F.get("q", "pick") - 1)
+
+
+@query("d11_best_edge", f"WITH {_PC}, {_BET} SELECT match_id, book, round(edge, 6) AS edge, pick, round(clv, 6) AS clv FROM bet", "odds")
 def best_edge(spark, sf):
-    x = pre_close(spark, sf).withColumn("p", P.devig(F.col("close"), "multiplicative")).where("p is not null")
-    edge, pick = P.best_edge(F.col("p"), F.col("pre"))
-    return x.select("match_id", "book", _r(edge).alias("edge"), pick.alias("pick")).where(edge > 0.02)
+    return bets(spark, sf).select("match_id", "book", _r("edge").alias("edge"), "pick", _r("clv").alias("clv"))
 
 
 @query("d12_loglinear_pool", f"""WITH {_PC}, e AS (SELECT match_id, book, exp(0.7*ln(1/h/(1/h+1/d+1/a)) + 0.3*ln(1/ch/(1/ch+1/cd+1/ca))) AS x, exp(0.7*ln(1/d/(1/h+1/d+1/a)) + 0.3*ln(1/cd/(1/ch+1/cd+1/ca))) AS y, exp(0.7*ln(1/a/(1/h+1/d+1/a)) + 0.3*ln(1/ca/(1/ch+1/cd+1/ca))) AS z FROM pc WHERE 1/h+1/d+1/a >= 1 - 1e-12 AND 1/ch+1/cd+1/ca >= 1 - 1e-12)

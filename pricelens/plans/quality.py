@@ -82,15 +82,9 @@ def row_reconciliation(spark, sf):
     return x.select("league", "locked", "present", (F.col("locked") == F.col("present")).alias("agrees"))
 
 
-@query("q10_single_opening", "SELECT phase, count(*) AS openings, CASE WHEN count(*) = 0 THEN 'open' WHEN count(*) = 1 AND max((event_type = 'error')::int) = 1 THEN 'rerun' ELSE 'refused' END AS verdict FROM (SELECT user_id % 20 AS phase, event_type FROM events WHERE event_id % 997 < 20) t GROUP BY 1")
+@query("q10_single_opening", "SELECT phase, count(*) AS openings, CASE WHEN count(*) = 1 AND max((event_type = 'error')::int) = 1 THEN 'rerun' ELSE 'refused' END AS verdict FROM (SELECT concat_ws('|', user_id::varchar, ts::date::varchar) AS phase, event_type FROM events) t GROUP BY 1")
 def single_opening(spark, sf):
-    """The slice of events that the SQL has; ``q10_single_opening_whole`` reads all."""
-    return openings(table(spark, sf, "events").where("event_id % 997 < 20"), (F.col("user_id") % 20))
-
-
-@query("q10_single_opening_whole")
-def single_opening_whole(spark, sf):
-    """All events; a phase is a user's day."""
+    """A phase is a user's day."""
     return openings(table(spark, sf, "events"), F.concat_ws("|", "user_id", F.to_date(F.col("ts").cast("timestamp"))))
 
 

@@ -206,7 +206,7 @@ def shadow_report(spark, sf):
     return gap.join(bad, "league")
 
 
-_REC = f"{_PROB}, rec AS (SELECT s.match_id, s.book, s.league, o.h * s.ph - 1 AS clv, o.h * s.ph - 1 + CASE WHEN s.match_id % 97 = 0 THEN 0.001 ELSE 0 END AS stored FROM scored s JOIN fx_odds o ON o.match_id = s.match_id AND o.book = s.book AND o.phase = 0 WHERE s.phase = 1)"
+_REC = "cl AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds GROUP BY 1, 2), rec AS (SELECT match_id, book, h/ch/(1/ch+1/cd+1/ca) - 1 AS clv, h/ch/(1/ch+1/cd+1/ca) - 1 + CASE WHEN match_id % 97 = 0 THEN 0.001 ELSE 0 END AS stored FROM cl WHERE 1/ch+1/cd+1/ca >= 1 - 1e-12)"
 
 
 def records(spark, sf):

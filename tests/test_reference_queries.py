@@ -95,3 +95,14 @@ def test_ratings_equal_a_loop_over_events(spark):
     assert all(abs(x - y) < 2e-6 for k, v in want.items() for x, y in zip(v, got[k], strict=True))
     counts = plans.queries()["m1_replay_counts"](spark, SF).agg(F.sum("decisions"), F.sum("no_decision"), F.sum("no_prediction")).first()
     assert tuple(counts) == (len(want), len(rows) - len(want), 0)
+
+
+def test_three_way_solvers_equal_the_general_ones(spark):
+    """Also for wide margins and long odds; rows that ``priced`` refuses have no general solution either."""
+    rows = [(1.5, 4.0, 7.0), (1.01, 21.0, 101.0), (1.2, 1.3, 1.4), (2.0, 4.0, 4.0), (1.9, 3.2, 4.1), (9.0, 9.0, 9.0), (None, 3.0, 2.0), (1.0, 3.0, 9.0), (float("nan"), 3.0, 2.0)]
+    x = spark.createDataFrame(rows, "h double, d double, a double").withColumn("o", F.array("h", "d", "a"))
+    for m in P.METHODS:
+        want = {r.h: r.p for r in x.select("h", P.devig(F.col("o"), m).alias("p")).where("p is not null").collect()}
+        got = {r.h: r.p for r in P.with_fair(P.priced(x), m).collect() if r.p is not None}
+        assert got.keys() == want.keys() and len(want) >= 4
+        assert all(abs(u - v) < 1e-9 for h in want for u, v in zip(got[h], want[h], strict=True))

@@ -26,7 +26,7 @@ def test_interval_of_a_mean_rests_on_2000_draws(spark):
     rows = defaultdict(list)
     for r in closing_losses(spark, SF).collect():
         rows[r.league].append((r.match_id, r.ll))
-    got = {r.league: r for r in plans.queries()["a8_bootstrap_mean_whole"](spark, SF).collect()}
+    got = {r.league: r for r in plans.queries()["a8_bootstrap_mean"](spark, SF).collect()}
     assert got.keys() == rows.keys()
     for league in sorted(rows)[:2]:
         keys, ll = zip(*rows[league], strict=True)
@@ -57,7 +57,7 @@ def test_every_match_gets_its_latest_event(spark):
     for r in matches(spark, SF).select("match_id", "grp").collect():
         if past := [e for e in events[r.grp] if e[0] < 1704067200 + r.match_id * 977 % 2592000]:
             want[r.match_id] = max(past)[1]
-    assert dict(map(tuple, plans.queries()["w2_latest_before_whole"](spark, SF).collect())) == want and any(k % 20 for k in want)
+    assert dict(map(tuple, plans.queries()["w2_latest_before"](spark, SF).collect())) == want and any(k % 20 for k in want)
 
 
 def test_all_fixtures_are_candidates(spark):
@@ -67,7 +67,7 @@ def test_all_fixtures_are_candidates(spark):
     for (doc, day), mine in teams.items():
         found = [(-len(mine & {r.home, r.away}), r.match_date, r.match_id) for r in fx if 1 <= (r.match_date - day).days <= 8 and mine & {r.home, r.away}]
         want |= {(doc, i, -n) for n, _, i in sorted(found)[:6]}
-    assert set(map(tuple, plans.queries()["j9_candidate_fixtures_whole"](spark, SF).collect())) == want
+    assert set(map(tuple, plans.queries()["j9_candidate_fixtures"](spark, SF).collect())) == want
 
 
 def test_openings_and_statuses_read_all_events(spark):
@@ -76,9 +76,9 @@ def test_openings_and_statuses_read_all_events(spark):
     for r in events:
         phases[f"{r.user_id}|{r.day}"].append(r.event_type)
         places[r.user_id].append((r.user_id * 5 + len(r.event_type)) % 8)
-    got = {r.phase: (r.openings, r.verdict) for r in plans.queries()["q10_single_opening_whole"](spark, SF).collect()}
+    got = {r.phase: (r.openings, r.verdict) for r in plans.queries()["q10_single_opening"](spark, SF).collect()}
     assert got == {k: (len(v), "rerun" if v == ["error"] else "refused") for k, v in phases.items()} and len({v for _, v in got.values()}) == 2
-    assert dict(map(tuple, plans.queries()["n10_final_status_whole"](spark, SF).collect())) == {k: OUTCOMES[min(v)] for k, v in places.items()}
+    assert dict(map(tuple, plans.queries()["n10_final_status"](spark, SF).collect())) == {k: OUTCOMES[min(v)] for k, v in places.items()}
 
 
 def test_cut_and_rebuilt_segments_are_found(spark):
