@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, scratch_path, word_hashes, word_spans
 
 #: Tokens that a task gathers before it sums them; entries that a hash range shall hold; files a worker keeps mapped.
-FLUSH, RANGE, MAPS = 3_000_000, 2_000_000, 4096
+FLUSH, RANGE, MAPS = 3_000_000, 1_000_000, 4096
+#: Shuffle partitions for each hash range, so that seldom two ranges meet in a task.
+SPREAD = 4
 END = np.uint64(0x0E4D0F7E57000001)
 #: Ids of what stands before a text's first and second token; ids of words begin at the number of word ranges.
 NONE, START = 0, 1
@@ -160,9 +162,12 @@ def summed(ids: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[lis
 # ---------------------------------------------------------------- files
 
 def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Arrays one after the other, each from a multiple of eight bytes; a header of eight numbers tells lengths."""
-    head = np.zeros(8, np.int64)
+    """Arrays one after the other, whole numbers as narrow as they fit, each from a multiple of eight bytes; a header
+    of sixteen numbers tells lengths and widths."""
+    arrays = tuple(a if a.dtype == np.uint64 or not len(a) else a.astype(np.min_scalar_type(int(a.max()))) for a in arrays)
+    head = np.zeros(16, np.int64)
     head[: len(arrays)] = [len(a) for a in arrays]
+    head[8: 8 + len(arrays)] = [a.itemsize for a in arrays]
     tmp = f"{folder}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
     with open(tmp, "wb") as f:
         for a in (head, *arrays):
@@ -171,43 +176,40 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> None:
     os.replace(tmp, f"{folder}/{name}")
 
 
-def _read(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
+def _read(folder: str, name: str) -> list[np.ndarray] | None:
     path = f"{folder}/{name}"
     if not os.path.exists(path):
         return None
     raw = np.memmap(path, np.uint8, "r")
-    lengths, at, out = raw[:64].view(np.int64), 64, []
-    for n, kind in zip(lengths.tolist(), kinds, strict=False):
-        size = n * np.dtype(kind).itemsize
-        out.append(raw[at: at + size].view(kind))
-        at += size + (-size % 8)
+    head, at, out = raw[:128].view(np.int64).tolist(), 128, []
+    for n, width in zip(head[:8], head[8:], strict=True):
+        if width:
+            out.append(raw[at: at + n * width].view(f"u{width}"))
+            at += n * width + (-n * width % 8)
     return out
 
 
-_HASHED = ("i8", "u4", "u4", "u1", "u4", "i8")  # bits, buckets, hashes, codes, places and values of large ones
-
-
 def save_hashed(folder: str, name: str, keys: np.ndarray, values: np.ndarray, skip: int) -> None:
     """Values (1 and more) by 64-bit hashes, of which the first ``skip`` bits are the range's."""
-    bits = max(1, min(32 - skip, (max(1, len(keys) // 4)).bit_length()))
+    bits = max(1, min(32 - skip, (max(1, len(keys) // 8)).bit_length()))
     rest = keys << np.uint64(skip)
     order = np.argsort(rest)
     rest, values = rest[order], values[order]
     start = np.searchsorted(_first_bits(rest, bits), np.arange((1 << bits) + 1)).astype(np.uint32)
     large = np.flatnonzero(values >= 255)
     codes = np.where(values < 255, values, 255).astype(np.uint8)
-    _write(folder, name, np.array([bits]), start, (rest << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), codes, large.astype(np.uint32), values[large].astype(np.int64))
+    _write(folder, name, np.array([bits]), start, (rest << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), codes, large, values[large])
 
 
 #: Files that this worker process has mapped.
 _MAPS: dict[tuple[str, str], list[np.ndarray] | None] = {}
 
 
-def _mapped(folder: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
+def _mapped(folder: str, name: str) -> list[np.ndarray] | None:
     if (folder, name) not in _MAPS:
         if len(_MAPS) >= MAPS:
             _MAPS.clear()
-        _MAPS[folder, name] = _read(folder, name, kinds)
+        _MAPS[folder, name] = _read(folder, name)
     return _MAPS[folder, name]
 
 
@@ -223,7 +225,7 @@ def find_hashed(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, ski
     """Values of hashes, 0 for those that aren't stored; each file is visited once."""
     out = np.zeros(len(keys), np.int64)
     for s, i in by_range(shard):
-        got = _mapped(folder, f"{kind}-{s}", _HASHED)
+        got = _mapped(folder, f"{kind}-{s}")
         if got is None or not len(got[2]):
             continue
         (bits,), start, stored, codes, places, large = got
@@ -278,12 +280,13 @@ class KneserNey:
         ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
         cuts = np.searchsorted(_first_bits(u, self.word_bits), np.arange(self.word_ranges + 1)).tolist()
         for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            got = _mapped(self.folder, f"words-{s}", ("u8", "i8", "i8")) if b > a else None
+            got = _mapped(self.folder, f"words-{s}") if b > a else None
             if got is not None:
-                keys, own, n = got
+                keys, rank, n = got
                 at = np.minimum(np.searchsorted(keys, u[a:b]), len(keys) - 1)
                 hit = np.flatnonzero(keys[at] == u[a:b])
-                ids[a + hit], counts[a + hit] = own[at[hit]], n[at[hit]]
+                found = rank[at[hit]].astype(np.int64)
+                ids[a + hit], counts[a + hit] = (found + 1) * self.word_ranges + s, n[found]
         return ids[back], counts[back]
 
     def word_rows(self, ids: np.ndarray) -> np.ndarray:
@@ -291,7 +294,7 @@ class KneserNey:
         u, back = np.unique(ids, return_inverse=True)
         out = np.zeros((len(u), 5), np.int64)
         for s in np.unique(u[u >= 0] % self.word_ranges).tolist():
-            got = _mapped(self.folder, f"rows-{s}", ("i8",))
+            got = _mapped(self.folder, f"rows-{s}")
             if got is not None:
                 rows = got[0].reshape(-1, 5)
                 i = np.flatnonzero((u >= 0) & (u % self.word_ranges == s) & (u // self.word_ranges < len(rows)))
@@ -304,7 +307,7 @@ class KneserNey:
         out = np.full(len(u), self.texts, np.int64)
         for s in np.unique(u[u >= self.word_ranges] % self.word_ranges).tolist():
             i = np.flatnonzero((u >= self.word_ranges) & (u % self.word_ranges == s))
-            out[i] = _mapped(self.folder, f"tally-{s}", ("i8",))[0][u[i] // self.word_ranges - 1]
+            out[i] = _mapped(self.folder, f"words-{s}")[2][u[i] // self.word_ranges - 1]
         return out[back]
 
     # -------------------------------------------------------- ranges
@@ -348,7 +351,7 @@ class KneserNey:
         rows = np.zeros((len(at), 4), np.int64)
         hit = np.flatnonzero(code)
         for s, i in by_range(shard[hit]):
-            rows[hit[i]] = _mapped(self.folder, f"kinds-{s}", ("i8",))[0].reshape(-1, 4)[code[hit[i]] - 1]
+            rows[hit[i]] = _mapped(self.folder, f"kinds-{s}")[0].reshape(-1, 4)[code[hit[i]] - 1]
         return np.add.reduceat(rows, first, axis=0) if len(uv) else rows
 
     def levels(self, hashes: np.ndarray, starts: np.ndarray, below=None) -> tuple[np.ndarray, np.ndarray]:
@@ -431,10 +434,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, entries: int
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         keys, counts = keys[first], np.add.reduceat(counts, first)
         often = np.lexsort((keys, -counts))  # small ids for frequent words
-        ids = np.empty(len(keys), np.int64)
-        ids[often] = np.arange(1, len(keys) + 1) * model.word_ranges + s
-        _write(folder, f"words-{s}", keys, ids, counts)
-        _write(folder, f"tally-{s}", counts[often])
+        rank = np.empty(len(keys), np.int64)
+        rank[often] = np.arange(len(keys))
+        _write(folder, f"words-{s}", keys, rank, counts[often])  # an id is its rank and range together
         end = int(np.searchsorted(keys, END))
         texts = int(counts[end]) if end < len(keys) and keys[end] == END else 0
         return _numbers(s, [len(keys), int(counts.sum()), texts])
@@ -515,10 +517,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, entries: int
         _write(folder, f"rows-{s}", rows.ravel())
         return _numbers(s, [*_few(rows[:, 4]).tolist(), int(rows[:, 4].sum())])
 
+    n = SPREAD << model.bits
     grams = src.mapInArrow(count_grams, _BLOCK)
     if order == 3:
-        grams = grams.groupBy("shard").applyInArrow(merge_trigrams, _BLOCK)
-    got = grams.groupBy("shard").applyInArrow(merge_pairs, _BLOCK).groupBy("shard").applyInArrow(merge_rows, numbers).collect()  # a row a range of words
+        grams = grams.repartition(n, "shard").groupBy("shard").applyInArrow(merge_trigrams, _BLOCK)
+    got = grams.repartition(n, "shard").groupBy("shard").applyInArrow(merge_pairs, _BLOCK).groupBy("shard").applyInArrow(merge_rows, numbers).collect()  # a row a range of words
     few = {k: np.zeros(6, np.int64) for k in (0, -2, -3)}
     for r in got:
         few[min(r.shard, 0)][: len(r.numbers)] += np.array(r.numbers)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import CHUNK_BYTES, chunks
 from .kneser_ney import KneserNey, tokens, train
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -31,7 +31,7 @@ def score_texts(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in chunks(batch.column(2)):
+            for i, data, offsets in chunks(batch.column(2), 2 * CHUNK_BYTES):
                 h, at = tokens(data, offsets)
                 c, p = model.levels(h, at)
                 sums = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731,B023
