@@ -5,17 +5,18 @@
 2. Documents with equal sets form a class; only classes go on.
 3. Empty buckets borrow from full ones by a fixed walk; bands of ``ROWS`` registers, 64 bits together, are the keys
    under which classes meet. At the least similarity of 0.8 a pair misses all bands with probability 5e-8.
-4. Each band's classes are compared with its hub, the class that meets the most others. Where a band's classes
-   still lie in several components, those outside the largest are compared with all of them. A comparison first
-   estimates the similarity from the registers, corrected for chance collisions, with a margin of ``SIGMAS``
-   standard deviations, then intersects the full sets. Comparisons run in blocks of bounded size: no pairs of a
-   group are listed, and no group meets in one task.
+4. The full sets of classes that meet another one are made once and written. Each band's classes are compared with
+   its hub, the class that meets the most others. Where a band's classes still lie in several components, those
+   outside the band's largest are compared with all of the band. A comparison first estimates the similarity from
+   the registers, corrected for chance collisions, with a margin of ``SIGMAS`` standard deviations, then intersects
+   the full sets. Comparisons run in blocks of bounded size: no pairs of a group are listed, and no group meets in
+   one task.
 5. Components of the confirmed links.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is
-one shingle; very long texts are read whole; documents that share an id are one node; a null id is linked with
-nothing (its component is null); repeated rows stay rows; extra columns are kept in ``doc``; an empty table
-gives an empty table.
+one shingle; very long texts are read whole; rows that share an id are documents of their own, each with the
+component of its own text; a null id is linked with nothing (its component is null); repeated rows stay rows; other
+columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _BUCKET_BITS = 7
 SIGMAS = 5.5
 #: Shingles in a block of the left and of the right side of a comparison, and members at most.
 LEFT, RIGHT, MEMBERS = 100_000, 400_000, 400
+#: Parts over which the members of a group are dealt when they learn how large it is.
+SALT = 64
 _SHORT = np.uint64(0x51A7E5)
 
 
@@ -160,17 +163,8 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "regs").mapInArrow(work, "cid long, key long")
 
 
-def _compare(groups: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) within groups: (g, side, cid, n_shingles); each of side 0 is compared with each of side 1."""
-    cuts = groups.groupBy("g", "side").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
-    most = F.when(F.col("side") == 0, LEFT).otherwise(RIGHT)
-    cuts = cuts.withColumn("cuts", F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("s") / most)).cast("int"))
-    cuts = cuts.groupBy("g").agg(F.max(F.when(F.col("side") == 0, F.col("cuts"))).alias("c0"), F.max(F.when(F.col("side") == 1, F.col("cuts"))).alias("c1"))
-    placed = groups.join(cuts, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("side") == 0, F.col("c0")).otherwise(F.col("c1"))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c0")) - 1))
-    placed = placed.select("g", "side", "cid", "own", other.alias("other"))
-    placed = placed.select("g", "side", "cid", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")).alias("j"))
-    placed = stash(placed, "blocks")
+def _sets(docs: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+    """(cid, shingles): the sorted shingle hashes of some documents, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +172,29 @@ def _compare(groups: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
                 part = [s.tobytes() for s in shingle_sets(data, offsets, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), pa.array(part, pa.binary())], ["cid", "shingles"])
 
-    need = placed.select("cid").distinct()
-    full = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("cid"), "left_semi").mapInArrow(sets, "cid long, shingles binary").where(F.length("shingles") > 0)
+    return docs.join(cids, docs["doc_id"] == cids["cid"], "left_semi").mapInArrow(sets, "cid long, shingles binary").where(F.length("shingles") > 0)
+
+
+def _placed(groups: DataFrame) -> DataFrame:
+    """(g, side, cid, i, j): members of groups (g, side, cid, n_shingles) by the blocks in which they are compared, each
+    of side 0 with each of side 1. Only groups of more than one block are looked up, and by part of the group, so the
+    members of a large one never meet."""
+    cuts = groups.groupBy("g", "side").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    most = F.when(F.col("side") == 0, LEFT).otherwise(RIGHT)
+    cuts = cuts.withColumn("cuts", F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("s") / most)).cast("int"))
+    cuts = cuts.groupBy("g").agg(F.max(F.when(F.col("side") == 0, F.col("cuts"))).alias("c0"), F.max(F.when(F.col("side") == 1, F.col("cuts"))).alias("c1"))
+    cuts = stash(cuts.where("c0 > 1 or c1 > 1"), "cuts")
+    dealt = groups.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)))
+    large = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    dealt = dealt.join(large, ["g", "salt"], "left").withColumns({"c0": F.coalesce("c0", F.lit(1)), "c1": F.coalesce("c1", F.lit(1))})
+    zero = F.col("side") == 0
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.col("cid"), F.lit(1)), F.when(zero, F.col("c0")).otherwise(F.col("c1"))).cast("int"))
+    dealt = dealt.select("g", "side", "cid", "own", F.explode(F.sequence(F.lit(0), F.when(zero, F.col("c1")).otherwise(F.col("c0")) - 1)).alias("other"))
+    return dealt.select("g", "side", "cid", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")).alias("j"))
+
+
+def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within groups: (g, side, cid, n_shingles); each of side 0 is compared with each of side 1."""
 
     def block(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -192,7 +207,7 @@ def _compare(groups: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
             out = links_between(cid[both[0]], sk[0], [got[i] for i in both[0]], cid[both[1]], sk[1], [got[i] for i in both[1]], percent)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return placed.join(full, "cid").groupBy("g", "i", "j").applyInArrow(block, "a long, b long")
+    return _placed(groups).join(sets, "cid").groupBy("g", "i", "j").applyInArrow(block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
@@ -204,6 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     keys = _bands(classes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = stash(keys.join(shared, "key"), "bands")
+    sets = stash(_sets(docs, met.select("cid").distinct(), shingle), "sets")
     # 1: each band's classes against its hub
     ranked = met.join(met.groupBy("cid").agg(F.sum("m").alias("ties")), "cid")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("ties", (-F.col("cid")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"))
@@ -212,15 +228,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     star = stash(star.join(sizes, "cid").join(sizes.select(F.col("cid").alias("hub"), F.col("n_shingles").alias("hn")), "hub").where("100 * least(n_shingles, hn) >= %d * greatest(n_shingles, hn)" % percent), "star")
     groups = star.select(F.col("hub").alias("g"), F.lit(1).alias("side"), "cid", "n_shingles").unionByName(
         star.select(F.col("hub").alias("g"), F.lit(0).alias("side"), F.col("hub").alias("cid"), F.col("hn").alias("n_shingles")).distinct())
-    links = stash(_compare(groups, docs, percent, shingle), "links")
+    links = stash(_compare(groups, sets, percent), "links")
     parts = components(links)
     # 2: bands that still hold several components
     placed = met.join(parts, met["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     split = per.groupBy("key").agg(F.max(F.struct("c", (-F.col("label")).alias("neg"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", (-F.col("top.neg")).alias("main"))
-    left = stash(placed.join(split, "key").select(F.col("main").alias("g"), "cid", (F.col("label") != F.col("main")).alias("out")).distinct().join(sizes, "cid"), "rest")
+    left = stash(placed.join(split, "key").select(F.col("key").alias("g"), "cid", (F.col("label") != F.col("main")).alias("out")).join(sizes, "cid"), "rest")
     groups = left.where("out").select("g", F.lit(0).alias("side"), "cid", "n_shingles").unionByName(left.select("g", F.lit(1).alias("side"), "cid", "n_shingles"))
-    links = stash(links.unionByName(_compare(groups, docs, percent, shingle)).distinct(), "links")
+    links = stash(links.unionByName(_compare(groups, sets, percent)).distinct(), "links")
     parts = components(links)
     of = classes.select("set_key", "cid").join(parts, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("label", "cid").alias("label"))
     out = sk.select("doc_id", "n_shingles", "set_key").join(of, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")))

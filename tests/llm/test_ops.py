@@ -67,7 +67,7 @@ def test_chat_perspectives(spark):
     assert by[1, "unknown", 1].rendered.startswith("<|im_start|>assistant\nlate") and by[1, "bob", 1].mask == ""
 
 
-def test_near_duplicates_equal_brute_force(spark, corpus):
+def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch):
     rng = random.Random(5)
     base = [f"t{rng.randrange(4000)}" for _ in range(120)]
     rows = [*enumerate(ODD), *((1000 + i, t) for i, t in corpus)]
@@ -77,7 +77,8 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
             w[rng.randrange(len(w))] = f"n{rng.randrange(9000)}"
         rows.append((5000 + k, " ".join(w)))
     rows += [(9000, "a b c d e f"), (9001, "a b c d e f g"), (9002, "A B c d e F"), (9003, "a b")]
-    for size, percent in ((2, 80), (5, 80)):
+    for size, percent, members in ((2, 80, 400), (5, 80, 400), (2, 80, 3)):  # at last with many small blocks a group
+        monkeypatch.setattr(op4_minhash, "MEMBERS", members)
         got = {r.doc_id: r for r in op4_minhash.near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows]), percent, size).collect()}
         want = brute.near(rows, size, percent)
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
