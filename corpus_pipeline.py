@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns what the next one reads; all
 of ``documents``. ``run`` writes each result into the shared folder as Parquet and reads it again.
 
 Cases: null and empty texts fail the quality rules; to the other stages they are documents without words, links or
-secrets, mixed by their hash and encoded to no tokens. Null ids are kept, each row for itself; repeated ids are one
-document to the near-duplicate stage and rows of their own to the others; null sources are one source; extra columns
-are carried along, whatever their names, up to the last stage; an empty table gives an empty table.
+secrets, mixed by their hash and encoded to no tokens. Null and repeated ids are documents of their own; of rows equal
+in every column the near-duplicate stage keeps one; null sources are one source; extra columns are carried along,
+whatever their names, up to the last stage; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,13 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id. Rows that share
-    an id are one document, of which the row with the smallest digest stays; rows without an id all stay."""
-    kept = op4_minhash.near_duplicates(docs, 80, shingle=5).where("kept").select("doc_id").distinct()
-    row = F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(F.col("doc_id").alias("_id"), row.alias("_doc"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("_digest"))
-    one = rows.join(kept, rows["_id"] == kept["doc_id"], "left_semi").groupBy("_id").agg(F.min_by("_doc", "_digest").alias("_doc"))
-    return docs.where("doc_id is null").unionByName(one.select("_doc.*"))
+    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id, null ids last.
+
+    Rows are known by a hash of all their columns: rows that share an id are documents of their own, and rows equal in
+    every column are one. Texts are dealt once, by that hash, when the chosen rows are picked."""
+    key = F.xxhash64(*[docs[c] for c in docs.columns])
+    found = op4_minhash.near_duplicates(docs.select(key.alias("_key"), docs["text"].alias("_text")), 80, 5, "_key", "_text").select("doc_id", "component_id").distinct()
+    ids = docs.select(key.alias("_key"), docs["doc_id"].alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
+    kept = found.join(ids, found["doc_id"] == ids["_key"]).groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_kept"))
+    rows = docs.select(key.alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    return rows.join(kept, rows["_key"] == kept["_kept"], "left_semi").groupBy("_key").agg(F.first("_doc").alias("_doc")).select("_doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
