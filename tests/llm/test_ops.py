@@ -123,6 +123,22 @@ def test_vectors_against_brute_force(spark):
     assert op5_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_any_scale_and_length(spark):
+    """Components that squares would lose; several lengths with lists of their own."""
+    rows = [(1, [1e-170, 5e-170]), (2, [5e-170, 1e-170]), (3, [1e170, -2e170]), (4, [1.01e170, -2e170]), (5, [1.0, 5.0]), (6, [-5e-324, 0.0]), (7, [-1e308, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op5_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 3), 4: (1, 3), 5: (1, 1), 6: (1, 6), 7: (1, 6)}
+    rng = np.random.default_rng(5)
+    for d in (8, 24):
+        v = rng.normal(size=(900, d))
+        v[300:600] = v[:300] + rng.normal(size=(300, d)) * 0.1
+        rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(1000 + i, [1.0] * i) for i in range(1, 6)]
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        want = np.count_nonzero(np.triu(u @ u.T >= 0.95, 1)) * 2
+        got = {r.vec_id: r.n_links for r in op5_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+        assert 0.9 * want <= sum(got[i] for i in range(900)) <= want and want > 500 and not any(got[1000 + i] for i in range(1, 6))
+
+
 def test_url_rules_and_links(spark):
     page = lambda i, u, h="": (i, u, h, "x", 1.0)
     rows = [page(1, "http://A.net/x"), page(2, "https://b.example.net/en/q?x#y"), page(3, "ftp://example.com/de/1"), page(4, "x://c.org/fr/2"), page(5, "no url"), page(6, None, None),
