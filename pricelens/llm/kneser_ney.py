@@ -266,7 +266,12 @@ class KneserNey:
     texts: int = 0
     pairs: int = 0  # distinct pairs
     d: list[np.ndarray] = field(default_factory=list)  # discounts of words, pairs, trigrams
-    held: float = 1.0  # mass that the word level hands down
+    few: np.ndarray | None = None  # words with 1, 2, 3+ different ones before them
+
+    @property
+    def held(self) -> float:
+        """Mass that the word level hands down."""
+        return float(self.d[0][1:] @ self.few) / self.pairs if self.pairs else 1.0
 
     @property
     def word_ranges(self) -> int:
@@ -354,13 +359,18 @@ class KneserNey:
             rows[hit[i]] = _mapped(self.folder, f"kinds-{s}")[0].reshape(-1, 4)[code[hit[i]] - 1]
         return np.add.reduceat(rows, first, axis=0) if len(uv) else rows
 
-    def levels(self, hashes: np.ndarray, starts: np.ndarray, below=None) -> tuple[np.ndarray, np.ndarray]:
-        """(count, probability after the tokens before it in its text) of each token; ``below`` gives the distribution
-        under the word level from token hashes, else it is even."""
+    def of_words(self, hashes: np.ndarray, below: np.ndarray | float | None = None) -> np.ndarray:
+        """The word level's probabilities, over an even distribution if none is given."""
+        rows = self.word_rows(self.words(hashes)[0])
+        return self.word_level(rows[:, 4], 1.0 / (self.n_words + 1) if below is None else below)
+
+    def levels(self, hashes: np.ndarray, starts: np.ndarray, words=None) -> tuple[np.ndarray, np.ndarray]:
+        """(count, probability after the tokens before it in its text) of each token; ``words`` gives another word level
+        from token hashes."""
         uniq, back = np.unique(hashes, return_inverse=True)
         ids, counts = self.words(uniq)
         rows = self.word_rows(ids)
-        p = self.word_level(rows[:, 4], 1.0 / (self.n_words + 1) if below is None else below(uniq))[back]
+        p = (self.word_level(rows[:, 4], 1.0 / (self.n_words + 1)) if words is None else words(uniq))[back]
         w, c, first = ids[back], counts[back], starts[:-1]
         v = np.empty_like(w)
         v[1:] = w[:-1]
@@ -527,5 +537,5 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, entries: int
         few[min(r.shard, 0)][: len(r.numbers)] += np.array(r.numbers)
     model.d = [discounts(few[k][:4]) for k in (0, -2, -3)]
     model.pairs = int(few[0][5])
-    model.held = float(model.d[0][1:] @ few[0][[0, 1, 4]]) / model.pairs if model.pairs else 1.0
+    model.few = few[0][[0, 1, 4]]
     return model
