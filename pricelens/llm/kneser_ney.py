@@ -366,7 +366,7 @@ class KneserNey:
 
     def levels(self, hashes: np.ndarray, starts: np.ndarray, words=None) -> tuple[np.ndarray, np.ndarray]:
         """(count, probability after the tokens before it in its text) of each token; ``words`` gives another word level
-        from token hashes."""
+        from the sorted distinct token hashes."""
         uniq, back = np.unique(hashes, return_inverse=True)
         ids, counts = self.words(uniq)
         rows = self.word_rows(ids)

@@ -234,6 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     placed = met.join(parts, met["cid"] == parts["node"], "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
     per = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     split = per.groupBy("key").agg(F.max(F.struct("c", (-F.col("label")).alias("neg"))).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", (-F.col("top.neg")).alias("main"))
+    # Of bands with the same members, known by their number and two sums of hashes, one is enough.
+    sums = [F.sum(F.xxhash64(F.col("cid"), F.lit(k)).cast("decimal(38,0)")) for k in (0, 1)]
+    split = stash(split.join(met, "key").groupBy("key", "main").agg(F.struct(F.count(F.lit(1)), *sums).alias("members")).groupBy("members").agg(F.min(F.struct("key", "main")).alias("one")).select("one.*"), "split")
     left = stash(placed.join(split, "key").select(F.col("key").alias("g"), "cid", (F.col("label") != F.col("main")).alias("out")).join(sizes, "cid"), "rest")
     groups = left.where("out").select("g", F.lit(0).alias("side"), "cid", "n_shingles").unionByName(left.select("g", F.lit(1).alias("side"), "cid", "n_shingles"))
     links = stash(links.unionByName(_compare(groups, sets, percent)).distinct(), "links")

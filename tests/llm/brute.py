@@ -139,3 +139,39 @@ def lm_scores(rows, order=3):
     toks = {i: tokens_of(t) for i, t in rows}
     p = kneser_ney([ts for i, ts in toks.items() if crc(i, 7) != 2], order)
     return {i: sum(map(math.log10, p(ts))) for i, ts in toks.items()}
+
+
+def toxic_ratio(toxic, ordinary, clear, chance):
+    """A function from tokens to the mean log ratio: both classes' words over the words of all, below all pairs."""
+    firm = lambda c: min(c, 3)
+    pair = Counter(p for ts in [*toxic, *ordinary] for p in zip(["<s>", *ts], ts, strict=False))
+    total, low = Counter(), Counter()
+    for (v, _), c in pair.items():
+        total[v] += c
+        low[v] += firm(c)
+
+    def words(texts, below):
+        cont = Counter(w for _, w in {p for ts in texts for p in zip(["<s>", *ts], ts, strict=False)})
+        n, held = sum(cont.values()), sum(map(firm, cont.values()))
+        f = lambda w: (cont[w] - firm(cont[w]) + held * below(w)) / n
+        f.cont, f.n = cont, n
+        return f
+
+    vocabulary = {w for ts in [*toxic, *ordinary] for w in ts}
+    every = words([*toxic, *ordinary], lambda w: 1 / (len(vocabulary) + 1))
+    classes = [words(x, every) for x in (toxic, ordinary)]
+
+    def differs(w):
+        a, b = (c.cont[w] for c in classes)
+        share = classes[0].n / (classes[0].n + classes[1].n)
+        return (a - (a + b) * share) ** 2 >= chance * max(a + b, 1) * share * (1 - share)
+
+    def x(ts):
+        out = 0.0
+        for v, w in zip(["<s>", *ts], ts, strict=False):
+            p = [(pair[v, w] - firm(pair[v, w]) + low[v] * c(w)) / total[v] if total[v] else c(w) for c in classes]
+            d = math.log(p[0] / p[1])
+            out += d if abs(d) >= clear and differs(w) else 0.0
+        return out / len(ts)
+
+    return x

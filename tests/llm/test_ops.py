@@ -210,6 +210,35 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.95 * len(held)
     none = op8_toxicity.toxicity_scores(docs(spark, ["a b"]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert [r.score for r in none] == [0.0]
+    both = spark.createDataFrame([(0, 1), (3, 0), (5, 0)], "doc_id long, toxic int")
+    assert op8_toxicity.toxicity_scores(docs(spark, []), both).count() == 0
+
+
+def test_toxicity_equals_brute_force(spark):
+    """With null ids, repeated rows and labels, and a very long text."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = rng.choices(["vile", "nasty"], k=3 * (i % 2)) + rng.choices([f"w{k}" for k in range(60)], weights=[1 / (k + 1) for k in range(60)], k=30)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    labels = [(i, i % 2) for i in range(300)]
+    known = [i for i, _ in labels if brute.crc(i, 3) != 1]
+    drop = sum(i % 2 for i in known) - sum(1 - i % 2 for i in known)  # leave as many of either label
+    for i in [i for i in known if (i % 2 == 1) == (drop > 0)][: abs(drop)]:
+        labels.remove((i, i % 2))
+        known.remove(i)
+    rows += [(None, "vile w1"), (7, rows[7][1]), (9000, "w1 vile " * 40_000), (9001, None)]
+    labels += [(8, 0), (None, 1)]
+    got = op8_toxicity.toxicity_scores(docs(spark, [t for _, t in rows], [i for i, _ in rows]), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    fit = {r.doc_id for r in spark.createDataFrame([(i,) for i in known], "doc_id long").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(op8_toxicity.FOLD)) == 0).collect()}
+    learnt = [[brute.tokens_of(t) for i, t in rows if i in known and i not in fit and i % 2 == k] for k in (1, 0)]
+    x = brute.toxic_ratio(*learnt, op8_toxicity.CLEAR, op8_toxicity.CHANCE)
+    want = sorted((-1 if i is None else i, x(brute.tokens_of(t))) for i, t in rows)
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.x) for r in got)
+    assert [i for i, _ in have] == [i for i, _ in want] and all(math.isclose(u, v, rel_tol=1e-7, abs_tol=1e-12) for (_, u), (_, v) in zip(have, want, strict=True)) and sum(v > 0 for _, v in want) > 100
+    by = sorted(got, key=lambda r: r.x)
+    assert all(a.score <= b.score for a, b in zip(by, by[1:], strict=False))
 
 
 def test_secret_base_spans_and_grammar(spark, corpus):
