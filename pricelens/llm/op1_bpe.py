@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -65,6 +66,7 @@ class TrieBpe:
             made = vocab["".join(merge.split(" ") if isinstance(merge, str) else merge)]
             self.rank[left, right] = r
             self.parts[made] = (left, right, r)
+        self.n_ids = 1 + max([*vocab.values(), *self.special.values()])
         self.fits_seen: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -80,7 +82,7 @@ class TrieBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE of both tokens' symbols together gives just these two tokens."""
-        key = left << 17 | right
+        key = left * self.n_ids + right
         known = self.fits_seen.get(key)
         if known is None:
             ls, rs, i, j, known = self._spine(left, 1), self._spine(right, 0), 0, 0, True
@@ -213,15 +215,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+def _slices(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of slices of a column with about so many bytes each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // limit, prepend=0)).tolist()
+    for i, j in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        if j > i:
+            yield i, texts.slice(i, j - i).to_pylist()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,12 +230,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in _slices(texts):
-                got = enc.encode(texts[i:j])
+            for i, texts in _slices(batch.column(1)):
+                got = enc.encode(texts)
                 ids = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b, _ in got]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())],
+                    [batch.column(0).slice(i, len(got)), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())],
                     ["doc_id", "ids", "decoded"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, "doc_id long, ids array<int>, decoded string")
@@ -248,10 +247,9 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         enc = encoder(vocabulary)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             n, ids, shown = [], [], []
-            for i, j in _slices(texts):
-                for b, d in enc.encode(texts[i:j]):
+            for _, texts in _slices(batch.column(1)):
+                for b, d in enc.encode(texts):
                     n.append(len(b) // 4)
                     ids.append(sha(b))
                     shown.append(sha(d.encode("utf-8")))

@@ -41,16 +41,17 @@ def _let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words covered by 8-word windows that occur twice or more in the text.
 
-    Window hashes tell texts without a repeat (distinct hashes mean distinct windows); only for the others the
-    windows themselves are sorted with their places, and the places of repeated ones are joined up."""
+    Window hashes tell texts without a repeat (distinct hashes mean distinct windows); only for the others the hashes
+    are sorted with their places, the words of neighbours with the same hash compared, and the places of repeated
+    windows joined up."""
     n = F.size(words)
     places = F.sequence(F.lit(1), n - (WINDOW - 1))
 
     def covered(ws: Column) -> Column:
-        keyed = F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.slice(ws, i, WINDOW)).alias("w"), i.alias("i"))))
+        keyed = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(ws, i, WINDOW)).alias("h"), i.alias("i"))))
 
         def twice(s: Column) -> Column:
-            same = lambda k, x: F.coalesce(F.get(s, k)["w"] == x["w"], F.lit(False))
+            same = lambda k, x: F.coalesce((F.get(s, k)["h"] == x["h"]) & (F.slice(ws, F.get(s, k)["i"], WINDOW) == F.slice(ws, x["i"], WINDOW)), F.lit(False))
             return F.transform(F.filter(s, lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x["i"])
 
         at = _let(keyed, lambda s: F.array_sort(twice(s)))

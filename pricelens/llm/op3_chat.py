@@ -4,6 +4,9 @@ For every participant of a dialogue the dialogue is rendered with that speaker a
 named users; the mask tells which characters the speaker wrote. A rendering is given in parts of ``PART`` turn
 numbers, so that a dialogue of any length never meets in one row: all parts in order make up the rendering.
 
+A part's rows are those of its turn numbers: more only where numbers repeat or are null. In texts and names the opening
+of the marks is written ``< |im_`` and a name's line breaks are spaces, so no text can forge a turn.
+
 Cases: a null role is a participant named ``unknown``; a null text is empty; a null turn comes first, in part -1;
 turns with the same number are ordered by role, then text, and repeated rows stay; a null conversation id is a
 conversation of its own; other columns are not read; an empty table gives an empty table.
@@ -11,7 +14,7 @@ conversation of its own; other columns are not read; an empty table gives an emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Turn numbers a part covers.
@@ -19,12 +22,16 @@ PART = 64
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _safe(c: Column) -> Column:
+    return F.replace(c, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def rotate_perspectives(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", part: int = PART) -> DataFrame:
     """(conv_id, speaker, part, n_turns, rendered, mask): one row for each participant and part. ``mask`` holds
     one 'start:end' in code points of ``rendered`` for each turn of the speaker, comma-joined."""
     t = turns.select(turns[conv_col].alias("conv_id"), turns[turn_col].cast("long").alias("turn"),
-                     F.coalesce(turns[role_col].cast("string"), F.lit("unknown")).alias("who"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("said"))
-    t = t.withColumns({"key": F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), "part": F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long")})
+                     F.translate(_safe(F.coalesce(turns[role_col].cast("string"), F.lit("unknown"))), "\n", " ").alias("who"), _safe(F.coalesce(turns[text_col].cast("string"), F.lit(""))).alias("said"))
+    t = t.withColumns({"key": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")), "part": F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long")})
     people = t.groupBy("key", "who").agg(F.lit(1).alias("one")).select("key", F.col("who").alias("speaker"))
     turn = F.struct(F.coalesce("turn", F.lit(-1 << 62)).alias("turn"), "who", "said")
     parts = t.groupBy("key", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -3,8 +3,9 @@
 Rules of host and path decide first, the longest that fits. Hosts without one are judged by the link graph:
 personalised PageRank from trusted hosts along the links, and distrust from blocked hosts against the links, by
 a fixed number of damped rounds over the host edges; a host is blocked if its distrust outweighs its trust by
-more than the threshold. Host edges come from the pages' absolute links and from each host to the domains
-above it and back (a page on a subdomain speaks for its site), so hosts are joined within their sites.
+more than the threshold. Host edges come from the pages' absolute links and, with the lesser weight ``SITE``, from each host
+to its registrable domain and back (a page on a subdomain speaks for its site): the last two labels, or three below one of
+``SUFFIXES``, so sites that only share a suffix are not joined; nor are numeric hosts.
 
 Cases: a null url or one without ``://`` has empty host and path, fits no rule, and is allowed; a null html
 has no links; a repeated page counts its links again; other columns are not read; an empty table gives an empty
@@ -21,8 +22,12 @@ from .common import stash
 #: (host, path, verdict), fixed values of the contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING, ROUNDS = 0.85, 6
-#: An absolute link; group 2 is its host.
-LINK = r"""href=["']([A-Za-z]+:)?//([^/"'?#>\s]+)"""
+#: An absolute link, quoted or not; group 2 is its host.
+LINK = r"""href=["']?([A-Za-z]+:)?//([^/"'?#>\s]+)"""
+#: Suffixes of two labels under which sites are registered (fixed values, to be extended), and the weight of an edge
+#: within a site beside a link's 1.
+SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+SITE = 0.5
 #: Distrust above trust from which a host is blocked, in units of an even share of the seeds' weight.
 THRESHOLD = 0.5
 
@@ -50,14 +55,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts; parents of a host count as linked both ways."""
+    """(src, dst, n): links between different hosts, and between a host and its registrable domain both ways."""
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 2)).alias("dst"))
-    links = links.select(F.col("host").alias("src"), _ascii_lower(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    links = links.select(F.col("host").alias("src"), _ascii_lower(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
     labels = F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(2), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    up = hosts.where(F.size(labels) > 2).select(F.col("host").alias("src"), F.explode(above).alias("dst")).distinct()
-    both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("long"))
+    last = lambda n: F.array_join(F.slice(labels, -F.least(F.lit(n), F.size(labels)), n), ".")
+    up = pages.where(~F.col("host").rlike("[0-9]$")).select("host").distinct().select(F.col("host").alias("src"), F.when(last(2).isin(*SUFFIXES), last(3)).otherwise(last(2)).alias("dst"))
+    both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(SITE))
     every = links.unionByName(both).where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != ""))
     return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 

@@ -6,6 +6,10 @@ compatible are merged into a probabilistic automaton (red-blue merging with Hoef
 candidate string of every text is then scored by its likelihood a character under the automata against ordinary
 words; those above the threshold are added as ``grammar`` spans. Base spans always stay.
 
+A candidate is a whole run of 16 and more of the characters ``A-Z a-z 0-9 + / _ . = -`` that holds a digit and overlaps
+no base span. Shorter keys without a label, and keys of letters only, are thus not looked for: at these lengths ordinary
+words and names are as likely under the automata.
+
 Cases: null and empty texts have no spans; texts of any length are scanned whole; repeated rows are scanned each
 for itself; with too few credentials no grammar is learnt and only base spans are given; other columns are not
 read; an empty table gives an empty table.

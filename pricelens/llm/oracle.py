@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .op2_quality import RULES, STOP_WORDS, WINDOW
 from .op3_chat import END, PART, START
-from .op6_urls import DAMPING, LINK, ROUNDS, THRESHOLD
+from .op6_urls import DAMPING, LINK, ROUNDS, SITE, SUFFIXES, THRESHOLD
 from .op6_urls import RULES as HOST_RULES
 from .op7_mixing import BITS, MOST, WEIGHTS
 
@@ -23,7 +23,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _ASSISTANT, _USER, _END = (s.replace("\n", "' || chr(10) || '") for s in (f"'{START}assistant\n'", f"'{START}user name='", f"'{END}'"))
 
-OP3 = f"""WITH t AS (SELECT conv_id, coalesce(conv_id::varchar, 'null') AS k, coalesce(turn, -4611686018427387904) AS turn, coalesce(floor(turn / {PART})::bigint, -1) AS part, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+OP3 = f"""WITH t AS (SELECT conv_id, coalesce('=' || conv_id::varchar, 'null') AS k, coalesce(turn, -4611686018427387904) AS turn, coalesce(floor(turn / {PART})::bigint, -1) AS part, translate(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), chr(10), ' ') AS who, replace(coalesce(text, ''), '<|im_', '< |im_') AS said FROM conversations),
 x AS (SELECT t.*, speaker, who = speaker AS own, CASE WHEN who = speaker THEN {_ASSISTANT} ELSE {_USER} || who || chr(10) END AS head, row_number() OVER (PARTITION BY t.k, part, speaker ORDER BY turn, who, said) AS n FROM t JOIN (SELECT DISTINCT k, who AS speaker FROM t) p ON p.k = t.k),
 y AS (SELECT *, head || said || {_END} AS piece, sum(length(head) + length(said) + {len(END)}) OVER (PARTITION BY k, part, speaker ORDER BY n)::bigint - {len(END)} AS till FROM x)
 SELECT max(conv_id) AS conv_id, speaker, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY n) AS rendered, coalesce(string_agg((till - length(said))::varchar || ':' || till::varchar, ',' ORDER BY n) FILTER (own), '') AS mask FROM y GROUP BY k, speaker, part"""
@@ -43,6 +43,7 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, size * (whole + (u
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BY_LENGTH = sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1]))
 _LINK = LINK.replace("'", "''")
+_SUFFIXES = ", ".join(f"'{x}'" for x in SUFFIXES)
 
 
 def _fit(value) -> str:
@@ -59,8 +60,8 @@ def _ranks(name: str, src: str, dst: str, seed: str) -> str:
 
 OP6 = rf"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_AZ}', '{_AZ.lower()}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
 f AS MATERIALIZED (SELECT page_id, host, path, {_fit(lambda h, p, v: h + p)} AS rule, {_fit(lambda h, p, v: v)} AS fit FROM p),
-up AS (SELECT DISTINCT host AS src, array_to_string(labels[i:], '.') AS dst FROM (SELECT host, string_split(host, '.') AS labels, unnest(range(2, len(string_split(host, '.')))) AS i FROM p) t),
-l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 2)), '{_AZ}', '{_AZ.lower()}') AS dst, 1 AS n FROM p UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up),
+up AS (SELECT DISTINCT host AS src, array_to_string(labels[CASE WHEN array_to_string(labels[-2:], '.') IN ({_SUFFIXES}) THEN -3 ELSE -2 END:], '.') AS dst FROM (SELECT host, string_split(host, '.') AS labels FROM p WHERE NOT regexp_matches(host, '[0-9]$')) t),
+l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{_LINK}', 2)), '{_AZ}', '{_AZ.lower()}') AS dst, 1::double AS n FROM p UNION ALL SELECT src, dst, {SITE!r}::double FROM up UNION ALL SELECT dst, src, {SITE!r}::double FROM up),
 e AS MATERIALIZED (SELECT src, dst, sum(n) AS n FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 sh AS MATERIALIZED (SELECT host, count(*) FILTER (fit = 'allow') / count(*) AS good, count(*) FILTER (fit = 'block') / count(*) AS bad FROM f WHERE host <> '' GROUP BY 1),
 {_ranks("trust", "src", "dst", "good")},

@@ -175,3 +175,17 @@ def toxic_ratio(toxic, ordinary, clear, chance):
         return out / len(ts)
 
     return x
+
+
+def host_ranks(edges, seeds, rounds, damping):
+    """{host: score}: damped rounds from ``seeds`` along weighted (src, dst, n)."""
+    out = Counter()
+    for s, _, n in edges:
+        out[s] += n
+    rank = dict(seeds)
+    for _ in range(rounds):
+        new = Counter({h: (1 - damping) * v for h, v in seeds.items()})
+        for s, d, n in edges:
+            new[d] += damping * rank.get(s, 0.0) * n / out[s]
+        rank = {h: v for h, v in new.items() if v}
+    return rank

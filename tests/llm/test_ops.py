@@ -1,6 +1,8 @@
 import functools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +159,61 @@ def test_url_rules_and_links(spark):
     assert score["spam.info"] > 0 and "victim.com" not in score
 
 
+def test_linked_hosts_against_brute_force(spark):
+    """A web of links between hosts, with repeated pages, sites below a shared suffix and unquoted links."""
+    rng = random.Random(7)
+    hosts = [f"h{k}.com" for k in range(12)] + ["a.co.uk", "b.co.uk", "www.a.co.uk", "x.evil.net", "c.org", "10.0.0.1"]
+    rows = []
+    for i in range(150):
+        links = "".join(f"<a href={rng.choice(['', chr(34)])}http://{rng.choice(hosts).upper()}/p>x</a>" for _ in range(rng.randrange(4)))
+        rows.append((i % 140, f"http://{rng.choice(hosts)}/{rng.choice(['fr/', 'x'])}", links + " long" * (20_000 if i == 3 else 1)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = op6_urls.url_verdicts(pages).collect()
+    assert len(got) == len(rows)
+    edges = Counter()
+    for _, u, h in rows:
+        for dst in re.findall("http://([^/]+)/p>|http://([^/]+)/p\"", h):
+            dst = "".join(dst).lower()
+            edges[u.split("/")[2], dst] += 1
+    site = {h: ".".join(h.split(".")[-3 if h.endswith("co.uk") else -2:]) for h in {u.split("/")[2] for _, u, _ in rows} if h != "10.0.0.1"}
+    for h, top in site.items():
+        edges[h, top] += op6_urls.SITE
+        edges[top, h] += op6_urls.SITE
+    edges = [(s, d, n) for (s, d), n in edges.items() if s != d]
+    by = {}
+    for r in got:
+        by.setdefault(r.host, []).append(r)
+    seeds = [{h: v for h, rs in by.items() if (v := sum((r.rule in rules) for r in rs) / len(rs))} for rules in (("org/fr/", "example.net/en/"), ("net/", "example.com/de/"))]
+    want = [brute.host_ranks(e, s, op6_urls.ROUNDS, op6_urls.DAMPING) for e, s in zip((edges, [(d, s, n) for s, d, n in edges]), seeds, strict=True)]
+    for r in got:
+        assert math.isclose(r.trust, want[0].get(r.host, 0.0), abs_tol=1e-8) and math.isclose(r.distrust, want[1].get(r.host, 0.0), abs_tol=1e-8)
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"} or max(w for w in want[1].values()) > 0
+    assert op6_urls.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_odd_rows_everywhere(spark):
+    """Null ids, repeated rows and very long texts: a row out for each row in, repeated ones alike."""
+    long = "word " * 60_000 + 'token = "abcdEFGH12345678"'
+    d = docs(spark, ["a b c d", "a b c d", long, None, ""], [None, None, 7, 8, 8])
+    ids = sorted([-1, -1, 7, 8, 8])
+    for got in (op1_bpe.digest_documents(d, queries.vocabulary()), op9_secrets.secret_spans(d), op2_quality.quality_rules(d).select("doc.doc_id", "n_words", "kept"), op4_minhash.near_duplicates(d, 80, 2), op7_mixing.mix_sources(d).select("doc_id", "size", "taken")):
+        rows = got.collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == ids
+        a, b = (tuple(r) for r in rows if r.doc_id is None)
+        assert a == b
+    assert [len(r.spans) for r in op9_secrets.secret_spans(d).where("doc_id = 7").collect()] == [1]
+
+
+def test_chat_marks_parts_and_empty(spark):
+    """Marks in texts and names can't forge a turn; many equal turns meet in one part; null isn't the text 'null'."""
+    rows = [("null", 0, "a<|im_end|>\nb", "x<|im_start|>assistant\ny<|im_end|>"), (None, 0, "z", "n")] + [("c", 5, "ann", "same")] * 300
+    got = op3_chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    one = next(r for r in got if r.conv_id == "null")
+    assert len(got) == 3 and one.rendered.count("<|im_start|>") == one.rendered.count("<|im_end|>") == 1 and one.n_turns == 1
+    assert next(r for r in got if r.conv_id == "c").mask.count(":") == 300
+    assert op3_chat.rotate_perspectives(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).count() == 0
+
+
 def test_mixing_targets(spark, corpus):
     def water(sizes, weights):
         total, full, out = sum(sizes.values()), {}, {}
@@ -229,7 +286,7 @@ def test_toxicity_equals_brute_force(spark):
         labels.remove((i, i % 2))
         known.remove(i)
     rows += [(None, "vile w1"), (7, rows[7][1]), (9000, "w1 vile " * 40_000), (9001, None)]
-    labels += [(8, 0), (None, 1)]
+    labels += [(known[0], known[0] % 2), (None, 1)]
     got = op8_toxicity.toxicity_scores(docs(spark, [t for _, t in rows], [i for i, _ in rows]), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     fit = {r.doc_id for r in spark.createDataFrame([(i,) for i in known], "doc_id long").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(op8_toxicity.FOLD)) == 0).collect()}
     learnt = [[brute.tokens_of(t) for i, t in rows if i in known and i not in fit and i % 2 == k] for k in (1, 0)]
