@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,8 +23,22 @@ SANCTIONS = (
 )
 #: Letters with a mark, as base and combining mark, that keys keep composed.
 COMPOSED = (("g\u0306", "ğ"), ("u\u0308", "ü"), ("s\u0327", "ş"), ("o\u0308", "ö"), ("c\u0327", "ç"))
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğşÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĞŞİ"
-_BARE = "aaaaaaceeeeiiiinooooouuuuyygsAAAAAACEEEEIIIINOOOOOUUUUYGSI"
+# Letters that no decomposition of Unicode takes apart, as slugs write them.
+WHOLE_LETTERS = {"ß": "ss", "ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe", "đ": "d", "Đ": "d", "ł": "l", "Ł": "l", "ı": "i"}
+
+
+def _marked_letters() -> dict[str, str]:
+    """Every Latin letter that Unicode decomposes into an ASCII letter and marks, with that letter."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare.isascii() and bare.isalpha():
+            out[chr(code)] = bare
+    return out
+
+
+_LETTERS = _marked_letters()
+_MARKED, _BARE = "".join(_LETTERS), "".join(_LETTERS.values())
 
 
 def squeeze(text: Column) -> Column:
@@ -34,6 +50,7 @@ def normalise_team(name: Column) -> Column:
     key = F.lower(F.trim(F.translate(name, "İI", "iı")))
     for pair, letter in COMPOSED:
         key = F.replace(key, F.lit(pair), F.lit(letter))
+    key = F.regexp_replace(key, r"[a-z]\p{M}+", " ")  # the other composed letters are none of a key
     key = F.regexp_replace(key, rf"(?U)\b{SUFFIXES}\b", " ")
     key = F.regexp_replace(key, f"[^{KEY_LETTERS}]+", " ")
     return squeeze(F.translate(key, "ı", "i"))
@@ -50,7 +67,9 @@ def fold(text: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Lower-case letters and digits with single hyphens; null where nothing is left (an error to the caller)."""
-    bare = F.lower(F.translate(unmarked(text), "ı", "i"))
+    for letter, plain in WHOLE_LETTERS.items():
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    bare = F.lower(unmarked(text))
     out = F.trim(F.regexp_replace(F.regexp_replace(bare, "['’‘ʼ`]", ""), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(out != "", out)
 

@@ -55,6 +55,19 @@ def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str],
     return x.groupBy(*keys).applyInPandas(run, schema)
 
 
+class SeenResults:
+    """Logs instead of forecasting: how many results a decision has seen."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def predict(self, row) -> tuple:
+        return (float(self.n),)
+
+    def observe(self, row) -> None:
+        self.n += 1
+
+
 class Elo:
     """Ratings with home advantage and goal margin; after a long gap a rating returns towards its group's mean, and a
     newcomer begins below it. Predicts both ratings and the home expectation."""

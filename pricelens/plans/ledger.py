@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import matches, table
+from ..fixtures import table
+from ..functions import timeaxis as T
+from ..operators.replay import SeenResults, replay
 from .registry import query
+from .timeaxis import _DDAY, _KICK, _UTC, kickoffs
 
 #: Rows of a segment, levels of segment heads above the rows, and where a new ledger starts.
 SEGMENT, LEVELS, GENESIS = 1000, 2, "0" * 64
@@ -88,12 +91,24 @@ def row_hash(spark, sf):
     return lines(spark, sf).select("event_id", F.sha2("line", 256).alias("row_hash"))
 
 
-@query("h2_chain_build")
+def _chain_sql() -> str:
+    """Tables n0, c0, ... of all levels: numbered rows, and their chain row by row."""
+    out = [f"n0 AS MATERIALIZED (SELECT event_id // {SEGMENT} AS seg, row_number() OVER (PARTITION BY event_id // {SEGMENT} ORDER BY event_id) AS place, event_id, {_LINE} AS line FROM events)"]
+    for k in range(LEVELS + 1):
+        first = f"'{GENESIS}'" if k == LEVELS else "'segment ' || seg::varchar"
+        out.append(f"c{k} AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE r(seg, place, event_id, line, prev_hash, row_hash) AS (SELECT seg, place, event_id, line, {first}, sha256({first} || line) FROM n{k} WHERE place = 1 UNION ALL SELECT n.seg, n.place, n.event_id, n.line, r.row_hash, sha256(r.row_hash || n.line) FROM r JOIN n{k} n ON n.seg = r.seg AND n.place = r.place + 1) SELECT * FROM r))")
+        if k < LEVELS:
+            up = "0" if k + 1 == LEVELS else f"seg // {SEGMENT}"
+            out.append(f"n{k + 1} AS MATERIALIZED (SELECT {up} AS seg, row_number() OVER (PARTITION BY {up} ORDER BY old) AS place, old AS event_id, line FROM (SELECT seg, seg AS old, concat_ws('|', seg::varchar, arg_max(row_hash, place), count(*)::varchar) AS line FROM c{k} GROUP BY 1, 2) t)")
+    return ", ".join(out)
+
+
+@query("h2_chain_build", f"WITH {_chain_sql()} " + " UNION ALL ".join(f"SELECT {k} AS level, event_id, seg, prev_hash, row_hash FROM c{k}" for k in range(LEVELS + 1)))
 def chain_build(spark, sf):
     return build_chain(lines(spark, sf)).select("level", "event_id", "seg", "prev_hash", "row_hash")
 
 
-@query("h3_chain_verify", f"SELECT event_id // {SEGMENT} AS seg, count(*) AS n_rows, NULL::varchar AS first_bad FROM events GROUP BY 1")
+@query("h3_chain_verify", f"WITH {_chain_sql()} SELECT seg, count(*) AS n_rows, min(CASE WHEN NOT (row_hash = sha256(prev_hash || line)) THEN event_id END)::varchar AS first_bad FROM c0 GROUP BY 1")
 def chain_verify(spark, sf):
     return verify_chain(build_chain(lines(spark, sf)))
 
@@ -134,12 +149,34 @@ def content_append(spark, sf):
     return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
 
 
-@query("q9_leak_audit", "SELECT a.grp, count(*) AS n FROM fx_match a GROUP BY 1", "match")
-def leak_audit(spark, sf):
-    """Every decision's last visible result lies before it: the audited decisions of each group."""
-    w = Window.partitionBy("grp").orderBy(F.datediff("match_date", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    x = matches(spark, sf).withColumn("seen", F.max("match_date").over(w))
-    return x.groupBy("grp").agg(F.count_if(F.col("seen").isNull() | (F.col("seen") < F.col("match_date"))).alias("n"))
+_AUDIT = f"""{_KICK}, d AS (SELECT *, {_UTC.format(x='noon_at')} AS noon_utc, match_date + interval 27 hours AS late FROM (SELECT *, {_DDAY} + interval 12 hours AS noon_at FROM kick) t),
+i AS (SELECT match_id, grp, CASE WHEN utc IS NULL OR noon_utc < utc THEN epoch(noon_utc)::bigint END AS decided, epoch(coalesce(utc + interval 3 hours, {_UTC.format(x='late')}))::bigint AS known FROM d)"""
+
+
+def seen_log(m: DataFrame, make=SeenResults) -> DataFrame:
+    """What each decision of a replay had seen: (match_id, grp, n_seen)."""
+    return replay(m, make, ["n_seen"]).where("decided").select("match_id", "grp", F.col("n_seen").cast("long").alias("n_seen"))
+
+
+def allowed(m: DataFrame) -> DataFrame:
+    """(match_id, n_known): results of the group that are known before each decision, counted without a replay: decisions
+    and results by day, with the days' running totals and the day's own events in order."""
+    at = T.decision_at(F.col("match_date"), F.col("kickoff"))
+    x = m.select("grp", "match_id", F.explode(F.array(F.struct(F.unix_timestamp(at).alias("at"), F.lit(0).alias("result")), F.struct(F.unix_timestamp(T.result_known_at(F.col("match_date"), F.col("kickoff"))).alias("at"), F.lit(1).alias("result")))).alias("e")).select("grp", "match_id", "e.*").where("at is not null")
+    x = x.withColumn("day", F.floor(F.col("at") / 86400))
+    days = x.groupBy("grp", "day").agg(F.sum("result").alias("n"))
+    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    w = Window.partitionBy("grp", "day").orderBy("at", "result", "match_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("today", F.sum("result").over(w)).where("result = 0").join(before, ["grp", "day"])
+    return x.select("match_id", (F.col("before") + F.col("today")).alias("n_known"))
+
+
+@query("q9_leak_audit", f"WITH {_AUDIT} SELECT a.match_id, count(b.match_id) AS n_seen, false AS leak FROM i a LEFT JOIN i b ON b.grp = a.grp AND b.known < a.decided WHERE a.decided IS NOT NULL GROUP BY 1", "match")
+def leak_audit(spark, sf, make=SeenResults):
+    """The replay's own log against the results known before each decision: one that saw more has looked ahead."""
+    m = kickoffs(spark, sf)
+    x = seen_log(m, make).join(allowed(m), "match_id")
+    return x.select("match_id", "n_seen", (F.col("n_seen") > F.col("n_known")).alias("leak"))
 
 
 _ANCHOR = f"anchors AS (SELECT event_id AS last_id, event_id + 1 AS n_rows, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE sha256({_LINE}) END AS head FROM events WHERE event_id % 500 = 499)"

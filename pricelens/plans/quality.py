@@ -23,11 +23,11 @@ def schema_assertion(spark, sf):
     return violations(table(spark, sf, "documents"), 1_000_000, ["text", "source"])
 
 
-@query("q2_freshness", "SELECT event_type, CASE WHEN max(epoch(ts)) > 1706659200 - 60 THEN 'future' WHEN max(epoch(ts)) < 1706659200 - 3600 THEN 'stale' ELSE 'fresh' END AS state FROM events GROUP BY 1")
+@query("q2_freshness", "SELECT event_type, CASE WHEN max(epoch(ts)) > 1706659200 + 60 THEN 'future' WHEN max(epoch(ts)) < 1706659200 - 3600 THEN 'stale' ELSE 'fresh' END AS state FROM events GROUP BY 1")
 def freshness(spark, sf, now=1706659200, limit=3600):
     last = F.max(F.unix_timestamp(F.col("ts").cast("timestamp")) + F.date_format(F.col("ts").cast("timestamp"), "SSSSSS").cast("double") / 1e6)
     x = table(spark, sf, "events").groupBy("event_type").agg(last.alias("last"))
-    return x.select("event_type", F.when(F.col("last") > now - 60, "future").when(F.col("last") < now - limit, "stale").otherwise("fresh").alias("state"))
+    return x.select("event_type", F.when(F.col("last") > now + 60, "future").when(F.col("last") < now - limit, "stale").otherwise("fresh").alias("state"))
 
 
 @query("q3_reject_shares", "SELECT season, count(*) AS cells, count(*) FILTER (d IS NULL) AS bad, CASE WHEN avg((d IS NULL)::int) > 0.01 THEN 'too_many_rejects' WHEN avg((phase = 1 AND d IS NOT NULL)::int) < 0.5 * avg((phase = 1)::int) THEN 'closing_missing' ELSE 'ok' END AS verdict FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1", "odds")

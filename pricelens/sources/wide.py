@@ -15,17 +15,30 @@ LAYOUTS = {
 OUTCOMES = ("H", "D", "A")
 
 
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    plain = F.transform(F.split(line, ",", -1), lambda v: F.trim(v))
+    bare = lambda v: F.replace(F.regexp_replace(v, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    quoted = F.transform(F.split(line, _COMMA, -1), lambda v: F.trim(bare(F.trim(v))))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+
+
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, width, cells map<string,string>, fits): lines of CSV files with the header's names as keys.
 
-    Of columns with the same name the first counts. A line longer than its header is trimmed if what is left over is
-    blank; any other width doesn't fit. A header is found by its place, the file's first line."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\\uFEFF|\\r$", "").alias("value"))
-    first = raw.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("header"), F.min(F.struct("block", "at")).alias("top"))
-    x = raw.where("value <> ''").join(first, "file").where(F.struct("block", "at") > F.col("top"))
-    cells, names = (F.transform(F.split(c, ",", -1), lambda v: F.trim(v)) for c in ("value", "header"))
-    x = x.select("file", F.col("at").alias("line"), cells.alias("c"), names.alias("h"))
-    fits = (F.size("c") == F.size("h")) | ((F.size("c") > F.size("h")) & (F.array_join(F.slice("c", F.size("h") + 1, 10000), "") == ""))
+    A file that isn't UTF-8 throughout is read as Latin-1. Cells may be quoted, but hold no line breaks. Of columns with
+    the same name the first counts. A line longer than its header is trimmed if what is left over is blank; any other
+    width doesn't fit. A header is found by its place, the file's first line."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw"), F.is_valid_utf8("value").alias("utf8"))
+    first = raw.groupBy("file").agg(F.min_by("raw", F.struct("block", "at")).alias("top_raw"), F.min(F.struct("block", "at")).alias("top"), F.bool_and("utf8").alias("all_utf8"))
+    x = raw.join(first, "file").where(F.struct("block", "at") > F.col("top"))
+    text = lambda c: F.regexp_replace(F.when(F.col("all_utf8"), F.decode(c, "UTF-8")).otherwise(F.decode(c, "ISO-8859-1")), "^\\uFEFF|^\u00ef\u00bb\u00bf|\\r$", "")
+    x = x.select("file", "at", text("raw").alias("value"), text("top_raw").alias("header")).where("value <> ''")
+    x = x.select("file", F.col("at").alias("line"), _cells(F.col("value")).alias("c"), _cells(F.col("header")).alias("h"))
+    fits = (F.size("c") == F.size("h")) | ((F.size("c") > F.size("h")) & (F.array_join(F.slice("c", F.size("h") + 1, F.size("c")), "") == ""))
     pairs = F.filter(F.transform("h", lambda n, i: F.struct(n.alias("key"), F.get("c", i).alias("value"), i.alias("i"))), lambda p: (p["key"] != "") & (F.array_position("h", p["key"]) == p["i"] + 1))
     return x.select("file", "line", F.size("c").alias("width"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"], p["value"]))).alias("cells"), fits.alias("fits"))
 

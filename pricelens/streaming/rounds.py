@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,18 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DELAY = "10 minutes"
-
+from ..operators.lineage import shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that the cluster names; on this machine only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pricelens-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+DELAY = "10 minutes"
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything the stream gives now, written as Parquet and read again; the checkpoint lies beside it."""
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+def run(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Everything the stream gives now, written as Parquet below ``at`` and read again; the checkpoint lies beside it. A
+    run with the same folder resumes where the last one ended; without one each run is a new one in the shared folder."""
+    spark = stream.sparkSession
+    at = at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

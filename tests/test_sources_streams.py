@@ -25,6 +25,15 @@ def test_wide_reader(spark, tmp_path):
     assert [(p.book, p.outcome, p.phase, p.price, p.valid) for p in prices] == [("X", "H", "pre", 1.5, True), ("X", "H", "pre", None, False)]
 
 
+def test_wide_reader_of_old_files(spark, tmp_path):
+    """Latin-1 files, quoted cells, and more than ten thousand surplus cells."""
+    (tmp_path / "l.csv").write_bytes("Div,HomeTeam,AwayTeam\nSP1,Málaga,\"A, \"\"B\"\"\"\n".encode("latin-1") + b"SP1,A,B" + b"," * 10_500 + b"\nSP1,A,B" + b"," * 10_500 + b"x\n")
+    (tmp_path / "u.csv").write_bytes("\ufeffDiv,HomeTeam,AwayTeam\nSP1,Málaga,B\n".encode())
+    rows = wide.read_wide(spark, str(tmp_path)).orderBy("file", "line").collect()
+    assert [(r.cells["HomeTeam"], r.cells["AwayTeam"], r.fits) for r in rows] == [("Málaga", 'A, "B"', True), ("A", "B", True), ("A", "B", False), ("Málaga", "B", True)]
+    assert rows[3].cells["Div"] == "SP1"
+
+
 def test_dates(spark):
     x = spark.createDataFrame([("01/02/69",), ("01/02/68",), ("1/2/2000",), ("30/02/2000",), ("",)], "t string")
     assert [str(r.d) for r in x.select(wide.parse_date(F.col("t")).alias("d")).collect()] == ["1969-02-01", "2068-02-01", "None", "None", "None"]
@@ -62,6 +71,11 @@ def test_names(spark):
     assert all(r.a == r.b for r in x.select(T.normalise_team(F.col("a")).alias("a"), T.normalise_team(F.col("b")).alias("b")).collect())
     s = spark.createDataFrame([("Beşiktaş JK", "Newell's"), ("?!", None)], "a string, b string").select(T.slug(F.col("a")).alias("a"), T.slug(F.col("b")).alias("b")).collect()
     assert [tuple(r) for r in s] == [("besiktas-jk", "newells"), (None, None)]
+    names = {"Śląsk Wrocław": "slask-wroclaw", "Bodø/Glimt": "bodo-glimt", "Šibenik Čakovec": "sibenik-cakovec", "Großaspach": "grossaspach", "Győr Újpest": "gyor-ujpest", "Đakovo Ærø": "dakovo-aero", "Dinamo Ţăndărei": "dinamo-tandarei", "e\u0301cole": "ecole"}
+    got = spark.createDataFrame([(k,) for k in names], "a string").select("a", T.slug(F.col("a")).alias("s")).collect()
+    assert {r.a: r.s for r in got} == names
+    same = spark.createDataFrame([("Besi\u0307ktas\u0327", "École FC"), ("E\u0301cole FC", "École FC")], "a string, b string").select(T.normalise_team(F.col("a")).alias("a"), T.normalise_team(F.col("b")).alias("b")).collect()
+    assert same[1].a == same[1].b
 
 
 def test_guard(spark):

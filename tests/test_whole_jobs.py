@@ -5,13 +5,17 @@ from collections import defaultdict
 from datetime import timedelta
 
 import numpy as np
+import pytest
 
 from pricelens import plans
 from pricelens.fixtures import matches
 from pricelens.functions import scores as S
-from pricelens.plans.ledger import build_chain, ledger_top, verify_chain
+from pricelens.operators.lineage import shared_folder
+from pricelens.operators.replay import SeenResults
+from pricelens.plans.ledger import build_chain, leak_audit, ledger_top, verify_chain
 from pricelens.plans.metrics import _SEED, closing_losses
 from pricelens.plans.news import OUTCOMES, mentions
+from pricelens.streaming import rounds as R
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +99,42 @@ def test_cut_and_rebuilt_segments_are_found(spark):
     assert bad(build_chain(rows.where("event_id < 90"), 10), head=top) == {(-1, "head")}
     assert ledger_top(build_chain(rows, 10, start=top)) != top
     assert {s for s, _ in bad(build_chain(rows, 10, start=top))} == set(range(10))
+
+
+class _Peeks(SeenResults):
+    """Counts the match it decides on as seen."""
+
+    def predict(self, row):
+        return (float(self.n + 1),)
+
+
+def test_leaks_are_found(spark):
+    got = leak_audit(spark, SF).collect()
+    assert got and not any(r.leak for r in got) and max(r.n_seen for r in got) > 10
+    assert all(r.leak for r in leak_audit(spark, SF, _Peeks).collect())
+
+
+def test_streams_resume(spark, tmp_path):
+    """A second run with the folder of the first writes only what is new; a key is written once over both."""
+    rows = lambda ids: spark.createDataFrame([(i, 1704067200 + i) for i in ids], "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
+    src, at = str(tmp_path / "in"), str(tmp_path / "job")
+    rows(range(10)).write.parquet(src)
+    run = lambda: R.run(R.ingest(spark.readStream.schema("event_id long, ts timestamp").parquet(src).withColumn("at", F.col("ts")), "event_id").select("event_id"), at=at)
+    assert run().count() == 10 and run().count() == 10
+    rows(range(5, 15)).write.mode("append").parquet(src)
+    assert sorted(r.event_id for r in run().collect()) == list(range(15))
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)
