@@ -136,17 +136,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node reachable, for every node of an undirected link table.
 
-    Large-star and small-star steps: each is one grouped minimum, written, and a join back to it by a shuffle that
-    adaptive execution can split, so a node with very many links meets in no task; lineage is cut in each round."""
+    Large-star and small-star steps: each is one grouped minimum and a join back, so a node with very many
+    links is pre-aggregated; its links pass through one task's join as a stream, of two numbers each. Lineage is cut by
+    a written table in each round."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = stash(edges, "edges")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        big = stash(big, "big")
-        low = stash(big.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
