@@ -113,22 +113,42 @@ def chain_verify(spark, sf):
     return verify_chain(build_chain(lines(spark, sf)))
 
 
-@query("h6_group_digest", f"SELECT user_id, count(*) AS n, sha256(string_agg({_LINE}, chr(10) ORDER BY {_LINE})) AS digest FROM events GROUP BY 1")
+def digest_in_parts(x: DataFrame, keys: list, part, item, text=None) -> DataFrame:
+    """(keys, n, digest): items of a key are digested in their order by ``part``, then the parts' digests in theirs, so no
+    row holds all items of a key."""
+    inner = F.array_sort(F.collect_list(item.alias("i")))
+    inner = F.transform(inner, text) if text else inner
+    parts = x.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(inner, "\n"), 256).alias("d"))
+    names = [c for c in parts.columns if c not in ("_part", "n", "d")]
+    outer = F.array_sort(F.collect_list(F.struct("_part", "d")))
+    return parts.groupBy(*names).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(outer, lambda p: p["d"]), ","), 256).alias("digest"))
+
+
+def digest_sql(key: str, part: str, item: str, order: str, rows: str) -> str:
+    return f"SELECT {key}, sum(n)::bigint AS n, sha256(string_agg(d, ',' ORDER BY part)) AS digest FROM (SELECT {key}, {part} AS part, count(*) AS n, sha256(string_agg({item}, chr(10) ORDER BY {order})) AS d FROM {rows} GROUP BY ALL) t GROUP BY ALL"
+
+
+@query("h6_group_digest", digest_sql("user_id", "substr(sha256(line), 1, 3)", "line", "line", f"(SELECT user_id, {_LINE} AS line FROM events) l"))
 def group_digest(spark, sf):
     """Order-independent digest of each key's lines."""
-    return lines(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    return digest_in_parts(lines(spark, sf), ["user_id"], F.substring(F.sha2("line", 256), 1, 3), F.col("line"))
+
+
+_PRICE = "printf('%.4f', o_totalprice)"
 
 
-@query("h7_rows_digest", "SELECT o_custkey AS k, sha256(string_agg(printf('%.4f', o_totalprice), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+@query("h7_rows_digest", f"SELECT o_custkey AS k, digest FROM ({digest_sql('o_custkey', 'o_orderkey // 4096', _PRICE, 'o_orderkey', 'orders')}) q")
 def rows_digest(spark, sf):
-    x = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.format_string("%.4f", "o_totalprice").alias("v")))).alias("v"))
-    return x.select("k", F.sha2(F.array_join("v.v", ","), 256).alias("digest"))
+    """Digest of each key's prices in the order of their rows."""
+    x = table(spark, sf, "orders")
+    x = digest_in_parts(x, [F.col("o_custkey").alias("k")], F.floor(F.col("o_orderkey") / 4096), F.struct("o_orderkey", F.format_string("%.4f", "o_totalprice").alias("v")), lambda r: r["v"])
+    return x.select("k", "digest")
 
 
-@query("h8_set_hash", "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS set_hash FROM (SELECT DISTINCT source, md5(text) AS h FROM documents) t GROUP BY 1")
+@query("h8_set_hash", f"SELECT source, digest AS set_hash FROM ({digest_sql('source', 'substr(h, 1, 3)', 'h', 'h', '(SELECT DISTINCT source, md5(text) AS h FROM documents) s')}) q")
 def set_hash(spark, sf):
     x = table(spark, sf, "documents").select("source", F.md5("text").alias("h")).distinct()
-    return x.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("set_hash"))
+    return digest_in_parts(x, ["source"], F.substring("h", 1, 3), F.col("h")).select("source", F.col("digest").alias("set_hash"))
 
 
 @query("h9_content_dedup", "SELECT md5(text) AS content, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")

@@ -16,7 +16,9 @@ from .metrics import _PROB, bootstrap_mean, scored
 from .registry import query
 from .timeaxis import kickoffs
 
-WEIGHT_LIMIT, MIN_ROWS, CADENCE = 5.0, 300, 1
+# The largest weight, the least rows of a pool.
+WEIGHT_LIMIT, MIN_ROWS = 5.0, 300
+CADENCE, MOST_KEYS = 1, 100_000
 
 
 def _r(c, n=6):
@@ -148,7 +150,10 @@ def fit_pool(rows: DataFrame, keys: list[str], names: list[str], steps: int = 30
         sums = [F.sum(F.get(f"_{i}", "y") - F.col(f"e{i}")).alias(f"g{i}") for i in range(k)]
         sums += [F.sum(dot(F.zip_with(f"_{i}", f"_{j}", lambda u, v: u * v)) - F.col(f"e{i}") * F.col(f"e{j}")).alias(f"h{i}{j}") for i in range(k) for j in range(i, k)]
         moved = 0.0
-        for r in x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums).collect():
+        rows_of = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums).limit(MOST_KEYS + 1).collect()
+        if len(rows_of) > MOST_KEYS:  # a checked bound of what the driver solves and broadcasts
+            raise ValueError("too many keys for a driver's step")
+        for r in rows_of:
             key = tuple(r[c] for c in keys)
             if r["n"] < MIN_ROWS:
                 found.pop(key, None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import matches, table
 from ..operators.lineage import cut
+from .ledger import digest_in_parts, digest_sql
 from .registry import query
 
 #: A word prefix for each of the twelve teams (fixed values of the fixture).
@@ -213,12 +214,13 @@ def cluster_root(spark, sf):
 
 
 @query("n7_side_tasks", f"""WITH {_MENTION}, t AS (SELECT md5(i.text) AS content, m.team, m.day, min(m.doc_id) AS doc_id FROM mention m JOIN items i USING (doc_id) GROUP BY 1, 2, 3)
-SELECT team, day::varchar AS day, count(*) AS items, md5(string_agg(content, ',' ORDER BY content)) AS set_hash FROM t GROUP BY 1, 2""")
+SELECT team, day, n AS items, digest AS set_hash FROM ({digest_sql('team, day', 'substr(content, 1, 3)', 'content', 'content', '(SELECT team, day::varchar AS day, content FROM t) s')}) q""")
 def side_tasks(spark, sf):
     """Items of a team and day, each content once, with the hash of their set."""
     d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"))
     x = mentions(spark, sf).join(d, "doc_id").select("team", "day", "content").distinct()
-    return x.groupBy("team", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("items"), F.md5(F.array_join(F.array_sort(F.collect_list("content")), ",")).alias("set_hash"))
+    x = digest_in_parts(x.withColumn("day", F.col("day").cast("string")), ["team", "day"], F.substring("content", 1, 3), F.col("content"))
+    return x.select("team", "day", F.col("n").alias("items"), F.col("digest").alias("set_hash"))
 
 
 @query("a36_volume_estimate", f"WITH {_MENTION}, d AS (SELECT day, count(DISTINCT doc_id) AS items, count(*) AS calls FROM mention WHERE day >= date '1996-01-01' AND day < date '1996-01-29' GROUP BY 1) SELECT sum(items)::bigint AS items, sum(calls)::bigint AS calls, round(sum(calls) * 0.002E0, 6) AS cost, sum(calls) > 5000 AS stop FROM d")

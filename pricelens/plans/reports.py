@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixtures import matches, odds, table
 from ..functions import prices as P
 from ..functions import scores as S
+from ..operators.lineage import cut
 from .metrics import _PROB, _TWO, DRAWS, _two, draw_weights, scored, spread
 from .prices import _FULL
 from .registry import query
@@ -28,7 +29,7 @@ def calibration(rows: DataFrame, keys: list[str], p: str = "p", hit: str = "hit"
     constant and its slope has settled. Only keys and two numbers each travel between steps."""
     x = rows.select(*keys, F.log(F.greatest(F.least(p, F.lit(1 - CLIP)), F.lit(CLIP)) / (1 - F.greatest(F.least(p, F.lit(1 - CLIP)), F.lit(CLIP)))).alias("_x"), F.col(hit).cast("double").alias("_y"), (F.col(w) if w else F.lit(1.0)).alias("_w"))
     # Probabilities rarely repeat to the last bit, but outcomes at the same price do: equal rows meet before the steps.
-    x = x.groupBy(*keys, "_x").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_h")).persist()
+    x = cut(x.groupBy(*keys, "_x").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_h")))
     beta = x.groupBy(*keys).agg(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(1.0).alias("move"))
     spark = rows.sparkSession
     for _ in range(steps):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, odds, table
+from ..operators.lineage import shared_folder
 from ..sources import documents as D
 from ..sources import sinks, wide
 from .registry import query
@@ -106,3 +109,56 @@ def result_append(spark, sf):
 def prediction_append(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("config"), "l_returnflag")
     return sinks.new_rows(x.where("l_returnflag = 'N'"), x.where("l_returnflag = 'R'"), ["match_id", "config"]).select("match_id", "config")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _wide_files(spark, sf, surplus) -> str:
+    """Matches as CSV files, one a part, each with its header; ``surplus``: text to add to a line."""
+    m = matches(spark, sf).withColumn("part", F.col("match_id") % 8)
+    quoted = lambda c: F.concat(F.lit('"Team, '), F.col(c).cast("string"), F.lit('"'))
+    line = F.concat_ws(",", "league", F.date_format("match_date", "dd/MM/yyyy"), quoted("home"), quoted("away"), F.col("home_goals").cast("string"), F.col("away_goals").cast("string"), F.col("match_id").cast("string"))
+    rows = m.select("part", "match_id", F.concat(line, surplus).alias("line"))
+    heads = m.select("part").distinct().select("part", F.lit(-1).cast("long").alias("match_id"), F.lit("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,Id").alias("line"))
+    path = _folder(spark)
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "match_id").select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+@query("s1_wide_scan", "SELECT match_id, league, 'Team, ' || home::varchar AS home, 'Team, ' || away::varchar AS away, home_goals::int AS home_goals, strftime(match_date, '%Y-%m-%d') AS day FROM fx_match", "match")
+def wide_scan(spark, sf):
+    """Matches written as wide files with quoted cells, and read again."""
+    x = wide.read_wide(spark, _wide_files(spark, sf, F.lit(""))).where("fits")
+    c = lambda k: F.col("cells")[k]
+    return x.select(c("Id").cast("long").alias("match_id"), c("Div").alias("league"), c("HomeTeam").alias("home"), c("AwayTeam").alias("away"), c("FTHG").cast("int").alias("home_goals"), wide.parse_date(c("Date")).cast("string").alias("day"))
+
+
+@query("s3_ragged_rows", "SELECT match_id, 7 + CASE match_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS width, match_id % 4 <> 2 AS fits FROM fx_match", "match")
+def ragged_rows(spark, sf):
+    """Lines longer than their header fit if what is left over is blank."""
+    k = F.col("match_id") % 4
+    x = wide.read_wide(spark, _wide_files(spark, sf, F.when(k == 1, ",,").when(k == 2, ",x").otherwise("")))
+    return x.select(F.col("cells")["Id"].cast("long").alias("match_id"), "width", "fits")
+
+
+@query("s9_feed_items", "SELECT 'https://n/' || doc_id::varchar AS link, CASE WHEN doc_id % 5 <> 0 THEN (1767225600 + doc_id * 60)::bigint END AS claimed, doc_id % 5 <> 0 AS is_source_provided FROM documents")
+def feed_items(spark, sf):
+    """Documents written as feed items, some without a date, and read again; times have an offset of three hours."""
+    i = F.col("doc_id")
+    at = F.date_format(F.timestamp_seconds(F.lit(1767225600) + i * 60 + 10800), "dd MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<item><title>"), i.cast("string"), F.lit("</title><link>https://n/"), i.cast("string"), F.lit("</link>"), F.when(i % 5 != 0, F.concat(F.lit("<pubDate>Mon, "), at, F.lit(" +0300</pubDate>"))).otherwise(""), F.lit("</item>"))
+    path, part = _folder(spark), F.col("doc_id") % 8
+    d = table(spark, sf, "documents").select(part.alias("part"), F.lit(1).alias("place"), item.alias("value"))
+    ends = d.select("part").distinct().select("part", F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((0, "<rss><channel>"), (2, "</channel></rss>"))])))
+    d.unionByName(ends).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    return D.read_feed(spark, path).select("link", F.unix_timestamp("claimed").alias("claimed"), "is_source_provided")
+
+
+@query("s12_changed_files", "SELECT doc_id::varchar AS path, sha256(text) AS sha FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0")
+def changed_files(spark, sf):
+    """Files whose current version is missing (odd ids) or another one (every tenth)."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    old = d.where("doc_id % 2 = 0").select("path", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit("old").cast("binary"))).otherwise(F.col("content")), 256).alias("sha"))
+    return sinks.changed_files(d, old).select("path", "sha")
