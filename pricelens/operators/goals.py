@@ -19,31 +19,43 @@ def _low(x, y, lam, mu, rho):
     return (tau, np.select(cells, [-lam * mu * rho, lam * rho, zero, zero], 0.0) / tau, np.select(cells, [-lam * mu * rho, zero, mu * rho, zero], 0.0) / tau, np.select(cells, [-lam * mu, lam, mu, -one], 0.0) / tau)
 
 
-def fit_group(home, away, x, y, w, n: int, ridge: float, steps: int = 60):
-    """(attack, defence, home edge, rho) at the penalised weighted maximum by scoring steps; None if they don't settle."""
-    k, total = 2 * n + 1, w.sum()
-    beta, rho = np.zeros(k), 0.0
-    beta[-1] = 0.25
-    rows = np.arange(len(x))
-    lh, la = np.zeros((len(x), k)), np.zeros((len(x), k))
-    lh[rows, home], lh[rows, n + away], lh[:, -1] = 1, 1, 1
-    la[rows, away], la[rows, n + home] = 1, 1
-    pen = np.full(k, 2 * ridge)
-    pen[-1] = 0.0
+def fit_group(home, away, x, y, w, n: int, ridge: float, start=None, steps: int = 60):
+    """(attack, defence, home edge, rho) at the penalised weighted maximum by scoring steps, from ``start`` if given; None
+    if they don't settle. Sums go by team and pair of teams; no design matrix is made."""
+    total = w.sum()
+    beta, rho = (np.append(np.zeros(2 * n), 0.25), 0.0) if start is None else start
+    pen = np.append(np.full(2 * n, 2 * ridge), 0.0)
+    by_pair = [(home * n + away, home, away), (away * n + home, away, home)]
+
+    def rates(b):
+        return b[home] + b[n + away] + b[-1], b[away] + b[n + home]
 
     def value(b, r):
-        lam, mu = np.exp(lh @ b), np.exp(la @ b)
-        return -(w * (np.log(_low(x, y, lam, mu, r)[0]) + x * (lh @ b) - lam + y * (la @ b) - mu)).sum() / total + 0.5 * (pen * b * b).sum()
+        h, a = rates(b)
+        lam, mu = np.exp(h), np.exp(a)
+        return -(w * (np.log(_low(x, y, lam, mu, r)[0]) + x * h - lam + y * a - mu)).sum() / total + 0.5 * (pen * b * b).sum()
 
     now = value(beta, rho)
     for _ in range(steps):
-        lam, mu = np.exp(lh @ beta), np.exp(la @ beta)
+        lam, mu = (np.exp(v) for v in rates(beta))
         _, dh, da, dr = _low(x, y, lam, mu, rho)
-        g = -(lh.T @ (w * (x - lam + dh)) + la.T @ (w * (y - mu + da))) / total + pen * beta
-        hess = (lh.T * (w * lam)) @ lh / total + (la.T * (w * mu)) @ la / total + np.diag(pen + 1e-10)
+        g, hess = np.zeros(2 * n + 1), np.zeros((2 * n + 1, 2 * n + 1))
+        for (pair, one, other), slope, weight in zip(by_pair, (w * (x - lam + dh), w * (y - mu + da)), (w * lam, w * mu), strict=True):
+            g[:n] += np.bincount(one, slope, n)
+            g[n: 2 * n] += np.bincount(other, slope, n)
+            cross = np.bincount(pair, weight, n * n).reshape(n, n)
+            hess[:n, n: 2 * n] += cross
+            hess[np.arange(2 * n), np.arange(2 * n)] += np.append(cross.sum(1), cross.sum(0))
+            if pair is by_pair[0][0]:  # the home side's rate has the edge
+                g[-1] = slope.sum()
+                hess[:-1, -1] = np.append(cross.sum(1), cross.sum(0))
+                hess[-1, -1] = cross.sum()
+        hess[n: 2 * n, :n] = hess[:n, n: 2 * n].T
+        hess[-1, :-1] = hess[:-1, -1]
+        g, hess = -g / total + pen * beta, hess / total + np.diag(pen + 1e-10)
         gr, hr = -(w * dr).sum() / total, (w * dr * dr).sum() / total + 1e-10
         db, new_rho, size = np.linalg.solve(hess, g), float(np.clip(rho - gr / hr, -RHO_BOUND, RHO_BOUND)), 1.0
-        while size > 1e-4 and value(beta - size * db, rho + size * (new_rho - rho)) > now + 1e-12:
+        while size > 1e-4 and not value(beta - size * db, rho + size * (new_rho - rho)) <= now + 1e-12:
             size /= 2
         moved = max(np.abs(size * db).max(), abs(size * (new_rho - rho)))
         beta, rho = beta - size * db, rho + size * (new_rho - rho)
@@ -53,27 +65,41 @@ def fit_group(home, away, x, y, w, n: int, ridge: float, steps: int = 60):
     return None
 
 
-def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, window: int = 1095, least: int = 30, ridge: float = 0.01) -> DataFrame:
+def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, window: int = 1095, least: int = 30, ridge: float = 0.01, block: int = 180) -> DataFrame:
     """(grp, fit_day, team, attack, defence, edge, rho) for each group and fit day: a fit sees the matches of the days
-    before it, back to ``window`` days, with weights falling by age. Too few matches or no convergence give no rows."""
-    m, d = matches.alias("m"), fit_days.alias("d")
-    age = F.datediff(F.col("d.fit_day"), F.col("m.match_date"))
-    rows = m.join(d, F.col("m.grp") == F.col("d.grp")).where(age.between(1, window)).select("d.grp", "d.fit_day", "m.home", "m.away", "m.home_goals", "m.away_goals", age.alias("age"))
+    before it, back to ``window`` days, with weights falling by age. Too few matches or no convergence give no rows.
+
+    The fit days of ``block`` days of a group are fitted in one task, each from the one before, so a match is copied
+    once a block and not once a fit day."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    blocks = fit_days.groupBy("grp", F.floor(number("fit_day") / block).alias("block")).agg(F.sort_array(F.collect_set("fit_day")).alias("days"))
+    first, last = F.floor((number("match_date") + 1) / block), F.floor((number("match_date") + window) / block)
+    rows = matches.select("grp", "match_date", "home", "away", "home_goals", "away_goals", F.explode(F.sequence(first, last)).alias("block")).join(blocks, ["grp", "block"])
+    cols = ["grp", "fit_day", "team", "attack", "defence", "edge", "rho"]
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["grp", "fit_day", "team", "attack", "defence", "edge", "rho"]
-        if len(pdf) < least:
-            return pd.DataFrame(columns=cols)
-        teams = np.array(sorted(set(pdf["home"]) | set(pdf["away"])))
-        found = fit_group(np.searchsorted(teams, pdf["home"]), np.searchsorted(teams, pdf["away"]), pdf["home_goals"].to_numpy(float), pdf["away_goals"].to_numpy(float), np.exp(-xi * pdf["age"].to_numpy(float)), len(teams), ridge)
-        if found is None:
-            return pd.DataFrame(columns=cols)
-        attack, defence, edge, rho = found
-        return pd.DataFrame({"grp": key[0], "fit_day": key[1], "team": teams, "attack": attack, "defence": defence, "edge": edge, "rho": rho})[cols]
+        at = pd.to_datetime(pdf["match_date"]).to_numpy("datetime64[D]").astype(int)
+        home, away, x, y = (pdf[c].to_numpy() for c in ("home", "away", "home_goals", "away_goals"))
+        out, before = [], (None, None)
+        for day in pdf["days"].iloc[0]:
+            age = np.datetime64(day, "D").astype(int) - at
+            seen = (age >= 1) & (age <= window)
+            if seen.sum() < least:
+                continue
+            teams = np.union1d(home[seen], away[seen])
+            start = before[1] if before[0] is not None and np.array_equal(before[0], teams) else None
+            args = np.searchsorted(teams, home[seen]), np.searchsorted(teams, away[seen]), x[seen].astype(float), y[seen].astype(float), np.exp(-xi * age[seen]), len(teams), ridge
+            found = fit_group(*args, start)
+            found = fit_group(*args) if found is None and start is not None else found
+            if found is not None:
+                attack, defence, edge, rho = found
+                before = teams, (np.concatenate((attack, defence, [edge])), rho)
+                out.append(pd.DataFrame({"grp": key[0], "fit_day": day, "team": teams, "attack": attack, "defence": defence, "edge": edge, "rho": rho}))
+        return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
 
     # Small rows, dear fits: without a number of its own, adaptive execution would put them into one task.
-    rows = rows.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, "grp", "fit_day")
-    return rows.groupBy("grp", "fit_day").applyInPandas(fit, "grp int, fit_day date, team long, attack double, defence double, edge double, rho double")
+    rows = rows.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, "grp", "block")
+    return rows.groupBy("grp", "block").applyInPandas(fit, "grp int, fit_day date, team long, attack double, defence double, edge double, rho double")
 
 
 def score_cells(lam: Column, mu: Column, rho: Column, goals: int = GOALS) -> Column:
