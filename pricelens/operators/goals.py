@@ -54,6 +54,8 @@ def fit_group(home, away, x, y, w, n: int, ridge: float, start=None, steps: int
         hess[-1, :-1] = hess[:-1, -1]
         g, hess = -g / total + pen * beta, hess / total + np.diag(pen + 1e-10)
         gr, hr = -(w * dr).sum() / total, (w * dr * dr).sum() / total + 1e-10
+        if not np.isfinite(hess).all() or np.linalg.cond(hess) > 1e14:
+            return None
         db, new_rho, size = np.linalg.solve(hess, g), float(np.clip(rho - gr / hr, -RHO_BOUND, RHO_BOUND)), 1.0
         while size > 1e-4 and not value(beta - size * db, rho + size * (new_rho - rho)) <= now + 1e-12:
             size /= 2
