@@ -7,7 +7,8 @@
    under which classes meet. At the least similarity of 0.8 a pair misses all bands with probability 5e-8.
 4. The full sets of classes that meet another one are made once and written. Each band's classes are compared with
    its hub, the class that meets the most others. Where a band's classes still lie in several components, those
-   outside the band's largest are compared with all of the band. A comparison first estimates the similarity from
+   outside the band's largest are compared with all of the band, or those of all bands that have the same largest one
+   together, whichever takes fewer comparisons. A comparison first estimates the similarity from
    the registers, corrected for chance collisions, with a margin of ``SIGMAS`` standard deviations, then intersects
    the full sets. Comparisons run in blocks of bounded size: no pairs of a group are listed, and no group meets in
    one task.
@@ -237,7 +238,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     # Of bands with the same members, known by their number and two sums of hashes, one is enough.
     sums = [F.sum(F.xxhash64(F.col("cid"), F.lit(k)).cast("decimal(38,0)")) for k in (0, 1)]
     split = stash(split.join(met, "key").groupBy("key", "main").agg(F.struct(F.count(F.lit(1)), *sums).alias("members")).groupBy("members").agg(F.min(F.struct("key", "main")).alias("one")).select("one.*"), "split")
-    left = stash(placed.join(split, "key").select(F.col("key").alias("g"), "cid", (F.col("label") != F.col("main")).alias("out")).join(sizes, "cid"), "rest")
+    left = stash(placed.join(split, "key").select("key", "main", "cid", (F.col("label") != F.col("main")).alias("out")), "rest")
+    # Bands of one main component are compared each for itself or all together, whichever are fewer comparisons.
+    cost = (F.count_if("out") * F.count(F.lit(1)).cast("double")).alias("cost")
+    each = left.groupBy("main", "key").agg(cost).groupBy("main").agg(F.sum("cost").alias("each"))
+    whole = left.select("main", "cid", "out").distinct().groupBy("main").agg(cost).select("main", F.col("cost").alias("whole"))
+    joint = stash(each.join(whole, "main").where("whole < each").select("main", F.lit(True).alias("joint")), "joint")
+    left = left.join(joint, "main", "left").select(F.when(F.col("joint"), F.col("main")).otherwise(F.col("key")).alias("g"), "cid", "out").distinct()
+    left = stash(left.join(sizes, "cid"), "rest")
     groups = left.where("out").select("g", F.lit(0).alias("side"), "cid", "n_shingles").unionByName(left.select("g", F.lit(1).alias("side"), "cid", "n_shingles"))
     links = stash(links.unionByName(_compare(groups, sets, percent)).distinct(), "links")
     parts = components(links)
