@@ -69,5 +69,22 @@ sh AS MATERIALIZED (SELECT host, count(*) FILTER (fit = 'allow') / count(*) AS g
 SELECT page_id, f.host, path, rule, CASE WHEN fit IS NOT NULL THEN fit WHEN round(coalesce(a.score, 0), 9) - round(coalesce(t.score, 0), 9) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict FROM f LEFT JOIN trust_{ROUNDS} t ON f.host = t.host LEFT JOIN against_{ROUNDS} a ON f.host = a.host"""
 
 
+_AT = " ".join(f"WHEN (mask >> (ascii(filter_order[{k}]) - 65)) & 1 = 1 THEN {k}" for k in range(1, 6))
+
+OP11 = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+m AS (SELECT doc_id, part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int
+ + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::int AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT part, filter_order, mask, n, good, toxic, CASE {_AT} ELSE 6 END AS gone FROM c, o),
+s AS (SELECT part, filter_order, step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS bit, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+ sum(n) FILTER (gone < step AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+ FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant, coalesce(unique_fails, 0)::bigint AS unique_fails,
+ coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::bigint AS shapley FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_chat_perspectives": OP3, "op6_url_filter": OP6, "op7_source_mix": OP7}
+    return {"op2_quality_rules": OP2, "op3_chat_perspectives": OP3, "op6_url_filter": OP6, "op7_source_mix": OP7, "op11_filter_audit": OP11}

@@ -1,4 +1,4 @@
-"""The ten registered queries over whole tables, and SQL for those that SQL can express."""
+"""The registered queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_bpe, op2_quality, op3_chat, op4_minhash, op5_vectors, op6_urls, op7_mixing, op9_secrets, op10_lm
+from . import op1_bpe, op2_quality, op3_chat, op4_minhash, op5_vectors, op6_urls, op7_mixing, op9_secrets, op10_lm, op11_audit, op12_shards, op13_variants
 from . import op8_toxicity as toxicity
 from .oracle import oracle_sql  # noqa: F401
 
@@ -68,6 +68,20 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op12_shards.histogram_shards(_table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe_encode, op2_quality_rules, op3_chat_perspectives, op4_minhash_dedup, op5_vector_dedup, op6_url_filter, op7_source_mix, op8_toxicity_kn, op9_secret_scan, op10_lm_scores)
+    every = (op1_bpe_encode, op2_quality_rules, op3_chat_perspectives, op4_minhash_dedup, op5_vector_dedup, op6_url_filter, op7_source_mix, op8_toxicity_kn, op9_secret_scan, op10_lm_scores,
+             op11_filter_audit, op12_histogram_shards, op13_spelling_variants)
     return {f.__name__: f for f in every}

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = llm.queries()[name](spark, SF)
     cols = sorted(got.columns)
