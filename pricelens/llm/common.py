@@ -155,3 +155,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, key: str, by: str, large: int = 10_000, salt: int = 64) -> DataFrame:
+    """``rows`` with what ``per_key`` has for their key, one row a key; every row has one. Rows of a key that has more
+    than ``large`` of them are dealt by ``by`` over ``salt`` parts, each of which meets a copy of the key's row."""
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > large).select(key)
+    some = stash(per_key.join(many, key, "left_semi").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).withColumn("_hot", F.lit(True)), "large")
+    new = [c for c in per_key.columns if c != key]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(salt)).cast("int")).join(some, [key, "_part"], "left")
+    few = dealt.where("_hot is null").select(*rows.columns).join(per_key, key)
+    return dealt.where("_hot").select(*rows.columns, *new).unionByName(few.select(*rows.columns, *new))

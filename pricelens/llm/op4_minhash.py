@@ -2,7 +2,7 @@
 
 1. Each text becomes the set of its distinct word shingles (64-bit hashes) and a sketch: shingles are dealt to
    ``BUCKETS`` buckets; of a bucket's smallest hash the leading-zero count and ten mantissa bits are kept in 16 bits.
-2. Documents with equal sets form a class; only classes go on.
+2. Documents with equal sets form a class, with a number of its own; only classes go on.
 3. Empty buckets borrow from full ones by a fixed walk; bands of ``ROWS`` registers, 64 bits together, are the keys
    under which classes meet. At the least similarity of 0.8 a pair misses all bands with probability 5e-8.
 4. The full sets of classes that meet another one are made once and written. Each band's classes are compared with
@@ -12,7 +12,7 @@
    the registers, corrected for chance collisions, with a margin of ``SIGMAS`` standard deviations, then intersects
    the full sets. Comparisons run in blocks of bounded size: no pairs of a group are listed, and no group meets in
    one task.
-5. Components of the confirmed links.
+5. Components of the confirmed links, each named by the smallest id of all its classes.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle is
 one shingle; very long texts are read whole; rows that share an id are documents of their own, each with the
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix, stash, word_hashes, word_spans
+from .common import chunks, components, join_back, mix, stash, word_hashes, word_spans
 
 BUCKETS, ROWS = 128, 4
 BANDS = BUCKETS // ROWS
@@ -135,20 +135,21 @@ def links_between(lid, lregs, lsets, rid, rregs, rsets, percent: int) -> list[tu
     return out
 
 
-def sketches(docs: DataFrame, size: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, regs): set_key is a 128-bit digest of the set, null if it is empty."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, n_shingles, set_key, regs) of (doc_id, h, text): set_key is a 128-bit digest of the set, null if it is
+    empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, regs = [], [], []
-            for _, data, offsets in chunks(batch.column(1)):
+            for _, data, offsets in chunks(batch.column(2)):
                 for s in shingle_sets(data, offsets, size):
                     n.append(len(s))
                     key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "h", "n_shingles", "set_key", "regs"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, "doc_id long, n_shingles long, set_key binary, regs binary")
+    return docs.select("doc_id", "h", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, n_shingles long, set_key binary, regs binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -164,8 +165,9 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "regs").mapInArrow(work, "cid long, key long")
 
 
-def _sets(docs: DataFrame, cids: DataFrame, size: int) -> DataFrame:
-    """(cid, shingles): the sorted shingle hashes of some documents, as bytes."""
+def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(cid, shingles): the sorted shingle hashes of one document, known by id and hash of the text, for every class of
+    ``reps``, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +175,8 @@ def _sets(docs: DataFrame, cids: DataFrame, size: int) -> DataFrame:
                 part = [s.tobytes() for s in shingle_sets(data, offsets, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(part)), pa.array(part, pa.binary())], ["cid", "shingles"])
 
-    return docs.join(cids, docs["doc_id"] == cids["cid"], "left_semi").mapInArrow(sets, "cid long, shingles binary").where(F.length("shingles") > 0)
+    one = docs.groupBy("doc_id", "h").agg(F.first("text").alias("text"))  # equal rows meet before they are dealt
+    return one.join(reps, ["doc_id", "h"]).select("cid", "text").mapInArrow(sets, "cid long, shingles binary").where(F.length("shingles") > 0)
 
 
 def _placed(groups: DataFrame) -> DataFrame:
@@ -213,14 +216,14 @@ def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     sk = stash(sketches(docs, shingle), "sketches")
-    classes = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
-    classes = stash(classes, "classes")
+    classes = sk.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
     keys = _bands(classes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = stash(keys.join(shared, "key"), "bands")
-    sets = stash(_sets(docs, met.select("cid").distinct(), shingle), "sets")
+    sets = stash(_sets(docs, classes.join(met.select("cid").distinct(), "cid", "left_semi").select("cid", "rep.*"), shingle), "sets")
     # 1: each band's classes against its hub
     ranked = met.join(met.groupBy("cid").agg(F.sum("m").alias("ties")), "cid")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("ties", (-F.col("cid")).alias("neg"))).alias("h")).select("key", (-F.col("h.neg")).alias("hub"))
@@ -249,6 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     groups = left.where("out").select("g", F.lit(0).alias("side"), "cid", "n_shingles").unionByName(left.select("g", F.lit(1).alias("side"), "cid", "n_shingles"))
     links = stash(links.unionByName(_compare(groups, sets, percent)).distinct(), "links")
     parts = components(links)
-    of = classes.select("set_key", "cid").join(parts, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("label", "cid").alias("label"))
-    out = sk.select("doc_id", "n_shingles", "set_key").join(of, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")))
+    own = classes.select("set_key", "cid", F.col("rep.doc_id").alias("low")).join(parts, F.col("cid") == F.col("node"), "left")
+    linked = stash(own.where("label is not null").select("set_key", "cid", "low", "label"), "linked")
+    of = join_back(linked.select("set_key", "cid", "label"), linked.groupBy("label").agg(F.min("low").alias("low")), "label", "cid").select("set_key", "low")
+    of = of.unionByName(own.where("label is null").select("set_key", "low"))
+    out = sk.select("doc_id", "n_shingles", "set_key").join(of, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

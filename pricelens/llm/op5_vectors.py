@@ -14,7 +14,8 @@ force in the tests and is at least 0.9.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, are
 linked with nothing; very small and very large components are scaled before they are squared; vectors meet only their
-own length; repeated ids are rows of one node; extra columns are not read; an empty table gives an empty table.
+own length; rows that share an id are vectors of their own, each
+with the component of its own vector; extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, join_back, stash
 
 PIVOTS, SAMPLE, NEAREST = 65_536, 4096, 6
 #: Shared pivots, weighted by how near their ranks are, that make two vectors candidates.
@@ -78,7 +79,8 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col="vec_id", vector_c
     v = rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("key", F.when(good, F.sha2(F.array_join(F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string")), ","), 256)))
-    classes = stash(v.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")), "vectors")
+    classes = v.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
+    classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")  # numbers are fixed once written
     pivots: dict[int, np.ndarray] = {}
     for r in classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > BLOCK).collect():  # lengths with lists
         many = int(min(PIVOTS, 4 * r["count"] ** 0.5))
@@ -139,9 +141,12 @@ def near_vectors(rows: DataFrame, least: float = 0.95, id_col="vec_id", vector_c
     got = stash(full.groupBy("pivot", "d", "i", "j").applyInArrow(block, "cid long, links long, peer long"), "links")
     parts = components(got.where("peer is not null").select(F.col("cid").alias("a"), F.col("peer").alias("b")))
     sums = got.groupBy("cid").agg(F.sum("links").alias("links"))
-    of = classes.select("key", "cid", "n").join(sums, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
-    of = of.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "cid").alias("label"))
-    out = v.select("vec_id", "key").join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("label", "vec_id")).alias("component_id"))
+    own = classes.select("key", "cid", "low", (F.col("n") - 1).alias("copies")).join(sums, "cid", "left").join(parts, F.col("cid") == F.col("node"), "left")
+    own = own.select("key", "cid", "low", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"), "label")
+    linked = stash(own.where("label is not null"), "linked")
+    of = join_back(linked.drop("low"), linked.groupBy("label").agg(F.min("low").alias("low")), "label", "cid").select("key", "n_links", "low")
+    of = of.unionByName(own.where("label is null").select("key", "n_links", "low"))
+    out = v.select("vec_id", "key").join(of, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("low", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
