@@ -11,8 +11,9 @@ whatever their names, up to the last stage; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelens.llm import op1_bpe, op2_quality, op4_minhash, op7_mixing, op9_secrets
 from pricelens.llm.common import stash
@@ -27,12 +28,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return op2_quality.quality_rules(docs).where("kept").select("doc.*")
 
 
+def _written(c: Column, kind: T.DataType) -> Column:
+    """A value as text with its length before it, so that rows are equal if their columns' texts in a row are."""
+    text = F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
+    return F.when(c.isNull(), "-").otherwise(F.concat(F.char_length(text).cast("string"), F.lit(":"), text))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id, null ids last.
 
-    Rows are known by a hash of all their columns: rows that share an id are documents of their own, and rows equal in
-    every column are one. Texts are dealt once, by that hash, when the chosen rows are picked."""
-    key = F.xxhash64(*[docs[c] for c in docs.columns])
+    Rows are known by a 256-bit digest of all their columns, nulls told apart: rows that share an id are documents of
+    their own, and rows equal in every column are one. Texts are dealt once, by that digest, when the chosen rows are
+    picked."""
+    key = F.unhex(F.sha2(F.concat(*[_written(docs[f.name], f.dataType) for f in docs.schema]), 256))
     found = op4_minhash.near_duplicates(docs.select(key.alias("_key"), docs["text"].alias("_text")), 80, 5, "_key", "_text").select("doc_id", "component_id").distinct()
     ids = docs.select(key.alias("_key"), docs["doc_id"].alias("_id"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
