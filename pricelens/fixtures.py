@@ -44,13 +44,19 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_odds(m: DataFrame) -> DataFrame:
-    """Eight rows a match: four books, two phases (0 before, 1 at closing), with prices h, d and a."""
+    """Eight rows a match: four books, two phases (0 before, 1 at closing), with prices h, d and a.
+
+    The rows come out of one generator, prices included: filters on prices stay above it, so that no condition repeats
+    a price's expression and the generated methods stay small enough to be compiled."""
     i = F.col("match_id")
-    x = m.withColumn("book", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(1))))
-    wh, wd, wa = 2.0 + (i * 2 + F.col("book")) % 7, 1.0 + (i * 3 + F.col("phase")) % 5, 1.0 + (i * 5 + F.col("book") + F.col("phase")) % 6
-    x = x.withColumns({"_h": wh, "_d": wd, "_a": wa, "_m": F.when(i % 50 == 0, 0.98).otherwise(1.02 + 0.01 * F.col("book"))})
-    price = lambda c: 1.0 / (F.col(c) / (F.col("_h") + F.col("_d") + F.col("_a")) * F.col("_m"))
-    return x.select(*m.columns, "book", "phase", price("_h").alias("h"), F.when((i % 17 == 0) & (F.col("book") == 2), None).otherwise(price("_d")).alias("d"), price("_a").alias("a"))
+
+    def quote(book, phase):
+        wh, wd, wa = 2.0 + (i * 2 + book) % 7, 1.0 + (i * 3 + phase) % 5, 1.0 + (i * 5 + book + phase) % 6
+        price = lambda w: 1.0 / (w / (wh + wd + wa) * F.when(i % 50 == 0, 0.98).otherwise(1.02 + 0.01 * book))
+        return F.struct(book.alias("book"), phase.alias("phase"), price(wh).alias("h"), F.when((i % 17 == 0) & (book == 2), None).otherwise(price(wd)).alias("d"), price(wa).alias("a"))
+
+    kinds = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(p).alias("p")) for b in range(4) for p in range(2)])
+    return m.select(*m.columns, F.inline(F.transform(kinds, lambda k: quote(k["b"], k["p"]))))
 
 
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,8 @@ def priced(x: DataFrame, names=("h", "d", "a")) -> DataFrame:
 def with_fair(x: DataFrame, method: str, names=("h", "d", "a"), out: str = "p") -> DataFrame:
     """Three-way ``devig`` of price columns as an array column; null where the solver doesn't settle.
 
-    Each step is a projection of its own over plain columns, so a row's solver is compiled once and nothing is nested
-    or repeated. Filter the rows by ``priced`` before, not by the result after."""
+    A solver's steps are one loop within an expression over plain columns: unrolled, they would make a method too large
+    for the JVM to compile. Filter the rows by ``priced`` before, not by the result after."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     keep, q, e = x.columns, [f"_q{i}" for i in range(3)], [f"_e{i}" for i in range(3)]
@@ -100,25 +100,30 @@ def with_fair(x: DataFrame, method: str, names=("h", "d", "a"), out: str = "p")
     x = x.withColumns({a: 1.0 / c(n) for a, n in zip(q, names, strict=True)}).withColumn("_b", add(q))
     if method == "multiplicative":
         return x.select(*keep, F.array(*[c(a) / c("_b") for a in q]).alias(out))
+    steps = lambda n, start, step: F.aggregate(F.array_repeat(F.lit(0), n), F.lit(start), lambda k, _: step(k))
     if method == "power":
-        x = x.withColumns({f"_l{i}": F.log(c(a)) for i, a in enumerate(q)} | {"_k": F.lit(1.0)})
-        raised = {a: F.exp(c("_k") * c(f"_l{i}")) for i, a in enumerate(e)}
-        for _ in range(STEPS):
-            x = x.withColumns(raised)
-            x = x.withColumn("_k", c("_k") - (add(e) - 1.0) / (c("_e0") * c("_l0") + c("_e1") * c("_l1") + c("_e2") * c("_l2")))
-        x = x.withColumns(raised)
+        logs = [f"_l{i}" for i in range(3)]
+        x = x.withColumns({a: F.log(c(b)) for a, b in zip(logs, q, strict=True)})
+
+        def newton(k: Column) -> Column:
+            up = [F.exp(k * c(a)) for a in logs]
+            return k - (up[0] + up[1] + up[2] - 1.0) / (up[0] * c("_l0") + up[1] * c("_l1") + up[2] * c("_l2"))
+
+        x = x.withColumn("_k", steps(STEPS, 1.0, newton)).withColumns({a: F.exp(c("_k") * c(b)) for a, b in zip(e, logs, strict=True)})
         ok = F.abs(add(e) - 1.0) <= SETTLED
         fair = [c(a) for a in e]
     else:
-        x = x.withColumn("_k", F.lit(0.0))
-        roots = {a: F.sqrt(c("_k") * c("_k") + 4.0 * (1.0 - c("_k")) * c(b) * c(b) / c("_b")) for a, b in zip(e, q, strict=True)}
-        for _ in range(SHIN_STEPS):
-            x = x.withColumns(roots)
-            slope = sum(((c("_k") - 2.0 * c(b) * c(b) / c("_b")) / c(a) for a, b in zip(e, q, strict=True)), F.lit(-1.0))
-            x = x.withColumn("_k", c("_k") - (add(e) - 2.0 - c("_k")) / slope)
-        x = x.withColumns(roots)
-        fair = [(c(a) - c("_k")) / (2.0 * (1.0 - c("_k"))) for a in e]
-        ok = (c("_k") >= 0) & (c("_k") < 0.5) & (F.abs(fair[0] + fair[1] + fair[2] - 1.0) <= SETTLED)
+        x = x.withColumns({a: c(b) * c(b) / c("_b") for a, b in zip(e, q, strict=True)})
+
+        def newton(z: Column) -> Column:
+            root = [F.sqrt(z * z + 4.0 * (1.0 - z) * c(a)) for a in e]
+            slope = sum(((z - 2.0 * c(a)) / r for a, r in zip(e, root, strict=True)), F.lit(-1.0))
+            return z - (root[0] + root[1] + root[2] - 2.0 - z) / slope
+
+        x = x.withColumn("_k", steps(SHIN_STEPS, 0.0, newton))
+        x = x.withColumns({a: (F.sqrt(c("_k") * c("_k") + 4.0 * (1.0 - c("_k")) * c(a)) - c("_k")) / (2.0 * (1.0 - c("_k"))) for a in e})
+        fair = [c(a) for a in e]
+        ok = (c("_k") >= 0) & (c("_k") < 0.5) & (F.abs(add(e) - 1.0) <= SETTLED)
     even = F.abs(c("_b") - 1.0) <= EVEN
     return x.select(*keep, F.when(even, F.array(*q)).when(ok, F.array(*fair)).alias(out))
 

@@ -41,21 +41,3 @@ def outcome_index(home: Column, away: Column) -> Column:
 def over_index(home: Column, away: Column) -> Column:
     """0 over 2.5 goals, 1 under."""
     return F.when(home + away > 2.5, 0).when(home + away < 2.5, 1)
-
-
-def bootstrap_weight(draw: Column, key: Column, seed: int) -> Column:
-    """Poisson(1) weight of a row in a draw, a function of seed, draw and the row's key alone."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key.cast("string"))), 1, 13), 16, 10).cast("double") / float(16**13)
-    cut, p, out = 0.0, 2.718281828459045**-1, F.lit(0)
-    cuts = []
-    for k in range(1, 9):
-        cut += p
-        p /= k
-        cuts.append(round(cut, 12))
-    for c in cuts:
-        out = out + F.when(u >= c, 1).otherwise(0)
-    return out
-
-
-#: Cumulative Poisson(1) probabilities up to 7, as used by ``bootstrap_weight``.
-POISSON_CUTS = [round(sum(2.718281828459045**-1 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[: k + 1]), 12) for k in range(8)]

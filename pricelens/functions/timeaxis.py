@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ZONE = "Europe/London"
@@ -68,3 +70,29 @@ def closing(commence: Column, now: Column, minutes: int = 20) -> Column:
 def before_kickoff(observed: Column, kickoff: Column, is_closing: Column) -> Column:
     """Quotes from before the kick-off; a closing quote may lie at that very instant."""
     return (observed < kickoff) | (is_closing & (observed == kickoff))
+
+
+#: Days on which the periods and zones begin and end (excluded): selection, evaluation, holdout; a rehearsal plays its
+#: holdout within the evaluation zone.
+ZONES = {"S": (date(1996, 1, 1), date(1997, 7, 1)), "E": (date(1997, 7, 1), date(2000, 7, 1)), "holdout": (date(2000, 7, 1), date(2001, 1, 1)), "post": (date(2001, 1, 1), date(2100, 1, 1))}
+REHEARSAL = (date(2000, 1, 1), date(2000, 7, 1))
+
+
+def zone_rows(zoning: str = "final", holdout: tuple[date, date] = REHEARSAL) -> list[tuple[str, date, date]]:
+    """(zone, first day, last day) of a zoning: ``development`` has S and E, ``final`` the holdout and what follows too,
+    ``rehearsal`` the development zones but for a part of them that plays the holdout."""
+    names = {"development": ("S", "E"), "final": tuple(ZONES), "rehearsal": ("S", "E")}
+    if zoning not in names:
+        raise ValueError(f"unknown zoning {zoning}")
+    spans = [(z, *ZONES[z]) for z in names[zoning]]
+    if zoning == "rehearsal":
+        a, b = holdout
+        if not ZONES["S"][0] <= a < b <= ZONES["E"][1]:
+            raise ValueError("a rehearsal lies within the development zones")
+        spans = [(z, *cut) for z, x, y in spans for cut in ((x, min(y, a)), (max(x, b), y)) if cut[0] < cut[1]] + [("holdout", a, b)]
+    return [(z, x, y - timedelta(days=1)) for z, x, y in spans]
+
+
+def zones(spark: SparkSession, zoning: str = "final", holdout: tuple[date, date] = REHEARSAL) -> DataFrame:
+    """``zone_rows`` as a table of a few rows, for an interval join."""
+    return spark.createDataFrame(zone_rows(zoning, holdout), "zone string, first_day date, last_day date")

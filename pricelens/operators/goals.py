@@ -7,69 +7,122 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RHO_BOUND, TAU_FLOOR, GOALS = 0.2, 1e-9, 10
-
-
-def _low(x, y, lam, mu, rho):
-    """The correction of low scores and its derivatives by log lam, log mu and rho."""
-    cells = [(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0), (x == 1) & (y == 1)]
-    one = np.ones_like(lam)
-    tau = np.maximum(np.select(cells, [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, one - rho], one), TAU_FLOOR)
-    zero = 0 * lam
-    return (tau, np.select(cells, [-lam * mu * rho, lam * rho, zero, zero], 0.0) / tau, np.select(cells, [-lam * mu * rho, zero, mu * rho, zero], 0.0) / tau, np.select(cells, [-lam * mu, lam, mu, -one], 0.0) / tau)
+from ..functions.prices import let
 
-
-def fit_group(home, away, x, y, w, n: int, ridge: float, start=None, steps: int = 60):
-    """(attack, defence, home edge, rho) at the penalised weighted maximum by scoring steps, from ``start`` if given; None
-    if they don't settle. Sums go by team and pair of teams; no design matrix is made."""
-    total = w.sum()
+# The bound of the correction's parameter, the least correction, goals of the score matrix.
+RHO_BOUND, TAU_FLOOR, GOALS = 0.2, 1e-9, 10
+#: Log rates move by no more than this in a step.
+STRIDE = 1.0
+
+
+class _Window:
+    """The matches that a fit sees, with what doesn't change from step to step.
+
+    A low score (x, y), neither above 1, weighs its probability by 1 + s rho lam^a mu^b with a = 1 - x, b = 1 - y and
+    s = 1 for a score of one goal, else -1; no other score is corrected."""
+
+    def __init__(self, home, away, x, y, w, n: int):
+        self.home, self.away, self.x, self.y, self.w, self.n, self.total = home, away, x, y, w, n, w.sum()
+        self.low = np.flatnonzero((x <= 1) & (y <= 1))
+        self.a, self.b = 1.0 - x[self.low], 1.0 - y[self.low]
+        self.s = np.where(x[self.low] + y[self.low] == 1, 1.0, -1.0)
+
+    def rates(self, beta):
+        """Log rates of home and away goals from attack, defence and the home edge."""
+        n = self.n
+        return beta[self.home] + beta[n + self.away] + beta[-1], beta[self.away] + beta[n + self.home]
+
+    def correction(self, h, a, rho):
+        """What low scores' corrections are made of: 1 + rho u, and u."""
+        u = self.s * np.exp(self.a * h[self.low] + self.b * a[self.low])
+        return np.maximum(1.0 + rho * u, TAU_FLOOR), u
+
+    def loss(self, beta, rho, pen):
+        """Infinite where a correction takes all of a score's probability: a fit begins inside and stays there."""
+        h, a = self.rates(beta)
+        tau, _ = self.correction(h, a, rho)
+        if not (tau > TAU_FLOOR).all():
+            return np.inf
+        likelihood = (self.w * (self.x * h - np.exp(h) + self.y * a - np.exp(a))).sum() + (self.w[self.low] * np.log(tau)).sum()
+        return 0.5 * (pen * beta * beta).sum() - likelihood / self.total
+
+    def slopes(self, beta, rho):
+        """Slope of the likelihood by team, edge and rho, and its curvature."""
+        n, (h, a) = self.n, self.rates(beta)
+        lam, mu = np.exp(h), np.exp(a)
+        tau, u = self.correction(h, a, rho)
+        up, down, steep, flat = self.x - lam, self.y - mu, self.w * lam, self.w * mu
+        up[self.low] += rho * u * self.a / tau
+        down[self.low] += rho * u * self.b / tau
+        bow = self.w[self.low] * rho * u / tau**2  # how the correction's slope changes with the rates
+        steep[self.low] -= bow * self.a
+        flat[self.low] -= bow * self.b
+        g, hess = np.zeros(2 * n + 2), np.zeros((2 * n + 2, 2 * n + 2))
+        bend = -self.w[self.low] * u / tau**2  # how a corrected rate's slope changes with rho
+        for one, other, slope, weight, at_home in ((self.home, self.away, self.w * up, steep, True), (self.away, self.home, self.w * down, flat, False)):
+            g[:n] += np.bincount(one, slope, n)
+            g[n:-2] += np.bincount(other, slope, n)
+            cross = np.bincount(one * n + other, weight, n * n).reshape(n, n)
+            hess[:n, n:-2] += cross
+            turn = bend * (self.a if at_home else self.b)
+            hess[:n, -1] += np.bincount(one[self.low], turn, n)
+            hess[n:-2, -1] += np.bincount(other[self.low], turn, n)
+            sums = np.append(cross.sum(1), cross.sum(0))
+            hess[np.arange(2 * n), np.arange(2 * n)] += sums
+            if at_home:  # only the home side's rate has the edge
+                g[-2], hess[:-2, -2], hess[-2, -2], hess[-2, -1] = slope.sum(), sums, weight.sum(), turn.sum()
+        w, one, other, both = self.w[self.low], self.home[self.low], self.away[self.low], -bow * self.a * self.b
+        cross = np.bincount(one * n + other, both, n * n).reshape(n, n)
+        hess[:n, :n] += cross + cross.T
+        hess[n:-2, n:-2] += cross + cross.T
+        at, home, away = np.arange(n), np.bincount(one, both, n), np.bincount(other, both, n)
+        hess[at, n + at] += home + away
+        hess[:n, -2] += away
+        hess[n:-2, -2] += home
+        g[-1], hess[-1, -1] = (w * u / tau).sum(), (w * (u / tau) ** 2).sum()
+        upper = np.triu(hess)  # the blocks above the diagonal are filled
+        return g / self.total, (upper + np.triu(upper, 1).T) / self.total
+
+
+def fit_group(home, away, x, y, w, n: int, ridge: float, start=None, steps: int = 80):
+    """(attack, defence, home edge, rho) at the penalised weighted maximum by Newton steps, from ``start`` if given; None if
+    they don't settle. A step that doesn't lead down is damped until it does. Sums go by team and pair of teams; no
+    design matrix is made."""
+    seen = _Window(home, away, x, y, w, n)
     beta, rho = (np.append(np.zeros(2 * n), 0.25), 0.0) if start is None else start
     pen = np.append(np.full(2 * n, 2 * ridge), 0.0)
-    by_pair = [(home * n + away, home, away), (away * n + home, away, home)]
-
-    def rates(b):
-        return b[home] + b[n + away] + b[-1], b[away] + b[n + home]
-
-    def value(b, r):
-        h, a = rates(b)
-        lam, mu = np.exp(h), np.exp(a)
-        return -(w * (np.log(_low(x, y, lam, mu, r)[0]) + x * h - lam + y * a - mu)).sum() / total + 0.5 * (pen * b * b).sum()
-
-    now = value(beta, rho)
+    now, damp, unit = seen.loss(beta, rho, pen), 0.0, np.eye(2 * n + 2)
+    if not np.isfinite(now):
+        return None
     for _ in range(steps):
-        lam, mu = (np.exp(v) for v in rates(beta))
-        _, dh, da, dr = _low(x, y, lam, mu, rho)
-        g, hess = np.zeros(2 * n + 1), np.zeros((2 * n + 1, 2 * n + 1))
-        for (pair, one, other), slope, weight in zip(by_pair, (w * (x - lam + dh), w * (y - mu + da)), (w * lam, w * mu), strict=True):
-            g[:n] += np.bincount(one, slope, n)
-            g[n: 2 * n] += np.bincount(other, slope, n)
-            cross = np.bincount(pair, weight, n * n).reshape(n, n)
-            hess[:n, n: 2 * n] += cross
-            hess[np.arange(2 * n), np.arange(2 * n)] += np.append(cross.sum(1), cross.sum(0))
-            if pair is by_pair[0][0]:  # the home side's rate has the edge
-                g[-1] = slope.sum()
-                hess[:-1, -1] = np.append(cross.sum(1), cross.sum(0))
-                hess[-1, -1] = cross.sum()
-        hess[n: 2 * n, :n] = hess[:n, n: 2 * n].T
-        hess[-1, :-1] = hess[:-1, -1]
-        g, hess = -g / total + pen * beta, hess / total + np.diag(pen + 1e-10)
-        gr, hr = -(w * dr).sum() / total, (w * dr * dr).sum() / total + 1e-10
-        if not np.isfinite(hess).all() or np.linalg.cond(hess) > 1e14:
-            return None
-        db, new_rho, size = np.linalg.solve(hess, g), float(np.clip(rho - gr / hr, -RHO_BOUND, RHO_BOUND)), 1.0
-        while size > 1e-4 and not value(beta - size * db, rho + size * (new_rho - rho)) <= now + 1e-12:
-            size /= 2
-        moved = max(np.abs(size * db).max(), abs(size * (new_rho - rho)))
-        beta, rho = beta - size * db, rho + size * (new_rho - rho)
-        now = value(beta, rho)
-        if moved < 1e-7:
-            return beta[:n], beta[n : 2 * n], beta[-1], rho
+        g, hess = seen.slopes(beta, rho)
+        g[:-1] -= pen * beta
+        hess += np.diag(np.append(pen, 0.0) + 1e-10)
+        while True:
+            try:
+                move = np.linalg.solve(hess + damp * unit, g)
+                goal = float(np.clip(rho + move[-1], -RHO_BOUND, RHO_BOUND))
+                turn = goal - rho
+                move = move[:-1] if turn == move[-1] else np.linalg.solve((hess + damp * unit)[:-1, :-1], g[:-1] - hess[:-1, -1] * turn)
+            except np.linalg.LinAlgError:
+                move, turn = np.zeros(2 * n + 1), np.inf
+            far = max(np.abs(move).max(), abs(turn))
+            if far <= STRIDE and (then := seen.loss(beta + move, rho + turn, pen)) <= now + 1e-12:
+                break
+            damp = max(10 * damp, 1e-4)
+            if damp > 1e6:
+                return None
+        beta, rho, now = beta + move, rho + turn, then
+        if far < 1e-7 and damp < 1e-2:
+            return beta[:n], beta[n:-1], beta[-1], rho
+        damp = damp / 10 if damp > 1e-4 else 0.0
     return None
 
 
-def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, window: int = 1095, least: int = 30, ridge: float = 0.01, block: int = 180) -> DataFrame:
-    """(grp, fit_day, team, attack, defence, edge, rho) for each group and fit day: a fit sees the matches of the days
-    before it, back to ``window`` days, with weights falling by age. Too few matches or no convergence give no rows.
+def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.0019, window: int = 1095, least: int = 30, ridge: float = 0.01, block: int = 180) -> DataFrame:
+    """(grp, fit_day, team, attack, defence, edge, rho, settled) for each group and fit day: a fit sees the matches of the
+    days before it, back to ``window`` days, with weights falling by age. Days with fewer than ``least`` matches have no
+    rows; a fit that doesn't settle has one row, without team and values.
 
     The fit days of ``block`` days of a group are fitted in one task, each from the one before, so a match is copied
     once a block and not once a fit day."""
@@ -77,7 +130,7 @@ def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, wi
     blocks = fit_days.groupBy("grp", F.floor(number("fit_day") / block).alias("block")).agg(F.sort_array(F.collect_set("fit_day")).alias("days"))
     first, last = F.floor((number("match_date") + 1) / block), F.floor((number("match_date") + window) / block)
     rows = matches.select("grp", "match_date", "home", "away", "home_goals", "away_goals", F.explode(F.sequence(first, last)).alias("block")).join(blocks, ["grp", "block"])
-    cols = ["grp", "fit_day", "team", "attack", "defence", "edge", "rho"]
+    cols = ["grp", "fit_day", "team", "attack", "defence", "edge", "rho", "settled"]
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = pd.to_datetime(pdf["match_date"]).to_numpy("datetime64[D]").astype(int)
@@ -91,36 +144,47 @@ def fit_strengths(matches: DataFrame, fit_days: DataFrame, xi: float = 0.002, wi
             teams = np.union1d(home[seen], away[seen])
             start = before[1] if before[0] is not None and np.array_equal(before[0], teams) else None
             args = np.searchsorted(teams, home[seen]), np.searchsorted(teams, away[seen]), x[seen].astype(float), y[seen].astype(float), np.exp(-xi * age[seen]), len(teams), ridge
-            found = fit_group(*args, start)
-            found = fit_group(*args) if found is None and start is not None else found
-            if found is not None:
-                attack, defence, edge, rho = found
-                before = teams, (np.concatenate((attack, defence, [edge])), rho)
-                out.append(pd.DataFrame({"grp": key[0], "fit_day": day, "team": teams, "attack": attack, "defence": defence, "edge": edge, "rho": rho}))
-        return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
+            with np.errstate(over="ignore", invalid="ignore"):  # steps that go too far are halved
+                found = fit_group(*args, start)
+                found = fit_group(*args) if found is None and start is not None else found
+            if found is None:
+                out.append(pd.DataFrame({"grp": [key[0]], "fit_day": [day], "settled": [False]}))
+                continue
+            attack, defence, edge, rho = found
+            before = teams, (np.concatenate((attack, defence, [edge])), rho)
+            out.append(pd.DataFrame({"grp": key[0], "fit_day": day, "team": teams, "attack": attack, "defence": defence, "edge": edge, "rho": rho, "settled": True}))
+        return pd.concat(out).reindex(columns=cols).astype({"team": "Int64"}) if out else pd.DataFrame(columns=cols)
 
     # Small rows, dear fits: without a number of its own, adaptive execution would put them into one task.
     rows = rows.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, "grp", "block")
-    return rows.groupBy("grp", "block").applyInPandas(fit, "grp int, fit_day date, team long, attack double, defence double, edge double, rho double")
-
-
-def score_cells(lam: Column, mu: Column, rho: Column, goals: int = GOALS) -> Column:
-    """Array of (i, j, p) up to ``goals`` each, with the low-score correction, not yet normalised."""
-    k = F.sequence(F.lit(0), F.lit(goals))
-    mass = lambda rate: F.transform(k, lambda i: F.exp(i * F.log(rate) - rate) / F.factorial(i))
-
-    def tau(i, j):
-        t = F.when((i == 0) & (j == 0), 1 - lam * mu * rho).when((i == 0) & (j == 1), 1 + lam * rho).when((i == 1) & (j == 0), 1 + mu * rho).when((i == 1) & (j == 1), 1 - rho).otherwise(1.0)
-        return F.greatest(t, F.lit(TAU_FLOOR))
-
-    rows = F.transform(mass(lam), lambda p, i: F.transform(mass(mu), lambda q, j: F.struct(i.alias("i"), j.alias("j"), (p * q * tau(i, j)).alias("p"))))
-    return F.flatten(rows)
-
-
-def outcome_and_totals(cells: Column) -> Column:
-    """Struct of home, draw, away and over 2.5, normalised, in one pass over the cells."""
-    add = lambda a, n, c, x: (a[n] + F.when(c, x["p"]).otherwise(0.0)).alias(n)
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("h", "d", "a", "over")])
-    step = lambda s, x: F.struct(add(s, "h", x["i"] > x["j"], x), add(s, "d", x["i"] == x["j"], x), add(s, "a", x["i"] < x["j"], x), add(s, "over", x["i"] + x["j"] > 2, x))
-    total = lambda s: s["h"] + s["d"] + s["a"]
-    return F.aggregate(cells, zero, step, lambda s: F.struct(*[(s[n] / total(s)).alias(n) for n in ("h", "d", "a", "over")]))
+    return rows.groupBy("grp", "block").applyInPandas(fit, "grp int, fit_day date, team long, attack double, defence double, edge double, rho double, settled boolean")
+
+
+def forecasts(asked: DataFrame, strengths: DataFrame) -> DataFrame:
+    """``asked`` (grp, fit_day, home, away and more) with the rates ``lam`` and ``mu`` and ``rho`` of that day's fit; null
+    where the fit is missing or hasn't seen a team. Two joins by group, day and team."""
+    side = lambda team, names: strengths.where("settled").select("grp", "fit_day", F.col("team").alias(team), *[F.col(a).alias(b) for a, b in names.items()])
+    x = asked.join(side("home", {"attack": "_ha", "defence": "_hd", "edge": "_edge", "rho": "rho"}), ["grp", "fit_day", "home"], "left")
+    x = x.join(side("away", {"attack": "_aa", "defence": "_ad"}), ["grp", "fit_day", "away"], "left")
+    both = F.col("_ha").isNotNull() & F.col("_aa").isNotNull()
+    x = x.withColumns({"lam": F.when(both, F.exp(F.col("_ha") + F.col("_ad") + F.col("_edge"))), "mu": F.when(both, F.exp(F.col("_aa") + F.col("_hd"))), "rho": F.when(both, F.col("rho"))})
+    return x.drop("_ha", "_hd", "_aa", "_ad", "_edge")
+
+
+def outcome_and_totals(lam: Column, mu: Column, rho: Column, goals: int = GOALS) -> Column:
+    """Struct of home, draw, away and over 2.5 from the score matrix up to ``goals`` each with the low-score correction,
+    normalised. Scores are independent but for four: one pass over the goals with running sums, then the four."""
+    logs = F.array(*[F.lit(float(sum(np.log(np.arange(1, k + 1))))) for k in range(goals + 1)])
+    mass = lambda rate: F.transform(logs, lambda lf, i: F.exp(i * F.log(rate) - rate - lf))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("h", "d", "a", "x", "y")])  # x, y: what is below in either
+    step = lambda s, v: F.struct((s["h"] + v["p"] * s["y"]).alias("h"), (s["d"] + v["p"] * v["q"]).alias("d"), (s["a"] + v["q"] * s["x"]).alias("a"), (s["x"] + v["p"]).alias("x"), (s["y"] + v["q"]).alias("y"))
+
+    def low(s: Column, p: Column, q: Column) -> Column:
+        more = lambda i, j, c: F.get(p, i) * F.get(q, j) * (F.greatest(1.0 + c, F.lit(TAU_FLOOR)) - 1.0)
+        none, away, home, one = more(0, 0, -lam * mu * rho), more(0, 1, lam * rho), more(1, 0, mu * rho), more(1, 1, -rho)
+        h, d, a = s["h"] + home, s["d"] + none + one, s["a"] + away
+        few = sum((F.get(p, i) * F.get(q, j) for i in range(3) for j in range(3 - i)), F.lit(0.0)) + none + away + home + one
+        return F.struct((h / (h + d + a)).alias("h"), (d / (h + d + a)).alias("d"), (a / (h + d + a)).alias("a"), (1.0 - few / (h + d + a)).alias("over"))
+
+    both = lambda p, q: let(F.aggregate(F.zip_with(p, q, lambda u, v: F.struct(u.alias("p"), v.alias("q"))), zero, step), lambda s: low(s, p, q))
+    return F.when(lam.isNotNull() & mu.isNotNull(), let(mass(lam), lambda p: let(mass(mu), lambda q: both(p, q))))

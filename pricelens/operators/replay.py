@@ -52,7 +52,8 @@ def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str],
                 out[i] = strategy.predict(rows[i]) or none
         return pd.concat([pdf, pd.DataFrame(out, columns=names, dtype=float)], axis=1)[[*keys, *keep, "decided", *names]]
 
-    return x.groupBy(*keys).applyInPandas(run, schema)
+    # Small rows, dear groups: by default few groups would meet in few tasks.
+    return x.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 class SeenResults:
@@ -103,6 +104,13 @@ class Elo:
             self.ratings[team], self.seen[team] = value, row.match_date
 
 
+class Scaffold(Elo):
+    """The rating that fitted ones are judged against: nothing is fitted, teams don't return towards a mean."""
+
+    def __init__(self):
+        super().__init__(margin="linear", regress=0.0, newcomer=0.0)
+
+
 def quadratic_draw(e: Column, draw: Column) -> Column:
     """(home, draw, away) from a home expectation: a draw takes 4 draw e (1 - e), half from each side."""
     tie = draw * 4.0 * e * (1.0 - e)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, odds
 from ..functions import prices as P
 from ..functions import scores as S
+from ..operators.intervals import intervals, intervals_sql, weights_sql
 from .prices import _FULL, _HALVES, _PC, _POWER, _SHIN_P, pre_close
 from .registry import query
 
@@ -64,58 +61,20 @@ def clv(spark, sf):
     return x.select("match_id", "book", _r(S.clv(F.get("pre", 0), F.get("q", 0))).alias("clv"))
 
 
-_CUTS = " + ".join(f"(u >= {c!r})::int" for c in S.POISSON_CUTS)
-_SEED = 20260922  # fixed value
-
-
-DRAWS = 2000
-
-
 def spread(spark):
     """Tasks for work that is large beside its rows, which adaptive execution would put into one."""
     return 4 * spark.sparkContext.defaultParallelism
 
 
-def draw_weights(keys, draws, seed=_SEED):
-    """``functions.scores.bootstrap_weight`` of all keys (texts) in some draws: an array of draws by keys."""
-    keys = [k.encode() for k in keys]
-    heads = [f"{seed}|{d}|".encode() for d in draws]
-    out = np.empty((len(heads), len(keys)), np.uint8)
-    for i, head in enumerate(heads):
-        u = np.frombuffer(b"".join([hashlib.md5(head + k).digest()[:8] for k in keys]), ">u8") >> np.uint64(12)
-        out[i] = np.searchsorted(S.POISSON_CUTS, u / float(16**13), side="right")
-    return out
-
-
-def bootstrap_mean(rows, value, key, groups, draws=DRAWS, seed=_SEED):
-    """Interval of a mean by Poisson weights: a row's weight in a draw depends on seed, draw and key alone, so a
-    draw is one sum a group, never a resampled table. Rows of a key meet before the draws; a task sums its rows for
-    every draw and hands on one row a group and draw."""
-
-    def part(batches):
-        held = {}
-        for pdf in batches:
-            for g, x in pdf.groupby(groups, dropna=False):
-                for i in range(0, len(x), 1000):
-                    w = draw_weights(x["_key"].iloc[i : i + 1000], range(draws), seed).astype(float)
-                    held[g] = held.get(g, 0) + w @ x[["_s", "_n"]].iloc[i : i + 1000].to_numpy(float)
-        for g, sums in held.items():
-            yield pd.DataFrame(dict(zip(groups, g, strict=True)) | {"draw": np.arange(draws), "_s": sums[:, 0], "_n": sums[:, 1]})
-
-    sums = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(key).cast("string").alias("_key")).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    kinds = "".join(f"{c} {dict(rows.dtypes)[c]}, " for c in groups)
-    parts = sums.repartition(spread(rows.sparkSession), "_key").mapInPandas(part, f"{kinds}draw long, _s double, _n double")
-    means = parts.groupBy(*groups, "draw").agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0.0))).alias("m"))
-    q = means.groupBy(*groups).agg(F.expr("percentile(m, array(0.025, 0.975))").alias("q"))
-    mean = rows.groupBy(*groups).agg(F.avg(value).alias("estimate"))
-    return mean.join(q, groups).select(*groups, _r("estimate").alias("estimate"), _r(F.get("q", 0)).alias("low"), _r(F.get("q", 1)).alias("high"))
-
-
-@query("a8_bootstrap_mean", f"""WITH {_PROB}, one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1), w AS (SELECT league, draw, ll, {_CUTS} AS w FROM (SELECT league, draw, ll, ('0x' || substr(md5(concat_ws('|', '{_SEED}', draw::varchar, match_id::varchar)), 1, 13))::bigint::double / {float(16**13)!r} AS u FROM one, (SELECT unnest(range({DRAWS})) AS draw)) t),
-means AS (SELECT league, draw, sum(w * ll) / sum(w) AS m FROM w GROUP BY 1, 2), q AS (SELECT league, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY 1)
-SELECT league, estimate, low, high FROM q JOIN (SELECT league, round(avg(ll), 6) AS estimate FROM one GROUP BY 1) e USING (league)""", "odds")
+def with_draws(rows: str, groups: str, measures: dict[str, str], head: str) -> str:
+    """SQL of ``intervals`` over a table of the WITH clause ``head``."""
+    return f"WITH {head}, {weights_sql(rows, 'match_id')} {intervals_sql(rows, groups, measures)}"
+
+
+@query("a8_bootstrap_mean", f"SELECT league, ll AS estimate, ll_low AS low, ll_high AS high FROM ({with_draws('one', 'league', {'ll': 'll'}, _PROB + ', one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1)')}) z", "odds")
 def bootstrap(spark, sf):
-    return bootstrap_mean(closing_losses(spark, sf), "ll", "match_id", ["league"])
+    x = intervals(closing_losses(spark, sf), {"ll": F.col("ll")}, "match_id", ["league"])
+    return x.select("league", F.col("ll").alias("estimate"), F.col("ll_low").alias("low"), F.col("ll_high").alias("high"))
 
 
 def closing_losses(spark, sf):

@@ -10,9 +10,12 @@ from ..fixtures import matches, odds
 from ..functions import prices as P
 from ..functions import scores as S
 from ..functions import timeaxis as T
-from ..operators.goals import fit_strengths, outcome_and_totals, score_cells
-from ..operators.replay import Elo, ordered_draw, quadratic_draw, replay
-from .metrics import _PROB, bootstrap_mean, scored
+from ..operators import goals
+from ..operators.intervals import intervals
+from ..operators.lineage import cut
+from ..operators.outcomes import fit_outcomes, probabilities
+from ..operators.replay import Elo, Scaffold, ordered_draw, quadratic_draw, replay
+from .metrics import _PROB, scored
 from .registry import query
 from .timeaxis import kickoffs
 
@@ -56,13 +59,16 @@ def elo_ratings(spark, sf):
     return x.select("match_id", "grp", _r("r_home").alias("r_home"), _r("r_away").alias("r_away"), _r("expected").alias("expected"))
 
 
+def scaffold(expected):
+    """Outcome probabilities of an unfitted rating: a fixed draw rate, clamped and normalised."""
+    raw = F.array(expected - 0.13, F.lit(0.26), 1 - expected - 0.13)
+    return P._multiplicative(F.transform(raw, lambda v: F.greatest(F.least(v, F.lit(0.98)), F.lit(0.01))))
+
+
 @query("m22_scaffold_rating")
 def scaffold_rating(spark, sf):
-    """Unfitted ratings with a fixed draw rate, clamped and normalised."""
-    x = ratings(spark, sf, margin="linear", regress=0.0, newcomer=0.0)
-    raw = F.array(F.col("expected") - 0.13, F.lit(0.26), 1 - F.col("expected") - 0.13)
-    p = P._multiplicative(F.transform(raw, lambda v: F.greatest(F.least(v, F.lit(0.98)), F.lit(0.01))))
-    return x.withColumn("p", p).select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+    x = replay(kickoffs(spark, sf), Scaffold, ["r_home", "r_away", "expected"]).where("expected is not null").withColumn("p", scaffold(F.col("expected")))
+    return x.select("match_id", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
 
 
 _E = "((match_id % 99 + 0.5E0) / 100)"
@@ -75,41 +81,56 @@ def draw_mapping(spark, sf):
     return x.select("match_id", _r(F.get("q", 0)).alias("qh"), _r(F.get("q", 1)).alias("qd"), _r(F.get("o", 0)).alias("oh"), _r(F.get("o", 2)).alias("oa"))
 
 
-def minimise(rows: DataFrame, loss, low: float, high: float, rounds: int = 4, points: int = 11) -> tuple[float, float]:
-    """(parameter, mean loss): each round is one aggregation with a column for each candidate, then the range shrinks."""
-    for _ in range(rounds):
-        at = np.linspace(low, high, points)
-        got = rows.agg(*[F.avg(loss(F.lit(float(v)))).alias(f"c{i}") for i, v in enumerate(at)]).first()
-        best = min(range(points), key=lambda i: (got[i], i))
-        low, high = at[max(best - 1, 0)], at[min(best + 1, points - 1)]
-    return float(at[best]), float(got[best])
-
-
 @query("m4_draw_fit")
 def draw_fit(spark, sf):
-    """The draw rate with the least loss on the seasons before 1997; the ratings are replayed once."""
-    x = ratings(spark, sf).where("match_date < date '1997-01-01'").select("expected", outcome().alias("y")).persist()
-    d, loss = minimise(x, lambda v: loss_of(quadratic_draw(F.col("expected"), v), F.col("y")), 0.0, 0.5)
-    c, loss2 = minimise(x, lambda v: loss_of(ordered_draw(F.col("expected"), F.lit(1.0), v), F.col("y")), 0.05, 2.0)
-    x.unpersist()
-    return spark.createDataFrame([("quadratic", round(d, 6), round(loss, 6)), ("ordered", round(c, 6), round(loss2, 6))], "form string, value double, log_loss double")
+    """Draw rate, and scale and cut of the ordered form, with the least loss on the seasons before 1997; the ratings are
+    replayed once."""
+    x = cut(ratings(spark, sf).where("match_date < date '1997-01-01'").select(F.lit(0).alias("candidate"), "expected", outcome().alias("y")))
+    out = []
+    for form in ("quadratic", "ordered"):
+        params, loss, settled = fit_outcomes(x, form).get(0, ((None,), None, False))
+        out.append((form, *[None if v is None else round(v, 5) for v in (params[0], params[1] if form == "ordered" else None, loss)], settled))
+    return spark.createDataFrame(out, "form string, first double, second double, log_loss double, settled boolean")
+
+
+def asked(spark, sf) -> DataFrame:
+    """Matches with a decision, and the day of the fit that the decision rests on."""
+    m = kickoffs(spark, sf).where(T.decision_at(F.col("match_date"), F.col("kickoff")).isNotNull())
+    return m.withColumns({"grp": F.col("grp").cast("int"), "fit_day": T.fit_day(T.decision_day(F.col("match_date")), CADENCE)})
+
+
+def strengths(spark, sf, days=None, seen=None, **config) -> DataFrame:
+    """Fits on every day with a decision, or on some ``days``, from all matches, or those of ``seen``."""
+    m = (matches(spark, sf) if seen is None else seen).withColumn("grp", F.col("grp").cast("int"))
+    if days is None:
+        days = matches(spark, sf).select(F.col("grp").cast("int").alias("grp"), T.fit_day(T.decision_day(F.col("match_date")), CADENCE).alias("fit_day"))
+    return goals.fit_strengths(m, days.select("grp", "fit_day").distinct(), **config)
 
 
-def strengths(spark, sf) -> DataFrame:
-    """Fits on every day with a decision."""
-    m = matches(spark, sf)
-    days = m.select("grp", T.fit_day(T.decision_day(F.col("match_date")), CADENCE).alias("fit_day")).distinct()
-    return fit_strengths(m.withColumn("grp", F.col("grp").cast("int")), days.withColumn("grp", F.col("grp").cast("int")))
+def goal_forecasts(spark, sf, some=None, seen=None, **config) -> DataFrame:
+    """Decided matches (those that ``some`` picks) that the goal model can judge, with its probabilities ``p``, ``over``
+    for more than 2.5 goals, and the rates: a match meets the fit of its decision day, of matches before that day."""
+    ask = asked(spark, sf) if some is None else asked(spark, sf).where(some)
+    x = goals.forecasts(ask, strengths(spark, sf, ask, seen, **config)).where("lam is not null and mu is not null")
+    x = x.withColumn("s", goals.outcome_and_totals(F.col("lam"), F.col("mu"), F.col("rho")))
+    return x.withColumns({"p": F.array("s.h", "s.d", "s.a"), "over": F.col("s.over")}).drop("s")
 
 
 @query("m5_goal_model_fit")
 def goal_model_fit(spark, sf):
-    return strengths(spark, sf).groupBy("grp", "fit_day").agg(F.count(F.lit(1)).alias("teams"), _r(F.first("edge"), 5).alias("edge"), _r(F.first("rho"), 5).alias("rho"))
+    """A row for each fit day with enough matches; the values are null where a fit hasn't settled."""
+    return strengths(spark, sf).groupBy("grp", "fit_day").agg(F.count("team").alias("teams"), _r(F.first("edge"), 5).alias("edge"), _r(F.first("rho"), 5).alias("rho"), F.bool_and("settled").alias("settled"))
 
 
 @query("m8_team_strengths")
 def team_strengths(spark, sf):
-    return strengths(spark, sf).select("grp", "fit_day", "team", _r("attack", 5).alias("attack"), _r("defence", 5).alias("defence"))
+    return strengths(spark, sf).where("settled").select("grp", "fit_day", "team", _r("attack", 5).alias("attack"), _r("defence", 5).alias("defence"))
+
+
+@query("m7_goal_forecasts")
+def forecast_rows(spark, sf):
+    """Outcome and over/under probabilities from the fit of each match's decision day."""
+    return goal_forecasts(spark, sf).select("match_id", _r("lam", 5).alias("lam"), _r("mu", 5).alias("mu"), *[_r(F.get("p", i), 5).alias(n) for i, n in enumerate(("ph", "pd", "pa"))], _r("over", 5).alias("over_25"))
 
 
 _LM = "l AS (SELECT match_id, 0.8E0 + (match_id % 17) / 10.0E0 AS lam, 0.6E0 + (match_id % 13) / 10.0E0 AS mu FROM fx_match)"
@@ -120,15 +141,23 @@ o AS (SELECT lam, mu, sum(p) AS s, sum(p) FILTER (i > j) AS h, sum(p) FILTER (i
 def score_matrix(spark, sf):
     i = F.col("match_id")
     x = matches(spark, sf).select("match_id", (0.8 + (i % 17) / 10.0).alias("lam"), (0.6 + (i % 13) / 10.0).alias("mu"))
-    x = x.withColumn("s", outcome_and_totals(score_cells(F.col("lam"), F.col("mu"), F.lit(-0.1))))
+    x = x.withColumn("s", goals.outcome_and_totals(F.col("lam"), F.col("mu"), F.lit(-0.1)))
     return x.select("match_id", _r("s.h").alias("ph"), _r("s.d").alias("pd"), _r("s.over").alias("over_25"))
 
 
+#: The forecasts that a blend is made of: opening prices of the reference book, ratings, goal model.
+BLEND = ("m0", "elo", "goals")
+#: All forecasts of a match: a second book's prices beside them.
+STRATEGIES = ("m0", "m1", "elo", "goals")
+
+
 def members(spark, sf) -> DataFrame:
-    """One row a match with three forecasts: a rating, and the opening prices of two books."""
-    market = odds(spark, sf).where("phase = 0 and book in (0, 1)").withColumn("p", P.devig(F.col("o"), "multiplicative")).groupBy("match_id", "league", "season", "y").agg(F.max(F.when(F.col("book") == 0, F.col("p"))).alias("m0"), F.max(F.when(F.col("book") == 1, F.col("p"))).alias("m1")).where("m0 is not null and m1 is not null")
+    """One row a match that every forecast has, with the opening and closing prices of the reference book."""
+    at = lambda c, book, phase: F.max(F.when((F.col("book") == book) & (F.col("phase") == phase), F.col(c)))
+    market = odds(spark, sf).where("book in (0, 1)").withColumn("p", P.devig(F.col("o"), "multiplicative")).groupBy("match_id", "league", "season", "match_date", "y")
+    market = market.agg(at("p", 0, 0).alias("m0"), at("p", 1, 0).alias("m1"), at("o", 0, 0).alias("pre"), at("p", 0, 1).alias("closing")).where("m0 is not null and m1 is not null")
     elo = ratings(spark, sf).select("match_id", quadratic_draw(F.col("expected"), F.lit(0.26)).alias("elo"))
-    return market.join(elo, "match_id")
+    return market.join(elo, "match_id").join(goal_forecasts(spark, sf).select("match_id", F.col("p").alias("goals")), "match_id")
 
 
 def fit_pool(rows: DataFrame, keys: list[str], names: list[str], steps: int = 30) -> dict[tuple, list[float]]:
@@ -179,40 +208,72 @@ def _weights(spark, fitted: dict, schema: str) -> DataFrame:
     return spark.createDataFrame([(*k, *[round(v, 5) for v in w]) for k, w in fitted.items()], schema)
 
 
+_COLS = ", ".join(f"w_{c} double" for c in BLEND)
+
+
 @query("m9_pool_weights")
 def pool_weights(spark, sf):
-    return _weights(spark, fit_pool(members(spark, sf), ["league"], ["m0", "m1", "elo"]), "league string, w_m0 double, w_m1 double, w_elo double")
+    return _weights(spark, fit_pool(cut(members(spark, sf)), ["league"], list(BLEND)), f"league string, {_COLS}")
 
 
-@query("m21_frozen_weights")
-def frozen_weights(spark, sf, least=1000):
-    """Weights of each league, else the pooled ones with the reason; no pooled fit is an error."""
-    x = members(spark, sf).where("season < 1999")
-    own = fit_pool(x, ["league"], ["m0", "m1", "elo"])
-    pooled = fit_pool(x.withColumn("one", F.lit("all")), ["one"], ["m0", "m1", "elo"]).get(("all",))
+def frozen(spark, x: DataFrame, least: int = 1000) -> DataFrame:
+    """(league, n, weights, fallback): weights of each league's rows, else the pooled ones with the reason; rows without a
+    pooled fit are an error."""
+    own = fit_pool(x, ["league"], list(BLEND))
+    pooled = fit_pool(x.withColumn("one", F.lit("all")), ["one"], list(BLEND)).get(("all",))
     if pooled is None and own:
         raise ValueError("the pool can't be fitted")
-    w = _weights(spark, own, "league string, w_m0 double, w_m1 double, w_elo double")
+    w = _weights(spark, own, f"league string, {_COLS}")
     n = x.groupBy("league").agg(F.count(F.lit(1)).alias("n")).join(w, "league", "left")
     use = (F.col("n") >= least) & F.col("w_m0").isNotNull()
-    cols = [F.when(use, F.col(c)).otherwise(F.lit(None if pooled is None else round(pooled[i], 5)).cast("double")).alias(c) for i, c in enumerate(("w_m0", "w_m1", "w_elo"))]
+    cols = [F.when(use, F.col(f"w_{c}")).otherwise(F.lit(None if pooled is None else round(pooled[i], 5)).cast("double")).alias(f"w_{c}") for i, c in enumerate(BLEND)]
     return n.select("league", "n", *cols, F.when(F.col("n") < least, "few_rows").when(~use, "not_fitted").alias("fallback"))
 
 
-@query("w9_expanding_folds")
-def expanding_folds(spark, sf, least=1000):
-    """Weights for a season from all seasons before it, by league where it has enough rows, else pooled."""
-    x = members(spark, sf)
-    seasons = x.select("season").distinct().withColumnRenamed("season", "fold")
-    past = x.join(F.broadcast(seasons), F.col("season") < F.col("fold"))
-    own = _weights(spark, fit_pool(past, ["league", "fold"], ["m0", "m1", "elo"]), "league string, fold int, w_m0 double, w_m1 double, w_elo double")
-    pooled = _weights(spark, fit_pool(past, ["fold"], ["m0", "m1", "elo"]), "fold int, p_m0 double, p_m1 double, p_elo double")
-    n = past.groupBy("league", "fold").agg(F.count(F.lit(1)).alias("n")).join(own, ["league", "fold"], "left").join(pooled, "fold", "left")
+def in_zone(x: DataFrame, zone: str, zoning: str = "final") -> DataFrame:
+    """The rows that lie in a zone of a zoning."""
+    return x.join(F.broadcast(T.zones(x.sparkSession, zoning)), F.col("match_date").between(F.col("first_day"), F.col("last_day"))).where(F.col("zone") == zone).drop("zone", "first_day", "last_day")
+
+
+@query("m21_frozen_weights")
+def frozen_weights(spark, sf, least=1000):
+    """Weights from the evaluation zone."""
+    return frozen(spark, cut(in_zone(members(spark, sf), "E")), least)
+
+
+def fold_weights(spark, x: DataFrame, least: int = 1000) -> DataFrame:
+    """(league, fold, n, weights, kind): weights for a season of the evaluation zone from that zone's seasons before it,
+    else from the selection zone; by league where it has enough rows, else pooled, else the market alone."""
+    zoned = x.join(F.broadcast(T.zones(spark, "final")), F.col("match_date").between(F.col("first_day"), F.col("last_day")))
+    folds = zoned.where("zone = 'E'").select("league", F.col("season").alias("fold")).distinct()
+    some = zoned.where("zone in ('S', 'E')").select("league", "season", "zone", "y", *BLEND)
+
+    def training(by: list[str]) -> DataFrame:
+        """Rows of (by, fold): those of earlier seasons of E, or of S where there are none."""
+        wanted, cells = folds.select(*by, "fold").distinct(), some.where("zone = 'E'").select(*by, "season").distinct()
+        pairs = wanted.join(cells, by) if by else wanted.join(cells.withColumnRenamed("season", "s"), F.col("s") < F.col("fold")).withColumnRenamed("s", "season")
+        pairs = pairs.where("season < fold").select(*by, "fold", "season").distinct()
+        first = wanted.join(pairs, [*by, "fold"], "left_anti")
+        late = some.where("zone = 'E'").join(F.broadcast(pairs), [*by, "season"])  # one row a league and season pair
+        early = some.where("zone = 'S'").join(F.broadcast(first), by) if by else some.where("zone = 'S'").crossJoin(F.broadcast(first))  # a row a season
+        cols = ["league", "fold", "y", *BLEND]
+        return cut(late.select(*cols).unionByName(early.select(*cols)))
+
+    mine = training(["league"])
+    own = _weights(spark, fit_pool(mine, ["league", "fold"], list(BLEND)), f"league string, fold int, {_COLS}")
+    pooled = _weights(spark, fit_pool(training([]), ["fold"], list(BLEND)), f"fold int, {_COLS.replace('w_', 'p_')}")
+    n = folds.join(mine.groupBy("league", "fold").agg(F.count(F.lit(1)).alias("n")), ["league", "fold"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    n = n.join(own, ["league", "fold"], "left").join(pooled, "fold", "left")
     use = F.coalesce((F.col("n") >= least) & F.col("w_m0").isNotNull(), F.lit(False))
-    pick = [F.when(use, F.col(f"w_{c}")).otherwise(F.coalesce(f"p_{c}", F.lit(1.0 if c == "m0" else 0.0))).alias(f"w_{c}") for c in ("m0", "m1", "elo")]
+    pick = [F.when(use, F.col(f"w_{c}")).otherwise(F.coalesce(f"p_{c}", F.lit(1.0 if c == "m0" else 0.0))).alias(f"w_{c}") for c in BLEND]
     return n.select("league", "fold", "n", *pick, F.when(use, "league").when(F.col("p_m0").isNotNull(), "pooled").otherwise("market").alias("kind"))
 
 
+@query("w9_expanding_folds")
+def expanding_folds(spark, sf, least=1000):
+    return fold_weights(spark, cut(members(spark, sf)), least)
+
+
 _W = "(1 + ascii(right(a.league, 1)) % 3) / 3.0E0"
 _POOLED = f"pl AS (SELECT a.match_id, {_W} AS w, a.ph AS ah, a.pd AS ad, a.pa AS aa, b.ph AS bh, b.pd AS bd, b.pa AS ba FROM prob a JOIN prob b ON a.match_id = b.match_id AND a.phase = b.phase AND a.book = 0 AND b.book = 1 AND a.phase = 0), pq AS (SELECT match_id, pow(ah, w) * pow(bh, 1 - w) AS h, pow(ad, w) * pow(bd, 1 - w) AS d, pow(aa, w) * pow(ba, 1 - w) AS a FROM pl)"
 
@@ -235,63 +296,129 @@ def market_strategy(spark, sf):
 _PICK = "('0x' || substr(sha256('placebo|' || match_id::varchar), 1, 8))::bigint % 3"
 
 
+def placebo_pick():
+    return (F.conv(F.substring(F.sha2(F.concat(F.lit("placebo|"), F.col("match_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 3).cast("int")
+
+
 @query("m12_placebo", f"SELECT match_id, {_PICK} AS pick, round(CASE {_PICK} WHEN 0 THEN h WHEN 1 THEN d ELSE a END, 6) AS price FROM fx_odds WHERE book = 0 AND phase = 0", "odds")
 def placebo(spark, sf):
     """A pick by the hash of the match's identity, at its opening price."""
-    pick = F.conv(F.substring(F.sha2(F.concat(F.lit("placebo|"), F.col("match_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 3
-    return odds(spark, sf).where("book = 0 and phase = 0").withColumn("pick", pick).select("match_id", "pick", _r(F.get("o", F.col("pick").cast("int"))).alias("price"))
-
-
-def candidate_losses(spark, sf, grid: list[dict]) -> list[float]:
-    """Loss of each configuration on the seasons from 1995 to 1997: one job over candidates and groups."""
-    c = spark.createDataFrame([(i, float(g["k"]), float(g["home"])) for i, g in enumerate(grid)], "candidate int, k double, edge double")
-    x = replay(kickoffs(spark, sf).crossJoin(F.broadcast(c)), lambda _, k, e: Elo(k=k, home=e), ["r_home", "r_away", "expected"], ["candidate", "k", "edge"])
-    x = x.where("match_date >= date '1995-01-01' and match_date < date '1998-01-01'")
-    got = {r["candidate"]: r["loss"] for r in x.groupBy("candidate").agg(F.avg(loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))).alias("loss")).collect()}
-    return [got.get(i, float("inf")) for i in range(len(grid))]
-
-
-GRID = {"k": (10.0, 20.0, 40.0), "home": (0.0, 60.0, 120.0)}
+    return odds(spark, sf).where("book = 0 and phase = 0").withColumn("pick", placebo_pick().cast("long")).select("match_id", "pick", _r(F.get("o", F.col("pick").cast("int"))).alias("price"))
+
+
+#: The grids of either family, in the order in which they are searched; the first value is the start.
+ELO_GRID = {"k": (10.0, 15.0, 20.0, 25.0, 30.0), "home": (40.0, 65.0, 90.0), "margin": ("none", "linear", "log"), "regress": (0.0, 0.2, 0.4), "newcomer": (0.0, 75.0, 150.0), "form": ("quadratic", "ordered")}
+GOAL_GRID = {"xi": (0.0010, 0.0019, 0.0030), "ridge": (0.003, 0.01, 0.03)}
+ELO_START = {"k": 20.0, "home": 65.0, "margin": "linear", "regress": 0.2, "newcomer": 75.0, "form": "quadratic"}
+GOAL_START = {"xi": 0.0019, "ridge": 0.01}
+
+
+def elo_losses(spark, sf, grid: list[dict]) -> list[float]:
+    """Loss of each rating on the selection zone, its outcome parameters fitted there: one replay over candidates and
+    groups, candidates that differ in their form alone share one."""
+    paths = {tuple(v for n, v in g.items() if n != "form"): None for g in grid}
+    number = {path: i for i, path in enumerate(paths)}
+    c = spark.createDataFrame([(i, *path) for path, i in number.items()], "candidate int, k double, home_edge double, margin string, regress double, newcomer double")
+    x = kickoffs(spark, sf).crossJoin(F.broadcast(c))  # a bounded grid
+    make = lambda _, k, home, margin, regress, newcomer: Elo(k=k, home=home, margin=margin, regress=regress, newcomer=newcomer)
+    x = replay(x, make, ["r_home", "r_away", "expected"], ["candidate", "k", "home_edge", "margin", "regress", "newcomer"])
+    x = cut(in_zone(x.where("expected is not null"), "S").select("candidate", "expected", outcome().alias("y")))
+    fitted = {form: fit_outcomes(x, form) for form in {g["form"] for g in grid}}
+    return [fitted[g["form"]].get(number[tuple(v for n, v in g.items() if n != "form")], (None, float("inf")))[1] for g in grid]
+
+
+def goal_losses(spark, sf, grid: list[dict]) -> list[float]:
+    """Loss of each goal model on the selection zone, fitted on that zone's decision days alone."""
+    zone = T.zones(spark, "final").where("zone = 'S'").first()
+    some = F.col("match_date").between(F.lit(zone["first_day"]), F.lit(zone["last_day"]))
+    out = []
+    for g in grid:
+        got = goal_forecasts(spark, sf, some, **g).agg(F.avg(loss_of(F.col("p")))).first()[0]
+        out.append(float("inf") if got is None else got)
+    return out
+
+
+def descend(grid: dict, start: dict, losses) -> tuple[dict, dict]:
+    """One pass over the parameters in their order from a start; ties keep the first; no candidate is measured twice.
+    ``losses`` takes candidates and gives their losses. The best one, and all that were measured."""
+    best, known = dict(start), {}
+    for name, values in grid.items():
+        tried = [best | {name: v} for v in values]
+        new = [t for t in tried if tuple(t.values()) not in known]
+        known |= {tuple(t.values()): v for t, v in zip(new, losses(new), strict=True)}
+        best = min(tried, key=lambda t: known[tuple(t.values())])
+    return best, known
 
 
 @query("m14_candidate_loss")
 def candidate_loss(spark, sf):
-    grid = [{"k": k, "home": 60.0} for k in GRID["k"]]
-    return spark.createDataFrame([(g["k"], g["home"], round(v, 6)) for g, v in zip(grid, candidate_losses(spark, sf, grid), strict=True)], "k double, home double, log_loss double")
+    """A candidate of each family and form on the selection zone."""
+    elo = [ELO_START | {"form": f} for f in ELO_GRID["form"]]
+    rows = [("elo", f"{g['form']}", round(v, 6)) for g, v in zip(elo, elo_losses(spark, sf, elo), strict=True)]
+    rows += [("goals", f"xi={GOAL_START['xi']}", round(goal_losses(spark, sf, [GOAL_START])[0], 6))]
+    return spark.createDataFrame(rows, "family string, candidate string, log_loss double")
 
 
 @query("m13_coordinate_descent")
-def coordinate_descent(spark, sf, grid=None):
-    """One pass over the parameters in their order; ties keep the first; no candidate is measured twice."""
-    grid = grid or GRID
-    best, known = {k: v[0] for k, v in grid.items()}, {}
-    for name, values in grid.items():
-        tried = [best | {name: v} for v in values]
-        new = [t for t in tried if tuple(t.values()) not in known]
-        known |= {tuple(t.values()): v for t, v in zip(new, candidate_losses(spark, sf, new), strict=True)}
-        best = min(tried, key=lambda t: known[tuple(t.values())])
-    return spark.createDataFrame([(*k, round(v, 6), k == tuple(best.values())) for k, v in known.items()], "k double, home double, log_loss double, chosen boolean")
+def coordinate_descent(spark, sf, grid=None, start=None):
+    best, known = descend(grid or ELO_GRID, start or ELO_START, lambda new: elo_losses(spark, sf, new))
+    return spark.createDataFrame([(*k, round(v, 6), k == tuple(best.values())) for k, v in known.items()], "k double, home double, margin string, regress double, newcomer double, form string, log_loss double, chosen boolean")
+
+
+@query("m13_goal_model_descent")
+def goal_model_descent(spark, sf, grid=None, start=None):
+    best, known = descend(grid or GOAL_GRID, start or GOAL_START, lambda new: goal_losses(spark, sf, new))
+    return spark.createDataFrame([(*k, round(v, 6), k == tuple(best.values())) for k, v in known.items()], "xi double, ridge double, log_loss double, chosen boolean")
 
 
-def component_rows(spark, sf) -> DataFrame:
-    """One row a match and forecast, only matches that every forecast has."""
-    p = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("p")) for n in ("m0", "m1", "elo")])).alias("s")
-    return members(spark, sf).select("match_id", "league", "season", "y", p).select("match_id", "league", "season", "y", "s.strategy", "s.p").withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
+def long_rows(x: DataFrame, names=STRATEGIES) -> DataFrame:
+    """One row a match and forecast."""
+    p = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("p")) for n in names])).alias("s")
+    keep = ["match_id", "league", "season", "match_date", "y", "pre", "closing"]
+    return x.select(*keep, p).select(*keep, "s.strategy", "s.p").withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
 
 
 @query("m15_component_rows")
 def components(spark, sf):
-    return component_rows(spark, sf).groupBy("league", "season", "strategy").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll")).alias("log_loss"))
+    return long_rows(members(spark, sf)).groupBy("league", "season", "strategy").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll"), 5).alias("log_loss"))
+
+
+def blended(x: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """``x`` with the pool ``blend`` of its members by the weights of a small table, and ``gap``, its loss less the
+    market's."""
+    p = P.pool([F.col(c) for c in BLEND], [F.col(f"w_{c}") for c in BLEND])
+    x = x.join(F.broadcast(weights.select(*keys, *[f"w_{c}" for c in BLEND])), keys).withColumn("blend", p)
+    return x.withColumn("gap", S.log_loss(F.col("blend"), F.col("y")) - S.log_loss(F.col("m0"), F.col("y")))
+
+
+def placebo_clv(spark, sf) -> DataFrame:
+    """Matches with the closing-line value of a pick by the hash of the match's identity at its opening price."""
+    at = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("o")))
+    x = odds(spark, sf).where("book = 0").groupBy("match_id", "match_date").agg(at(0).alias("pre"), at(1).alias("close"))
+    x = x.withColumn("q", P.devig(F.col("close"), "multiplicative")).withColumn("pick", placebo_pick())
+    return x.select("match_id", "match_date", S.clv(F.get("pre", "pick"), F.get("q", "pick")).alias("clv"))
+
+
+def final_rows(spark, sf, zoning: str) -> DataFrame:
+    x = cut(members(spark, sf))
+    w = frozen(spark, cut(in_zone(x, "E", zoning)))
+    zones = F.broadcast(T.zones(spark, zoning).where("zone in ('holdout', 'post')"))
+    some = F.col("match_date").between(F.col("first_day"), F.col("last_day"))
+    gaps = intervals(blended(x, w, ["league"]).join(zones, some), {"value": F.col("gap")}, "match_id", ["zone"]).withColumn("measure", F.lit("blend_gap"))
+    control = intervals(placebo_clv(spark, sf).join(zones, some), {"value": F.col("clv")}, "match_id", ["zone"]).withColumn("measure", F.lit("placebo_clv"))
+    return gaps.unionByName(control).select("zone", "measure", F.col("value_n").alias("n"), F.col("value").alias("estimate"), F.col("value_low").alias("low"), F.col("value_high").alias("high"))
 
 
 @query("m16_final_evaluation")
 def final_evaluation(spark, sf):
-    """Development weights on the holdout, against the market, with the interval of the gap."""
-    x = members(spark, sf)
-    w = fit_pool(x.where("season < 1999").withColumn("one", F.lit("all")), ["one"], ["m0", "m1", "elo"]).get(("all",), [1.0, 0.0, 0.0])
-    x = x.where("season >= 1999").withColumn("blend", P.pool([F.col(c) for c in ("m0", "m1", "elo")], [F.lit(v) for v in w]))
-    x = x.withColumn("gap", S.log_loss(F.col("blend"), F.col("y")) - S.log_loss(F.col("m0"), F.col("y"))).withColumn("part", F.lit("holdout"))
-    return bootstrap_mean(x, "gap", "match_id", ["part"])
+    """Weights frozen on the evaluation zone, on the holdout and after it against the market, and a placebo beside it."""
+    return final_rows(spark, sf, "final")
+
+
+@query("m16_rehearsal")
+def rehearsal(spark, sf):
+    """The same over a part of the development period that plays the holdout."""
+    return final_rows(spark, sf, "rehearsal")
 
 
 _LIVE = "SELECT league, CASE WHEN m.home = 11 OR m.away = 11 THEN 'unmapped' WHEN EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0) THEN 'stale' WHEN o.d IS NULL THEN 'no_quote' ELSE 'decision' END AS status, count(*) AS n FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 2 AND o.phase = 0 WHERE m.match_date >= date '1997-01-01' GROUP BY 1, 2"
@@ -305,14 +432,18 @@ def stale(m: DataFrame, days: int = 10) -> DataFrame:
     return m.withColumn("stale", F.coalesce(F.max((F.col("match_id") % 50 == 0).cast("int")).over(w), F.lit(0)) == 1)
 
 
-@query("m17_live_decisions", _LIVE, "odds")
-def live_decisions(spark, sf):
+def live_status(spark, sf) -> DataFrame:
+    """(match_id, league, status) of the fixtures from 1997 on."""
     from ..fixtures import with_odds
 
-    m = stale(matches(spark, sf)).where("match_date >= date '1997-01-01'")
-    x = with_odds(m).where("book = 2 and phase = 0")
+    x = with_odds(stale(matches(spark, sf)).where("match_date >= date '1997-01-01'")).where("book = 2 and phase = 0")
     status = F.when((F.col("home") == 11) | (F.col("away") == 11), "unmapped").when(F.col("stale"), "stale").when(F.col("d").isNull(), "no_quote").otherwise("decision")
-    return x.groupBy("league", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return x.select("match_id", "league", status.alias("status"))
+
+
+@query("m17_live_decisions", _LIVE, "odds")
+def live_decisions(spark, sf):
+    return live_status(spark, sf).groupBy("league", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m18_staleness", "SELECT match_id FROM fx_match m WHERE EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0)", "match")
@@ -322,23 +453,47 @@ def staleness(spark, sf):
 
 @query("m19_shadow_rows")
 def shadow_rows(spark, sf):
-    """The forecasts of every strategy for the last season, one row a match and strategy."""
-    return component_rows(spark, sf).where("season >= 2000").select("match_id", "strategy", *[_r(F.get("p", i)).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+    """The forecasts of every strategy for live decisions, one row a match and strategy."""
+    live = live_status(spark, sf).where("status = 'decision'").select("match_id")
+    x = long_rows(members(spark, sf).join(live, "match_id", "left_semi"))
+    return x.select("match_id", "strategy", *[_r(F.get("p", i), 5).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
 
 
 @query("m20_check_registry")
-def check_registry(spark, sf):
-    """(check, gate, passed, detail): an unmeasured check never passes."""
-    x = component_rows(spark, sf).groupBy("strategy").agg(F.avg("ll").alias("ll"), F.count(F.lit(1)).alias("n"))
-    x = x.agg(*[F.max(F.when(F.col("strategy") == s, F.col("ll"))).alias(s) for s in ("m0", "m1", "elo")], F.max("n").alias("n"))
-    row = lambda name, gate, ok, detail: F.struct(F.lit(name).alias("check"), F.lit(gate).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), _r(detail).alias("detail"))
-    return x.select(F.inline(F.array(row("elo_not_worse", True, F.col("elo") - F.col("m0") <= 0.001, F.col("elo") - F.col("m0")), row("books_agree", False, F.abs(F.col("m1") - F.col("m0")) <= 0.05, F.col("m1") - F.col("m0")), row("rows", True, F.col("n") >= 1000, F.col("n").cast("double")))))
+def check_registry(spark, sf, margin=0.001):
+    """(check, gate, passed, detail): an unmeasured check never passes. The blend is not worse than the market if the
+    upper end of the gap's interval is small enough; ratings must beat the scaffold, goals the outcome shares of the
+    selection zone; how well the blend is calibrated is reported."""
+    from .reports import calibration, one_vs_rest
+
+    x = cut(members(spark, sf))
+    y = F.col("y")
+    base = in_zone(x, "S").agg(*[F.avg((y == k).cast("int")).alias(f"r{k}") for k in range(3)])  # one row
+    plain = replay(kickoffs(spark, sf), Scaffold, ["r_home", "r_away", "expected"]).where("expected is not null").select("match_id", scaffold(F.col("expected")).alias("plain"))
+    e = blended(in_zone(x, "E").withColumnRenamed("season", "fold"), fold_weights(spark, x), ["league", "fold"]).join(plain, "match_id").crossJoin(F.broadcast(base))
+    ll = lambda p: S.log_loss(p, y)
+    e = cut(e.select("match_id", "y", F.col("blend").alias("p"), "gap", (ll(F.col("elo")) - ll(F.col("plain"))).alias("elo"), (ll(F.col("goals")) - ll(F.array("r0", "r1", "r2"))).alias("goals"), F.lit(1).alias("one")))
+    got = intervals(e, {c: F.col(c) for c in ("gap", "elo", "goals")}, "match_id", ["one"]).join(calibration(one_vs_rest(e, "one"), ["one"]), "one", "left")
+    row = lambda name, gate, ok, detail: F.struct(F.lit(name).alias("check"), F.lit(gate).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), _r(detail, 5).alias("detail"))
+    checks = [row("blend_not_worse", True, F.col("gap_high") <= margin, F.col("gap_high")), row("elo_beats_scaffold", True, F.col("elo") < 0, F.col("elo")),
+              row("goals_beat_base_rates", True, F.col("goals") < 0, F.col("goals")), row("blend_calibration", False, F.col("measurable"), F.col("slope"))]
+    some = spark.range(1).select(F.lit(1).alias("one")).join(got, "one", "left")  # without a row, checks stand unmeasured
+    return some.select(F.inline(F.array(*checks)))
 
 
 @query("a39_gap_penalty")
 def gap_penalty(spark, sf, dropped=1996):
-    """Loss on the next season with one season of input missing, less the loss with all of it."""
-    ll = loss_of(quadratic_draw(F.col("expected"), F.lit(0.26)))
-    m = kickoffs(spark, sf)
-    runs = [rated(m.where(f"season <> {d}")).where(f"year(match_date) = {dropped + 1}").groupBy("grp").agg(F.avg(ll).alias(n)) for d, n in ((dropped, "gapped"), (-1, "full"))]
-    return runs[0].join(runs[1], "grp").select("grp", _r("gapped").alias("gapped"), _r("full").alias("full_loss"), _r(F.col("gapped") - F.col("full")).alias("penalty"))
+    """For ratings and goal model: loss on the next season with one season of input missing, less the loss with all of
+    it, over the matches that both runs forecast."""
+    m, later = kickoffs(spark, sf), F.year("match_date") == dropped + 1
+    less = m.where(F.col("season") != dropped)
+
+    def elo(x):
+        return rated(x).where(later & F.col("expected").isNotNull()).select("match_id", loss_of(quadratic_draw(F.col("expected"), F.lit(0.26))).alias("ll"))
+
+    def goal(seen):
+        return goal_forecasts(spark, sf, later, seen).select("match_id", loss_of(F.col("p")).alias("ll"))
+
+    pairs = [a.join(b.withColumnRenamed("ll", "full"), "match_id").withColumn("component", F.lit(n)) for n, a, b in (("elo", elo(less), elo(m)), ("goals", goal(less), goal(m)))]
+    x = pairs[0].unionByName(pairs[1]).withColumn("gap", F.col("ll") - F.col("full"))
+    return intervals(x, {"penalty": F.col("gap")}, "match_id", ["component"])

@@ -11,7 +11,8 @@ from ..fixtures import matches, odds, table
 from ..functions import prices as P
 from ..functions import scores as S
 from ..operators.lineage import cut
-from .metrics import _PROB, _TWO, DRAWS, _two, draw_weights, scored, spread
+from ..operators.intervals import DRAWS, halves, weights
+from .metrics import _PROB, _TWO, _two, scored, spread
 from .prices import _FULL
 from .registry import query
 
@@ -101,10 +102,10 @@ def slope_interval(spark, sf, draws=DRAWS):
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         some = range(key[1] * DRAW_BLOCK, min((key[1] + 1) * DRAW_BLOCK, draws))
-        b = slopes(np.stack(pdf["p"].to_list()), pdf["y"].to_numpy(), draw_weights(pdf["id"], some))
+        b = slopes(np.stack(pdf["p"].to_list()), pdf["y"].to_numpy(), weights(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), some))
         return pd.DataFrame({"league": key[0], "slope": [None if np.isnan(v) else round(float(v), 6) for v in b]})
 
-    x = closing_rows(spark, sf).select("league", F.col("match_id").cast("string").alias("id"), "y", "p")
+    x = closing_rows(spark, sf).select("league", *[c.alias(n) for n, c in zip(("h1", "h2"), halves(F.col("match_id")), strict=True)], "y", "p")
     x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK)))).repartition(spread(spark), "league", "block")
     fits = x.groupBy("league", "block").applyInPandas(fit, "league string, slope double")
     q = fits.groupBy("league").agg(F.count("slope").alias("draws"), F.expr("percentile(slope, array(0.025, 0.975))").alias("q"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, with_odds
@@ -49,14 +50,42 @@ def in_window(spark, sf):
     return matches(spark, sf).where(T.window(F.col("match_date"), "1996-01-01", "1997-01-01", "2000-07-01")).select("match_id")
 
 
-@query("p7_zone", "SELECT match_id, CASE WHEN season < 1995 THEN 'S' WHEN season < 2000 THEN 'E' END AS zone FROM fx_match", "match")
+def _zones_sql(zoning: str) -> str:
+    rows = ", ".join(f"('{z}', date '{a}', date '{b}')" for z, a, b in T.zone_rows(zoning))
+    return f"SELECT match_id, zone FROM fx_match LEFT JOIN (VALUES {rows}) z(zone, first_day, last_day) ON match_date BETWEEN first_day AND last_day"
+
+
+def zoned(m, zoning: str):
+    """``m`` with its zone, null outside of all: an interval join with a table of a few rows."""
+    z = T.zones(m.sparkSession, zoning)
+    return m.join(F.broadcast(z), F.col("match_date").between(F.col("first_day"), F.col("last_day")), "left").drop("first_day", "last_day")
+
+
+@query("p7_zone", _zones_sql("final"), "match")
 def zone(spark, sf):
-    return matches(spark, sf).select("match_id", F.when(F.col("season") < 1995, "S").when(F.col("season") < 2000, "E").alias("zone"))
+    return zoned(matches(spark, sf), "final").select("match_id", "zone")
+
 
+@query("p7_zone_rehearsal", _zones_sql("rehearsal"), "match")
+def zone_rehearsal(spark, sf):
+    return zoned(matches(spark, sf), "rehearsal").select("match_id", "zone")
 
-@query("p8_season_code", "SELECT match_id, lpad((y % 100)::varchar, 2, '0') || lpad(((y + 1) % 100)::varchar, 2, '0') AS code FROM (SELECT match_id, year(match_date) - (month(match_date) < 7)::int AS y FROM fx_match) t", "match")
+
+# Leagues whose files name their seasons themselves.
+EXTRA = ("L3", "L4")
+_EXTRA = ", ".join(f"'{x}'" for x in EXTRA)
+
+
+@query("p8_season_code", f"""WITH days AS (SELECT league, match_date, max(season) AS season FROM fx_match WHERE league IN ({_EXTRA}) GROUP BY 1, 2), before AS (SELECT *, lag(season) OVER (PARTITION BY league ORDER BY match_date) AS last FROM days)
+SELECT match_id, CASE WHEN m.league IN ({_EXTRA}) THEN last::varchar ELSE lpad((y % 100)::varchar, 2, '0') || lpad(((y + 1) % 100)::varchar, 2, '0') END AS code FROM (SELECT *, year(match_date) - (month(match_date) < 7)::int AS y FROM fx_match) m LEFT JOIN before b ON b.league = m.league AND b.match_date = m.match_date""", "match")
 def season_code(spark, sf):
-    return matches(spark, sf).select("match_id", T.season(F.col("match_date")).alias("code"))
+    """Main leagues: the season that the date falls in. Extra ones: the season of the league's last earlier match day; a
+    league's days, not its matches, enter the window."""
+    m = matches(spark, sf)
+    days = m.where(F.col("league").isin(*EXTRA)).groupBy("league", "match_date").agg(F.max("season").alias("season"))
+    before = days.select("league", "match_date", F.lag("season").over(Window.partitionBy("league").orderBy("match_date")).alias("last"))
+    x = m.join(before, ["league", "match_date"], "left")
+    return x.select("match_id", F.when(F.col("league").isin(*EXTRA), F.col("last").cast("string")).otherwise(T.season(F.col("match_date"))).alias("code"))
 
 
 @query("p17_closing_window", f"WITH {_KICK} SELECT match_id FROM kick WHERE epoch(utc)::bigint - (epoch(match_date + interval 18 hours)::bigint + (match_id * 7) % 3600 - 1800) BETWEEN 0 AND 1200", "match")

@@ -1,6 +1,7 @@
 """Whole jobs that cuts had shortened, against loops on small inputs."""
 
 import hashlib
+import math
 from collections import defaultdict
 from datetime import timedelta
 
@@ -9,11 +10,11 @@ import pytest
 
 from pricelens import plans
 from pricelens.fixtures import matches
-from pricelens.functions import scores as S
+from pricelens.operators import intervals as I
 from pricelens.operators.lineage import shared_folder
 from pricelens.operators.replay import SeenResults
 from pricelens.plans.ledger import build_chain, leak_audit, ledger_top, verify_chain
-from pricelens.plans.metrics import _SEED, closing_losses
+from pricelens.plans.metrics import closing_losses
 from pricelens.plans.news import OUTCOMES, mentions
 from pricelens.streaming import rounds as R
 from pyspark.sql import functions as F
@@ -22,8 +23,20 @@ SF = "/root/testdata/sf0.001"
 
 
 def _weights(keys, draws):
-    u = [[int(hashlib.md5(f"{_SEED}|{d}|{k}".encode()).hexdigest()[:13], 16) / 16**13 for k in keys] for d in range(draws)]
-    return np.searchsorted(S.POISSON_CUTS, u, side="right")
+    """Weights by plain integers, a key and draw at a time."""
+
+    def mixed(x):
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            x = (x ^ x >> shift) * by % 2**32
+        return x ^ x >> 16
+
+    out = np.zeros((draws, len(keys)), int)
+    for j, k in enumerate(keys):
+        h = hashlib.md5(f"{I.SEED}|{k}".encode()).hexdigest()
+        for d in range(draws):
+            u = mixed(mixed((int(h[:8], 16) + d * 0x9E3779B9) % 2**32) ^ int(h[8:16], 16)) / 2**32
+            out[d, j] = sum(u >= sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(9))
+    return out
 
 
 def test_interval_of_a_mean_rests_on_2000_draws(spark):
@@ -32,11 +45,38 @@ def test_interval_of_a_mean_rests_on_2000_draws(spark):
         rows[r.league].append((r.match_id, r.ll))
     got = {r.league: r for r in plans.queries()["a8_bootstrap_mean"](spark, SF).collect()}
     assert got.keys() == rows.keys()
-    for league in sorted(rows)[:2]:
-        keys, ll = zip(*rows[league], strict=True)
-        w = _weights(keys, 2000)
-        low, high = np.percentile(w @ np.array(ll) / w.sum(1), [2.5, 97.5])
-        assert abs(got[league].low - low) < 2e-6 and abs(got[league].high - high) < 2e-6
+    league = min(rows, key=lambda k: len(rows[k]))
+    keys, ll = zip(*rows[league], strict=True)
+    w = _weights(keys, 2000)
+    low, high = np.percentile(w @ np.array(ll) / w.sum(1), [2.5, 97.5])
+    assert abs(got[league].low - low) < 2e-6 and abs(got[league].high - high) < 2e-6
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+
+
+def test_intervals_of_many_groups_and_measures(spark, monkeypatch):
+    """Several rows a key, nulls in measures and groups, groups that tasks have to hand on early, an empty table."""
+    rng = np.random.default_rng(1)
+    rows = [(int(k), None if g == 7 else f"g{g}", bool(g % 2), float(a), None if b > 1 else float(b)) for k, g, a, b in zip(rng.integers(0, 60, 900), rng.integers(0, 9, 900), rng.normal(size=900), rng.normal(size=900), strict=True)]
+    rows += [(1, "alone", True, 2.0, None)]
+    x = spark.createDataFrame(rows, "k long, g string, odd boolean, a double, b double").repartition(5)
+    w = _weights(range(60), 300)
+    for held in (256, 1):
+        monkeypatch.setattr(I, "HELD", held)
+        got = {(r.g, r.odd): r for r in I.intervals(x, {"a": F.col("a"), "b": F.col("b")}, "k", ["g", "odd"], draws=300).collect()}
+        assert got.keys() == {(r[1], r[2]) for r in rows}
+        for g, r in got.items():
+            for n, at in (("a", 3), ("b", 4)):
+                mine = [(y[0], y[at]) for y in rows if (y[1], y[2]) == g and y[at] is not None]
+                assert r[f"{n}_n"] == len(mine)
+                if not mine:
+                    assert r[n] is r[f"{n}_low"] is r[f"{n}_high"] is None
+                    continue
+                k, v = (np.array(c) for c in zip(*mine, strict=True))
+                with np.errstate(invalid="ignore"):
+                    means = (w[:, k] @ v) / w[:, k].sum(1)
+                low, high = np.nanpercentile(means, [2.5, 97.5])
+                assert abs(r[n] - v.mean()) < 1e-6 and abs(r[f"{n}_low"] - low) < 2e-6 and abs(r[f"{n}_high"] - high) < 2e-6
+    assert I.intervals(x.limit(0), {"a": F.col("a")}, "k", ["g"]).count() == 0
 
 
 def test_interval_of_a_slope_rests_on_2000_draws(spark):
@@ -50,8 +90,8 @@ def test_goal_models_are_fitted_on_every_decision_day(spark):
     # Friday to Monday belong to the Friday, other days to the Tuesday.
     decided = {(g, d - timedelta((d.weekday() - (1 if 1 <= d.weekday() <= 3 else 4)) % 7)) for g, ds in days.items() for d in ds}
     enough = {(g, d) for g, d in decided if sum(1 <= (d - x).days <= 1095 for x in days[g]) >= 30}
-    got = {(r.grp, r.fit_day) for r in plans.queries()["m5_goal_model_fit"](spark, SF).collect()}
-    assert got <= enough and len(got) > 0.95 * len(enough)
+    got = {(r.grp, r.fit_day): r for r in plans.queries()["m5_goal_model_fit"](spark, SF).collect()}
+    assert got.keys() == enough and all(r.settled and r.teams for r in got.values())
 
 
 def test_every_match_gets_its_latest_event(spark):
