@@ -33,6 +33,18 @@ _ODDS = """
            case when m.match_id % 50 = 0 then 0.98E0 else 1.02E0 + 0.01E0 * b.book end margin) w"""
 ODDS_SQL = f"{MATCH_SQL},\nfx_odds as materialized ({_ODDS})"
 
+_TOTALS = """
+  select m.match_id, b.book, p.phase,
+         case when m.match_id % 19 = 0 and b.book = 1 then null else 1.0E0 / (w.wo / (w.wo + w.wu) * w.margin) end as over_price,
+         1.0E0 / (w.wu / (w.wo + w.wu) * w.margin) as under_price
+  from fx_match m
+  cross join (select * from (values (0), (1)) t(book)) b
+  cross join (select * from (values (0), (1)) t(phase)) p
+  cross join lateral (
+    select cast(3 + (m.match_id * 3 + b.book + p.phase) % 6 as double) wo, cast(2 + (m.match_id * 7 + p.phase) % 5 as double) wu,
+           case when m.match_id % 50 = 0 then 0.98E0 else 1.03E0 + 0.01E0 * b.book end margin) w"""
+TOTALS_SQL = f"{ODDS_SQL},\nfx_totals as materialized ({_TOTALS})"
+
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -59,6 +71,22 @@ def with_odds(m: DataFrame) -> DataFrame:
     return m.select(*m.columns, F.inline(F.transform(kinds, lambda k: quote(k["b"], k["p"]))))
 
 
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second market, over and under 2.5 goals: two books and phases a match, the price array ``o`` and the outcome
+    index ``y`` (0 over, 1 under)."""
+    i = F.col("match_id")
+
+    def quote(book, phase):
+        over, under = 3.0 + (i * 3 + book + phase) % 6, 2.0 + (i * 7 + phase) % 5
+        price = lambda w: 1.0 / (w / (over + under) * F.when(i % 50 == 0, 0.98).otherwise(1.03 + 0.01 * book))
+        return F.struct(book.alias("book"), phase.alias("phase"), F.array(F.when((i % 19 == 0) & (book == 1), None).otherwise(price(over)), price(under)).alias("o"))
+
+    kinds = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(p).alias("p")) for b in range(2) for p in range(2)])
+    m = matches(spark, sf_dir)
+    x = m.select(*m.columns, F.inline(F.transform(kinds, lambda k: quote(k["b"], k["p"]))))
+    return x.withColumn("y", scores.over_index(F.col("home_goals"), F.col("away_goals")))
+
+
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches with odds, the price array ``o`` and the outcome index ``y``."""
     x = with_odds(matches(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import matches, odds
+from ..fixtures import matches, odds, totals
 from ..functions import prices as P
 from ..functions import scores as S
 from ..operators.intervals import intervals, intervals_sql, weights_sql
@@ -89,9 +89,18 @@ def _two(spark, sf):
     return x.where("pre is not null and close is not null")
 
 
-@query("a10_log_loss_gap", f"WITH {_TWO} SELECT league, book, count(*) AS n, round(avg(pre - close), 6) AS gap FROM two GROUP BY 1, 2", "odds")
+def named(x, keys, name):
+    """``intervals`` of one measure under plain names: n, the measure, low, high."""
+    return x.select(*keys, F.col(f"{name}_n").alias("n"), name, F.col(f"{name}_low").alias("low"), F.col(f"{name}_high").alias("high"))
+
+
+def named_sql(head: str, rows: str, keys: str, name: str, value: str) -> str:
+    return f"SELECT {keys}, {name}_n AS n, {name}, {name}_low AS low, {name}_high AS high FROM ({with_draws(rows, keys, {name: value}, head)}) z"
+
+
+@query("a10_log_loss_gap", named_sql(_TWO, "two", "league, book", "gap", "pre - close"), "odds")
 def log_loss_gap(spark, sf):
-    return _two(spark, sf).groupBy("league", "book").agg(F.count(F.lit(1)).alias("n"), _r(F.avg(F.col("pre") - F.col("close"))).alias("gap"))
+    return named(intervals(_two(spark, sf), {"gap": F.col("pre") - F.col("close")}, "match_id", ["league", "book"]), ["league", "book"], "gap")
 
 
 @query("a11_late_information", f"WITH {_TWO} SELECT league, round(avg(pre) - avg(close), 6) AS late_info FROM two WHERE book = 0 GROUP BY 1", "odds")
@@ -138,40 +147,126 @@ def method_comparison(spark, sf, methods=P.METHODS):
     return sums.where("n > 0").select("league", "n", F.inline(rows))
 
 
-@query("a17_tiers", f"""WITH {_PROB}, l AS (SELECT league, avg(ll) AS est, stddev_samp(ll) / sqrt(count(*)) AS se FROM scored WHERE book = 0 AND phase = 1 GROUP BY 1), m AS (SELECT *, (SELECT quantile_cont(est, 0.5) FROM l) AS med FROM l)
-SELECT league, CASE WHEN est + 1.96*se < med THEN 'A' WHEN est - 1.96*se > med THEN 'C' ELSE 'B' END AS tier, row_number() OVER (ORDER BY est, league) AS place FROM m""", "odds")
+def late_gaps(spark, sf):
+    """(league, n, gap, low, high): what closing prices know more than opening ones of the reference book."""
+    return named(intervals(_two(spark, sf).where("book = 0"), {"gap": F.col("pre") - F.col("close")}, "match_id", ["league"]), ["league"], "gap")
+
+
+def tiered(x, estimate: str = "gap"):
+    """``x``, a row a league, with A, B or C by where its interval (low, high) lies to the median of all estimates."""
+    x = x.crossJoin(F.broadcast(x.agg(F.percentile(estimate, F.lit(0.5)).alias("_median"))))  # one row
+    return x.withColumn("tier", F.when(F.col("low") > F.col("_median"), "A").when(F.col("high") < F.col("_median"), "C").otherwise("B")).drop("_median")
+
+
+LATE_SQL = named_sql(f"{_TWO}, late AS (SELECT * FROM two WHERE book = 0)", "late", "league", "gap", "pre - close")
+_TIER = "CASE WHEN low > median THEN 'A' WHEN high < median THEN 'C' ELSE 'B' END"
+
+
+@query("a17_tiers", f"SELECT league, gap, low, high, {_TIER} AS tier, row_number() OVER (ORDER BY gap DESC, league) AS place FROM (SELECT *, quantile_cont(gap, 0.5) OVER () AS median FROM ({LATE_SQL}) y) x", "odds")
 def tiers(spark, sf):
-    """A, B or C by where a league's interval lies to the median of all; one row a league from here on."""
-    x = scored(spark, sf).where("book = 0 and phase = 1").groupBy("league").agg(F.avg("ll").alias("est"), (F.stddev_samp("ll") / F.sqrt(F.count(F.lit(1)))).alias("se"))
-    x = x.crossJoin(F.broadcast(x.agg(F.expr("percentile(est, 0.5)").alias("med"))))
-    tier = F.when(F.col("est") + 1.96 * F.col("se") < F.col("med"), "A").when(F.col("est") - 1.96 * F.col("se") > F.col("med"), "C").otherwise("B")
-    return x.select("league", tier.alias("tier"), F.row_number().over(Window.orderBy("est", "league")).cast("long").alias("place"))
+    """Leagues by late information; one row a league from here on."""
+    x = tiered(late_gaps(spark, sf))
+    return x.select("league", "gap", "low", "high", "tier", F.row_number().over(Window.orderBy(F.desc("gap"), "league")).cast("long").alias("place"))
+
+
+_BRIDGE = f"""{_PROB}, pair AS (SELECT m.match_id, m.league, a.ph, a.pd, a.pa, b.ph AS qh, b.pd AS qd, b.pa AS qa FROM fx_match m LEFT JOIN prob a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 1 LEFT JOIN prob b ON b.match_id = m.match_id AND b.book = 1 AND b.phase = 1),
+diff AS (SELECT match_id, league, 0 AS outcome, qh - ph AS v FROM pair UNION ALL SELECT match_id, league, 1, qd - pd FROM pair UNION ALL SELECT match_id, league, 2, qa - pa FROM pair)"""
 
 
-@query("a20_bridge_report", "SELECT league, round(avg(c.h - o.h), 6) AS mean_h, round(sqrt(avg(pow(c.h - o.h, 2))), 6) AS rms_h, count(*) AS n, count(*) FILTER (c.d IS NULL OR o.d IS NULL) AS unmatched FROM fx_odds o JOIN fx_odds c ON o.match_id = c.match_id AND o.book = 0 AND c.book = 1 AND o.phase = c.phase JOIN fx_match m ON m.match_id = o.match_id GROUP BY 1", "odds")
+@query("a20_bridge_report", f"SELECT league, outcome, diff_n AS n, diff, diff_low AS low, diff_high AS high, round(sqrt(square), 5) AS rms, unmatched FROM ({with_draws('diff', 'league, outcome', {'diff': 'v', 'square': 'v * v'}, _BRIDGE)}) z JOIN (SELECT league, count(*) FILTER (match_id IN (SELECT match_id FROM fx_odds WHERE book < 2 AND phase = 1 AND (d IS NULL OR 1/h + 1/d + 1/a < 1 - 1e-12))) AS unmatched FROM fx_match GROUP BY 1) u USING (league)", "odds")
 def bridge_report(spark, sf):
-    x = odds(spark, sf).groupBy("match_id", "league", "phase").agg(F.max(F.when(F.col("book") == 0, F.col("h"))).alias("u"), F.max(F.when(F.col("book") == 1, F.col("h"))).alias("v"), F.count_if((F.col("book") < 2) & F.col("d").isNull()).alias("holes"))
-    gap = F.col("v") - F.col("u")
-    return x.groupBy("league").agg(_r(F.avg(gap)).alias("mean_h"), _r(F.sqrt(F.avg(gap * gap))).alias("rms_h"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("holes") > 0).alias("unmatched"))
+    """Closing probabilities of one book less another's, by league and outcome; matches that either lacks are counted."""
+    x = odds(spark, sf).where("phase = 1 and book < 2").withColumn("p", P.devig(F.col("o"), "multiplicative"))
+    x = x.groupBy("match_id", "league").agg(*[F.max(F.when(F.col("book") == b, F.col("p"))).alias(f"p{b}") for b in range(2)])
+    pair = F.col("p0").isNotNull() & F.col("p1").isNotNull()
+    missing = x.groupBy("league").agg(F.count_if(~pair).alias("unmatched"))
+    rows = x.where(pair).select("match_id", "league", F.posexplode(F.zip_with("p1", "p0", lambda a, b: a - b)).alias("outcome", "v"))
+    got = intervals(rows, {"diff": F.col("v"), "square": F.col("v") * F.col("v")}, "match_id", ["league", "outcome"]).join(F.broadcast(missing), "league")
+    return got.select("league", "outcome", F.col("diff_n").alias("n"), "diff", F.col("diff_low").alias("low"), F.col("diff_high").alias("high"), _r(F.sqrt("square"), 5).alias("rms"), "unmatched")
+
+
+LEAGUES_NEEDED = 18  # fixed value
+
+
+@query("a22_positive_leagues", f"SELECT leagues, positive, n, gap, low, high, positive >= {LEAGUES_NEEDED} AND low > 0 AS passed FROM ({named_sql(_TWO + ', pooled AS (SELECT *, 1 AS pool FROM two WHERE book = 0)', 'pooled', 'pool', 'gap', 'pre - close')}) p, (WITH {_TWO}, l AS (SELECT league, avg(pre - close) AS gap FROM two WHERE book = 0 GROUP BY 1) SELECT count(*) AS leagues, count(*) FILTER (gap > 0) AS positive FROM l) l", "odds")
+def positive_leagues(spark, sf):
+    """Whether closing prices beat opening ones in enough leagues, and over all of them beyond doubt."""
+    two = _two(spark, sf).where("book = 0").withColumns({"pool": F.lit(1), "gap": F.col("pre") - F.col("close")})
+    by = two.groupBy("league").agg(F.avg("gap").alias("g")).agg(F.count(F.lit(1)).alias("leagues"), F.count_if(F.col("g") > 0).alias("positive"))
+    x = named(intervals(two, {"gap": F.col("gap")}, "match_id", ["pool"]), ["pool"], "gap").crossJoin(F.broadcast(by))  # one row each
+    return x.select("leagues", "positive", "n", "gap", "low", "high", ((F.col("positive") >= LEAGUES_NEEDED) & (F.col("low") > 0)).alias("passed"))
+
+
+# The bet rule: the outcome with the largest edge of a forecast over the reference book's opening price, if that is large
+# enough, valued by the reference book's closing probabilities.
+TAU, TAUS = 0.02, (0.0, 0.02, 0.05)
+_RULE = f"""{_PROB}, ref AS (SELECT o.match_id, o.h, o.d, o.a, c.ph AS ch, c.pd AS cd, c.pa AS ca FROM fx_odds o LEFT JOIN prob c ON c.match_id = o.match_id AND c.book = 0 AND c.phase = 1 WHERE o.book = 0 AND o.phase = 0),
+four AS (SELECT match_id FROM scored WHERE phase = 0 GROUP BY 1 HAVING count(*) = 4),
+edges AS (SELECT s.*, r.h, r.d, r.a, ch, cd, ca, s.ph * r.h - 1 AS eh, s.pd * r.d - 1 AS ed, s.pa * r.a - 1 AS ea FROM scored s JOIN four USING (match_id) JOIN ref r USING (match_id) WHERE s.phase = 0),
+rule AS (SELECT *, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN h * ch WHEN ed >= ea THEN d * cd ELSE a * ca END - 1 AS value, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2) AS b, (pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS r FROM edges)"""
+
 
+def bet_rule(p, pre, closing, tau):
+    """Closing-line value of the bet that the rule makes; null without one."""
+    edge, pick = P.best_edge(p, pre)
+    return F.when(edge > tau, S.clv(F.get(pre, pick), F.get(closing, pick)))
 
-@query("a23_score_table", f"WITH {_PROB} SELECT book, count(*) AS n, round(avg(ll), 6) AS log_loss, round(avg(pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2)), 6) AS brier FROM scored WHERE phase = 0 AND match_id % 17 <> 0 GROUP BY 1", "odds")
+
+def forecast_rows(spark, sf):
+    """A row a match and book, of matches that all four books' opening prices forecast, with the reference book's
+    prices to bet at and to value by."""
+    x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "multiplicative"))
+    at = lambda c, phase: F.max(F.when((F.col("book") == 0) & (F.col("phase") == phase), F.col(c)))
+    mine = F.collect_list(F.when((F.col("phase") == 0) & F.col("p").isNotNull(), F.struct("book", "p")))  # four at most
+    x = x.groupBy("match_id", "league", "y").agg(at("o", 0).alias("pre"), at("p", 1).alias("closing"), mine.alias("f")).where(F.size("f") == 4)
+    return x.select("match_id", "league", "y", "pre", "closing", F.inline("f")).withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
+
+
+@query("a23_score_table", f"SELECT book, log_loss_n AS n, log_loss, log_loss_low, log_loss_high, brier, rps, clv_n AS bets, clv, clv_low, clv_high FROM ({with_draws('rule', 'book', {'log_loss': 'll', 'brier': 'b', 'rps': 'r', 'clv': f'CASE WHEN edge > {TAU} THEN value END'}, _RULE)}) z", "odds")
 def score_table(spark, sf):
-    """Scores of each book on the matches that all four can be scored on."""
-    x = scored(spark, sf).where("phase = 0").withColumn("b", S.brier(F.col("p"), F.col("y")))
-    rows = x.groupBy("match_id").agg(F.collect_list(F.struct("book", "ll", "b")).alias("s")).where(F.size("s") == 4).select(F.inline("s"))
-    return rows.groupBy("book").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll")).alias("log_loss"), _r(F.avg("b")).alias("brier"))
+    """Scores of each book on the matches that all four can be scored on, and the bets that it would make."""
+    p, y = F.col("p"), F.col("y")
+    x = intervals(forecast_rows(spark, sf), {"log_loss": F.col("ll"), "brier": S.brier(p, y), "rps": S.rps(p, y), "clv": bet_rule(p, F.col("pre"), F.col("closing"), TAU)}, "match_id", ["book"])
+    return x.select("book", F.col("log_loss_n").alias("n"), "log_loss", "log_loss_low", "log_loss_high", "brier", "rps", F.col("clv_n").alias("bets"), "clv", "clv_low", "clv_high")
 
 
-@query("a24_grouping_sets", f"WITH {_TWO} SELECT league, count(*) AS n, round(avg(pre - close), 6) AS gap FROM two GROUP BY GROUPING SETS ((league), ())", "odds")
+@query("a24_grouping_sets", named_sql(f"{_TWO}, sets AS (SELECT match_id, league, pre, close FROM two UNION ALL SELECT match_id, NULL, pre, close FROM two)", "sets", "league", "gap", "pre - close"), "odds")
 def league_and_pooled(spark, sf):
-    return _two(spark, sf).groupingSets([["league"], []], "league").agg(F.count(F.lit(1)).alias("n"), _r(F.avg(F.col("pre") - F.col("close"))).alias("gap"))
+    """By league and, under null, over all."""
+    x = _two(spark, sf).withColumn("set", F.explode(F.array(F.col("league"), F.lit(None))))
+    return named(intervals(x.select("match_id", F.col("set").alias("league"), "pre", "close"), {"gap": F.col("pre") - F.col("close")}, "match_id", ["league"]), ["league"], "gap")
 
 
-@query("a22_positive_leagues", f"WITH {_TWO}, l AS (SELECT league, avg(pre - close) AS gap FROM two GROUP BY 1) SELECT count(*) AS leagues, count(*) FILTER (gap > 0) AS positive FROM l", "odds")
-def positive_leagues(spark, sf):
-    x = _two(spark, sf).groupBy("league").agg(F.avg(F.col("pre") - F.col("close")).alias("gap"))
-    return x.agg(F.count(F.lit(1)).alias("leagues"), F.count_if(F.col("gap") > 0).alias("positive"))
+@query("a24_component_gaps", named_sql(f"{_RULE}, vs AS (SELECT a.match_id, a.book, a.ll - b.ll AS gap FROM rule a JOIN rule b ON a.match_id = b.match_id AND b.book = 0 WHERE a.book > 0)", "vs", "book", "gap", "gap"), "odds")
+def component_gaps(spark, sf):
+    """Each book's loss less the reference book's, match by match on the common matches."""
+    x = forecast_rows(spark, sf)
+    x = x.groupBy("match_id").agg(F.max(F.when(F.col("book") == 0, F.col("ll"))).alias("own"), F.collect_list(F.when(F.col("book") > 0, F.struct("book", "ll"))).alias("f")).select("match_id", "own", F.inline("f"))
+    return named(intervals(x, {"gap": F.col("ll") - F.col("own")}, "match_id", ["book"]), ["book"], "gap")
+
+
+@query("a24_clv_sensitivity", named_sql(f"{_RULE}, bets AS (SELECT match_id, tau, CASE WHEN edge > tau THEN value END AS v FROM rule, (VALUES {', '.join(f'({t}::double)' for t in TAUS)}) t(tau) WHERE book = 1)", "bets", "tau", "clv", "v"), "odds")
+def clv_sensitivity(spark, sf):
+    """The second book's bets for several least edges."""
+    x = forecast_rows(spark, sf).where("book = 1").withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
+    return named(intervals(x, {"clv": bet_rule(F.col("p"), F.col("pre"), F.col("closing"), F.col("tau"))}, "match_id", ["tau"]), ["tau"], "clv")
+
+
+_OU = "ou AS (SELECT t.match_id, t.book, t.phase, m.league, m.season, CASE WHEN home_goals + away_goals > 2 THEN 0 ELSE 1 END AS y, 1/over_price + 1/under_price - 1 AS margin, 1/over_price / (1/over_price + 1/under_price) AS po FROM fx_totals t JOIN fx_match m USING (match_id) WHERE 1/over_price + 1/under_price >= 1 - 1e-12), oul AS (SELECT *, -ln(CASE y WHEN 0 THEN po ELSE 1 - po END) AS ll FROM ou)"
+
+
+def totals_scored(spark, sf):
+    """Complete over/under sets without a negative margin, with fair probabilities and their loss."""
+    x = totals(spark, sf).withColumn("p", P.devig(F.col("o"), "multiplicative")).where("p is not null")
+    return x.withColumns({"ll": S.log_loss(F.col("p"), F.col("y")), "margin": P.overround(F.col("o"))})
+
+
+@query("a24_totals_gap", named_sql(f"{_OU}, vs AS (SELECT a.match_id, a.league, a.ll - b.ll AS gap FROM oul a JOIN oul b ON a.match_id = b.match_id AND a.phase = 0 AND b.phase = 0 AND a.book = 1 AND b.book = 0), sets AS (SELECT * FROM vs UNION ALL SELECT match_id, NULL, gap FROM vs)", "sets", "league", "gap", "gap"), "totals")
+def totals_gap(spark, sf):
+    """Over/under loss of the second book less the first's on matches that both have, by league and over all."""
+    x = totals_scored(spark, sf).where("phase = 0").groupBy("match_id", "league").agg(*[F.max(F.when(F.col("book") == b, F.col("ll"))).alias(f"l{b}") for b in range(2)]).where("l0 is not null and l1 is not null")
+    x = x.select("match_id", F.explode(F.array(F.col("league"), F.lit(None))).alias("league"), (F.col("l1") - F.col("l0")).alias("gap"))
+    return named(intervals(x, {"gap": F.col("gap")}, "match_id", ["league"]), ["league"], "gap")
 
 
 @query("a29_base_rate", f"""WITH {_PROB}, past AS (SELECT avg((y=0)::int) AS r0, avg((y=1)::int) AS r1, avg((y=2)::int) AS r2 FROM (SELECT {_Y} AS y FROM fx_match WHERE season < 1996) t)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..fixtures import MATCH_SQL, ODDS_SQL
+from ..fixtures import MATCH_SQL, ODDS_SQL, TOTALS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -14,8 +14,8 @@ _SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, base: str = ""):
-    """Register a function under ``name``; ``base`` puts fixture tables before the SQL: match, odds or none."""
-    head = {"match": f"WITH {MATCH_SQL}", "odds": f"WITH {ODDS_SQL}", "": ""}[base]
+    """Register a function under ``name``; ``base`` puts fixture tables before the SQL: match, odds, totals or none."""
+    head = {"match": f"WITH {MATCH_SQL}", "odds": f"WITH {ODDS_SQL}", "totals": f"WITH {TOTALS_SQL}", "": ""}[base]
 
     def keep(f: Query) -> Query:
         _QUERIES[name] = f

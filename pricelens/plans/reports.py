@@ -11,8 +11,8 @@ from ..fixtures import matches, odds, table
 from ..functions import prices as P
 from ..functions import scores as S
 from ..operators.lineage import cut
-from ..operators.intervals import DRAWS, halves, weights
-from .metrics import _PROB, _TWO, _two, scored, spread
+from ..operators.intervals import DRAWS, halves, intervals, weights
+from .metrics import _OU, _PROB, bet_rule, named, named_sql, scored, spread, tiered, totals_scored, with_draws
 from .prices import _FULL
 from .registry import query
 
@@ -64,7 +64,23 @@ def closing_rows(spark, sf) -> DataFrame:
     return scored(spark, sf).where("book = 0 and phase = 1")
 
 
-@query("a6_calibration")
+def newton_sql(rows: str, key: str, steps: int = 10) -> str:
+    """Tables of a WITH clause, the last of them ``fit`` (key, a, b, n): the steps of ``calibration`` over rows (key, p, hit)."""
+    clip = f"least(greatest(p, {CLIP}), 1 - {CLIP})"
+    out = [f"nx AS (SELECT {key}, ln({clip} / (1 - {clip})) AS x, hit AS y FROM {rows})", f"b0 AS (SELECT {key}, 0.0::double AS a, 1.0::double AS b FROM nx GROUP BY 1)"]
+    for k in range(steps):
+        out.append(f"""b{k + 1} AS (SELECT {key}, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
+ SELECT {key}, any_value(a) AS a, any_value(b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (
+  SELECT nx.*, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM nx JOIN b{k} USING ({key})) t GROUP BY 1) u)""")
+    out.append(f"fit AS (SELECT {key}, a, b, n FROM b{steps} JOIN (SELECT {key}, count(*) AS n FROM nx GROUP BY 1) c USING ({key}))")
+    return ",\n".join(out)
+
+
+def _rest(table: str) -> str:
+    return " UNION ALL ".join(f"SELECT league, {p} AS p, (y = {k})::int AS hit FROM {table}" for k, p in enumerate(("ph", "pd", "pa")))
+
+
+@query("a6_calibration", f"WITH {_PROB}, own AS (SELECT * FROM scored WHERE book = 0 AND phase = 1), rest AS ({_rest('own')}), {newton_sql('rest', 'league')} SELECT league, n, round(a, 6) AS intercept, round(b, 6) AS slope, true AS measurable FROM fit", "odds")
 def calibration_by_league(spark, sf):
     return calibration(one_vs_rest(closing_rows(spark, sf), "league"), ["league"])
 
@@ -96,7 +112,7 @@ def slopes(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 @query("a9_slope_interval")
-def slope_interval(spark, sf, draws=DRAWS):
+def slope_interval(spark, sf, draws=DRAWS, before=None):
     """Interval of the slope: Poisson weights by seed, draw and match; a task fits a block of draws of a league, so
     that rows are copied once a block and not once a draw."""
 
@@ -105,51 +121,101 @@ def slope_interval(spark, sf, draws=DRAWS):
         b = slopes(np.stack(pdf["p"].to_list()), pdf["y"].to_numpy(), weights(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), some))
         return pd.DataFrame({"league": key[0], "slope": [None if np.isnan(v) else round(float(v), 6) for v in b]})
 
-    x = closing_rows(spark, sf).select("league", *[c.alias(n) for n, c in zip(("h1", "h2"), halves(F.col("match_id")), strict=True)], "y", "p")
+    x = closing_rows(spark, sf).where(F.lit(True) if before is None else F.col("season") < before).select("league", *[c.alias(n) for n, c in zip(("h1", "h2"), halves(F.col("match_id")), strict=True)], "y", "p")
     x = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK)))).repartition(spread(spark), "league", "block")
     fits = x.groupBy("league", "block").applyInPandas(fit, "league string, slope double")
     q = fits.groupBy("league").agg(F.count("slope").alias("draws"), F.expr("percentile(slope, array(0.025, 0.975))").alias("q"))
     return q.select("league", "draws", _r(F.get("q", 0)).alias("low"), _r(F.get("q", 1)).alias("high"))
 
 
-@query("a16_slope_distance")
-def slope_distance(spark, sf):
-    """The interval of |slope - 1|: from 0 where the slope's interval holds 1."""
-    x = slope_interval(spark, sf)
+def slope_distances(x: DataFrame) -> DataFrame:
+    """The interval of |slope - 1| from the slope's: from 0 where that holds 1."""
     low, high = F.col("low") - 1, F.col("high") - 1
     return x.select("league", F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high))).alias("near"), F.greatest(F.abs(low), F.abs(high)).alias("far"))
 
 
-_EFF = f"""{_PROB}, lg AS (SELECT DISTINCT league FROM fx_match), e AS (SELECT league, count(*) AS n, avg(ll) AS ll, avg((pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2) AS rps FROM scored WHERE book = 0 AND phase = 1 AND season < 1999 GROUP BY 1), pre AS (SELECT league, avg(ll) AS ll FROM scored WHERE book = 0 AND phase = 0 AND season < 1999 GROUP BY 1), mg AS (SELECT f.league, avg(1/h + 1/d + 1/a - 1) AS margin, avg((d IS NOT NULL)::int) AS coverage FROM (SELECT o.*, m.league, m.season FROM fx_odds o JOIN fx_match m ON o.match_id = m.match_id) f WHERE book = 0 AND phase = 1 AND season < 1999 GROUP BY 1),
-eff AS (SELECT lg.league, coalesce(e.n, 0) AS n, round(mg.margin, 6) AS margin, round(mg.coverage, 6) AS coverage, round(e.ll, 6) AS log_loss, round(e.rps, 6) AS rps, round(pre.ll - e.ll, 6) AS late_info FROM lg LEFT JOIN e USING (league) LEFT JOIN pre USING (league) LEFT JOIN mg USING (league))"""
+@query("a16_slope_distance")
+def slope_distance(spark, sf):
+    return slope_distances(slope_interval(spark, sf))
 
 
-def league_rows(spark, sf) -> DataFrame:
-    """One row a league, leagues without a measurable match included."""
-    x = odds(spark, sf).where("book = 0 and season < 1999").withColumn("p", P.devig(F.col("o"), "multiplicative"))
-    x = x.withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
-    c = F.col("phase") == 1
-    out = x.groupBy("league").agg(F.count(F.when(c, F.col("ll"))).alias("n"), _r(F.avg(F.when(c, F.aggregate("o", F.lit(0.0), lambda a, v: a + 1 / v) - 1))).alias("margin"), _r(F.avg(F.when(c, F.col("d").isNotNull().cast("int")))).alias("coverage"),
-                                  _r(F.avg(F.when(c, F.col("ll")))).alias("log_loss"), _r(F.avg(F.when(c, S.rps(F.col("p"), F.col("y"))))).alias("rps"), _r(F.avg(F.when(~c, F.col("ll"))) - F.avg(F.when(c, F.col("ll")))).alias("late_info"))
-    return matches(spark, sf).select("league").distinct().join(out, "league", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+# Leagues are judged on the seasons before this one.
+LAST = 1999
+_OWN = f"own AS (SELECT * FROM scored WHERE book = 0 AND phase = 1 AND season < {LAST})"
+_EFF = f"""{_PROB}, {_OWN}, rest AS ({_rest('own')}), {newton_sql('rest', 'league')}, bins AS (SELECT league, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM rest GROUP BY 1, 2), ece AS (SELECT league, sum(n * gap) / sum(n) AS ece FROM bins GROUP BY 1),
+best AS (SELECT match_id, max(h) AS h, max(d) AS d, max(a) AS a FROM fx_odds WHERE phase = 0 GROUP BY 1),
+cells AS (SELECT s.match_id, s.league, 1/o.h + 1/o.d + 1/o.a - 1 AS margin, s.ll, s.pre, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2) AS brier, (pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS rps, (greatest(b.h * ph, b.d * pd, b.a * pa) > 1)::int AS hit
+ FROM (SELECT own.*, p.ll AS pre FROM own LEFT JOIN scored p ON p.match_id = own.match_id AND p.book = 0 AND p.phase = 0) s JOIN fx_odds o ON o.match_id = s.match_id AND o.book = 0 AND o.phase = 1 JOIN best b ON b.match_id = s.match_id)"""
+_CELLS = {"margin": "margin", "log_loss": "ll", "brier": "brier", "rps": "rps", "late_info": "pre - ll", "value_rate": "hit"}
 
 
-@query("a14_league_efficiency", f"WITH {_EFF} SELECT * FROM eff", "odds")
+def league_rows(spark, sf) -> DataFrame:
+    """One row a league, leagues without a measurable match included: what closing prices of the reference book cost
+    and know, with intervals, and how well they are calibrated."""
+    at = lambda c, phase: F.max(F.when((F.col("book") == 0) & (F.col("phase") == phase), F.col(c)))
+    best = [F.max(F.when(F.col("phase") == 0, F.col(c))).alias(c) for c in "hda"]
+    x = odds(spark, sf).where(f"season < {LAST}").groupBy("match_id", "league", "y").agg(at("o", 0).alias("pre"), at("o", 1).alias("close"), *best)
+    x = x.withColumns({"p": P.devig(F.col("close"), "multiplicative"), "q": P.devig(F.col("pre"), "multiplicative")}).where("p is not null")
+    p, y = F.col("p"), F.col("y")
+    ll = S.log_loss(p, y)
+    value = (F.array_max(F.zip_with(p, F.array("h", "d", "a"), lambda a, b: a * b)) > 1).cast("int")
+    x = cut(x.select("match_id", "league", "y", "p", P.overround(F.col("close")).alias("margin"), ll.alias("ll"), (S.log_loss(F.col("q"), y) - ll).alias("late"), value.alias("hit")))
+    out = intervals(x, {"margin": F.col("margin"), "log_loss": F.col("ll"), "brier": S.brier(p, y), "rps": S.rps(p, y), "late_info": F.col("late"), "value_rate": F.col("hit")}, "match_id", ["league"])
+    rest = one_vs_rest(x, "league")
+    bins = rest.groupBy("league", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("m"), F.abs(F.avg("p") - F.avg("hit")).alias("gap"))
+    ece = bins.groupBy("league").agg(_r(F.sum(F.col("m") * F.col("gap")) / F.sum("m")).alias("ece"))
+    out = out.join(calibration(rest, ["league"]).select("league", "slope"), "league", "left").join(ece, "league", "left")
+    every = matches(spark, sf).select("league").distinct().join(out, "league", "left")
+    return every.withColumn("n", F.coalesce("log_loss_n", F.lit(0).cast("long")))
+
+
+_EFF_COLS = ["margin", "margin_low", "margin_high", "log_loss", "log_loss_low", "log_loss_high", "brier", "rps", "late_info", "late_info_low", "late_info_high", "value_rate", "value_rate_low", "value_rate_high"]
+
+
+@query("a14_league_efficiency", f"SELECT lg.league, coalesce(log_loss_n, 0) AS n, {', '.join(_EFF_COLS)}, slope, ece FROM (SELECT DISTINCT league FROM fx_match) lg LEFT JOIN ({with_draws('cells', 'league', _CELLS, _EFF)}) e USING (league) LEFT JOIN (WITH {_EFF} SELECT fit.league, round(b, 6) AS slope, round(ece, 6) AS ece FROM fit JOIN ece USING (league)) f USING (league)", "odds")
 def league_efficiency(spark, sf):
-    return league_rows(spark, sf)
+    return league_rows(spark, sf).select("league", "n", *_EFF_COLS, "slope", "ece")
+
 
+@query("a14_totals_market", f"SELECT league, margin_n AS n, margin, margin_low, margin_high, log_loss, log_loss_low, log_loss_high, slope FROM ({with_draws('oc', 'league', {'margin': 'margin', 'log_loss': 'll'}, f'{_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1 AND season < {LAST})')}) z JOIN (WITH {_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1 AND season < {LAST}), rest AS (SELECT league, po AS p, (y = 0)::int AS hit FROM oc UNION ALL SELECT league, 1 - po, (y = 1)::int FROM oc), {newton_sql('rest', 'league')} SELECT league, round(b, 6) AS slope FROM fit) f USING (league)", "totals")
+def totals_market(spark, sf):
+    """The over/under market of each league at closing."""
+    x = cut(totals_scored(spark, sf).where(f"book = 0 and phase = 1 and season < {LAST}").select("match_id", "league", "y", "p", "margin", "ll"))
+    out = intervals(x, {"margin": F.col("margin"), "log_loss": F.col("ll")}, "match_id", ["league"]).join(calibration(one_vs_rest(x, "league"), ["league"]).select("league", "slope"), "league", "left")
+    return out.select("league", F.col("margin_n").alias("n"), "margin", "margin_low", "margin_high", "log_loss", "log_loss_low", "log_loss_high", "slope")
 
-@query("a18_rankings", f"WITH {_EFF} SELECT league, row_number() OVER (ORDER BY late_info DESC, league) AS by_late_info, row_number() OVER (ORDER BY rps, league) AS by_rps, least(row_number() OVER (ORDER BY late_info DESC, league), row_number() OVER (ORDER BY rps, league)) AS best FROM eff", "odds")
+
+@query("a18_rankings", f"SELECT league, row_number() OVER (ORDER BY late_info DESC NULLS LAST, league) AS by_late_info, row_number() OVER (ORDER BY abs(slope - 1) DESC NULLS LAST, ece DESC, league) AS by_miss FROM (WITH {_EFF}, l AS (SELECT league, round(avg(pre - ll), 6) AS late_info FROM cells GROUP BY 1) SELECT league, late_info, round(b, 6) AS slope, round(ece, 6) AS ece FROM (SELECT DISTINCT league FROM fx_match) g LEFT JOIN l USING (league) LEFT JOIN fit USING (league) LEFT JOIN ece USING (league)) x", "odds")
 def rankings(spark, sf):
+    """Leagues by late information, and by how far their slope lies from 1."""
     place = lambda *o: F.row_number().over(Window.orderBy(*o)).cast("long")
-    x = league_rows(spark, sf).withColumns({"by_late_info": place(F.desc("late_info"), "league"), "by_rps": place("rps", "league")})
-    return x.select("league", "by_late_info", "by_rps", F.least("by_late_info", "by_rps").alias("best"))
+    late = place(F.col("late_info").desc_nulls_last(), "league")
+    miss = place(F.abs(F.col("slope") - 1).desc_nulls_last(), F.desc("ece"), "league")
+    return league_rows(spark, sf).select("league", late.alias("by_late_info"), miss.alias("by_miss"))  # a row a league
+
+
+def league_tiers(spark, sf, rows: DataFrame) -> DataFrame:
+    """(league, late_tier, miss_tier, tier): the better of the tiers by late information and by the slope's distance from 1."""
+    late = tiered(rows.where("late_info is not null").select("league", F.col("late_info").alias("gap"), F.col("late_info_low").alias("low"), F.col("late_info_high").alias("high")))
+    far = slope_distances(slope_interval(spark, sf, before=LAST)).join(rows.select("league", "slope"), "league").withColumn("gap", F.abs(F.col("slope") - 1))
+    miss = tiered(far.where("gap is not null and near is not null").select("league", "gap", F.col("near").alias("low"), F.col("far").alias("high")))
+    x = miss.select("league", F.col("tier").alias("miss_tier")).join(late.select("league", F.col("tier").alias("late_tier")), "league", "left")
+    return x.withColumn("tier", F.least("miss_tier", F.coalesce("late_tier", F.lit("C"))))
+
+
+@query("a18_tiers")
+def tiers_of_leagues(spark, sf):
+    return league_tiers(spark, sf, cut(league_rows(spark, sf))).select("league", "late_tier", "miss_tier", "tier")
 
 
-@query("a19_candidates", f"WITH {_EFF} SELECT league FROM eff WHERE n >= 30 AND coverage >= 0.95 AND league IN (SELECT league FROM fx_match WHERE grp > 2)", "odds")
-def candidates(spark, sf):
+@query("a19_candidates")
+def candidates(spark, sf, least=1000, coverage=0.95):
+    """Leagues with enough measured matches, a key, nearly complete closing prices in the holdout and a tier of A or B, in the order of tier and league."""
+    x = cut(league_rows(spark, sf))
     key = matches(spark, sf).where("grp > 2").select("league").distinct()
-    return league_rows(spark, sf).where("n >= 30 and coverage >= 0.95").join(key, "league", "left_semi").select("league")
+    held = odds(spark, sf).where(f"season >= {LAST} and book = 0 and phase = 1").groupBy("league").agg(F.avg(F.col("d").isNotNull().cast("int")).alias("share")).where(F.col("share") >= coverage)
+    good = x.where(F.col("n") >= least).select("league", "n").join(key, "league", "left_semi").join(held.select("league"), "league", "left_semi")
+    return good.join(league_tiers(spark, sf, x).where("tier in ('A', 'B')").select("league", "tier"), "league").select("league", "n", "tier")
 
 
 _DRIFT = f"{_FULL}, q AS (SELECT f.match_id, f.book, f.phase, qh/book_sum AS ph, qd/book_sum AS pd, qa/book_sum AS pa FROM full_odds f WHERE f.book < 3), t AS (SELECT a.match_id, (a.match_id * 11) % 96 AS lead, (abs(a.ph - b.ph) + abs(a.pd - b.pd) + abs(a.pa - b.pa)) / 2 AS tv FROM q a JOIN q b ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1), d AS (SELECT CASE WHEN lead < 12 THEN 0 WHEN lead < 36 THEN 1 WHEN lead < 60 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(tv) AS tv FROM t GROUP BY 1)"
@@ -200,12 +266,27 @@ def coverage_funnel(spark, sf):
     return x.groupBy("league").agg(F.count(F.lit(1)).alias("fixtures"), F.count_if(a).alias("decided"), F.count_if(b).alias("complete"), F.count_if(s).alias("settled"), F.count_if(s & F.col("z")).alias("closed"))
 
 
-@query("a28_shadow_report", f"WITH {_TWO} SELECT league, count(*) AS n, round(avg(pre), 6) AS model_loss, round(avg(close), 6) AS market_loss, round(avg(pre - close), 6) AS gap, (SELECT count(*) FROM fx_odds o JOIN fx_match m ON m.match_id = o.match_id WHERE m.league = two.league AND o.d IS NULL) AS incomplete, (SELECT count(*) FROM fx_odds o JOIN fx_match m ON m.match_id = o.match_id WHERE m.league = two.league AND 1/h + 1/d + 1/a < 1 - 1e-12) AS rejected FROM two GROUP BY 1", "odds")
+#: The day of the report: later matches aren't settled.
+TODAY = "2001-06-01"
+_SHADOW = f"""{_PROB}, lm AS (SELECT m.match_id, m.league, m.match_date < date '{TODAY}' AS settled, o.d IS NULL AS hole, 1/o.h + 1/o.d + 1/o.a < 1 - 1e-12 AS refused, a.ll AS pre, c.ll AS close, b.h AS bh, b.d AS bd, b.a AS ba, b.h * a.ph - 1 AS eh, b.d * a.pd - 1 AS ed, b.a * a.pa - 1 AS ea, c.ph AS qh, c.pd AS qd, c.pa AS qa
+ FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 0 AND o.phase = 0 LEFT JOIN scored a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 0 LEFT JOIN scored c ON c.match_id = m.match_id AND c.book = 2 AND c.phase = 1 LEFT JOIN fx_odds b ON b.match_id = m.match_id AND b.book = 1 AND b.phase = 0),
+sh AS (SELECT match_id, league, settled, hole, refused, pre IS NOT NULL AND settled AND close IS NULL AS bad, CASE WHEN settled THEN pre END AS pre, CASE WHEN settled THEN close END AS close,
+ CASE WHEN settled AND close IS NOT NULL AND greatest(eh, ed, ea) > 0.02 THEN CASE WHEN eh >= ed AND eh >= ea THEN bh * qh WHEN ed >= ea THEN bd * qd ELSE ba * qa END - 1 END AS clv FROM lm)"""
+
+
+@query("a28_shadow_report", f"SELECT league, gap_n AS n, model_loss, market_loss, gap, gap_low, gap_high, clv_n AS bets, clv, clv_low, clv_high, incomplete, rejected, unsettled, bad_closing FROM ({with_draws('sh', 'league', {'model_loss': 'CASE WHEN close IS NOT NULL THEN pre END', 'market_loss': 'CASE WHEN pre IS NOT NULL THEN close END', 'gap': 'pre - close', 'clv': 'clv'}, _SHADOW)}) z JOIN (WITH {_SHADOW} SELECT league, count(*) FILTER (hole) AS incomplete, count(*) FILTER (refused) AS rejected, count(*) FILTER (NOT settled) AS unsettled, count(*) FILTER (bad) AS bad_closing FROM sh GROUP BY 1) c USING (league)", "odds")
 def shadow_report(spark, sf):
-    gap = _two(spark, sf).groupBy("league").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("pre")).alias("model_loss"), _r(F.avg("close")).alias("market_loss"), _r(F.avg(F.col("pre") - F.col("close"))).alias("gap"))
-    code = P.reject_code(F.col("o"))
-    bad = odds(spark, sf).groupBy("league").agg(F.count_if(code == "missing").alias("incomplete"), F.count_if(code == "margin").alias("rejected"))
-    return gap.join(bad, "league")
+    """A model (the reference book's opening probabilities) against a closing market (the third book's), with the bets it
+    would have made at a second book's opening prices, and what couldn't be judged."""
+    at = lambda c, book, phase: F.max(F.when((F.col("book") == book) & (F.col("phase") == phase), F.col(c)))
+    x = odds(spark, sf).groupBy("match_id", "league", "match_date", "y").agg(at("o", 0, 0).alias("o"), at("o", 2, 1).alias("c"), at("o", 1, 0).alias("bet"))
+    x = x.withColumns({"p": P.devig(F.col("o"), "multiplicative"), "q": P.devig(F.col("c"), "multiplicative"), "settled": F.col("match_date") < TODAY, "code": P.reject_code(F.col("o"))})
+    pre, close = (F.when(F.col("settled"), S.log_loss(F.col(c), F.col("y"))) for c in "pq")
+    x = cut(x.select("match_id", "league", "settled", "code", pre.alias("pre"), close.alias("close"), F.when(F.col("settled"), bet_rule(F.col("p"), F.col("bet"), F.col("q"), 0.02)).alias("clv"), (F.col("p").isNotNull() & F.col("settled") & F.col("q").isNull()).alias("bad")))
+    both = F.col("pre").isNotNull() & F.col("close").isNotNull()
+    got = intervals(x, {"model_loss": F.when(both, F.col("pre")), "market_loss": F.when(both, F.col("close")), "gap": F.col("pre") - F.col("close"), "clv": F.col("clv")}, "match_id", ["league"])
+    counts = x.groupBy("league").agg(F.count_if(F.col("code") == "missing").alias("incomplete"), F.count_if(F.col("code") == "margin").alias("rejected"), F.count_if(~F.col("settled")).alias("unsettled"), F.count_if("bad").alias("bad_closing"))
+    return got.join(counts, "league").select("league", F.col("gap_n").alias("n"), "model_loss", "market_loss", "gap", "gap_low", "gap_high", F.col("clv_n").alias("bets"), "clv", "clv_low", "clv_high", "incomplete", "rejected", "unsettled", "bad_closing")
 
 
 _REC = "cl AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds GROUP BY 1, 2), rec AS (SELECT match_id, book, h/ch/(1/ch+1/cd+1/ca) - 1 AS clv, h/ch/(1/ch+1/cd+1/ca) - 1 + CASE WHEN match_id % 97 = 0 THEN 0.001 ELSE 0 END AS stored FROM cl WHERE 1/ch+1/cd+1/ca >= 1 - 1e-12)"
@@ -223,15 +304,28 @@ def record_mismatches(spark, sf):
     return records(spark, sf).where(F.abs(off) > F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs("stored"), F.abs("clv")))).select("match_id", "book", _r(off).alias("off"))
 
 
-_SPEND = "s AS (SELECT event_id, epoch(ts)::bigint // 86400 AS day, CASE WHEN event_type = 'error' THEN 5 ELSE round(value)::bigint END AS cost FROM events)"
+@query("a32_record_summary", named_sql(f"{_REC}, rl AS (SELECT rec.*, league FROM rec JOIN fx_match USING (match_id))", "rl", "league", "clv", "clv"), "odds")
+def record_summary(spark, sf):
+    """Entries of the record and their mean closing-line value, by league."""
+    return named(intervals(records(spark, sf), {"clv": F.col("clv")}, "match_id", ["league"]), ["league"], "clv")
+
+
+_SPEND = "s AS (SELECT event_id, ts, year(ts) * 100 + month(ts) AS month, event_type, CASE WHEN event_type = 'error' THEN 5 ELSE round(value)::bigint END AS cost FROM events)"
+
 
+@query("a34_spend_cap", f"WITH {_SPEND}, r AS (SELECT *, sum(cost) OVER (PARTITION BY month ORDER BY ts, event_id) AS upto FROM s) SELECT month, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed, sum(cost)::bigint AS total, count(*) FILTER (upto > 100000) AS over_cap, sum(cost) > 100000 AS spent FROM r GROUP BY 1")
+def spend_cap(spark, sf, cap=100_000):
+    """Spend of each calendar month (UTC) in the order of calls against a cap; failed calls count with their estimate.
 
-@query("a34_spend_cap", f"WITH {_SPEND}, r AS (SELECT day, cost, sum(cost) OVER (PARTITION BY day ORDER BY event_id) AS upto FROM s) SELECT day, count(*) AS calls, sum(cost)::bigint AS total, count(*) FILTER (upto > 5000) AS over_cap FROM r GROUP BY 1")
-def spend_cap(spark, sf, cap=5000):
-    """Running spend of each calendar day against a cap; failed calls count with their estimate."""
-    x = table(spark, sf, "events").select("event_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"), F.when(F.col("event_type") == "error", 5).otherwise(F.round("value").cast("long")).alias("cost"))
-    x = x.withColumn("upto", F.sum("cost").over(Window.partitionBy("day").orderBy("event_id")))
-    return x.groupBy("day").agg(F.count(F.lit(1)).alias("calls"), F.sum("cost").alias("total"), F.count_if(F.col("upto") > cap).alias("over_cap"))
+    A month may hold a large part of all calls: days are summed first, carry their month's total so far, and only a day's
+    own calls enter a window."""
+    at = F.col("ts").cast("timestamp")
+    x = table(spark, sf, "events").select("event_id", at.alias("at"), F.to_date(at).alias("day"), (F.year(at) * 100 + F.month(at)).cast("long").alias("month"), (F.col("event_type") == "error").alias("failed"), F.when(F.col("event_type") == "error", 5).otherwise(F.round("value").cast("long")).alias("cost"))
+    days = x.groupBy("month", "day").agg(F.sum("cost").alias("spent"))
+    days = days.withColumn("before", F.coalesce(F.sum("spent").over(Window.partitionBy("month").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.join(F.broadcast(days.select("day", "before")), "day")  # a row a day
+    x = x.withColumn("upto", F.col("before") + F.sum("cost").over(Window.partitionBy("day").orderBy("at", "event_id")))
+    return x.groupBy("month").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"), F.sum("cost").alias("total"), F.count_if(F.col("upto") > cap).alias("over_cap"), (F.sum("cost") > cap).alias("spent"))
 
 
 @query("a35_slice_counter", "SELECT version, n, recent, round(recent / 4.0E0, 6) AS weekly, CASE WHEN n < 900 AND recent > 0 THEN ceil((900 - n) * 28.0E0 / recent)::bigint END AS days_left FROM (SELECT user_id % 10 AS version, count(*) AS n, count(*) FILTER (epoch(ts)::bigint // 86400 > 19723 - 28 + 10) AS recent FROM events GROUP BY 1) t")
