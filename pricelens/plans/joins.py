@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, table
+from ..functions import text
 from .prices import _QUOTE, quotes
 from .registry import query
 
@@ -75,13 +76,84 @@ def full_outer_diff(spark, sf):
     return x.select("k", F.when(F.col("nb").isNull(), "gone").when(F.col("na").isNull(), "new").otherwise("changed").alias("status"))
 
 
-@query("j14_fuzzy_candidates", "SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY levenshtein(right(s_name, 9), right(c_name, 9)), c_custkey) AS k FROM supplier JOIN customer ON s_nationkey = c_nationkey) t WHERE k <= 8")
+# Names of the fixture: customers are clubs, suppliers are feeds that write some of those clubs in their own way.
+_SYLLABLES = ("ka", "lor", "mi", "sten", "bur", "ve", "gald", "no", "ri", "thor", "pe", "zan", "dul", "fi", "hem", "ost", "qua", "ler", "wi", "xan", "jo", "cre", "um", "bay")
+_KINDS = ("City", "United", "Town", "Athletic", "Rovers")
+#: The least similarity of a candidate, and how many are kept.
+ALIKE, MOST_NAMES = 0.4, 8
+
+
+def _part(k):
+    return F.get(F.array(*map(F.lit, _SYLLABLES)), (k % len(_SYLLABLES)).cast("int"))
+
+
+def clubs(spark, sf):
+    k = F.col("c_custkey")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (k % len(_KINDS)).cast("int"))
+    name = F.concat(F.initcap(F.concat(_part(k), _part(F.floor(k / 5) * 7 + 3), _part(F.floor(k / 24)))), F.lit(" "), kind)
+    return table(spark, sf, "customer").select(k.alias("club"), (k % 25).alias("league"), name.alias("name"))
+
+
+def feeds(spark, sf):
+    """Each supplier's alias of one club: with a suffix, without its last letter, with its words swapped, cut short, or a
+    name of no club."""
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 11 % 1400).alias("club"))
+    x = s.join(clubs(spark, sf), "club")
+    way, n = F.col("s_suppkey") % 5, F.char_length("name")
+    words = F.split("name", " ")
+    alias = F.when(way == 0, F.concat("name", F.lit(" FC"))).when(way == 1, F.left("name", n - 1)).when(way == 2, F.concat_ws(" ", F.get(words, 1), F.get(words, 0))).when(way == 3, F.left("name", F.lit(7))).otherwise(F.concat(F.lit("Zw"), F.col("s_suppkey").cast("string")))
+    return x.select(F.col("s_suppkey").alias("feed"), "league", alias.alias("alias"))
+
+
+def name_grams(key):
+    """The distinct pairs of neighbouring letters of a key, its ends included."""
+    padded = F.concat(F.lit(" "), key, F.lit(" "))
+    return F.when(key != "", F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))))
+
+
+def alias_candidates(aliases, names, least: float = ALIKE, most: int = MOST_NAMES):
+    """(feed, club, kind, similarity, place) for aliases (feed, league, alias) and names (club, league, name): the club
+    whose normalised name is the alias's, else those of the league with the most similar ones by shared letter pairs
+    (twice the shared over all of both), ``most`` at most.
+
+    An inverted index of rare pairs finds them: names alike enough share one of either's rarest pairs, all but so many
+    that the rest couldn't suffice. Pairs of letters that keys can have are bounded, so their frequencies are broadcast."""
+    a = aliases.select("feed", "league", text.normalise_team(F.col("alias")).alias("key"))
+    c = names.select("club", "league", text.normalise_team(F.col("name")).alias("key"))
+    exact = a.join(c.groupBy("league", "key").agg(F.min("club").alias("club")), ["league", "key"]).select("feed", "club", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"), F.lit(1).cast("long").alias("place"))
+    a, c = (x.withColumn("grams", name_grams(F.col("key"))).where("grams is not null") for x in (a.join(exact, "feed", "left_anti"), c))
+    often = c.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+
+    def rare(x, key):
+        g = x.select(key, "league", "grams", F.explode("grams").alias("gram")).join(F.broadcast(often), "gram", "left")
+        g = g.groupBy(key, "league", "grams").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram"))).alias("s"))
+        size = F.size("s")
+        return g.select(key, "league", "grams", F.explode(F.slice("s", F.lit(1), size - F.ceil(F.lit(least / (2 - least)) * size - 1e-9).cast("int") + 1)["gram"]).alias("gram"))
+
+    found = rare(a, "feed").join(rare(c, "club").withColumnRenamed("grams", "others"), ["league", "gram"])
+    found = found.select("feed", "club", (2.0 * F.size(F.array_intersect("grams", "others")) / (F.size("grams") + F.size("others"))).alias("similarity")).where(F.col("similarity") >= least - 1e-12).distinct()
+    place = F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("similarity"), "club")).cast("long")
+    found = found.withColumn("place", place).where(F.col("place") <= most)
+    return exact.unionByName(found.select("feed", "club", F.lit("similar").alias("kind"), F.round("similarity", 6).alias("similarity"), "place"))
+
+
+_SYL = lambda k: f"([{', '.join(repr(s) for s in _SYLLABLES)}])[({k}) % {len(_SYLLABLES)} + 1]"
+_FIRST = f"{_SYL('c_custkey')} || {_SYL('c_custkey // 5 * 7 + 3')} || {_SYL('c_custkey // 24')}"
+_CLUBS = f"""club AS (SELECT c_custkey AS club, c_custkey % 25 AS league, upper(left(f, 1)) || substr(f, 2) || ' ' || ([{', '.join(repr(s) for s in _KINDS)}])[c_custkey % {len(_KINDS)} + 1] AS name FROM (SELECT c_custkey, {_FIRST} AS f FROM customer) t),
+feed AS (SELECT s_suppkey AS feed, league, CASE s_suppkey % 5 WHEN 0 THEN name || ' FC' WHEN 1 THEN left(name, length(name) - 1) WHEN 2 THEN split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1) WHEN 3 THEN left(name, 7) ELSE 'Zw' || s_suppkey END AS alias FROM supplier JOIN club ON club = s_suppkey * 11 % 1400),
+keys AS (SELECT feed, league, trim(regexp_replace(lower(alias), '\\bfc\\b', '')) AS key FROM feed), own AS (SELECT club, league, lower(name) AS key FROM club)"""
+
+
+def _grams_sql(key: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({key}) + 2), lambda i: substr(' ' || {key} || ' ', i, 2)))"
+
+
+@query("j14_fuzzy_candidates", f"""WITH {_CLUBS}, exact AS (SELECT feed, min(club) AS club FROM keys JOIN own USING (league, key) GROUP BY 1),
+ka AS (SELECT feed, league, {_grams_sql('key')} AS g FROM keys WHERE feed NOT IN (SELECT feed FROM exact)), kb AS (SELECT club, league, {_grams_sql('key')} AS h FROM own),
+pairs AS (SELECT feed, club, 2.0::double * len(list_intersect(g, h)) / (len(g) + len(h)) AS similarity FROM ka JOIN kb USING (league)), placed AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY similarity DESC, club) AS place FROM pairs WHERE similarity >= {ALIKE} - 1e-12)
+SELECT feed, club, 'exact' AS kind, 1.0::double AS similarity, 1::bigint AS place FROM exact UNION ALL SELECT feed, club, 'similar', round(similarity, 6), place FROM placed WHERE place <= {MOST_NAMES}""")
 def fuzzy_candidates(spark, sf):
-    """The eight nearest names by edit distance within a nation."""
-    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    x = s.join(c, s["s_nationkey"] == c["c_nationkey"]).withColumn("gap", F.levenshtein(F.substring("s_name", -9, 9), F.substring("c_name", -9, 9)))
-    w = Window.partitionBy("s_suppkey").orderBy("gap", "c_custkey")
-    return x.withColumn("k", F.row_number().over(w)).where("k <= 8").select("s_suppkey", "c_custkey")
+    return alias_candidates(feeds(spark, sf), clubs(spark, sf))
 
 
 @query("j16_key_lookup", "SELECT concat_ws('|', league, match_date::varchar, home::varchar, away::varchar) AS key, max(CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END) AS y FROM fx_match GROUP BY 1", "match")

@@ -8,25 +8,38 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, table
+from ..functions import text
 from ..operators.lineage import cut
 from .ledger import digest_in_parts, digest_sql
 from .registry import query
 
-#: A word prefix for each of the twelve teams (fixed values of the fixture).
-TOKENS = ("that", "with", "tion", "ther", "able", "unge", "keit", "sche", "ment", "this", "ción", "ador")
+#: Names of the twelve teams (fixed values of the fixture).
+TEAMS = ("That United", "With City", "Tion F.C.", "Therea Royal", "Able Athletic", "Unge Sporting", "Keit Club", "Sche Real", "Menta Olympique", "Thisth Town", "Ción Deportivo", "Ador Onen")
 HORIZON, SPAN, MOST_FIXTURES, MOST_EARLIER = 8, 72, 6, 8
-_TOKEN = f"tokens AS (SELECT * FROM (VALUES {', '.join(f'({i}, {t!r})' for i, t in enumerate(TOKENS))}) t(team, token))"
+_GENERIC = ", ".join(f"'{w}'" for w in text.GENERIC)
+_TOKEN = f"""words AS (SELECT team, list_filter(regexp_split_to_array(strip_accents(lower(name)), '[^a-z]+'), lambda w: w NOT IN ('', 'f', 'c')) AS w FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TEAMS))}) t(team, name)),
+tokens AS (SELECT team, unnest(CASE WHEN len(own) > 0 THEN own ELSE w END) AS token FROM (SELECT *, list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ({_GENERIC})) AS own FROM words) u)"""
 _ITEM = "items AS (SELECT doc_id, (doc_id * 7) % 5000 AS hour, date '1996-01-01' + ((doc_id * 7) % 5000 // 24)::int AS day, text FROM documents)"
-_MENTION = f"{_ITEM}, {_TOKEN}, mention AS (SELECT DISTINCT doc_id, hour, day, team FROM (SELECT doc_id, hour, day, unnest(regexp_split_to_array(lower(text), '[^a-zäöüßéèêàçñáíóú]+')) AS word FROM items) w JOIN tokens ON substr(word, 1, 4) = token)"
+_MENTION = f"{_ITEM}, {_TOKEN}, mention AS (SELECT DISTINCT doc_id, hour, day, team FROM (SELECT doc_id, hour, day, unnest(list_distinct(regexp_split_to_array(strip_accents(lower(text)), '[^a-z]+'))) AS word FROM items) w JOIN tokens ON starts_with(word, token))"
 
 
-def mentions(spark, sf):
-    """(doc_id, hour, day, team): each word's first four letters are looked up among the teams' tokens."""
+def token_table(spark, names=TEAMS):
+    """(team, token): the words of each team's name that tell it apart."""
+    teams = spark.createDataFrame(list(enumerate(names)), "team long, name string")
+    return teams.select("team", F.explode(text.team_tokens(F.col("name"))).alias("token"))
+
+
+def mentions(spark, sf, names=TEAMS):
+    """(doc_id, hour, day, team): teams of whose tokens one begins a word of the text. Every word is looked up by its
+    beginnings of just the lengths that tokens have, so the lookup is a join on equal keys."""
+    tokens = token_table(spark, names)
+    lengths = sorted(r["n"] for r in tokens.select(F.char_length("token").alias("n")).distinct().limit(100).collect())  # lengths of words in names
     d = table(spark, sf, "documents").withColumn("hour", (F.col("doc_id") * 7) % 5000)
-    words = F.array_distinct(F.transform(F.split(F.lower("text"), "[^a-zäöüßéèêàçñáíóú]+"), lambda w: F.substring(w, 1, 4)))
-    x = d.select("doc_id", "hour", F.date_add(F.lit("1996-01-01").cast("date"), F.floor(F.col("hour") / 24).cast("int")).alias("day"), F.explode(words).alias("token"))
-    teams = spark.createDataFrame(list(enumerate(TOKENS)), "team long, token string")
-    return x.join(F.broadcast(teams), "token").select("doc_id", "hour", "day", "team")
+    words = F.array_distinct(F.split(text.unmarked(F.lower("text")), "[^a-z]+"))
+    begun = lambda n: F.transform(F.filter(words, lambda w: F.char_length(w) >= n), lambda w: F.left(w, F.lit(n)))
+    starts = [begun(n) for n in lengths]
+    x = d.select("doc_id", "hour", F.date_add(F.lit("1996-01-01").cast("date"), F.floor(F.col("hour") / 24).cast("int")).alias("day"), F.explode(F.array_distinct(F.concat(*starts))).alias("token"))
+    return x.join(F.broadcast(tokens), "token").select("doc_id", "hour", "day", "team").distinct()  # a row a word of a team's name
 
 
 @query("n2_mentions", f"WITH {_MENTION} SELECT team, count(*) AS n FROM mention GROUP BY 1")

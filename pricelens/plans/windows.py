@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, table
+from ..functions import timeaxis as T
 from .registry import query
 
 
@@ -39,6 +40,52 @@ def usual_gap(spark, sf):
     return x.groupBy("grp").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.expr("percentile(gap, 0.9)"), 6).alias("p90")).where("gaps >= 10")
 
 
+# Match days that a league must have, longest regular gap and longest gap within a season in days, the
+# quantile of regular gaps over a year that is usual.
+DAYS_NEEDED, REGULAR, IN_SEASON, YEAR, QUANTILE = 10, 10, 21, 365, 0.9
+
+
+def lag_test(m, decisions):
+    """(region, league, decided, gap, usual, lagging) from the match days (region, league, match_date) of ``m`` and the
+    decision days (region, decided): a league lags if its last match day lies further back than is usual for it and
+    another league of its region has played since. ``usual`` is the quantile of the year's regular gaps and one day
+    more, null where there is none or the league is new or out of season.
+
+    Gaps are whole days up to ``REGULAR``, so the rolling quantile comes from that many running counts, and days, not
+    matches, enter the windows."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    days = m.select("region", "league", number("match_date").alias("day")).distinct()
+    days = days.withColumn("gap", F.col("day") - F.lag("day").over(Window.partitionBy("region", "league").orderBy("day")))
+    asked = days.select("region", "league").distinct().join(decisions.select("region", number("decided").alias("day")).distinct(), "region")
+    both = days.select("region", "league", "day", "gap", F.lit(False).alias("asked")).unionByName(asked.select("region", "league", "day", F.lit(None).cast("int").alias("gap"), F.lit(True).alias("asked")))
+    ever = Window.partitionBy("region", "league").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    recent = Window.partitionBy("region", "league").orderBy("day").rangeBetween(-YEAR, -1)
+    played = F.when(~F.col("asked"), F.col("day"))
+    x = both.withColumns({"last": F.max(played).over(ever), "days": F.count(played).over(ever), **{f"_{k}": F.count(F.when(F.col("gap") == k, 1)).over(recent) for k in range(1, REGULAR + 1)}}).where("asked")
+    total = sum((F.col(f"_{k}") for k in range(1, REGULAR + 1)), F.lit(0))
+    place = F.floor(F.lit(QUANTILE) * (total - 1))
+    below = {k: sum((F.col(f"_{i}") for i in range(1, k)), F.lit(0)) for k in range(1, REGULAR + 1)}
+    usual = F.coalesce(*[F.when(below[k] <= place, k) for k in range(REGULAR, 0, -1)])
+    gap = F.col("day") - F.col("last")
+    x = x.withColumn("gap", gap).withColumn("usual", F.when((F.col("days") >= DAYS_NEEDED) & (gap <= IN_SEASON) & (total > 0), usual + 1))
+    since = F.max("last").over(Window.partitionBy("region", "day")) > F.col("last")
+    return x.select("region", "league", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("decided"), "gap", "usual", F.coalesce((F.col("gap") > F.col("usual")) & since, F.lit(False)).alias("lagging"))
+
+
+_DECIDED = "(CASE WHEN isodow(match_date) BETWEEN 2 AND 4 THEN match_date - (isodow(match_date) - 2)::int ELSE match_date - ((isodow(match_date) + 2) % 7)::int END)::date"
+
+
+@query("w6_lag_test", f"""WITH days AS (SELECT DISTINCT league AS region, grp AS league, match_date AS day FROM fx_match), gaps AS (SELECT *, day - lag(day) OVER (PARTITION BY region, league ORDER BY day) AS gap FROM days),
+ask AS (SELECT DISTINCT l.region, l.league, d.day AS decided FROM days l JOIN (SELECT DISTINCT league AS region, {_DECIDED} AS day FROM fx_match) d ON d.region = l.region),
+past AS (SELECT a.region, a.league, decided, max(day) AS last, count(day) AS n, list(gap ORDER BY gap) FILTER (gap <= {REGULAR} AND decided - day <= {YEAR}) AS regular FROM ask a LEFT JOIN gaps g ON g.region = a.region AND g.league = a.league AND g.day < decided GROUP BY 1, 2, 3),
+u AS (SELECT *, (decided - last)::int AS gap, CASE WHEN n >= {DAYS_NEEDED} AND decided - last <= {IN_SEASON} AND len(regular) > 0 THEN (regular[floor({QUANTILE} * (len(regular) - 1))::int + 1] + 1)::int END AS usual FROM past)
+SELECT region, league, decided, gap, usual, coalesce(gap > usual AND max(last) OVER (PARTITION BY region, decided) > last, false) AS lagging FROM u""", "match")
+def lagging_leagues(spark, sf):
+    """Nations as leagues of five regions, on every decision day of their region."""
+    m = matches(spark, sf).select(F.col("league").alias("region"), F.col("grp").alias("league"), "match_date")
+    return lag_test(m, m.select("region", T.decision_day(F.col("match_date")).alias("decided")))
+
+
 @query("w7_top_k", "SELECT grp, match_id FROM (SELECT grp, match_id, row_number() OVER (PARTITION BY grp ORDER BY home_goals + away_goals DESC, match_date, match_id) AS k FROM fx_match) t WHERE k <= 6", "match")
 def top_k(spark, sf):
     w = Window.partitionBy("grp").orderBy(F.desc(F.col("home_goals") + F.col("away_goals")), "match_date", "match_id")
