@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +16,24 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return where or tempfile.mkdtemp(prefix="pricelens-")
+    if not where:
+        where = tempfile.mkdtemp(prefix="pricelens-")
+        spark.conf.set("spark.checkpoint.dir", where)
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return where
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder for files that a job makes on its way; they are removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone; the folder belongs to the cluster
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..fixtures import table
 from ..functions import timeaxis as T
+from ..operators.lineage import scratch
 from ..operators.replay import SeenResults, replay
+from ..sources.ledger_store import LedgerStore
 from .registry import query
 from .timeaxis import _DDAY, _KICK, _UTC, kickoffs
 
@@ -74,7 +76,7 @@ def verify_chain(chain: DataFrame, segment: int = SEGMENT, start: str = GENESIS,
     above = chain.where("level > 0").select((F.col("level") - 1).alias("level"), F.col("event_id").alias("seg"), F.col("line").alias("recorded"))
     below = heads(chain).where(F.col("level") < LEVELS)
     tails = below.join(above, ["level", "seg"], "full").select("level", "seg", F.when(F.col("line").isNull(), "missing").when(F.col("recorded").isNull() | (F.col("line") != F.col("recorded")), "tail").alias("tail"))
-    x = found.join(tails, ["level", "seg"], "full").withColumn("bad", F.coalesce("bad", "tail")).persist()
+    x = found.join(tails, ["level", "seg"], "full").withColumn("bad", F.coalesce("bad", "tail"))
     out = x.where("level = 0")
     for level in range(1, LEVELS + 1):
         up = F.lit(0) if level == LEVELS else F.floor(F.col("seg") / segment**level)
@@ -113,6 +115,39 @@ def chain_verify(spark, sf):
     return verify_chain(build_chain(lines(spark, sf)))
 
 
+def stored(spark, sf):
+    """A ledger of the events, written in three appends by thirds of their ids."""
+    rows = lines(spark, sf).select("event_id", "line")
+    n = rows.agg(F.max("event_id")).first()[0]
+    store = LedgerStore(spark, scratch(spark, "ledger"), SEGMENT)
+    for k in range(3 if n is not None else 0):
+        store.append(rows.where((F.col("event_id") > (n * k) // 3 - (k == 0)) & (F.col("event_id") <= (n * (k + 1)) // 3)))
+    return store
+
+
+_STORED = f"""c AS MATERIALIZED (SELECT * FROM c0), cut AS (SELECT max(event_id) AS n FROM events), b AS (SELECT c.*, CASE WHEN event_id <= n * 1 // 3 THEN 0 WHEN event_id <= n * 2 // 3 THEN 1 ELSE 2 END AS batch FROM c, cut),
+s AS (SELECT batch, seg, arg_max(row_hash, event_id) AS h, count(*) AS n, max(event_id) AS last FROM b GROUP BY 1, 2), p AS (SELECT batch, seg // 1000 AS part, sha256(string_agg(seg || '|' || h || '|' || n, chr(10) ORDER BY seg)) AS d, sum(n) AS n, max(last) AS last FROM s GROUP BY 1, 2),
+t AS (SELECT batch, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest, sum(n)::bigint AS n_rows, max(last) AS last_id FROM p GROUP BY 1)"""
+_LINKED = "sha256({before} || '|' || {b} || '|' || n_rows || '|' || last_id || '|' || digest)"
+
+
+@query("h5_ledger_commits", f"""WITH {_chain_sql()}, {_STORED}, k0 AS (SELECT batch, n_rows, last_id, {_LINKED.format(before=f"'{GENESIS}'", b='batch')} AS head FROM t WHERE batch = 0),
+k1 AS (SELECT t.batch, t.n_rows, t.last_id, {_LINKED.format(before='k0.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k0 WHERE t.batch = 1), k2 AS (SELECT t.batch, t.n_rows, t.last_id, {_LINKED.format(before='k1.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k1 WHERE t.batch = 2)
+SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2""")
+def ledger_commits(spark, sf):
+    """The published heads of a ledger stored in three appends."""
+    commits = [(c.batch, c.n_rows, c.last_id, c.head) for c in stored(spark, sf).commits()]
+    return spark.createDataFrame(commits, "batch long, n_rows long, last_id long, head string")
+
+
+@query("h3_verify_from_anchor", f"WITH {_chain_sql()}, {_STORED} SELECT batch::bigint AS batch, seg::bigint AS seg, count(*) AS n_rows, NULL::varchar AS first_bad FROM b WHERE batch > 0 GROUP BY 1, 2 UNION ALL SELECT batch, -1, n_rows, NULL FROM t WHERE batch > 0")
+def verify_from_anchor(spark, sf):
+    """The stored ledger verified from its first commit on: the first append's rows are not read."""
+    store = stored(spark, sf)
+    commits = store.commits()
+    return store.verify(commits[0], commits[-1].head) if commits else store.verify()
+
+
 def digest_in_parts(x: DataFrame, keys: list, part, item, text=None) -> DataFrame:
     """(keys, n, digest): items of a key are digested in their order by ``part``, then the parts' digests in theirs, so no
     row holds all items of a key."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, odds, table
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 from ..sources import documents as D
-from ..sources import sinks, wide
+from ..sources import files, sinks, wide
 from .registry import query
 
 # The rows' faults go by the match's number: date, team, goals, result, width.
@@ -112,30 +110,44 @@ def prediction_append(spark, sf):
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
+
+
+#: Ids of a written file: files, and the tasks that write them, grow with the data.
+ROWS_A_FILE = 4000
+_EXTRA = ("L3", "L4")
 
 
 def _wide_files(spark, sf, surplus) -> str:
-    """Matches as CSV files, one a part, each with its header; ``surplus``: text to add to a line."""
-    m = matches(spark, sf).withColumn("part", F.col("match_id") % 8)
+    """Matches as CSV files with a header each, in folders: main leagues by season, extra ones with a season column and
+    other names. ``surplus``: text to add to a line."""
+    m = matches(spark, sf)
+    extra, part = F.col("league").isin(*_EXTRA), F.floor(F.col("match_id") / ROWS_A_FILE)
     quoted = lambda c: F.concat(F.lit('"Team, '), F.col(c).cast("string"), F.lit('"'))
-    line = F.concat_ws(",", "league", F.date_format("match_date", "dd/MM/yyyy"), quoted("home"), quoted("away"), F.col("home_goals").cast("string"), F.col("away_goals").cast("string"), F.col("match_id").cast("string"))
-    rows = m.select("part", "match_id", F.concat(line, surplus).alias("line"))
-    heads = m.select("part").distinct().select("part", F.lit(-1).cast("long").alias("match_id"), F.lit("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,Id").alias("line"))
+    season = F.when(extra, F.col("season").cast("string"))
+    line = F.concat_ws(",", "league", season, F.date_format("match_date", "dd/MM/yyyy"), quoted("home"), quoted("away"), F.col("home_goals").cast("string"), F.col("away_goals").cast("string"), F.col("match_id").cast("string"))
+    x = m.select(F.when(extra, "extra").otherwise("main").alias("layout"), F.when(extra, F.col("league")).otherwise(F.col("season").cast("string")).alias("folder"), part.alias("part"), "match_id", F.concat(line, surplus).alias("line"))
+    heads = x.select("layout", "folder", "part").distinct().withColumns({"match_id": F.lit(-1).cast("long"), "line": F.when(F.col("layout") == "main", "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,Id").otherwise("League,Season,Date,Home,Away,HG,AG,Id")})
     path = _folder(spark)
-    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "match_id").select("part", "line").write.partitionBy("part").text(path)
+    keys = ["layout", "folder", "part"]
+    x.unionByName(heads).repartition(*keys).sortWithinPartitions(*keys, "match_id").select(*keys, "line").write.partitionBy(*keys).text(path)
     return path
 
 
-@query("s1_wide_scan", "SELECT match_id, league, 'Team, ' || home::varchar AS home, 'Team, ' || away::varchar AS away, home_goals::int AS home_goals, strftime(match_date, '%Y-%m-%d') AS day FROM fx_match", "match")
+@query("s1_wide_scan", "SELECT match_id, league, season::varchar AS season, 'Team, ' || home::varchar AS home, 'Team, ' || away::varchar AS away, home_goals::int AS home_goals, strftime(match_date, '%Y-%m-%d') AS day FROM fx_match", "match")
 def wide_scan(spark, sf):
-    """Matches written as wide files with quoted cells, and read again."""
-    x = wide.read_wide(spark, _wide_files(spark, sf, F.lit(""))).where("fits")
-    c = lambda k: F.col("cells")[k]
-    return x.select(c("Id").cast("long").alias("match_id"), c("Div").alias("league"), c("HomeTeam").alias("home"), c("AwayTeam").alias("away"), c("FTHG").cast("int").alias("home_goals"), wide.parse_date(c("Date")).cast("string").alias("day"))
-
-
-@query("s3_ragged_rows", "SELECT match_id, 7 + CASE match_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS width, match_id % 4 <> 2 AS fits FROM fx_match", "match")
+    """Matches written as wide files of both layouts and read again; a main file's season is that of its path."""
+    path, out = _wide_files(spark, sf, F.lit("")), None
+    for layout, names in wide.LAYOUTS.items():
+        x = wide.read_wide(spark, f"{path}/layout={layout}").where("fits")
+        c = lambda k, names=names: F.col("cells")[names.get(k) or k]
+        season = c("season") if names["season"] else wide.season_of_path(F.col("file"))
+        x = x.select(c("Id").cast("long").alias("match_id"), (c("division") if names["division"] else c("League")).alias("league"), season.alias("season"), c("home").alias("home"), c("away").alias("away"), c("home_goals").cast("int").alias("home_goals"), wide.parse_date(c("Date")).cast("string").alias("day"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("s3_ragged_rows", "SELECT match_id, 7 + (league IN ('L3', 'L4'))::int + CASE match_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS width, match_id % 4 <> 2 AS fits FROM fx_match", "match")
 def ragged_rows(spark, sf):
     """Lines longer than their header fit if what is left over is blank."""
     k = F.col("match_id") % 4
@@ -149,16 +161,52 @@ def feed_items(spark, sf):
     i = F.col("doc_id")
     at = F.date_format(F.timestamp_seconds(F.lit(1767225600) + i * 60 + 10800), "dd MMM yyyy HH:mm:ss")
     item = F.concat(F.lit("<item><title>"), i.cast("string"), F.lit("</title><link>https://n/"), i.cast("string"), F.lit("</link>"), F.when(i % 5 != 0, F.concat(F.lit("<pubDate>Mon, "), at, F.lit(" +0300</pubDate>"))).otherwise(""), F.lit("</item>"))
-    path, part = _folder(spark), F.col("doc_id") % 8
+    path, part = _folder(spark), F.floor(F.col("doc_id") / 500)
     d = table(spark, sf, "documents").select(part.alias("part"), F.lit(1).alias("place"), item.alias("value"))
     ends = d.select("part").distinct().select("part", F.inline(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((0, "<rss><channel>"), (2, "</channel></rss>"))])))
     d.unionByName(ends).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
     return D.read_feed(spark, path).select("link", F.unix_timestamp("claimed").alias("claimed"), "is_source_provided")
 
 
-@query("s12_changed_files", "SELECT doc_id::varchar AS path, sha256(text) AS sha FROM documents WHERE doc_id % 2 = 1 OR doc_id % 10 = 0")
+@query("s9_sitemap_faults", """SELECT doc_id // 100 AS file, CASE WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) END AS urls, CASE WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) FILTER (doc_id % 301 = 300) END AS undated,
+ CASE WHEN doc_id // 100 % 7 = 6 THEN 'index' WHEN count(*) FILTER (doc_id % 301 = 300) > 0 THEN 'undated' ELSE 'ok' END AS verdict FROM documents GROUP BY doc_id // 100""")
+def sitemap_faults(spark, sf):
+    """Documents written as sitemaps of a hundred ids, every seventh an index, some rows without a date."""
+    i = F.col("doc_id")
+    part = F.floor(i / 100)
+    url = F.concat(F.lit("<url><loc>https://n/"), i.cast("string"), F.lit("</loc>"), F.when(i % 301 != 300, "<lastmod>2026-01-01T00:00:00Z</lastmod>").otherwise(""), F.lit("</url>"))
+    site = F.concat(F.lit("<sitemap><loc>https://n/"), i.cast("string"), F.lit("</loc></sitemap>"))
+    d = table(spark, sf, "documents").select(part.alias("part"), F.lit(1).alias("place"), F.when(part % 7 == 6, site).otherwise(url).alias("value"))
+    tag = F.when(F.col("part") % 7 == 6, "sitemapindex").otherwise("urlset")
+    ends = d.select("part").distinct().select("part", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("<"), tag, F.lit(">")).alias("value")), F.struct(F.lit(2).alias("place"), F.concat(F.lit("</"), tag, F.lit(">")).alias("value")))))
+    path = _folder(spark)
+    d.unionByName(ends).repartition("part").sortWithinPartitions("part", "place").select("part", "value").write.partitionBy("part").text(path)
+    return D.scan_sitemaps(spark, path).select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("file"), "urls", "undated", "verdict")
+
+
+def _document_files(spark, sf, change) -> str:
+    """Documents as text files, one a source and 250 ids; ``change``: text to add to each."""
+    d = table(spark, sf, "documents").withColumn("part", F.floor(F.col("doc_id") / 250))
+    d = d.select(F.coalesce("source", F.lit("none")).alias("source"), "part", "doc_id", F.concat(F.coalesce("text", F.lit("")), change).alias("value"))
+    path = _folder(spark)
+    d.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(path)
+    return path
+
+
+_FILE = "SELECT coalesce(source, 'none') AS source, doc_id // 250 AS part, string_agg(coalesce(text, '') || {change} || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2"
+
+
+@query("s12_changed_files", f"""WITH a AS ({_FILE.format(change="''")}), b AS ({_FILE.format(change="CASE WHEN doc_id // 250 % 3 = 0 THEN '!' ELSE '' END")})
+SELECT b.source, b.part, sha256(b.content) AS sha, strlen(b.content) AS bytes, CASE WHEN a.content = b.content THEN 1 ELSE 2 END AS round, 2 AS attempts, 0 AS failed FROM a JOIN b USING (source, part) UNION ALL SELECT 'gone', 0, NULL, NULL, NULL, 1, 1""")
 def changed_files(spark, sf):
-    """Files whose current version is missing (odd ids) or another one (every tenth)."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
-    old = d.where("doc_id % 2 = 0").select("path", F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit("old").cast("binary"))).otherwise(F.col("content")), 256).alias("sha"))
-    return sinks.changed_files(d, old).select("path", "sha")
+    """Two rounds of files, read as they lie: a third changes in the second, which also asks for a file that isn't there.
+    The current version of each path, and how often it was asked for, and in vain."""
+    store = files.FileStore(spark, _folder(spark))
+    name = lambda path: F.concat_ws("|", F.regexp_extract(path, "source=([^/]+)", 1), F.regexp_extract(path, "part=([0-9]+)", 1))
+    for k, change in ((1, F.lit("")), (2, F.when(F.col("part") % 3 == 0, "!").otherwise(""))):
+        x = files.read_files(spark, _document_files(spark, sf, change))
+        x = x.where(~F.col("path").contains("_SUCCESS")).withColumn("path", name("path"))
+        store.save(x, k, spark.createDataFrame([("gone|0",)], "path string") if k == 2 else None)
+    asked = store.attempts().groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("attempts"), F.count_if(F.col("sha").isNull()).cast("int").alias("failed"))
+    part = lambda i: F.split("path", "[|]")[i]
+    return asked.join(store.current(), "path", "left").select(part(0).alias("source"), part(1).cast("long").alias("part"), "sha", "bytes", "round", "attempts", "failed")

@@ -47,3 +47,16 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     if not bad["n"] or bad["undated"]:
         raise ValueError(f"{bad['n']} rows, {bad['undated']} without a date")
     return x.select("loc", F.try_to_timestamp("lastmod").alias("lastmod"))
+
+
+def scan_sitemaps(spark: SparkSession, path: str) -> DataFrame:
+    """(file, urls, undated, verdict) of every file below a folder: ``index`` for an index of sitemaps, ``empty`` without
+    rows, ``undated`` if a row has no date, else ``ok``; so a faulty file is a row and doesn't stop the others."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", True).schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
+    rows = read("url", "loc string, lastmod string").groupBy("file").agg(F.count(F.lit(1)).alias("urls"), F.count_if(F.col("lastmod").isNull()).alias("undated"))
+    index = read("sitemap", "loc string").select("file").distinct().withColumn("index", F.lit(True))
+    # Only names are read here, no contents.
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"))
+    x = every.join(rows, "file", "left").join(index, "file", "left").withColumns({"urls": F.coalesce("urls", F.lit(0).cast("long")), "undated": F.coalesce("undated", F.lit(0).cast("long"))})
+    verdict = F.when(F.col("index"), "index").when(F.col("urls") == 0, "empty").when(F.col("undated") > 0, "undated").otherwise("ok")
+    return x.select("file", "urls", "undated", verdict.alias("verdict"))

@@ -15,14 +15,14 @@ LAYOUTS = {
 OUTCOMES = ("H", "D", "A")
 
 
-#: A comma outside quotes.
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: A cell: in quotes (doubled ones within are part of it) or up to the next comma.
+_CELL = r'(?:^|,)(\s*"(?:[^"]|"")*"[^,]*|[^,]*)'
 
 
 def _cells(line: Column) -> Column:
     plain = F.transform(F.split(line, ",", -1), lambda v: F.trim(v))
     bare = lambda v: F.replace(F.regexp_replace(v, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    quoted = F.transform(F.split(line, _COMMA, -1), lambda v: F.trim(bare(F.trim(v))))
+    quoted = F.transform(F.regexp_extract_all(line, F.lit(_CELL), 1), lambda v: F.trim(bare(F.trim(v))))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
@@ -43,6 +43,11 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
     return x.select("file", "line", F.size("c").alias("width"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["key"], p["value"]))).alias("cells"), fits.alias("fits"))
 
 
+def season_of_path(file: Column) -> Column:
+    """The season that a file's folder names."""
+    return F.regexp_extract(file, r"/(?:[a-z]+=)?(\d{4})/", 1)
+
+
 def parse_date(text: Column) -> Column:
     """dd/mm/yyyy or dd/mm/yy, years from 69 in the last century; null for others and for days that don't exist."""
     y = F.regexp_extract(text, r"^\d{2}/\d{2}/(\d{4}|\d{2})$", 1)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 
 DELAY = "10 minutes"
 
@@ -18,7 +16,7 @@ def run(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataF
     """Everything the stream gives now, written as Parquet below ``at`` and read again; the checkpoint lies beside it. A
     run with the same folder resumes where the last one ended; without one each run is a new one in the shared folder."""
     spark = stream.sparkSession
-    at = at or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = at or scratch(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
