@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import matches, odds
@@ -425,11 +425,12 @@ _LIVE = "SELECT league, CASE WHEN m.home = 11 OR m.away = 11 THEN 'unmapped' WHE
 
 
 def stale(m: DataFrame, days: int = 10) -> DataFrame:
-    """``m`` with ``stale``: a fixture of the group in the ten days before lacks its result. The range is a window."""
-    from pyspark.sql import Window
-
+    """``m`` with ``stale``: a fixture of the group in the ten days before lacks its result. Days, not fixtures, enter the
+    window of the range."""
     w = Window.partitionBy("grp").orderBy(F.datediff("match_date", F.lit("1970-01-01"))).rangeBetween(-days, -1)
-    return m.withColumn("stale", F.coalesce(F.max((F.col("match_id") % 50 == 0).cast("int")).over(w), F.lit(0)) == 1)
+    holes = m.groupBy("grp", "match_date").agg(F.max((F.col("match_id") % 50 == 0).cast("int")).alias("hole"))
+    holes = holes.select("grp", "match_date", (F.coalesce(F.max("hole").over(w), F.lit(0)) == 1).alias("stale"))
+    return m.join(holes, ["grp", "match_date"])
 
 
 def live_status(spark, sf) -> DataFrame:

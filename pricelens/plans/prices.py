@@ -99,9 +99,13 @@ def _consensus(spark, sf):
     return x.groupBy("match_id", "league", "phase").agg(F.count(F.lit(1)).alias("books"), *[F.avg(c).alias(c) for c in "hda"])
 
 
-@query("d9_round_views", f"WITH {_CONS} SELECT match_id, round(arg_min(h, phase), 6) AS open_h, round(arg_max(h, phase), 6) AS last_h, count(*) AS rounds, count(*) >= 2 AND max(books) >= 3 AS indexable FROM cons GROUP BY 1", "odds")
+@query("d9_round_views", f"""WITH {_CONS} SELECT match_id, round(arg_min(h, phase), 6) AS open_h, round(arg_max(h, phase), 6) AS last_h, CASE WHEN match_id % 9 <> 0 THEN round(arg_max(h, phase) FILTER (phase = 1), 6) END AS close_h, match_id % 9 <> 0 AS sealed,
+ arg_max(books, phase) AS last_books, count(*) AS rounds, count(*) >= 2 AND max(books) >= 3 AS indexable FROM cons GROUP BY 1""", "odds")
 def round_views(spark, sf):
-    return _consensus(spark, sf).groupBy("match_id").agg(_r(F.min_by("h", "phase")).alias("open_h"), _r(F.max_by("h", "phase")).alias("last_h"), F.count(F.lit(1)).alias("rounds"), ((F.count(F.lit(1)) >= 2) & (F.max("books") >= 3)).alias("indexable"))
+    """Opening, latest and, of sealed matches, closing round: the latest view of a match that isn't sealed is still open."""
+    sealed = F.col("match_id") % 9 != 0
+    x = _consensus(spark, sf).groupBy("match_id").agg(_r(F.min_by("h", "phase")).alias("open_h"), _r(F.max_by("h", "phase")).alias("last_h"), _r(F.max(F.when(F.col("phase") == 1, F.col("h")))).alias("c"), F.max_by("books", "phase").alias("last_books"), F.count(F.lit(1)).alias("rounds"), ((F.count(F.lit(1)) >= 2) & (F.max("books") >= 3)).alias("indexable"))
+    return x.select("match_id", "open_h", "last_h", F.when(sealed, F.col("c")).alias("close_h"), sealed.alias("sealed"), "last_books", "rounds", "indexable")
 
 
 _FAIR = "fair AS (SELECT match_id, phase, books, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a) AS pa FROM cons WHERE 1/h+1/d+1/a >= 1 - 1e-12)"

@@ -30,6 +30,28 @@ def freshness(spark, sf, now=1706659200, limit=3600):
     return x.select("event_type", F.when(F.col("last") > now + 60, "future").when(F.col("last") < now - limit, "stale").otherwise("fresh").alias("state"))
 
 
+# What each source may be late by, in seconds; times of their own count alone.
+LIMITS = {"click": 3600, "view": 600, "error": 86400}
+
+
+@query("q2_freshness_by_source", f"""SELECT event_type, n, provided, CASE WHEN provided = 0 THEN 'no_time' WHEN last > 1706659200 + 60 THEN 'future' WHEN most IS NULL THEN 'no_limit' WHEN last < 1706659200 - most THEN 'stale' ELSE 'fresh' END AS state FROM (
+ SELECT event_type, count(*) AS n, count(*) FILTER (own) AS provided, max(epoch(ts)) FILTER (own) AS last FROM (SELECT *, user_id % 3 <> 0 AND event_type <> 'purchase' AS own FROM events) e GROUP BY 1) x LEFT JOIN (VALUES {', '.join(f"('{k}', {v})" for k, v in LIMITS.items())}) l(event_type, most) USING (event_type)""")
+def freshness_by_source(spark, sf, now=1706659200):
+    own = (F.col("user_id") % 3 != 0) & (F.col("event_type") != "purchase")
+    limits = spark.createDataFrame(list(LIMITS.items()), "source string, most long")
+    x = fresh(table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("at"), own.alias("provided")), limits, now)
+    return x.withColumnRenamed("source", "event_type")
+
+
+def fresh(rows: DataFrame, limits: DataFrame, now: int) -> DataFrame:
+    """(source, n, provided, state) of rows (source, at, provided): a source is judged by its newest time that it provided
+    itself; a time more than a minute ahead is a fault, and so are a source without a time and one without a limit."""
+    second = F.unix_micros("at") / 1e6
+    x = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("provided").alias("provided"), F.max(F.when(F.col("provided"), second)).alias("last")).join(F.broadcast(limits), "source", "left")  # a row a source
+    state = F.when(F.col("provided") == 0, "no_time").when(F.col("last") > now + 60, "future").when(F.col("most").isNull(), "no_limit").when(F.col("last") < now - F.col("most"), "stale").otherwise("fresh")
+    return x.select("source", "n", "provided", state.alias("state"))
+
+
 @query("q3_reject_shares", "SELECT season, count(*) AS cells, count(*) FILTER (d IS NULL) AS bad, CASE WHEN avg((d IS NULL)::int) > 0.01 THEN 'too_many_rejects' WHEN avg((phase = 1 AND d IS NOT NULL)::int) < 0.5 * avg((phase = 1)::int) THEN 'closing_missing' ELSE 'ok' END AS verdict FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1", "odds")
 def reject_shares(spark, sf):
     hole, closing = F.col("d").isNull().cast("int"), (F.col("phase") == 1).cast("int")
@@ -84,14 +106,30 @@ def row_reconciliation(spark, sf):
 
 @query("q10_single_opening", "SELECT phase, count(*) AS openings, CASE WHEN count(*) = 1 AND max((event_type = 'error')::int) = 1 THEN 'rerun' ELSE 'refused' END AS verdict FROM (SELECT concat_ws('|', user_id::varchar, ts::date::varchar) AS phase, event_type FROM events) t GROUP BY 1")
 def single_opening(spark, sf):
-    """A phase is a user's day."""
-    return openings(table(spark, sf, "events"), F.concat_ws("|", "user_id", F.to_date(F.col("ts").cast("timestamp"))))
+    """A phase is a user's day; any revision will do, a failure is the reason, nothing is reported."""
+    x = access_log(spark, sf).withColumns({"revision": F.lit("r1"), "reported": F.lit(False)})
+    return rerun_rule(x, "r1").select("phase", "openings", F.when(F.col("against").isNull(), "rerun").otherwise("refused").alias("verdict"))
+
+
+def access_log(spark, sf):
+    """Events as openings: a phase is a user's day, the revision goes by value, errors name a reason, views are reports."""
+    e = table(spark, sf, "events")
+    phase = F.concat_ws("|", "user_id", F.to_date(F.col("ts").cast("timestamp")))
+    return e.select(phase.alias("phase"), F.when(F.col("value") < 20, "r1").otherwise("r2").alias("revision"), F.when(F.col("event_type") == "error", "crash").alias("reason"), (F.col("event_type") == "view").alias("reported"))
+
+
+def rerun_rule(log, revision):
+    """(phase, openings, against) of an access log (phase, revision, reason, reported): a phase may be run again only after
+    exactly one opening, without a report, at the same revision and for a named reason; ``against`` is the first of
+    these that fails, null if none does."""
+    x = log.groupBy("phase").agg(F.count(F.lit(1)).alias("openings"), F.bool_or("reported").alias("reported"), F.max("revision").alias("of"), F.max("reason").alias("reason"))
+    against = F.when(F.col("openings") > 1, "openings").when(F.col("reported"), "report").when(F.col("of") != revision, "revision").when(F.col("reason").isNull(), "reason")
+    return x.select("phase", "openings", against.alias("against"))
 
 
-def openings(events, phase):
-    """One opening a phase; a rerun only after exactly one that failed."""
-    x = events.groupBy(phase.alias("phase")).agg(F.count(F.lit(1)).alias("openings"), F.max((F.col("event_type") == "error").cast("int")).alias("failed"))
-    return x.select("phase", "openings", F.when((F.col("openings") == 1) & (F.col("failed") == 1), "rerun").otherwise("refused").alias("verdict"))
+@query("q10_rerun_rule", "SELECT phase, count(*) AS openings, CASE WHEN count(*) > 1 THEN 'openings' WHEN bool_or(event_type = 'view') THEN 'report' WHEN max(value) >= 20 THEN 'revision' WHEN NOT bool_or(event_type = 'error') THEN 'reason' END AS against FROM (SELECT user_id || '|' || ts::date AS phase, event_type, value FROM events) t GROUP BY 1")
+def rerun(spark, sf):
+    return rerun_rule(access_log(spark, sf), "r1")
 
 
 def guarded(df: DataFrame, period_col: str, wanted: list[str], log: DataFrame | None = None, token: str | None = None) -> DataFrame:

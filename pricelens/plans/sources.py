@@ -80,19 +80,22 @@ def parse_scores(spark, sf):
     return D.parse_scores(matches(spark, sf).select(F.to_json(F.struct(i.cast("string").alias("id"), (i % 4 != 0).alias("completed"), name("home").alias("home_team"), name("away").alias("away_team"), scores.alias("scores"))).alias("payload")))
 
 
-@query("s13_fixture_upsert", "SELECT match_id AS id, CASE WHEN match_id % 3 = 0 THEN home ELSE away END AS team, CASE WHEN match_id % 2 = 0 THEN season + 1 ELSE season END AS begins FROM fx_match WHERE match_id % 2 = 0 OR match_id % 3 = 0", "match")
+@query("s13_fixture_upsert", "SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.team ELSE o.team END AS team, coalesce(n.begins, o.begins) AS begins FROM (SELECT match_id AS id, home AS team, season AS begins FROM fx_match) o FULL JOIN (SELECT match_id * 2 AS id, away AS team, season + 1 AS begins FROM fx_match) n ON o.id = n.id", "match")
 def fixture_upsert(spark, sf):
+    """The table has every match, the batch every match under twice its number, each twice with another time."""
     m = matches(spark, sf)
-    old = m.where("match_id % 3 = 0").select(F.col("match_id").alias("id"), F.col("home").alias("team"), F.col("season").alias("begins"))
-    new = m.where("match_id % 2 = 0").select(F.col("match_id").alias("id"), F.col("away").alias("team"), F.col("season").alias("begins"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn("begins", F.col("begins") + F.col("seq"))
+    old = m.select(F.col("match_id").alias("id"), F.col("home").alias("team"), F.col("season").alias("begins"))
+    new = m.select((F.col("match_id") * 2).alias("id"), F.col("away").alias("team"), F.col("season").alias("begins"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).withColumn("begins", F.col("begins") + F.col("seq"))
     return sinks.upsert_time(old, new, "id", "begins")
 
 
-@query("s14_ledger_append", "SELECT DISTINCT o_custkey AS match_id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1)")
+@query("s14_ledger_append", "SELECT DISTINCT o_custkey AS match_id FROM orders WHERE o_custkey NOT IN (SELECT l_suppkey * 7 FROM lineitem)")
 def ledger_append(spark, sf):
-    """The keys that an append writes."""
-    o = table(spark, sf, "orders").withColumn("h", F.sha2(F.col("o_custkey").cast("string"), 256))
-    return sinks.new_rows(o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"), ["h"]).select(F.col("o_custkey").alias("match_id"))
+    """The keys of orders that an append to a table of the keys of lines writes."""
+    h = F.sha2(F.col("match_id").cast("string"), 256)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("match_id")).withColumn("h", h)
+    have = table(spark, sf, "lineitem").select((F.col("l_suppkey") * 7).alias("match_id")).withColumn("h", h)
+    return sinks.new_rows(o, have, ["h"]).select("match_id")
 
 
 @query("s15_result_append", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

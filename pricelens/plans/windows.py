@@ -29,8 +29,14 @@ def dense_rank_pseudonym(spark, sf):
 
 @query("w5_replay_order", "SELECT match_id, row_number() OVER (PARTITION BY grp ORDER BY match_date, match_id % 24, league, home, match_id) AS place FROM fx_match", "match")
 def replay_order(spark, sf):
-    w = Window.partitionBy("grp").orderBy("match_date", F.col("match_id") % 24, "league", "home", "match_id")
-    return matches(spark, sf).select("match_id", F.row_number().over(w).cast("long").alias("place"))
+    """Places by day and within it: a group's days, and then each day's matches, enter a window."""
+    m = matches(spark, sf)
+    days = m.groupBy("grp", "match_date").agg(F.count(F.lit(1)).alias("n"))
+    past = Window.partitionBy("grp").orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("grp", "match_date", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    w = Window.partitionBy("grp", "match_date").orderBy(F.col("match_id") % 24, "league", "home", "match_id")
+    x = m.withColumn("own", F.row_number().over(w)).join(days, ["grp", "match_date"])
+    return x.select("match_id", (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
 @query("w6_usual_gap", "SELECT grp, count(*) AS gaps, round(quantile_cont(gap, 0.9), 6) AS p90 FROM (SELECT grp, (match_date - lag(match_date) OVER (PARTITION BY grp ORDER BY match_date))::int AS gap FROM (SELECT DISTINCT grp, match_date FROM fx_match) d) t WHERE gap <= 10 GROUP BY 1 HAVING count(*) >= 10", "match")
