@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,11 @@ def run(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataF
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """The Parquet files at ``path`` as a stream with ``at``, the event time."""
+def source(spark: SparkSession, path: str, files_per_batch: int | None = None, bytes_per_batch: int = 4 << 30) -> DataFrame:
+    """The Parquet files at ``path`` as a stream with ``at``, the event time; a batch takes files up to a bounded size."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
-    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader.option("maxBytesPerTrigger", bytes_per_batch)
     # A pattern, as a stream takes no single file by its name.
     return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
@@ -45,37 +46,55 @@ def _rows(frames) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
 
 
-def change_log(stream: DataFrame) -> DataFrame:
-    """Rows that differ from the last value of their key; the value is the state."""
+def _seconds(x: pd.DataFrame) -> np.ndarray:
+    return x["at"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+
+
+def _per_user(stream: DataFrame, fold, out: str, state_kinds: str, start: tuple) -> DataFrame:
+    """Rows of each user's micro-batch in the order of time and id through ``fold(key, rows, state) -> (result, state)``,
+    which works on whole columns; only its few numbers are kept between batches."""
 
     def step(key, frames, state: GroupState):
-        last, out = (state.get[0] if state.exists else None), []
-        for r in _rows(frames).itertuples():
-            if r.event_type != last:
-                out.append((r.event_id, key[0], r.event_type))
-                last = r.event_type
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "event_type"])
+        result, new = fold(key[0], _rows(frames), state.get if state.exists else start)
+        state.update(new)
+        yield result
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, event_type string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, out, state_kinds, "append", GroupStateTimeout.NoTimeout)
 
 
-def breaker(stream: DataFrame, failures: int = 3, cooldown: int = 3600) -> DataFrame:
-    """Rows at which a key's circuit opens: after so many failures in a row, unless it is open still; a success resets."""
+def changes(user, x: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+    kinds = x["event_type"].to_numpy(object)
+    differs = kinds != np.concatenate(([state[0]], kinds[:-1]))
+    out = pd.DataFrame({"event_id": x["event_id"].to_numpy()[differs], "user_id": user, "event_type": kinds[differs]})
+    return out, (kinds[-1],)
 
-    def step(key, frames, state: GroupState):
-        run_of, until = state.get if state.exists else (0, 0.0)
-        out = []
-        for r in _rows(frames).itertuples():
-            now = r.at.timestamp()
-            run_of = run_of + 1 if r.event_type == "error" else 0
-            if run_of >= failures and now >= until:
-                until = now + cooldown
-                out.append((r.event_id, key[0], run_of))
-        state.update((run_of, until))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "failures"])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, failures int", "run_of int, until double", "append", GroupStateTimeout.NoTimeout)
+def change_log(stream: DataFrame) -> DataFrame:
+    """Rows that differ from the last value of their key; the value is the state."""
+    return _per_user(stream, changes, "event_id long, user_id long, event_type string", "last string", (None,))
+
+
+def openings(user, x: pd.DataFrame, state: tuple, failures: int, cooldown: int) -> tuple[pd.DataFrame, tuple]:
+    before, until = state
+    failed, now, place = (x["event_type"] == "error").to_numpy(), _seconds(x), np.arange(1, len(x) + 1)
+    # Failures in a row up to each row: its place less that of the last success, or with those of earlier batches.
+    good = np.maximum.accumulate(np.where(failed, 0, place))
+    run = np.where(failed, np.where(good > 0, place - good, place + before), 0)
+    able = np.flatnonzero(run >= failures)
+    opened = []
+    k = int(np.searchsorted(now[able], until, "left"))
+    while k < len(able):  # from opening to opening, not row by row
+        opened.append(able[k])
+        until = float(now[able[k]] + cooldown)
+        k += 1 + int(np.searchsorted(now[able[k + 1:]], until, "left"))
+    out = pd.DataFrame({"event_id": x["event_id"].to_numpy()[opened], "user_id": user, "failures": run[opened]}) if opened else pd.DataFrame(columns=["event_id", "user_id", "failures"])
+    return out, (int(run[-1]), until)
+
+
+def breaker(stream: DataFrame, failures: int = 3, cooldown: int = 3600) -> DataFrame:
+    """Rows at which a key's circuit opens: after so many failures in a row, unless it is open still; a success resets."""
+    fold = lambda user, x, state: openings(user, x, state, failures, cooldown)
+    return _per_user(stream, fold, "event_id long, user_id long, failures int", "run_of int, until double", (0, 0.0))
 
 
 def seal(quotes: DataFrame, starts: DataFrame, minutes: int = 20) -> DataFrame:
@@ -101,23 +120,31 @@ def seal(quotes: DataFrame, starts: DataFrame, minutes: int = 20) -> DataFrame:
     return x.groupBy("user_id").applyInPandasWithState(step, "user_id long, status string, closing long", "n long, start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def smoothed(rating: float, values: np.ndarray, k: float, block: int = 256) -> np.ndarray:
+    """Ratings before each value and after the last, each moving by ``k`` towards the values; in blocks, so that powers
+    neither vanish nor overflow."""
+    out = np.empty(len(values) + 1)
+    out[0] = rating
+    for at in range(0, len(values), block):
+        v = values[at: at + block]
+        fall = (1.0 - k) ** np.arange(1, len(v) + 1)
+        out[at + 1: at + 1 + len(v)] = fall * (out[at] + k * np.cumsum(v / fall))
+    return out
+
+
+def rated(user, x: pd.DataFrame, state: tuple, k: float) -> tuple[pd.DataFrame, tuple]:
+    rating, seen = state
+    now = _seconds(x)
+    late = now < np.maximum.accumulate(np.concatenate(([seen], now[:-1])))
+    path = smoothed(rating, x["value"].to_numpy(float)[~late], k)
+    out = pd.DataFrame({"event_id": x["event_id"].to_numpy(), "user_id": user, "rating": path[np.cumsum(~late) - ~late], "late": late})
+    return out, (float(path[-1]), float(max(seen, now[~late].max(initial=seen))))
+
+
 def ratings(stream: DataFrame, k: float = 0.1) -> DataFrame:
     """Online ratings by key: each row moves its key's rating towards the value; a row older than the last one seen is
     late, isn't learnt from, and is marked for a side output."""
-
-    def step(key, frames, state: GroupState):
-        rating, seen = state.get if state.exists else (0.0, 0.0)
-        out = []
-        for r in _rows(frames).itertuples():
-            now = r.at.timestamp()
-            late = now < seen
-            out.append((r.event_id, key[0], rating, late))
-            if not late:
-                rating, seen = rating + k * (r.value - rating), now
-        state.update((rating, seen))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "rating", "late"])
-
-    return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, rating double, late boolean", "rating double, seen double", "append", GroupStateTimeout.NoTimeout)
+    return _per_user(stream, lambda user, x, state: rated(user, x, state, k), "event_id long, user_id long, rating double, late boolean", "rating double, seen double", (0.0, 0.0))
 
 
 def quarantine(stream: DataFrame, rules: dict) -> DataFrame:
