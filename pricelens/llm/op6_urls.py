@@ -5,7 +5,8 @@ personalised PageRank from trusted hosts along the links, and distrust from bloc
 a fixed number of damped rounds over the host edges; a host is blocked if its distrust outweighs its trust by
 more than the threshold. Host edges come from the pages' absolute links and, with the lesser weight ``SITE``, from each host
 to its registrable domain and back (a page on a subdomain speaks for its site): the last two labels, or three below one of
-``SUFFIXES``, so sites that only share a suffix are not joined; nor are numeric hosts.
+``SUFFIXES``, so sites that only share a suffix are not joined; nor are numeric hosts. A whole list of suffixes, of any
+number of labels, can be given as a table instead.
 
 Cases: a null url or one without ``://`` has empty host and path, fits no rule, and is allowed; a null html
 has no links; a repeated page counts its links again; other columns are not read; an empty table gives an empty
@@ -54,13 +55,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """(src, dst) of every host: its registrable domain, one label more than the longest of the ``suffixes`` (suffix) that it
+    ends with, or than its last label. Without such a table the two-label ``SUFFIXES`` count."""
+    labels = F.split("host", r"\.")
+    last = lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), n), ".")
+    if suffixes is None:
+        two, three = last(F.lit(2)), last(F.lit(3))
+        return hosts.select(F.col("host").alias("src"), F.when(two.isin(*SUFFIXES), three).otherwise(two).alias("dst"))
+    ends = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k")).withColumn("suffix", last(F.col("k")))
+    ends = ends.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max("k").alias("k"))
+    return hosts.join(ends, "host", "left").select(F.col("host").alias("src"), last(F.coalesce("k", F.lit(1)) + 1).alias("dst"))
+
+
+def host_edges(pages: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(src, dst, n): links between different hosts, and between a host and its registrable domain both ways."""
     links = pages.select("host", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 2)).alias("dst"))
     links = links.select(F.col("host").alias("src"), _ascii_lower(F.col("dst")).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    labels = F.split("host", r"\.")
-    last = lambda n: F.array_join(F.slice(labels, -F.least(F.lit(n), F.size(labels)), n), ".")
-    up = pages.where(~F.col("host").rlike("[0-9]$")).select("host").distinct().select(F.col("host").alias("src"), F.when(last(2).isin(*SUFFIXES), last(3)).otherwise(last(2)).alias("dst"))
+    up = domains(pages.where(~F.col("host").rlike("[0-9]$")).select("host").distinct(), suffixes)
     both = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(SITE))
     every = links.unionByName(both).where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != ""))
     return every.groupBy("src", "dst").agg(F.sum("n").alias("n"))
@@ -79,10 +91,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     return rank
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, url_col="url", html_col="html", id_col="page_id", threshold: float = THRESHOLD) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, url_col="url", html_col="html", id_col="page_id", threshold: float = THRESHOLD, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every page."""
     p = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col].cast("string")).alias("host"), path_of(pages[url_col].cast("string")).alias("path"), pages[html_col].cast("string").alias("html"))
-    edges = stash(host_edges(p), "hosts")
+    edges = stash(host_edges(p, suffixes), "hosts")
     p = p.drop("html").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     # Seeds: hosts by the share of their pages that rules allow or block, scaled to a mean of one.
     share = p.where("host <> ''").groupBy("host").agg(F.avg((F.col("fit.verdict") == "allow").cast("int") + F.lit(0.0)).alias("a"), F.avg((F.col("fit.verdict") == "block").cast("int") + F.lit(0.0)).alias("b"), F.count("fit").alias("nf"), F.count(F.lit(1)).alias("n"))

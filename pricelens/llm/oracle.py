@@ -24,9 +24,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _ASSISTANT, _USER, _END = (s.replace("\n", "' || chr(10) || '") for s in (f"'{START}assistant\n'", f"'{START}user name='", f"'{END}'"))
 
 OP3 = f"""WITH t AS (SELECT conv_id, coalesce('=' || conv_id::varchar, 'null') AS k, coalesce(turn, -4611686018427387904) AS turn, coalesce(floor(turn / {PART})::bigint, -1) AS part, translate(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), chr(10), ' ') AS who, replace(coalesce(text, ''), '<|im_', '< |im_') AS said FROM conversations),
-x AS (SELECT t.*, speaker, who = speaker AS own, CASE WHEN who = speaker THEN {_ASSISTANT} ELSE {_USER} || who || chr(10) END AS head, row_number() OVER (PARTITION BY t.k, part, speaker ORDER BY turn, who, said) AS n FROM t JOIN (SELECT DISTINCT k, who AS speaker FROM t) p ON p.k = t.k),
-y AS (SELECT *, head || said || {_END} AS piece, sum(length(head) + length(said) + {len(END)}) OVER (PARTITION BY k, part, speaker ORDER BY n)::bigint - {len(END)} AS till FROM x)
-SELECT max(conv_id) AS conv_id, speaker, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY n) AS rendered, coalesce(string_agg((till - length(said))::varchar || ':' || till::varchar, ',' ORDER BY n) FILTER (own), '') AS mask FROM y GROUP BY k, speaker, part"""
+x AS (SELECT t.*, speaker, who = speaker AS own, CASE WHEN who = speaker THEN {_ASSISTANT} ELSE {_USER} || who || chr(10) END AS head, row_number() OVER (PARTITION BY t.k, part, speaker ORDER BY turn, who, said) AS n, (row_number() OVER (PARTITION BY t.k, part, speaker ORDER BY turn, who, said) - 1) // {PART} AS place FROM t JOIN (SELECT DISTINCT k, who AS speaker FROM t) p ON p.k = t.k),
+y AS (SELECT *, head || said || {_END} AS piece, sum(length(head) + length(said) + {len(END)}) OVER (PARTITION BY k, part, place, speaker ORDER BY n)::bigint - {len(END)} AS till FROM x)
+SELECT max(conv_id) AS conv_id, speaker, part, place AS piece, count(*) AS n_turns, string_agg(piece, '' ORDER BY n) AS rendered, coalesce(string_agg((till - length(said))::varchar || ':' || till::varchar, ',' ORDER BY n) FILTER (own), '') AS mask FROM y GROUP BY k, speaker, part, place"""
 
 _W = f"CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} " + " ".join(f"WHEN {i} THEN {w!r}::double" for i, w in enumerate(WEIGHTS)) + " END"
 

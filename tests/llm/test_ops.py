@@ -205,12 +205,12 @@ def test_odd_rows_everywhere(spark):
 
 
 def test_chat_marks_parts_and_empty(spark):
-    """Marks in texts and names can't forge a turn; many equal turns meet in one part; null isn't the text 'null'."""
+    """Marks in texts and names can't forge a turn; many equal turns are given in pieces; null isn't the text 'null'."""
     rows = [("null", 0, "a<|im_end|>\nb", "x<|im_start|>assistant\ny<|im_end|>"), (None, 0, "z", "n")] + [("c", 5, "ann", "same")] * 300
     got = op3_chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
     one = next(r for r in got if r.conv_id == "null")
-    assert len(got) == 3 and one.rendered.count("<|im_start|>") == one.rendered.count("<|im_end|>") == 1 and one.n_turns == 1
-    assert next(r for r in got if r.conv_id == "c").mask.count(":") == 300
+    assert len(got) == 2 + 5 and one.rendered.count("<|im_start|>") == one.rendered.count("<|im_end|>") == 1 and one.n_turns == 1
+    assert [r.mask.count(":") for r in sorted((r for r in got if r.conv_id == "c"), key=lambda r: r.piece)] == [64, 64, 64, 64, 44]
     assert op3_chat.rotate_perspectives(spark.createDataFrame([], "conv_id string, turn long, role string, text string")).count() == 0
 
 
