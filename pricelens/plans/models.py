@@ -15,7 +15,7 @@ from ..operators.intervals import intervals
 from ..operators.lineage import cut
 from ..operators.outcomes import fit_outcomes, probabilities
 from ..operators.replay import Elo, Scaffold, ordered_draw, quadratic_draw, replay
-from .metrics import _PROB, scored
+from .metrics import _PROB, TAU, bet_rule, named, scored, totals_scored
 from .registry import query
 from .timeaxis import kickoffs
 
@@ -391,6 +391,26 @@ def blended(x: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("gap", S.log_loss(F.col("blend"), F.col("y")) - S.log_loss(F.col("m0"), F.col("y")))
 
 
+@query("a23_walkforward_scores")
+def walkforward_scores(spark, sf):
+    """Scores and bets of every forecast and of the blend over the evaluation zone, the blend by weights of earlier folds."""
+    x = cut(members(spark, sf))
+    x = blended(in_zone(x, "E").withColumnRenamed("season", "fold"), fold_weights(spark, x), ["league", "fold"]).withColumnRenamed("fold", "season")
+    p, y = F.col("p"), F.col("y")
+    rows = long_rows(x, (*STRATEGIES, "blend"))
+    got = intervals(rows, {"log_loss": F.col("ll"), "brier": S.brier(p, y), "rps": S.rps(p, y), "clv": bet_rule(p, F.col("pre"), F.col("closing"), TAU)}, "match_id", ["strategy"])
+    return got.select("strategy", F.col("log_loss_n").alias("n"), "log_loss", "log_loss_low", "log_loss_high", "brier", "rps", F.col("clv_n").alias("bets"), "clv", "clv_low", "clv_high")
+
+
+@query("a24_totals_model_gap")
+def totals_model_gap(spark, sf):
+    """Over/under loss of the goal model less the market's opening one, by league and, under null, over all."""
+    market = totals_scored(spark, sf).where("book = 0 and phase = 0").select("match_id", "league", "y", "ll")
+    x = market.join(goal_forecasts(spark, sf).select("match_id", F.array(F.col("over"), 1 - F.col("over")).alias("p")), "match_id")
+    x = x.select("match_id", F.explode(F.array(F.col("league"), F.lit(None))).alias("league"), (S.log_loss(F.col("p"), F.col("y")) - F.col("ll")).alias("gap"))
+    return named(intervals(x, {"gap": F.col("gap")}, "match_id", ["league"]), ["league"], "gap")
+
+
 def placebo_clv(spark, sf) -> DataFrame:
     """Matches with the closing-line value of a pick by the hash of the match's identity at its opening price."""
     at = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("o")))

@@ -12,7 +12,7 @@ from ..functions import prices as P
 from ..functions import scores as S
 from ..operators.lineage import cut
 from ..operators.intervals import DRAWS, halves, intervals, weights
-from .metrics import _OU, _PROB, bet_rule, named, named_sql, scored, spread, tiered, totals_scored, with_draws
+from .metrics import _OU, _PROB, _RULE, bet_rule, forecast_rows, named, named_sql, scored, spread, tiered, totals_scored, with_draws
 from .prices import _FULL
 from .registry import query
 
@@ -85,6 +85,18 @@ def calibration_by_league(spark, sf):
     return calibration(one_vs_rest(closing_rows(spark, sf), "league"), ["league"])
 
 
+_BOOKS = f"{_RULE}, rest AS ({' UNION ALL '.join(f'SELECT book, {p} AS p, (y = {k})::int AS hit FROM rule' for k, p in enumerate(('ph', 'pd', 'pa')))}), {newton_sql('rest', 'book')}, bins AS (SELECT book, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM rest GROUP BY 1, 2)"
+
+
+@query("a23_score_calibration", f"WITH {_BOOKS} SELECT book, round(a, 6) AS intercept, round(b, 6) AS slope, (SELECT round(sum(n * gap) / sum(n), 6) FROM bins WHERE bins.book = fit.book) AS ece FROM fit", "odds")
+def score_calibration(spark, sf):
+    """How well each book of the score table is calibrated."""
+    rest = cut(one_vs_rest(forecast_rows(spark, sf), "book"))
+    bins = rest.groupBy("book", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("hit")).alias("gap"))
+    ece = bins.groupBy("book").agg(_r(F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+    return calibration(rest, ["book"]).select("book", "intercept", "slope").join(ece, "book")
+
+
 def slopes(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The slope of ``calibration`` for every row of weights ``w`` (draws by matches), NaN where it isn't measurable."""
     q = np.clip(p, CLIP, 1 - CLIP)
