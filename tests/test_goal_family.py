@@ -153,3 +153,17 @@ def test_the_chosen_candidate_has_the_least_loss_of_its_last_search(spark, name)
     assert sum(r.chosen for r in rows) == 1 and all(math.isfinite(r.log_loss) for r in rows)
     assert next(r.log_loss for r in rows if r.chosen) == min(r.log_loss for r in rows if name != "m13_coordinate_descent" or r.k == next(s.k for s in rows if s.chosen))
     assert plans.queries()[name]
+
+
+def test_tiers_lie_to_the_median_and_the_better_one_counts(spark, monkeypatch):
+    from pricelens.plans import reports as R
+    from pricelens.plans.metrics import tiered
+
+    rows = [("a", 0.5, 0.4, 0.6), ("b", 0.3, 0.1, 0.5), ("c", 0.1, 0.0, 0.2), ("d", 0.31, 0.305, 0.4), ("e", 0.2, 0.1, 0.29)]
+    x = spark.createDataFrame(rows, "league string, gap double, low double, high double")
+    assert {r.league: r.tier for r in tiered(x).collect()} == {"a": "A", "b": "B", "c": "C", "d": "A", "e": "C"}
+    late = spark.createDataFrame([("a", 0.05, 0.04, 0.06, 1.5), ("b", 0.01, 0.0, 0.02, 0.9), ("c", None, None, None, 1.1)], "league string, late_info double, late_info_low double, late_info_high double, slope double")
+    monkeypatch.setattr(R, "slope_interval", lambda spark, sf, before=None: spark.createDataFrame([("a", 1.05, 1.9), ("b", 0.85, 0.95), ("c", 1.05, 1.15)], "league string, low double, high double"))
+    # Distances 0.5, 0.1, 0.1 with intervals from 0.05 to 0.9, 0.05 to 0.15, 0.05 to 0.15; the median is 0.1, late tiers A and C.
+    got = {r.league: (r.late_tier, r.miss_tier, r.tier) for r in R.league_tiers(spark, SF, late).collect()}
+    assert got == {"a": ("A", "B", "A"), "b": ("C", "B", "B"), "c": (None, "B", "B")}
