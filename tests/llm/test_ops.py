@@ -1,6 +1,7 @@
 import functools
 import math
 import random
+import string
 import re
 from collections import Counter
 
@@ -310,6 +311,47 @@ def test_secret_base_spans_and_grammar(spark, corpus):
     assert op9_secrets.secret_spans(docs(spark, [])).count() == 0
 
 
+def test_grammars_find_unlabelled_credentials(spark):
+    """Recall of unlabelled credentials whose formats occur labelled, and no spans in ordinary runs of their characters."""
+    rng = random.Random(11)
+    letters, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    make = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    formats = {
+        "base64": lambda: make(letters + "+/", 40),
+        "prefixed": lambda: "ghp_" + make(letters, 36),
+        "dashed": lambda: "sk-" + make(letters, 48),
+        "hex": lambda: make(hexes, 24),
+        "three": lambda: ".".join(make(letters + "-_", n) for n in (36, 60, 43)),
+        "uuid": lambda: "-".join(make(hexes, n) for n in (8, 4, 4, 4, 12)),
+    }
+    words = "report final draft version annual results table figure appendix photo meeting notes backup project index".split()
+    some = lambda k: rng.choices(words, k=k)
+    plain = {
+        "file": lambda: "_".join(some(3)) + f"_{rng.randrange(1990, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}.csv",
+        "path": lambda: "/".join(some(4)) + f"/{rng.randrange(1000)}",
+        "name": lambda: "".join(w.title() for w in some(4)) + str(rng.randrange(10)),
+        "capitals": lambda: "_".join(w.upper() for w in some(3)) + str(rng.randrange(100)),
+        "number": lambda: make("0123456789", 16),
+        "instant": lambda: f"{rng.randrange(1990, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}-{rng.randrange(10, 24)}-{rng.randrange(10, 60)}",
+    }
+    rows, kinds = [], {}
+    for k in range(300):
+        for kind, new in formats.items():
+            rows.append((len(rows), f"the token = {new()} of it"))
+    for k in range(200):
+        for kind, new in {**formats, **plain}.items():
+            run = new()
+            if len(run) >= 16 and any(c.isdigit() for c in run):
+                kinds[len(rows)] = (kind, len(run))
+                rows.append((len(rows), f"see {run} there"))
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in op9_secrets.secret_spans(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    for kind in formats:
+        mine = [got[i] == [(4, 4 + n)] for i, (k, n) in kinds.items() if k == kind]
+        assert len(mine) > 150 and sum(mine) >= 0.9 * len(mine), (kind, sum(mine), len(mine))
+    wrong = [i for i, (k, _) in kinds.items() if k in plain and got[i]]
+    assert len(wrong) <= 0.01 * sum(k in plain for k, _ in kinds.values()), [rows[i] for i in wrong[:5]]
+
+
 def test_automaton_learns_format():
     rng = random.Random(4)
     g = op9_secrets.infer(["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)])
