@@ -62,13 +62,15 @@ def weights(first: np.ndarray, second: np.ndarray, draws) -> np.ndarray:
 def weights_sql(table: str, key: str, name: str = "wts", draws: int = DRAWS, seed: int = SEED) -> str:
     """The same weights as tables of a WITH clause, the last of them (key, draw, w)."""
     out = [f"{name}0 AS (SELECT {key}, h2, (h1 + draw * {STRIDE}) % 4294967296 AS x FROM (SELECT DISTINCT {key}, "
-           f"('0x' || substr(md5('{seed}|' || {key}::varchar), 1, 8))::ubigint AS h1, ('0x' || substr(md5('{seed}|' || {key}::varchar), 9, 8))::ubigint AS h2 FROM {table}) t, (SELECT unnest(range({draws}))::ubigint AS draw) d)"]
+           f"""('0x' || substr(md5('{seed}|' || {key}::varchar), 1, 8))::ubigint AS h1, ('0x' || substr(md5('{seed}|' || {key}::varchar), 9,
+    8))::ubigint AS h2 FROM {table}) t, (SELECT unnest(range({draws}))::ubigint AS draw) d)"""]
     out[0] = out[0].replace(f"SELECT {key}, h2,", f"SELECT {key}, draw::int AS draw, h2,", 1)
     k = 0
     for again in (False, True):
         start = "xor(x, h2)" if again else "x"
         for shift, by in ((16, MIX[0]), (13, MIX[1]), (16, 1)):
-            out.append(f"{name}{k + 1} AS (SELECT {key}, draw, h2, xor(x, x >> {shift}) * {by}::ubigint % 4294967296 AS x FROM (SELECT {key}, draw, h2, {start} AS x FROM {name}{k}) t)")
+            out.append(f"""{name}{k + 1} AS (SELECT {key}, draw, h2, xor(x, x >> {shift}) * {by}::ubigint % 4294967296 AS x
+    FROM (SELECT {key}, draw, h2, {start} AS x FROM {name}{k}) t)""")
             k, start = k + 1, "x"
     out.append(f"{name} AS (SELECT {key}, draw, ({' + '.join(f'(x >= {c})::int' for c in CUTS)}) AS w FROM {name}{k})")
     return ",\n".join(out)

@@ -21,13 +21,17 @@ def asof(left, right, keys, left_time, right_time, values, strict=False):
     return both.unionByName(other).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_l is not null").select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
-@query("j1_inner_join", f"WITH {_QUOTE} SELECT league, count(*) AS n, round(avg(price), 6) AS mean_price FROM quotes JOIN fx_match USING (match_id) WHERE round_no = 1 GROUP BY 1", "odds")
+@query("j1_inner_join", f"""WITH {_QUOTE} SELECT league, count(*) AS n, round(avg(price), 6) AS mean_price FROM quotes
+    JOIN fx_match USING (match_id) WHERE round_no = 1 GROUP BY 1""", "odds")
 def inner_join(spark, sf):
     q = quotes(spark, sf).where("round_no = 1").select("match_id", "price")
     return q.join(matches(spark, sf).select("match_id", "league"), "match_id").groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 6).alias("mean_price"))
 
 
-@query("j4_asof_backward", "SELECT e.event_id, max(o.o_orderkey)::varchar AS last_key FROM (SELECT event_id, user_id, cast(ts AS date) - interval 9500 days + to_days((event_id % 9500)::int) AS t FROM events) e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.t AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = e.user_id AND x.o_orderdate <= e.t AND x.o_orderdate > o.o_orderdate) GROUP BY 1")
+@query("j4_asof_backward", """SELECT e.event_id, max(o.o_orderkey)::varchar AS last_key
+    FROM (SELECT event_id, user_id, cast(ts AS date) - interval 9500 days + to_days((event_id % 9500)::int) AS t FROM events) e
+    LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.t AND NOT EXISTS (SELECT 1 FROM orders x
+    WHERE x.o_custkey = e.user_id AND x.o_orderdate <= e.t AND x.o_orderdate > o.o_orderdate) GROUP BY 1""")
 def asof_backward(spark, sf):
     """Each event's user's last order at or before a shifted event day."""
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("k"), (F.date_add(F.date_sub(F.col("ts").cast("date"), 9500), (F.col("event_id") % 9500).cast("int"))).cast("timestamp").alias("t"))
@@ -35,7 +39,8 @@ def asof_backward(spark, sf):
     return asof(e, o, ["k"], "t", "d", ["last_key"]).select("event_id", "last_key")
 
 
-@query("j5_results_before_decision", "SELECT a.match_id, count(b.match_id) AS seen FROM fx_match a LEFT JOIN fx_match b ON a.grp = b.grp AND (a.home = b.home OR a.home = b.away) AND b.match_date < a.match_date GROUP BY 1", "match")
+@query("j5_results_before_decision", """SELECT a.match_id, count(b.match_id) AS seen FROM fx_match a LEFT JOIN fx_match b ON a.grp = b.grp
+    AND (a.home = b.home OR a.home = b.away) AND b.match_date < a.match_date GROUP BY 1""", "match")
 def results_before_decision(spark, sf):
     """How many results of its home team a decision may see: a running count over days, strictly before."""
     m = matches(spark, sf)
@@ -45,7 +50,10 @@ def results_before_decision(spark, sf):
     return m.select("match_id", "grp", F.col("home").alias("team"), "match_date").join(days, ["grp", "team", "match_date"]).select("match_id", "seen")
 
 
-@query("j6_nearest_within", "SELECT match_id, event_id FROM (SELECT m.match_id, e.event_id, row_number() OVER (PARTITION BY m.match_id ORDER BY abs(e.s - m.s), e.event_id) AS k FROM (SELECT match_id, grp, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match) m JOIN (SELECT event_id, user_id, floor(epoch(ts))::bigint AS s FROM events) e ON e.user_id % 25 = m.grp AND abs(e.s - m.s) <= 1800) t WHERE k = 1", "match")
+@query("j6_nearest_within", """SELECT match_id, event_id FROM (SELECT m.match_id, e.event_id, row_number() OVER (PARTITION BY m.match_id
+    ORDER BY abs(e.s - m.s), e.event_id) AS k FROM (SELECT match_id, grp, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match) m
+    JOIN (SELECT event_id, user_id, floor(epoch(ts))::bigint AS s FROM events) e ON e.user_id % 25 = m.grp AND abs(e.s - m.s) <= 1800) t
+    WHERE k = 1""", "match")
 def nearest_within(spark, sf, tolerance=1800):
     """Nearest event of the group within a tolerance: time buckets make it an equi-join, each event in its own and
     both neighbouring buckets."""
@@ -66,7 +74,10 @@ def anti(spark, sf):
     return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("j13_full_outer_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'gone' WHEN a.k IS NULL THEN 'new' ELSE 'changed' END AS status FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1998-01-01' GROUP BY 1) a FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1997-01-01' OR o_orderstatus = 'P' GROUP BY 1) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n")
+@query("j13_full_outer_diff", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'gone' WHEN a.k IS NULL THEN 'new'
+    ELSE 'changed' END AS status FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1998-01-01' GROUP BY 1) a
+    FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderdate < date '1997-01-01' OR o_orderstatus = 'P'
+    GROUP BY 1) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n""")
 def full_outer_diff(spark, sf):
     """Keys gone, new or changed between two digests."""
     o = table(spark, sf, "orders")
@@ -148,15 +159,21 @@ def _grams_sql(key: str) -> str:
     return f"list_distinct(list_transform(range(1, length({key}) + 2), lambda i: substr(' ' || {key} || ' ', i, 2)))"
 
 
-@query("j14_fuzzy_candidates", f"""WITH {_CLUBS}, exact AS (SELECT feed, min(club) AS club FROM keys JOIN own USING (league, key) GROUP BY 1),
-ka AS (SELECT feed, league, {_grams_sql('key')} AS g FROM keys WHERE feed NOT IN (SELECT feed FROM exact)), kb AS (SELECT club, league, {_grams_sql('key')} AS h FROM own),
-pairs AS (SELECT feed, club, 2.0::double * len(list_intersect(g, h)) / (len(g) + len(h)) AS similarity FROM ka JOIN kb USING (league)), placed AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY similarity DESC, club) AS place FROM pairs WHERE similarity >= {ALIKE} - 1e-12)
-SELECT feed, club, 'exact' AS kind, 1.0::double AS similarity, 1::bigint AS place FROM exact UNION ALL SELECT feed, club, 'similar', round(similarity, 6), place FROM placed WHERE place <= {MOST_NAMES}""")
+@query("j14_fuzzy_candidates", f"""WITH {_CLUBS}, exact AS (SELECT feed, min(club) AS club FROM keys JOIN own USING (league, key)
+    GROUP BY 1),
+ka AS (SELECT feed, league, {_grams_sql('key')} AS g FROM keys WHERE feed NOT IN (SELECT feed
+    FROM exact)), kb AS (SELECT club, league, {_grams_sql('key')} AS h FROM own),
+pairs AS (SELECT feed, club, 2.0::double * len(list_intersect(g, h)) / (len(g) + len(h)) AS similarity FROM ka
+    JOIN kb USING (league)), placed AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY similarity DESC, club) AS place FROM pairs
+    WHERE similarity >= {ALIKE} - 1e-12)
+SELECT feed, club, 'exact' AS kind, 1.0::double AS similarity, 1::bigint AS place FROM exact UNION ALL
+    SELECT feed, club, 'similar', round(similarity, 6), place FROM placed WHERE place <= {MOST_NAMES}""")
 def fuzzy_candidates(spark, sf):
     return alias_candidates(feeds(spark, sf), clubs(spark, sf))
 
 
-@query("j16_key_lookup", "SELECT concat_ws('|', league, match_date::varchar, home::varchar, away::varchar) AS key, max(CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END) AS y FROM fx_match GROUP BY 1", "match")
+@query("j16_key_lookup", """SELECT concat_ws('|', league, match_date::varchar, home::varchar, away::varchar) AS key, max(CASE
+    WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END) AS y FROM fx_match GROUP BY 1""", "match")
 def key_lookup(spark, sf):
     y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
     return matches(spark, sf).groupBy(F.concat_ws("|", "league", F.col("match_date").cast("string"), F.col("home").cast("string"), F.col("away").cast("string")).alias("key")).agg(F.max(y).alias("y"))

@@ -95,13 +95,19 @@ def row_hash(spark, sf):
 
 def _chain_sql() -> str:
     """Tables n0, c0, ... of all levels: numbered rows, and their chain row by row."""
-    out = [f"n0 AS MATERIALIZED (SELECT event_id // {SEGMENT} AS seg, row_number() OVER (PARTITION BY event_id // {SEGMENT} ORDER BY event_id) AS place, event_id, {_LINE} AS line FROM events)"]
+    out = [f"""n0 AS MATERIALIZED (SELECT event_id // {SEGMENT} AS seg, row_number() OVER (PARTITION BY event_id // {SEGMENT}
+    ORDER BY event_id) AS place, event_id, {_LINE} AS line FROM events)"""]
     for k in range(LEVELS + 1):
         first = f"'{GENESIS}'" if k == LEVELS else "'segment ' || seg::varchar"
-        out.append(f"c{k} AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE r(seg, place, event_id, line, prev_hash, row_hash) AS (SELECT seg, place, event_id, line, {first}, sha256({first} || line) FROM n{k} WHERE place = 1 UNION ALL SELECT n.seg, n.place, n.event_id, n.line, r.row_hash, sha256(r.row_hash || n.line) FROM r JOIN n{k} n ON n.seg = r.seg AND n.place = r.place + 1) SELECT * FROM r))")
+        out.append(f"""c{k} AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE r(seg, place, event_id, line, prev_hash, row_hash) AS (SELECT
+    seg, place, event_id, line, {first}, sha256({first} || line) FROM n{k} WHERE place = 1 UNION ALL
+    SELECT n.seg, n.place, n.event_id, n.line, r.row_hash, sha256(r.row_hash || n.line) FROM r JOIN n{k} n ON n.seg = r.seg
+    AND n.place = r.place + 1) SELECT * FROM r))""")
         if k < LEVELS:
             up = "0" if k + 1 == LEVELS else f"seg // {SEGMENT}"
-            out.append(f"n{k + 1} AS MATERIALIZED (SELECT {up} AS seg, row_number() OVER (PARTITION BY {up} ORDER BY old) AS place, old AS event_id, line FROM (SELECT seg, seg AS old, concat_ws('|', seg::varchar, arg_max(row_hash, place), count(*)::varchar) AS line FROM c{k} GROUP BY 1, 2) t)")
+            out.append(f"""n{k + 1} AS MATERIALIZED (SELECT {up} AS seg, row_number() OVER (PARTITION BY {up}
+    ORDER BY old) AS place, old AS event_id, line FROM (SELECT seg, seg AS old, concat_ws('|', seg::varchar, arg_max(row_hash, place),
+    count(*)::varchar) AS line FROM c{k} GROUP BY 1, 2) t)""")
     return ", ".join(out)
 
 
@@ -110,7 +116,8 @@ def chain_build(spark, sf):
     return build_chain(lines(spark, sf)).select("level", "event_id", "seg", "prev_hash", "row_hash")
 
 
-@query("h3_chain_verify", f"WITH {_chain_sql()} SELECT seg, count(*) AS n_rows, min(CASE WHEN NOT (row_hash = sha256(prev_hash || line)) THEN event_id END)::varchar AS first_bad FROM c0 GROUP BY 1")
+@query("h3_chain_verify", f"""WITH {_chain_sql()} SELECT seg, count(*) AS n_rows, min(CASE
+    WHEN NOT (row_hash = sha256(prev_hash || line)) THEN event_id END)::varchar AS first_bad FROM c0 GROUP BY 1""")
 def chain_verify(spark, sf):
     return verify_chain(build_chain(lines(spark, sf)))
 
@@ -125,14 +132,23 @@ def stored(spark, sf):
     return store
 
 
-_STORED = f"""c AS MATERIALIZED (SELECT * FROM c0), cut AS (SELECT max(event_id) AS n FROM events), b AS (SELECT c.*, CASE WHEN event_id <= n * 1 // 3 THEN 0 WHEN event_id <= n * 2 // 3 THEN 1 ELSE 2 END AS batch FROM c, cut),
-s AS (SELECT batch, seg, arg_max(row_hash, event_id) AS h, count(*) AS n, max(event_id) AS last FROM b GROUP BY 1, 2), p AS (SELECT batch, seg // 1000 AS part, sha256(string_agg(seg || '|' || h || '|' || n, chr(10) ORDER BY seg)) AS d, sum(n) AS n, max(last) AS last FROM s GROUP BY 1, 2),
-t AS (SELECT batch, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest, sum(n)::bigint AS n_rows, max(last) AS last_id FROM p GROUP BY 1)"""
+_STORED = f"""c AS MATERIALIZED (SELECT * FROM c0), cut AS (SELECT max(event_id) AS n FROM events), b AS (SELECT c.*, CASE
+    WHEN event_id <= n * 1 // 3 THEN 0 WHEN event_id <= n * 2 // 3 THEN 1 ELSE 2 END AS batch FROM c, cut),
+s AS (SELECT batch, seg, arg_max(row_hash, event_id) AS h, count(*) AS n, max(event_id) AS last FROM b
+    GROUP BY 1, 2), p AS (SELECT batch, seg // 1000 AS part, sha256(string_agg(seg || '|' || h || '|' || n, chr(10)
+    ORDER BY seg)) AS d, sum(n) AS n, max(last) AS last FROM s GROUP BY 1, 2),
+t AS (SELECT batch, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest, sum(n)::bigint AS n_rows, max(last) AS last_id FROM p
+    GROUP BY 1)"""
 _LINKED = "sha256({before} || '|' || {b} || '|' || n_rows || '|' || last_id || '|' || digest)"
 
 
-@query("h5_ledger_commits", f"""WITH {_chain_sql()}, {_STORED}, k0 AS (SELECT batch, n_rows, last_id, {_LINKED.format(before=f"'{GENESIS}'", b='batch')} AS head FROM t WHERE batch = 0),
-k1 AS (SELECT t.batch, t.n_rows, t.last_id, {_LINKED.format(before='k0.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k0 WHERE t.batch = 1), k2 AS (SELECT t.batch, t.n_rows, t.last_id, {_LINKED.format(before='k1.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k1 WHERE t.batch = 2)
+@query("h5_ledger_commits", f"""WITH {_chain_sql()}, {_STORED}, k0 AS (SELECT batch, n_rows, last_id,
+    {_LINKED.format(before=f"'{GENESIS}'", b='batch')} AS head FROM t WHERE batch = 0),
+k1 AS (SELECT t.batch, t.n_rows, t.last_id,
+    {_LINKED.format(before='k0.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k0
+    WHERE t.batch = 1), k2 AS (SELECT t.batch, t.n_rows, t.last_id,
+    {_LINKED.format(before='k1.head', b='t.batch').replace('n_rows', 't.n_rows').replace('last_id', 't.last_id')} AS head FROM t, k1
+    WHERE t.batch = 2)
 SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2""")
 def ledger_commits(spark, sf):
     """The published heads of a ledger stored in three appends."""
@@ -140,7 +156,8 @@ def ledger_commits(spark, sf):
     return spark.createDataFrame(commits, "batch long, n_rows long, last_id long, head string")
 
 
-@query("h3_verify_from_anchor", f"WITH {_chain_sql()}, {_STORED} SELECT batch::bigint AS batch, seg::bigint AS seg, count(*) AS n_rows, NULL::varchar AS first_bad FROM b WHERE batch > 0 GROUP BY 1, 2 UNION ALL SELECT batch, -1, n_rows, NULL FROM t WHERE batch > 0")
+@query("h3_verify_from_anchor", f"""WITH {_chain_sql()}, {_STORED} SELECT batch::bigint AS batch, seg::bigint AS seg, count(*) AS n_rows,
+    NULL::varchar AS first_bad FROM b WHERE batch > 0 GROUP BY 1, 2 UNION ALL SELECT batch, -1, n_rows, NULL FROM t WHERE batch > 0""")
 def verify_from_anchor(spark, sf):
     """The stored ledger verified from its first commit on: the first append's rows are not read."""
     store = stored(spark, sf)
@@ -160,7 +177,9 @@ def digest_in_parts(x: DataFrame, keys: list, part, item, text=None) -> DataFram
 
 
 def digest_sql(key: str, part: str, item: str, order: str, rows: str) -> str:
-    return f"SELECT {key}, sum(n)::bigint AS n, sha256(string_agg(d, ',' ORDER BY part)) AS digest FROM (SELECT {key}, {part} AS part, count(*) AS n, sha256(string_agg({item}, chr(10) ORDER BY {order})) AS d FROM {rows} GROUP BY ALL) t GROUP BY ALL"
+    return f"""SELECT {key}, sum(n)::bigint AS n, sha256(string_agg(d, ',' ORDER BY part)) AS digest
+    FROM (SELECT {key}, {part} AS part, count(*) AS n, sha256(string_agg({item}, chr(10) ORDER BY {order})) AS d FROM {rows} GROUP BY ALL) t
+    GROUP BY ALL"""
 
 
 @query("h6_group_digest", digest_sql("user_id", "substr(sha256(line), 1, 3)", "line", "line", f"(SELECT user_id, {_LINE} AS line FROM events) l"))
@@ -180,7 +199,8 @@ def rows_digest(spark, sf):
     return x.select("k", "digest")
 
 
-@query("h8_set_hash", f"SELECT source, digest AS set_hash FROM ({digest_sql('source', 'substr(h, 1, 3)', 'h', 'h', '(SELECT DISTINCT source, md5(text) AS h FROM documents) s')}) q")
+@query("h8_set_hash", f"""SELECT source, digest AS set_hash FROM
+    ({digest_sql('source', 'substr(h, 1, 3)', 'h', 'h', '(SELECT DISTINCT source, md5(text) AS h FROM documents) s')}) q""")
 def set_hash(spark, sf):
     x = table(spark, sf, "documents").select("source", F.md5("text").alias("h")).distinct()
     return digest_in_parts(x, ["source"], F.substring("h", 1, 3), F.col("h")).select("source", F.col("digest").alias("set_hash"))
@@ -197,15 +217,18 @@ def ledger_head(spark, sf):
     return lines(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("last_id"), F.sha2(F.max_by("line", "event_id"), 256).alias("head"))
 
 
-@query("s11_content_append", "SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 0 AND sha256(x.source || x.text) = sha256(d.source || d.text))")
+@query("s11_content_append", """SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents x
+    WHERE x.doc_id % 2 = 0 AND sha256(x.source || x.text) = sha256(d.source || d.text))""")
 def content_append(spark, sf):
     """Idempotent sink: of a new round (odd ids) only content that the table (even ids) lacks."""
     d = table(spark, sf, "documents").withColumn("h", F.sha2(F.concat("source", "text"), 256))
     return d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
 
 
-_AUDIT = f"""{_KICK}, d AS (SELECT *, {_UTC.format(x='noon_at')} AS noon_utc, match_date + interval 27 hours AS late FROM (SELECT *, {_DDAY} + interval 12 hours AS noon_at FROM kick) t),
-i AS (SELECT match_id, grp, CASE WHEN utc IS NULL OR noon_utc < utc THEN epoch(noon_utc)::bigint END AS decided, epoch(coalesce(utc + interval 3 hours, {_UTC.format(x='late')}))::bigint AS known FROM d)"""
+_AUDIT = f"""{_KICK}, d AS (SELECT *, {_UTC.format(x='noon_at')} AS noon_utc, match_date + interval 27 hours AS late
+    FROM (SELECT *, {_DDAY} + interval 12 hours AS noon_at FROM kick) t),
+i AS (SELECT match_id, grp, CASE WHEN utc IS NULL OR noon_utc < utc THEN epoch(noon_utc)::bigint END AS decided, epoch(coalesce(utc +
+    interval 3 hours, {_UTC.format(x='late')}))::bigint AS known FROM d)"""
 
 
 def seen_log(m: DataFrame, make=SeenResults) -> DataFrame:
@@ -226,7 +249,8 @@ def allowed(m: DataFrame) -> DataFrame:
     return x.select("match_id", (F.col("before") + F.col("today")).alias("n_known"))
 
 
-@query("q9_leak_audit", f"WITH {_AUDIT} SELECT a.match_id, count(b.match_id) AS n_seen, false AS leak FROM i a LEFT JOIN i b ON b.grp = a.grp AND b.known < a.decided WHERE a.decided IS NOT NULL GROUP BY 1", "match")
+@query("q9_leak_audit", f"""WITH {_AUDIT} SELECT a.match_id, count(b.match_id) AS n_seen, false AS leak FROM i a LEFT JOIN i b
+    ON b.grp = a.grp AND b.known < a.decided WHERE a.decided IS NOT NULL GROUP BY 1""", "match")
 def leak_audit(spark, sf, make=SeenResults):
     """The replay's own log against the results known before each decision: one that saw more has looked ahead."""
     m = kickoffs(spark, sf)
@@ -234,10 +258,13 @@ def leak_audit(spark, sf, make=SeenResults):
     return x.select("match_id", "n_seen", (F.col("n_seen") > F.col("n_known")).alias("leak"))
 
 
-_ANCHOR = f"anchors AS (SELECT event_id AS last_id, event_id + 1 AS n_rows, CASE WHEN event_id % 7 = 0 THEN 'other' ELSE sha256({_LINE}) END AS head FROM events WHERE event_id % 500 = 499)"
+_ANCHOR = f"""anchors AS (SELECT event_id AS last_id, event_id + 1 AS n_rows, CASE WHEN event_id % 7 = 0 THEN 'other'
+    ELSE sha256({_LINE}) END AS head FROM events WHERE event_id % 500 = 499)"""
 
 
-@query("h4_anchor_check", f"WITH {_ANCHOR} SELECT a.last_id, CASE WHEN e.event_id IS NULL THEN 'row_missing' WHEN sha256({_LINE}) <> a.head THEN 'head_differs' WHEN (SELECT count(*) FROM events) < a.n_rows THEN 'rows_missing' ELSE 'ok' END AS verdict FROM anchors a LEFT JOIN events e ON e.event_id = a.last_id")
+@query("h4_anchor_check", f"""WITH {_ANCHOR} SELECT a.last_id, CASE WHEN e.event_id IS NULL THEN 'row_missing'
+    WHEN sha256({_LINE}) <> a.head THEN 'head_differs' WHEN (SELECT count(*) FROM events) < a.n_rows THEN 'rows_missing'
+    ELSE 'ok' END AS verdict FROM anchors a LEFT JOIN events e ON e.event_id = a.last_id""")
 def anchor_check(spark, sf):
     """Every anchor's row is hashed again and compared with its head; the ledger must hold as many rows as it says."""
     rows = lines(spark, sf)
@@ -247,7 +274,9 @@ def anchor_check(spark, sf):
     return x.select("last_id", verdict.alias("verdict"))
 
 
-@query("h5_head_publication", "SELECT day, n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY day) AS before FROM (SELECT (epoch(ts)::bigint // 86400) AS day, max(event_id) AS n_rows FROM events GROUP BY 1) t) u WHERE before IS DISTINCT FROM n_rows")
+@query("h5_head_publication", """SELECT day, n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY day) AS before
+    FROM (SELECT (epoch(ts)::bigint // 86400) AS day, max(event_id) AS n_rows FROM events GROUP BY 1) t) u WHERE before IS DISTINCT
+    FROM n_rows""")
 def head_publication(spark, sf):
     """Each day's head, only where it differs from the day's before; one row a day enters the window."""
     x = table(spark, sf, "events").groupBy(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day")).agg(F.max("event_id").alias("n_rows"))

@@ -12,10 +12,16 @@ from .registry import query
 
 # Live rows are all matches under names of their own; eight of twelve teams have an alias. History has all matches too, one
 # in ten on another day, one in thirty at another time.
-_LIVE = """alias AS (SELECT * FROM (SELECT range AS team, 'T' || range AS live_name, 'Team ' || range AS name FROM range(8)) t), names AS (SELECT DISTINCT 'Team ' || home AS name FROM fx_match WHERE home < 10),
-live AS (SELECT match_id, league, grp, match_date, CASE WHEN home < 9 THEN 'T' || home ELSE 'Team ' || home END AS home, CASE WHEN away < 9 THEN 'T' || away ELSE 'Team ' || away END AS away, season + (match_id % 40 = 0)::int AS season, (match_id * 7) % 90 AS minute FROM fx_match),
-hist AS (SELECT match_id, league, grp, match_date + (match_id % 10 = 3)::int AS match_date, 'Team ' || home AS home, 'Team ' || away AS away, season, (match_id * 7) % 90 + CASE WHEN match_id % 30 = 0 THEN 45 ELSE 5 END AS minute FROM fx_match),
-resolved AS (SELECT l.*, coalesce(a.name, n.name) AS home_name, coalesce(b.name, o.name) AS away_name FROM live l LEFT JOIN alias a ON a.live_name = l.home LEFT JOIN alias b ON b.live_name = l.away LEFT JOIN names n ON n.name = l.home LEFT JOIN names o ON o.name = l.away)"""
+_LIVE = """alias AS (SELECT * FROM (SELECT range AS team, 'T' || range AS live_name, 'Team ' || range AS name
+    FROM range(8)) t), names AS (SELECT DISTINCT 'Team ' || home AS name FROM fx_match WHERE home < 10),
+live AS (SELECT match_id, league, grp, match_date, CASE WHEN home < 9 THEN 'T' || home ELSE 'Team ' || home END AS home, CASE
+    WHEN away < 9 THEN 'T' || away ELSE 'Team ' || away END AS away, season + (match_id % 40 = 0)::int AS season, (match_id * 7) % 90 AS
+    minute FROM fx_match),
+hist AS (SELECT match_id, league, grp, match_date + (match_id % 10 = 3)::int AS match_date, 'Team ' || home AS home, 'Team ' || away AS
+    away, season, (match_id * 7) % 90 + CASE WHEN match_id % 30 = 0 THEN 45 ELSE 5 END AS minute FROM fx_match),
+resolved AS (SELECT l.*, coalesce(a.name, n.name) AS home_name, coalesce(b.name, o.name) AS away_name FROM live l LEFT JOIN alias a
+    ON a.live_name = l.home LEFT JOIN alias b ON b.live_name = l.away LEFT JOIN names n ON n.name = l.home LEFT JOIN names o
+    ON o.name = l.away)"""
 
 
 def _name(c: str) -> Column:
@@ -60,24 +66,32 @@ def paired(spark, sf):
     return r.join(h, key, "left")
 
 
-@query("j2_live_history_join", f"WITH {_LIVE} SELECT r.league, CASE WHEN home_name IS NULL OR away_name IS NULL THEN 'unmapped' WHEN EXISTS (SELECT 1 FROM hist h WHERE h.grp = r.grp AND h.match_date = r.match_date AND h.home = r.home_name AND h.away = r.away_name) THEN 'paired' ELSE 'unmatched' END AS status, count(*) AS n FROM resolved r GROUP BY 1, 2", "match")
+@query("j2_live_history_join", f"""WITH {_LIVE} SELECT r.league, CASE WHEN home_name IS NULL OR away_name IS NULL THEN 'unmapped'
+    WHEN EXISTS (SELECT 1 FROM hist h WHERE h.grp = r.grp AND h.match_date = r.match_date AND h.home = r.home_name
+    AND h.away = r.away_name) THEN 'paired' ELSE 'unmatched' END AS status, count(*) AS n FROM resolved r GROUP BY 1, 2""", "match")
 def live_history_join(spark, sf):
     status = F.when(F.col("home").isNull() | F.col("away").isNull(), "unmapped").when(F.col("h").isNotNull(), "paired").otherwise("unmatched")
     return paired(spark, sf).groupBy("league", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j12_parity", f"""WITH {_LIVE}, p AS (SELECT r.match_id, r.league, r.season, r.minute, arg_min(h.season, h.match_id) AS hs, arg_min(h.minute, h.match_id) AS hm FROM resolved r LEFT JOIN hist h {_PAIR} GROUP BY 1, 2, 3, 4)
-SELECT league, count(hs) AS paired, count(*) - count(hs) AS unmatched, count(*) FILTER (season <> hs) AS season_differs, count(*) FILTER (abs(minute - hm) > 30) AS kickoff_differs FROM p GROUP BY 1""", "match")
+@query("j12_parity", f"""WITH {_LIVE}, p AS (SELECT r.match_id, r.league, r.season, r.minute, arg_min(h.season, h.match_id) AS hs,
+    arg_min(h.minute, h.match_id) AS hm FROM resolved r LEFT JOIN hist h {_PAIR} GROUP BY 1, 2, 3, 4)
+SELECT league, count(hs) AS paired, count(*) - count(hs) AS unmatched, count(*) FILTER (season <> hs) AS season_differs, count(*) FILTER
+    (abs(minute - hm) > 30) AS kickoff_differs FROM p GROUP BY 1""", "match")
 def parity(spark, sf):
     x = paired(spark, sf)
     return x.groupBy("league").agg(F.count("h").alias("paired"), F.count_if(F.col("h").isNull()).alias("unmatched"), F.count_if(F.col("season") != F.col("h.season")).alias("season_differs"), F.count_if(F.abs(F.col("minute") - F.col("h.minute")) > 30).alias("kickoff_differs"))
 
 
-@query("j11_official_links", """WITH official AS (SELECT match_id AS report, league, match_date, CASE WHEN match_id % 5 = 0 THEN away ELSE home END AS home, CASE WHEN match_id % 5 = 0 THEN home ELSE away END AS away FROM fx_match),
-fx AS (SELECT league, match_date, home, away, count(*) AS n, min(match_id) AS match_id FROM (SELECT * REPLACE (match_date + (match_id % 7 = 0)::int AS match_date) FROM fx_match) d GROUP BY 1, 2, 3, 4)
-SELECT o.report, CASE WHEN o.league = 'L4' THEN 'other_league' WHEN greatest(o.home, o.away) = 11 THEN 'awaiting_alias' WHEN f.n > 1 THEN 'ambiguous' WHEN f.n = 1 THEN 'linked' WHEN r.n >= 1 THEN 'reversed' ELSE 'not_in_db' END AS status,
+@query("j11_official_links", """WITH official AS (SELECT match_id AS report, league, match_date, CASE WHEN match_id % 5 = 0 THEN away
+    ELSE home END AS home, CASE WHEN match_id % 5 = 0 THEN home ELSE away END AS away FROM fx_match),
+fx AS (SELECT league, match_date, home, away, count(*) AS n, min(match_id) AS match_id
+    FROM (SELECT * REPLACE (match_date + (match_id % 7 = 0)::int AS match_date) FROM fx_match) d GROUP BY 1, 2, 3, 4)
+SELECT o.report, CASE WHEN o.league = 'L4' THEN 'other_league' WHEN greatest(o.home, o.away) = 11 THEN 'awaiting_alias'
+    WHEN f.n > 1 THEN 'ambiguous' WHEN f.n = 1 THEN 'linked' WHEN r.n >= 1 THEN 'reversed' ELSE 'not_in_db' END AS status,
  CASE WHEN o.league <> 'L4' AND greatest(o.home, o.away) <> 11 AND f.n = 1 THEN f.match_id END AS match_id
-FROM official o LEFT JOIN fx f USING (league, match_date, home, away) LEFT JOIN fx r ON r.league = o.league AND r.match_date = o.match_date AND r.home = o.away AND r.away = o.home""", "match")
+FROM official o LEFT JOIN fx f USING (league, match_date, home, away) LEFT JOIN fx r ON r.league = o.league AND r.match_date = o.match_date
+    AND r.home = o.away AND r.away = o.home""", "match")
 def official_links(spark, sf):
     """Reports linked by day and both teams; every report has one status. Both orders are looked up in one join."""
     m = matches(spark, sf)
@@ -91,7 +105,9 @@ def official_links(spark, sf):
     return x.select("report", status.alias("status"), F.when(status == "linked", own["id"]).alias("match_id"))
 
 
-@query("w2_latest_before", "SELECT match_id, official FROM (SELECT match_id, grp::bigint AS g, 1704067200 + (match_id * 977) % 2592000 AS s FROM fx_match) m ASOF JOIN (SELECT user_id % 25 AS g, floor(epoch(ts))::bigint AS s, max(event_id) AS official FROM events GROUP BY 1, 2) x ON x.g = m.g AND m.s > x.s", "match")
+@query("w2_latest_before", """SELECT match_id, official FROM (SELECT match_id, grp::bigint AS g, 1704067200 + (match_id * 977) % 2592000 AS
+    s FROM fx_match) m ASOF JOIN (SELECT user_id % 25 AS g, floor(epoch(ts))::bigint AS s, max(event_id) AS official FROM events
+    GROUP BY 1, 2) x ON x.g = m.g AND m.s > x.s""", "match")
 def latest_before(spark, sf):
     return last_event(matches(spark, sf), table(spark, sf, "events"))
 
@@ -116,7 +132,9 @@ def horizon(spark, sf):
     return matches(spark, sf).where(F.col("home").isin(0, 1, 2) & (F.col("match_id") % 9 != 0) & F.col("match_date").between("1997-06-01", "1997-06-11")).select("match_id")
 
 
-@query("p21_public_views", "SELECT league, count(*) AS n, min(match_date)::date::varchar AS first_day FROM fx_match WHERE league IN (SELECT league FROM fx_match GROUP BY 1 HAVING max(match_id) % 2 = 0 OR count(*) > 100) AND match_date >= date '1996-01-01' GROUP BY 1", "match")
+@query("p21_public_views", """SELECT league, count(*) AS n, min(match_date)::date::varchar AS first_day FROM fx_match
+    WHERE league IN (SELECT league FROM fx_match GROUP BY 1 HAVING max(match_id) % 2 = 0 OR count(*) > 100)
+    AND match_date >= date '1996-01-01' GROUP BY 1""", "match")
 def public_views(spark, sf):
     """Fixtures of active leagues from a floor day on, read through temporary views."""
     fixture, active = (f"{name}_{uuid.uuid4().hex}" for name in ("fixture", "active"))  # runs in one session don't share them
@@ -136,7 +154,8 @@ def allowed_strategies(spark, sf, wanted=(0, 2), allowed=(0, 1, 2)):
     return x.withColumn("book", F.when(F.col("book").isin(*allowed), F.col("book")).otherwise(F.raise_error(F.lit("a row isn't allowed")).cast("int"))).select("match_id", "book")
 
 
-@query("u4_common_components", "SELECT match_id, string_agg(book::varchar, ',' ORDER BY book) AS common FROM (SELECT match_id, book FROM fx_odds WHERE d IS NOT NULL AND 1/h + 1/d + 1/a >= 1 GROUP BY 1, 2 HAVING count(*) = 2) t GROUP BY 1", "odds")
+@query("u4_common_components", """SELECT match_id, string_agg(book::varchar, ',' ORDER BY book) AS common FROM (SELECT match_id, book
+    FROM fx_odds WHERE d IS NOT NULL AND 1/h + 1/d + 1/a >= 1 GROUP BY 1, 2 HAVING count(*) = 2) t GROUP BY 1""", "odds")
 def common_components(spark, sf):
     """Books usable in both phases: the intersection of each phase's set."""
     from ..fixtures import odds

@@ -13,7 +13,9 @@ from .prices import _FULL, _HALVES, _PC, _POWER, _SHIN_P, pre_close
 from .registry import query
 
 _Y = "CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END"
-_PROB = f"{_FULL}, prob AS (SELECT f.match_id, f.book, f.phase, league, season, match_date, {_Y} AS y, qh/book_sum AS ph, qd/book_sum AS pd, qa/book_sum AS pa FROM full_odds f JOIN fx_match m ON f.match_id = m.match_id WHERE book_sum >= 1 - 1e-12), scored AS (SELECT *, -ln(CASE y WHEN 0 THEN ph WHEN 1 THEN pd ELSE pa END) AS ll FROM prob)"
+_PROB = f"""{_FULL}, prob AS (SELECT f.match_id, f.book, f.phase, league, season, match_date, {_Y} AS y, qh/book_sum AS ph, qd/book_sum AS
+    pd, qa/book_sum AS pa FROM full_odds f JOIN fx_match m ON f.match_id = m.match_id
+    WHERE book_sum >= 1 - 1e-12), scored AS (SELECT *, -ln(CASE y WHEN 0 THEN ph WHEN 1 THEN pd ELSE pa END) AS ll FROM prob)"""
 
 
 def _r(c, n=6):
@@ -30,7 +32,8 @@ def log_loss(spark, sf):
     return scored(spark, sf).groupBy("league", "phase", "book").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll")).alias("log_loss"))
 
 
-@query("a2_brier", f"WITH {_PROB} SELECT league, phase, round(avg(pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2)), 6) AS brier FROM scored GROUP BY 1, 2", "odds")
+@query("a2_brier", f"""WITH {_PROB} SELECT league, phase, round(avg(pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int,
+    2)), 6) AS brier FROM scored GROUP BY 1, 2""", "odds")
 def brier(spark, sf):
     return scored(spark, sf).groupBy("league", "phase").agg(_r(F.avg(S.brier(F.col("p"), F.col("y")))).alias("brier"))
 
@@ -46,7 +49,9 @@ def input_contract(spark, sf):
     return odds(spark, sf).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(S.valid(P.inverses(F.col("o")), F.col("y"))).alias("valid"))
 
 
-@query("a5_ece", f"""WITH {_PROB}, one AS (SELECT league, ph AS p, (y=0)::int AS hit FROM scored UNION ALL SELECT league, pd, (y=1)::int FROM scored UNION ALL SELECT league, pa, (y=2)::int FROM scored), bins AS (SELECT league, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM one GROUP BY 1, 2)
+@query("a5_ece", f"""WITH {_PROB}, one AS (SELECT league, ph AS p, (y=0)::int AS hit FROM scored UNION ALL SELECT league, pd, (y=1)::int
+    FROM scored UNION ALL SELECT league, pa, (y=2)::int FROM scored), bins AS (SELECT league, least(floor(p * 10), 9) AS bin, count(*) AS n,
+    abs(avg(p) - avg(hit)) AS gap FROM one GROUP BY 1, 2)
 SELECT league, round(sum(n * gap) / sum(n), 6) AS ece FROM bins GROUP BY 1""", "odds")
 def ece(spark, sf):
     one = F.array(*[F.struct(F.get("p", i).alias("p"), (F.col("y") == i).cast("int").alias("hit")) for i in range(3)])
@@ -71,7 +76,8 @@ def with_draws(rows: str, groups: str, measures: dict[str, str], head: str) -> s
     return f"WITH {head}, {weights_sql(rows, 'match_id')} {intervals_sql(rows, groups, measures)}"
 
 
-@query("a8_bootstrap_mean", f"SELECT league, ll AS estimate, ll_low AS low, ll_high AS high FROM ({with_draws('one', 'league', {'ll': 'll'}, _PROB + ', one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1)')}) z", "odds")
+@query("a8_bootstrap_mean", f"""SELECT league, ll AS estimate, ll_low AS low, ll_high AS high
+    FROM ({with_draws('one', 'league', {'ll': 'll'}, _PROB + ', one AS (SELECT * FROM scored WHERE book = 0 AND phase = 1)')}) z""", "odds")
 def bootstrap(spark, sf):
     x = intervals(closing_losses(spark, sf), {"ll": F.col("ll")}, "match_id", ["league"])
     return x.select("league", F.col("ll").alias("estimate"), F.col("ll_low").alias("low"), F.col("ll_high").alias("high"))
@@ -81,7 +87,8 @@ def closing_losses(spark, sf):
     return scored(spark, sf).where("book = 0 and phase = 1").select("league", "match_id", "ll")
 
 
-_TWO = f"{_PROB}, two AS (SELECT a.match_id, a.book, a.league, a.season, a.ll AS pre, b.ll AS close FROM scored a JOIN scored b ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1)"
+_TWO = f"""{_PROB}, two AS (SELECT a.match_id, a.book, a.league, a.season, a.ll AS pre, b.ll AS close FROM scored a JOIN scored b
+    ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1)"""
 
 
 def _two(spark, sf):
@@ -108,8 +115,10 @@ def late_information(spark, sf):
     return _two(spark, sf).where("book = 0").groupBy("league").agg(_r(F.avg("pre") - F.avg("close")).alias("late_info"))
 
 
-@query("a12_value_rate", f"""WITH {_PROB}, best AS (SELECT match_id, max(h) AS h, max(d) AS d, max(a) AS a FROM fx_odds WHERE phase = 0 GROUP BY 1)
-SELECT league, round(avg((greatest(b.h*ph, b.d*pd, b.a*pa) > 1)::int), 6) AS value_rate FROM scored s JOIN best b ON s.match_id = b.match_id WHERE s.book = 0 AND s.phase = 1 GROUP BY 1""", "odds")
+@query("a12_value_rate", f"""WITH {_PROB}, best AS (SELECT match_id, max(h) AS h, max(d) AS d, max(a) AS a FROM fx_odds WHERE phase = 0
+    GROUP BY 1)
+SELECT league, round(avg((greatest(b.h*ph, b.d*pd, b.a*pa) > 1)::int), 6) AS value_rate FROM scored s JOIN best b ON s.match_id = b.match_id
+    WHERE s.book = 0 AND s.phase = 1 GROUP BY 1""", "odds")
 def value_rate(spark, sf):
     x = odds(spark, sf).groupBy("match_id", "league").agg(*[F.max(F.when(F.col("phase") == 0, F.col(c))).alias(c) for c in "hda"], F.max(F.when((F.col("phase") == 1) & (F.col("book") == 0), F.col("o"))).alias("close"))
     x = x.withColumn("p", P.devig(F.col("close"), "multiplicative")).where("p is not null")
@@ -117,8 +126,12 @@ def value_rate(spark, sf):
     return x.groupBy("league").agg(_r(F.avg(hit.cast("int"))).alias("value_rate"))
 
 
-@query("a13_book_gap", f"""WITH {_PROB}, pair AS (SELECT m.match_id, m.league, m.season, a.ll AS l0, b.ll AS l2 FROM fx_match m LEFT JOIN scored a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 1 LEFT JOIN scored b ON b.match_id = m.match_id AND b.book = 2 AND b.phase = 1), good AS (SELECT league, season FROM pair GROUP BY 1, 2 HAVING avg((l0 IS NOT NULL AND l2 IS NOT NULL)::int) >= 0.9)
-SELECT league, count(*) AS n, round(avg(l2 - l0), 6) AS gap FROM pair JOIN good USING (league, season) WHERE l0 IS NOT NULL AND l2 IS NOT NULL GROUP BY 1""", "odds")
+@query("a13_book_gap", f"""WITH {_PROB}, pair AS (SELECT m.match_id, m.league, m.season, a.ll AS l0, b.ll AS l2 FROM fx_match m
+    LEFT JOIN scored a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 1 LEFT JOIN scored b ON b.match_id = m.match_id
+    AND b.book = 2 AND b.phase = 1), good AS (SELECT league, season FROM pair GROUP BY 1, 2 HAVING avg((l0 IS NOT NULL
+    AND l2 IS NOT NULL)::int) >= 0.9)
+SELECT league, count(*) AS n, round(avg(l2 - l0), 6) AS gap FROM pair JOIN good USING (league, season) WHERE l0 IS NOT NULL
+    AND l2 IS NOT NULL GROUP BY 1""", "odds")
 def book_gap(spark, sf):
     """Only league seasons in which both books are complete for nine tenths of matches."""
     x = odds(spark, sf).where("phase = 1").withColumn("p", P.devig(F.col("o"), "multiplicative"))
@@ -128,8 +141,13 @@ def book_gap(spark, sf):
     return good.groupBy("league").agg(F.sum("n").alias("n"), _r(F.sum("gap") / F.sum("n")).alias("gap"))
 
 
-_METHODS = f"""{_POWER}, {_HALVES}, pm AS (SELECT f.match_id, league, {_Y} AS y, f.qh/book_sum AS mh, f.qd/book_sum AS md, f.qa/book_sum AS ma, pow(f.qh, k) AS wh, pow(f.qd, k) AS wd, pow(f.qa, k) AS wa, {_SHIN_P.format(q='f.qh')} AS sh, {_SHIN_P.format(q='f.qd')} AS sd, {_SHIN_P.format(q='f.qa')} AS sa FROM full_odds f JOIN steps s USING (qh, qd, qa) JOIN halves z USING (qh, qd, qa) JOIN fx_match m ON m.match_id = f.match_id WHERE book = 0 AND phase = 1),
-l AS (SELECT league, 0 AS place, 'multiplicative' AS method, -ln(CASE y WHEN 0 THEN mh WHEN 1 THEN md ELSE ma END) AS ll FROM pm UNION ALL SELECT league, 1, 'power', -ln(CASE y WHEN 0 THEN wh WHEN 1 THEN wd ELSE wa END) FROM pm UNION ALL SELECT league, 2, 'shin', -ln(CASE y WHEN 0 THEN sh WHEN 1 THEN sd ELSE sa END) FROM pm),
+_METHODS = f"""{_POWER}, {_HALVES}, pm AS (SELECT f.match_id, league, {_Y} AS y, f.qh/book_sum AS mh, f.qd/book_sum AS md, f.qa/book_sum
+    AS ma, pow(f.qh, k) AS wh, pow(f.qd, k) AS wd, pow(f.qa, k) AS wa, {_SHIN_P.format(q='f.qh')} AS sh, {_SHIN_P.format(q='f.qd')} AS sd,
+    {_SHIN_P.format(q='f.qa')} AS sa FROM full_odds f JOIN steps s USING (qh, qd, qa) JOIN halves z USING (qh, qd, qa) JOIN fx_match m
+    ON m.match_id = f.match_id WHERE book = 0 AND phase = 1),
+l AS (SELECT league, 0 AS place, 'multiplicative' AS method, -ln(CASE y WHEN 0 THEN mh WHEN 1 THEN md ELSE ma END) AS ll FROM pm UNION ALL
+    SELECT league, 1, 'power', -ln(CASE y WHEN 0 THEN wh WHEN 1 THEN wd ELSE wa END) FROM pm UNION ALL SELECT league, 2, 'shin', -ln(CASE y
+    WHEN 0 THEN sh WHEN 1 THEN sd ELSE sa END) FROM pm),
 g AS (SELECT league, place, method, count(*) AS n, round(avg(ll), 6) AS log_loss FROM l GROUP BY 1, 2, 3)"""
 
 
@@ -162,18 +180,25 @@ LATE_SQL = named_sql(f"{_TWO}, late AS (SELECT * FROM two WHERE book = 0)", "lat
 _TIER = "CASE WHEN low > median THEN 'A' WHEN high < median THEN 'C' ELSE 'B' END"
 
 
-@query("a17_tiers", f"SELECT league, gap, low, high, {_TIER} AS tier, row_number() OVER (ORDER BY gap DESC, league) AS place FROM (SELECT *, quantile_cont(gap, 0.5) OVER () AS median FROM ({LATE_SQL}) y) x", "odds")
+@query("a17_tiers", f"""SELECT league, gap, low, high, {_TIER} AS tier, row_number() OVER (ORDER BY gap DESC, league) AS place
+    FROM (SELECT *, quantile_cont(gap, 0.5) OVER () AS median FROM ({LATE_SQL}) y) x""", "odds")
 def tiers(spark, sf):
     """Leagues by late information; one row a league from here on."""
     x = tiered(late_gaps(spark, sf))
     return x.select("league", "gap", "low", "high", "tier", F.row_number().over(Window.orderBy(F.desc("gap"), "league")).cast("long").alias("place"))
 
 
-_BRIDGE = f"""{_PROB}, pair AS (SELECT m.match_id, m.league, a.ph, a.pd, a.pa, b.ph AS qh, b.pd AS qd, b.pa AS qa FROM fx_match m LEFT JOIN prob a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 1 LEFT JOIN prob b ON b.match_id = m.match_id AND b.book = 1 AND b.phase = 1),
-diff AS (SELECT match_id, league, 0 AS outcome, qh - ph AS v FROM pair UNION ALL SELECT match_id, league, 1, qd - pd FROM pair UNION ALL SELECT match_id, league, 2, qa - pa FROM pair)"""
+_BRIDGE = f"""{_PROB}, pair AS (SELECT m.match_id, m.league, a.ph, a.pd, a.pa, b.ph AS qh, b.pd AS qd, b.pa AS qa FROM fx_match m
+    LEFT JOIN prob a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 1 LEFT JOIN prob b ON b.match_id = m.match_id AND b.book = 1
+    AND b.phase = 1),
+diff AS (SELECT match_id, league, 0 AS outcome, qh - ph AS v FROM pair UNION ALL SELECT match_id, league, 1, qd - pd FROM pair UNION ALL
+    SELECT match_id, league, 2, qa - pa FROM pair)"""
 
 
-@query("a20_bridge_report", f"SELECT league, outcome, diff_n AS n, diff, diff_low AS low, diff_high AS high, round(sqrt(square), 5) AS rms, unmatched FROM ({with_draws('diff', 'league, outcome', {'diff': 'v', 'square': 'v * v'}, _BRIDGE)}) z JOIN (SELECT league, count(*) FILTER (match_id IN (SELECT match_id FROM fx_odds WHERE book < 2 AND phase = 1 AND (d IS NULL OR 1/h + 1/d + 1/a < 1 - 1e-12))) AS unmatched FROM fx_match GROUP BY 1) u USING (league)", "odds")
+@query("a20_bridge_report", f"""SELECT league, outcome, diff_n AS n, diff, diff_low AS low, diff_high AS high, round(sqrt(square), 5) AS
+    rms, unmatched FROM ({with_draws('diff', 'league, outcome', {'diff': 'v', 'square': 'v * v'}, _BRIDGE)}) z
+    JOIN (SELECT league, count(*) FILTER (match_id IN (SELECT match_id FROM fx_odds WHERE book < 2 AND phase = 1 AND (d IS NULL
+    OR 1/h + 1/d + 1/a < 1 - 1e-12))) AS unmatched FROM fx_match GROUP BY 1) u USING (league)""", "odds")
 def bridge_report(spark, sf):
     """Closing probabilities of one book less another's, by league and outcome; matches that either lacks are counted."""
     x = odds(spark, sf).where("phase = 1 and book < 2").withColumn("p", P.devig(F.col("o"), "multiplicative"))
@@ -188,7 +213,10 @@ def bridge_report(spark, sf):
 LEAGUES_NEEDED = 18  # fixed value
 
 
-@query("a22_positive_leagues", f"SELECT leagues, positive, n, gap, low, high, positive >= {LEAGUES_NEEDED} AND low > 0 AS passed FROM ({named_sql(_TWO + ', pooled AS (SELECT *, 1 AS pool FROM two WHERE book = 0)', 'pooled', 'pool', 'gap', 'pre - close')}) p, (WITH {_TWO}, l AS (SELECT league, avg(pre - close) AS gap FROM two WHERE book = 0 GROUP BY 1) SELECT count(*) AS leagues, count(*) FILTER (gap > 0) AS positive FROM l) l", "odds")
+@query("a22_positive_leagues", f"""SELECT leagues, positive, n, gap, low, high, positive >= {LEAGUES_NEEDED} AND low > 0 AS passed
+    FROM ({named_sql(_TWO + ', pooled AS (SELECT *, 1 AS pool FROM two WHERE book = 0)', 'pooled', 'pool', 'gap', 'pre - close')}) p, (WITH
+    {_TWO}, l AS (SELECT league, avg(pre - close) AS gap FROM two WHERE book = 0 GROUP BY 1)
+    SELECT count(*) AS leagues, count(*) FILTER (gap > 0) AS positive FROM l) l""", "odds")
 def positive_leagues(spark, sf):
     """Whether closing prices beat opening ones in enough leagues, and over all of them beyond doubt."""
     two = _two(spark, sf).where("book = 0").withColumns({"pool": F.lit(1), "gap": F.col("pre") - F.col("close")})
@@ -200,10 +228,14 @@ def positive_leagues(spark, sf):
 # The bet rule: the outcome with the largest edge of a forecast over the reference book's opening price, if that is large
 # enough, valued by the reference book's closing probabilities.
 TAU, TAUS = 0.02, (0.0, 0.02, 0.05)
-_RULE = f"""{_PROB}, ref AS (SELECT o.match_id, o.h, o.d, o.a, c.ph AS ch, c.pd AS cd, c.pa AS ca FROM fx_odds o LEFT JOIN prob c ON c.match_id = o.match_id AND c.book = 0 AND c.phase = 1 WHERE o.book = 0 AND o.phase = 0),
+_RULE = f"""{_PROB}, ref AS (SELECT o.match_id, o.h, o.d, o.a, c.ph AS ch, c.pd AS cd, c.pa AS ca FROM fx_odds o LEFT JOIN prob c
+    ON c.match_id = o.match_id AND c.book = 0 AND c.phase = 1 WHERE o.book = 0 AND o.phase = 0),
 four AS (SELECT match_id FROM scored WHERE phase = 0 GROUP BY 1 HAVING count(*) = 4),
-edges AS (SELECT s.*, r.h, r.d, r.a, ch, cd, ca, s.ph * r.h - 1 AS eh, s.pd * r.d - 1 AS ed, s.pa * r.a - 1 AS ea FROM scored s JOIN four USING (match_id) JOIN ref r USING (match_id) WHERE s.phase = 0),
-rule AS (SELECT *, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN h * ch WHEN ed >= ea THEN d * cd ELSE a * ca END - 1 AS value, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2) AS b, (pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS r FROM edges)"""
+edges AS (SELECT s.*, r.h, r.d, r.a, ch, cd, ca, s.ph * r.h - 1 AS eh, s.pd * r.d - 1 AS ed, s.pa * r.a - 1 AS ea FROM scored s
+    JOIN four USING (match_id) JOIN ref r USING (match_id) WHERE s.phase = 0),
+rule AS (SELECT *, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN h * ch WHEN ed >= ea THEN d * cd
+    ELSE a * ca END - 1 AS value, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2) AS b, (pow(ph - (y<=0)::int,
+    2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS r FROM edges)"""
 
 
 def bet_rule(p, pre, closing, tau):
@@ -222,7 +254,9 @@ def forecast_rows(spark, sf):
     return x.select("match_id", "league", "y", "pre", "closing", F.inline("f")).withColumn("ll", S.log_loss(F.col("p"), F.col("y")))
 
 
-@query("a23_score_table", f"SELECT book, log_loss_n AS n, log_loss, log_loss_low, log_loss_high, brier, rps, clv_n AS bets, clv, clv_low, clv_high FROM ({with_draws('rule', 'book', {'log_loss': 'll', 'brier': 'b', 'rps': 'r', 'clv': f'CASE WHEN edge > {TAU} THEN value END'}, _RULE)}) z", "odds")
+@query("a23_score_table", f"""SELECT book, log_loss_n AS n, log_loss, log_loss_low, log_loss_high, brier, rps, clv_n AS bets, clv, clv_low,
+    clv_high FROM ({with_draws('rule', 'book', {'log_loss': 'll', 'brier': 'b', 'rps': 'r', 'clv': f'CASE WHEN edge > {TAU} THEN value END'}, _RULE)})
+    z""", "odds")
 def score_table(spark, sf):
     """Scores of each book on the matches that all four can be scored on, and the bets that it would make."""
     p, y = F.col("p"), F.col("y")
@@ -237,7 +271,8 @@ def league_and_pooled(spark, sf):
     return named(intervals(x.select("match_id", F.col("set").alias("league"), "pre", "close"), {"gap": F.col("pre") - F.col("close")}, "match_id", ["league"]), ["league"], "gap")
 
 
-@query("a24_component_gaps", named_sql(f"{_RULE}, vs AS (SELECT a.match_id, a.book, a.ll - b.ll AS gap FROM rule a JOIN rule b ON a.match_id = b.match_id AND b.book = 0 WHERE a.book > 0)", "vs", "book", "gap", "gap"), "odds")
+@query("a24_component_gaps", named_sql(f"""{_RULE}, vs AS (SELECT a.match_id, a.book, a.ll - b.ll AS gap FROM rule a JOIN rule b
+    ON a.match_id = b.match_id AND b.book = 0 WHERE a.book > 0)""", "vs", "book", "gap", "gap"), "odds")
 def component_gaps(spark, sf):
     """Each book's loss less the reference book's, match by match on the common matches."""
     x = forecast_rows(spark, sf)
@@ -245,14 +280,18 @@ def component_gaps(spark, sf):
     return named(intervals(x, {"gap": F.col("ll") - F.col("own")}, "match_id", ["book"]), ["book"], "gap")
 
 
-@query("a24_clv_sensitivity", named_sql(f"{_RULE}, bets AS (SELECT match_id, tau, CASE WHEN edge > tau THEN value END AS v FROM rule, (VALUES {', '.join(f'({t}::double)' for t in TAUS)}) t(tau) WHERE book = 1)", "bets", "tau", "clv", "v"), "odds")
+@query("a24_clv_sensitivity", named_sql(f"""{_RULE}, bets AS (SELECT match_id, tau, CASE WHEN edge > tau THEN value END AS v
+    FROM rule, (VALUES {', '.join(f'({t}::double)' for t in TAUS)}) t(tau) WHERE book = 1)""", "bets", "tau", "clv", "v"), "odds")
 def clv_sensitivity(spark, sf):
     """The second book's bets for several least edges."""
     x = forecast_rows(spark, sf).where("book = 1").withColumn("tau", F.explode(F.array(*map(F.lit, TAUS))))
     return named(intervals(x, {"clv": bet_rule(F.col("p"), F.col("pre"), F.col("closing"), F.col("tau"))}, "match_id", ["tau"]), ["tau"], "clv")
 
 
-_OU = "ou AS (SELECT t.match_id, t.book, t.phase, m.league, m.season, CASE WHEN home_goals + away_goals > 2 THEN 0 ELSE 1 END AS y, 1/over_price + 1/under_price - 1 AS margin, 1/over_price / (1/over_price + 1/under_price) AS po FROM fx_totals t JOIN fx_match m USING (match_id) WHERE 1/over_price + 1/under_price >= 1 - 1e-12), oul AS (SELECT *, -ln(CASE y WHEN 0 THEN po ELSE 1 - po END) AS ll FROM ou)"
+_OU = """ou AS (SELECT t.match_id, t.book, t.phase, m.league, m.season, CASE WHEN home_goals + away_goals > 2 THEN 0
+    ELSE 1 END AS y, 1/over_price + 1/under_price - 1 AS margin, 1/over_price / (1/over_price + 1/under_price) AS po FROM fx_totals t
+    JOIN fx_match m USING (match_id) WHERE 1/over_price + 1/under_price >= 1 - 1e-12), oul AS (SELECT *, -ln(CASE y WHEN 0 THEN po
+    ELSE 1 - po END) AS ll FROM ou)"""
 
 
 def totals_scored(spark, sf):
@@ -261,7 +300,9 @@ def totals_scored(spark, sf):
     return x.withColumns({"ll": S.log_loss(F.col("p"), F.col("y")), "margin": P.overround(F.col("o"))})
 
 
-@query("a24_totals_gap", named_sql(f"{_OU}, vs AS (SELECT a.match_id, a.league, a.ll - b.ll AS gap FROM oul a JOIN oul b ON a.match_id = b.match_id AND a.phase = 0 AND b.phase = 0 AND a.book = 1 AND b.book = 0), sets AS (SELECT * FROM vs UNION ALL SELECT match_id, NULL, gap FROM vs)", "sets", "league", "gap", "gap"), "totals")
+@query("a24_totals_gap", named_sql(f"""{_OU}, vs AS (SELECT a.match_id, a.league, a.ll - b.ll AS gap FROM oul a JOIN oul b
+    ON a.match_id = b.match_id AND a.phase = 0 AND b.phase = 0 AND a.book = 1 AND b.book = 0), sets AS (SELECT * FROM vs UNION ALL
+    SELECT match_id, NULL, gap FROM vs)""", "sets", "league", "gap", "gap"), "totals")
 def totals_gap(spark, sf):
     """Over/under loss of the second book less the first's on matches that both have, by league and over all."""
     x = totals_scored(spark, sf).where("phase = 0").groupBy("match_id", "league").agg(*[F.max(F.when(F.col("book") == b, F.col("ll"))).alias(f"l{b}") for b in range(2)]).where("l0 is not null and l1 is not null")
@@ -269,8 +310,10 @@ def totals_gap(spark, sf):
     return named(intervals(x, {"gap": F.col("gap")}, "match_id", ["league"]), ["league"], "gap")
 
 
-@query("a29_base_rate", f"""WITH {_PROB}, past AS (SELECT avg((y=0)::int) AS r0, avg((y=1)::int) AS r1, avg((y=2)::int) AS r2 FROM (SELECT {_Y} AS y FROM fx_match WHERE season < 1996) t)
-SELECT league, round(avg(-ln(CASE y WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END)), 6) AS base_loss, round(avg(ll), 6) AS market_loss FROM scored, past WHERE season >= 1996 AND book = 0 AND phase = 1 GROUP BY 1""", "odds")
+@query("a29_base_rate", f"""WITH {_PROB}, past AS (SELECT avg((y=0)::int) AS r0, avg((y=1)::int) AS r1, avg((y=2)::int) AS r2
+    FROM (SELECT {_Y} AS y FROM fx_match WHERE season < 1996) t)
+SELECT league, round(avg(-ln(CASE y WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END)), 6) AS base_loss, round(avg(ll), 6) AS market_loss
+    FROM scored, past WHERE season >= 1996 AND book = 0 AND phase = 1 GROUP BY 1""", "odds")
 def base_rate(spark, sf):
     """Loss of earlier outcome frequencies against the market's; the frequencies are one row."""
     y = F.col("y")
@@ -279,6 +322,7 @@ def base_rate(spark, sf):
     return x.groupBy("league").agg(_r(F.avg(S.log_loss(F.array("r0", "r1", "r2"), y))).alias("base_loss"), _r(F.avg("ll")).alias("market_loss"))
 
 
-@query("a31_team_appearances", "SELECT grp, team, count(*) AS n FROM (SELECT grp, home AS team FROM fx_match UNION ALL SELECT grp, away FROM fx_match) t GROUP BY 1, 2 HAVING count(*) >= 5", "match")
+@query("a31_team_appearances", """SELECT grp, team, count(*) AS n FROM (SELECT grp, home AS team FROM fx_match UNION ALL SELECT grp, away
+    FROM fx_match) t GROUP BY 1, 2 HAVING count(*) >= 5""", "match")
 def team_appearances(spark, sf):
     return matches(spark, sf).select("grp", F.explode(F.array("home", "away")).alias("team")).groupBy("grp", "team").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")

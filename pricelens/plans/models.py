@@ -74,7 +74,8 @@ def scaffold_rating(spark, sf):
 _E = "((match_id % 99 + 0.5E0) / 100)"
 
 
-@query("m3_draw_mapping", f"SELECT match_id, round({_E} - 0.52*{_E}*(1-{_E}), 6) AS qh, round(1.04*{_E}*(1-{_E}), 6) AS qd, round(1/(1+exp(0.53 - 0.9*ln({_E}/(1-{_E})))), 6) AS oh, round(1/(1+exp(0.53 + 0.9*ln({_E}/(1-{_E})))), 6) AS oa FROM fx_match", "match")
+@query("m3_draw_mapping", f"""SELECT match_id, round({_E} - 0.52*{_E}*(1-{_E}), 6) AS qh, round(1.04*{_E}*(1-{_E}), 6) AS qd,
+    round(1/(1+exp(0.53 - 0.9*ln({_E}/(1-{_E})))), 6) AS oh, round(1/(1+exp(0.53 + 0.9*ln({_E}/(1-{_E})))), 6) AS oa FROM fx_match""", "match")
 def draw_mapping(spark, sf):
     e = (F.col("match_id") % 99 + 0.5) / 100
     x = matches(spark, sf).select("match_id", quadratic_draw(e, F.lit(0.26)).alias("q"), ordered_draw(e, F.lit(0.9), F.lit(0.53)).alias("o"))
@@ -136,8 +137,12 @@ def forecast_rows(spark, sf):
 _LM = "l AS (SELECT match_id, 0.8E0 + (match_id % 17) / 10.0E0 AS lam, 0.6E0 + (match_id % 13) / 10.0E0 AS mu FROM fx_match)"
 
 
-@query("m7_score_matrix", f"""WITH {_LM}, u AS (SELECT DISTINCT lam, mu FROM l), c AS (SELECT lam, mu, i, j, exp(-lam) * pow(lam, i) / factorial(i::int) * exp(-mu) * pow(mu, j) / factorial(j::int) * CASE WHEN i = 0 AND j = 0 THEN 1 + 0.1*lam*mu WHEN i = 0 AND j = 1 THEN 1 - 0.1*lam WHEN i = 1 AND j = 0 THEN 1 - 0.1*mu WHEN i = 1 AND j = 1 THEN 1.1 ELSE 1 END AS p FROM u, (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j)),
-o AS (SELECT lam, mu, sum(p) AS s, sum(p) FILTER (i > j) AS h, sum(p) FILTER (i = j) AS d, sum(p) FILTER (i + j > 2) AS v FROM c GROUP BY 1, 2) SELECT match_id, round(h/s, 6) AS ph, round(d/s, 6) AS pd, round(v/s, 6) AS over_25 FROM l JOIN o USING (lam, mu)""", "match")
+@query("m7_score_matrix", f"""WITH {_LM}, u AS (SELECT DISTINCT lam, mu
+    FROM l), c AS (SELECT lam, mu, i, j, exp(-lam) * pow(lam, i) / factorial(i::int) * exp(-mu) * pow(mu, j) / factorial(j::int) * CASE
+    WHEN i = 0 AND j = 0 THEN 1 + 0.1*lam*mu WHEN i = 0 AND j = 1 THEN 1 - 0.1*lam WHEN i = 1 AND j = 0 THEN 1 - 0.1*mu WHEN i = 1
+    AND j = 1 THEN 1.1 ELSE 1 END AS p FROM u, (SELECT unnest(range(11)) AS i), (SELECT unnest(range(11)) AS j)),
+o AS (SELECT lam, mu, sum(p) AS s, sum(p) FILTER (i > j) AS h, sum(p) FILTER (i = j) AS d, sum(p) FILTER (i + j > 2) AS v FROM c
+    GROUP BY 1, 2) SELECT match_id, round(h/s, 6) AS ph, round(d/s, 6) AS pd, round(v/s, 6) AS over_25 FROM l JOIN o USING (lam, mu)""", "match")
 def score_matrix(spark, sf):
     i = F.col("match_id")
     x = matches(spark, sf).select("match_id", (0.8 + (i % 17) / 10.0).alias("lam"), (0.6 + (i % 13) / 10.0).alias("mu"))
@@ -275,7 +280,10 @@ def expanding_folds(spark, sf, least=1000):
 
 
 _W = "(1 + ascii(right(a.league, 1)) % 3) / 3.0E0"
-_POOLED = f"pl AS (SELECT a.match_id, {_W} AS w, a.ph AS ah, a.pd AS ad, a.pa AS aa, b.ph AS bh, b.pd AS bd, b.pa AS ba FROM prob a JOIN prob b ON a.match_id = b.match_id AND a.phase = b.phase AND a.book = 0 AND b.book = 1 AND a.phase = 0), pq AS (SELECT match_id, pow(ah, w) * pow(bh, 1 - w) AS h, pow(ad, w) * pow(bd, 1 - w) AS d, pow(aa, w) * pow(ba, 1 - w) AS a FROM pl)"
+_POOLED = f"""pl AS (SELECT a.match_id, {_W} AS w, a.ph AS ah, a.pd AS ad, a.pa AS aa, b.ph AS bh, b.pd AS bd, b.pa AS ba FROM prob a
+    JOIN prob b ON a.match_id = b.match_id AND a.phase = b.phase AND a.book = 0 AND b.book = 1
+    AND a.phase = 0), pq AS (SELECT match_id, pow(ah, w) * pow(bh, 1 - w) AS h, pow(ad, w) * pow(bd, 1 - w) AS d, pow(aa, w) * pow(ba, 1 -
+    w) AS a FROM pl)"""
 
 
 @query("m10_blend", f"WITH {_PROB}, {_POOLED} SELECT match_id, round(h/(h+d+a), 6) AS ph, round(d/(h+d+a), 6) AS pd, round(a/(h+d+a), 6) AS pa FROM pq", "odds")
@@ -441,7 +449,10 @@ def rehearsal(spark, sf):
     return final_rows(spark, sf, "rehearsal")
 
 
-_LIVE = "SELECT league, CASE WHEN m.home = 11 OR m.away = 11 THEN 'unmapped' WHEN EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0) THEN 'stale' WHEN o.d IS NULL THEN 'no_quote' ELSE 'decision' END AS status, count(*) AS n FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 2 AND o.phase = 0 WHERE m.match_date >= date '1997-01-01' GROUP BY 1, 2"
+_LIVE = """SELECT league, CASE WHEN m.home = 11 OR m.away = 11 THEN 'unmapped' WHEN EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp
+    AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0) THEN 'stale'
+    WHEN o.d IS NULL THEN 'no_quote' ELSE 'decision' END AS status, count(*) AS n FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id
+    AND o.book = 2 AND o.phase = 0 WHERE m.match_date >= date '1997-01-01' GROUP BY 1, 2"""
 
 
 def stale(m: DataFrame, days: int = 10) -> DataFrame:
@@ -467,7 +478,8 @@ def live_decisions(spark, sf):
     return live_status(spark, sf).groupBy("league", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m18_staleness", "SELECT match_id FROM fx_match m WHERE EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0)", "match")
+@query("m18_staleness", """SELECT match_id FROM fx_match m WHERE EXISTS (SELECT 1 FROM fx_match b WHERE b.grp = m.grp
+    AND b.match_date < m.match_date AND b.match_date >= m.match_date - 10 AND b.match_id % 50 = 0)""", "match")
 def staleness(spark, sf):
     return stale(matches(spark, sf)).where("stale").select("match_id")
 

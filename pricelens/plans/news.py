@@ -17,10 +17,14 @@ from .registry import query
 TEAMS = ("That United", "With City", "Tion F.C.", "Therea Royal", "Able Athletic", "Unge Sporting", "Keit Club", "Sche Real", "Menta Olympique", "Thisth Town", "Ción Deportivo", "Ador Onen")
 HORIZON, SPAN, MOST_FIXTURES, MOST_EARLIER = 8, 72, 6, 8
 _GENERIC = ", ".join(f"'{w}'" for w in text.GENERIC)
-_TOKEN = f"""words AS (SELECT team, list_filter(regexp_split_to_array(strip_accents(lower(name)), '[^a-z]+'), lambda w: w NOT IN ('', 'f', 'c')) AS w FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TEAMS))}) t(team, name)),
-tokens AS (SELECT team, unnest(CASE WHEN len(own) > 0 THEN own ELSE w END) AS token FROM (SELECT *, list_filter(w, lambda x: length(x) >= 4 AND x NOT IN ({_GENERIC})) AS own FROM words) u)"""
+_TOKEN = f"""words AS (SELECT team, list_filter(regexp_split_to_array(strip_accents(lower(name)), '[^a-z]+'), lambda w: w NOT IN ('', 'f',
+    'c')) AS w FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TEAMS))}) t(team, name)),
+tokens AS (SELECT team, unnest(CASE WHEN len(own) > 0 THEN own ELSE w END) AS token FROM (SELECT *, list_filter(w, lambda x: length(x) >= 4
+    AND x NOT IN ({_GENERIC})) AS own FROM words) u)"""
 _ITEM = "items AS (SELECT doc_id, (doc_id * 7) % 5000 AS hour, date '1996-01-01' + ((doc_id * 7) % 5000 // 24)::int AS day, text FROM documents)"
-_MENTION = f"{_ITEM}, {_TOKEN}, mention AS (SELECT DISTINCT doc_id, hour, day, team FROM (SELECT doc_id, hour, day, unnest(list_distinct(regexp_split_to_array(strip_accents(lower(text)), '[^a-z]+'))) AS word FROM items) w JOIN tokens ON starts_with(word, token))"
+_MENTION = f"""{_ITEM}, {_TOKEN}, mention AS (SELECT DISTINCT doc_id, hour, day, team
+    FROM (SELECT doc_id, hour, day, unnest(list_distinct(regexp_split_to_array(strip_accents(lower(text)), '[^a-z]+'))) AS word
+    FROM items) w JOIN tokens ON starts_with(word, token))"""
 
 
 def token_table(spark, names=TEAMS):
@@ -47,9 +51,12 @@ def mention_counts(spark, sf):
     return mentions(spark, sf).groupBy("team").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j9_candidate_fixtures", f"""WITH {_MENTION}, fx AS (SELECT match_id, match_date, home AS team FROM fx_match UNION SELECT match_id, match_date, away FROM fx_match),
-c AS (SELECT doc_id, match_id, match_date, count(*) AS hits FROM mention m JOIN fx ON fx.team = m.team AND fx.match_date > m.day AND fx.match_date <= m.day + 8 GROUP BY 1, 2, 3)
-SELECT doc_id, match_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, match_date, match_id) AS k FROM c) t WHERE k <= 6""", "match")
+@query("j9_candidate_fixtures", f"""WITH {_MENTION}, fx AS (SELECT match_id, match_date, home AS team FROM fx_match UNION
+    SELECT match_id, match_date, away FROM fx_match),
+c AS (SELECT doc_id, match_id, match_date, count(*) AS hits FROM mention m JOIN fx ON fx.team = m.team AND fx.match_date > m.day
+    AND fx.match_date <= m.day + 8 GROUP BY 1, 2, 3)
+SELECT doc_id, match_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, match_date, match_id) AS k
+    FROM c) t WHERE k <= 6""", "match")
 def candidate_fixtures(spark, sf):
     return next_fixtures(mentions(spark, sf), matches(spark, sf))
 
@@ -72,7 +79,8 @@ def next_fixtures(mentioned, fixtures):
     return c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= MOST_FIXTURES).select("doc_id", "match_id", "hits")
 
 
-@query("j10_cluster_candidates", f"""WITH {_MENTION}, c AS (SELECT DISTINCT a.doc_id, b.doc_id AS earlier, b.hour FROM mention a JOIN mention b ON a.team = b.team AND (b.hour, b.doc_id) < (a.hour, a.doc_id) AND b.hour >= a.hour - 72)
+@query("j10_cluster_candidates", f"""WITH {_MENTION}, c AS (SELECT DISTINCT a.doc_id, b.doc_id AS earlier, b.hour FROM mention a
+    JOIN mention b ON a.team = b.team AND (b.hour, b.doc_id) < (a.hour, a.doc_id) AND b.hour >= a.hour - 72)
 SELECT doc_id, earlier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hour DESC, earlier DESC) AS k FROM c) t WHERE k <= 8""")
 def cluster_candidates(spark, sf):
     """The eight newest earlier items on a shared team within 72 hours. The newest of all are among the newest of
@@ -84,7 +92,9 @@ def cluster_candidates(spark, sf):
     return x.select("doc_id", F.explode(F.slice(F.sort_array("b", asc=False), 1, MOST_EARLIER)["doc_id"]).alias("earlier"))
 
 
-@query("n1_available_at", "SELECT doc_id, greatest((doc_id * 7) % 5000, CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 11) % 5000 END) AS observed, CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 11) % 5000 + 6 END AS archived FROM documents")
+@query("n1_available_at", """SELECT doc_id, greatest((doc_id * 7) % 5000, CASE
+    WHEN doc_id % 3 <> 0 THEN (doc_id * 11) % 5000 END) AS observed, CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 11) % 5000 + 6 END AS archived
+    FROM documents""")
 def available_at(spark, sf):
     """Observed items: the later of now and the claim; archived ones: the claim and a lag."""
     claim = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") * 11) % 5000)
@@ -92,8 +102,10 @@ def available_at(spark, sf):
 
 
 LEVELS = {"none": 0.0, "low": 1 / 3, "medium": 2 / 3, "high": 1.0}
-_ANSWER = """answers AS (SELECT conv_id, turn, role, conv_id % 11 = 0 AS alien, (1 + (conv_id + turn) % 4)::double AS w0, (1 + (conv_id * 3 + turn) % 5)::double AS w1, (1 + (conv_id + turn * 2) % 3)::double AS w2, (1 + (conv_id * 2 + turn * 5) % 6)::double AS w3,
- CASE WHEN conv_id % 13 = 0 AND turn = 0 THEN NULL ELSE ((conv_id * 3 + turn) % 10) / 10.0E0 END AS confidence FROM conversations), shared AS (SELECT *, w0 + w1 + w2 + w3 AS s FROM answers)"""
+_ANSWER = """answers AS (SELECT conv_id, turn, role, conv_id % 11 = 0 AS alien, (1 + (conv_id + turn) % 4)::double AS w0, (1 + (conv_id *
+    3 + turn) % 5)::double AS w1, (1 + (conv_id + turn * 2) % 3)::double AS w2, (1 + (conv_id * 2 + turn * 5) % 6)::double AS w3,
+ CASE WHEN conv_id % 13 = 0 AND turn = 0 THEN NULL ELSE ((conv_id * 3 + turn) % 10) / 10.0E0 END AS confidence
+    FROM conversations), shared AS (SELECT *, w0 + w1 + w2 + w3 AS s FROM answers)"""
 _VALUE = "(w1/s * (1/3::double) + w2/s * (2/3::double) + w3/s)"
 
 
@@ -130,7 +142,9 @@ def level_answer(spark, sf):
     return answers(spark, sf).select("conv_id", "turn", F.round(level_value(F.col("p"), F.col("confidence")), 6).alias("level"))
 
 
-_GATE = "SELECT conv_id, round(max(CASE WHEN turn % 3 = 0 THEN (w1 + w2) / s END), 6) AS belongs, round(max(CASE WHEN turn % 3 = 1 THEN (w2 + w3) / s END), 6) AS reliability, max(turn) AS asked_at FROM shared WHERE NOT alien AND turn < {limit} GROUP BY 1"
+_GATE = """SELECT conv_id, round(max(CASE WHEN turn % 3 = 0 THEN (w1 + w2) / s END), 6) AS belongs, round(max(CASE
+    WHEN turn % 3 = 1 THEN (w2 + w3) / s END), 6) AS reliability, max(turn) AS asked_at FROM shared WHERE NOT alien AND turn < {limit}
+    GROUP BY 1"""
 
 
 def gates(rows, before: int):
@@ -150,9 +164,11 @@ def gates_as_of(spark, sf):
     return gates(answers(spark, sf), 2)
 
 
-@query("n9_feature_vector", f"""WITH {_ANSWER}, v AS (SELECT conv_id, turn % 3 AS q, role, max(CASE WHEN NOT alien AND confidence >= 0.2 THEN {_VALUE} END) AS v FROM shared GROUP BY 1, 2, 3),
+@query("n9_feature_vector", f"""WITH {_ANSWER}, v AS (SELECT conv_id, turn % 3 AS q, role, max(CASE WHEN NOT alien
+    AND confidence >= 0.2 THEN {_VALUE} END) AS v FROM shared GROUP BY 1, 2, 3),
 f AS (SELECT conv_id, q, max(v) FILTER (role = 'user') - coalesce(max(v) FILTER (role = 'assistant'), 0) AS f FROM v GROUP BY 1, 2)
-SELECT conv_id, round(coalesce(sum(f) FILTER (q = 0), 0), 6) AS f0, round(coalesce(sum(f) FILTER (q = 1), 0), 6) AS f1, round(coalesce(sum(f) FILTER (q = 2), 0), 6) AS f2, 3 - count(f) AS missing FROM f GROUP BY 1""")
+SELECT conv_id, round(coalesce(sum(f) FILTER (q = 0), 0), 6) AS f0, round(coalesce(sum(f) FILTER (q = 1), 0), 6) AS f1,
+    round(coalesce(sum(f) FILTER (q = 2), 0), 6) AS f2, 3 - count(f) AS missing FROM f GROUP BY 1""")
 def feature_vector(spark, sf):
     """Home less away for three questions; a side that wasn't asked counts as none, a missing feature as 0."""
     x = answers(spark, sf).withColumn("v", F.when(F.col("confidence") >= 0.2, level_value(F.col("p"), F.col("confidence"))))
@@ -166,7 +182,8 @@ def feature_vector(spark, sf):
 OUTCOMES = ("asked", "no_news", "stale", "deferred", "error", "budget", "outage", "model_drift")
 
 
-@query("n10_final_status", f"SELECT user_id, list_extract({list(OUTCOMES)!r}, min(place)::int) AS status FROM (SELECT user_id, 1 + (user_id * 5 + length(event_type)) % 8 AS place FROM events) t GROUP BY 1")
+@query("n10_final_status", f"""SELECT user_id, list_extract({list(OUTCOMES)!r}, min(place)::int) AS status
+    FROM (SELECT user_id, 1 + (user_id * 5 + length(event_type)) % 8 AS place FROM events) t GROUP BY 1""")
 def final_status(spark, sf):
     """All events; a place follows from the user and the kind of event."""
     return first_status(table(spark, sf, "events"), F.col("user_id") * 5 + F.length("event_type"))
@@ -195,7 +212,9 @@ def retry_rule(spark, sf):
     return tries(spark, sf).select("user_id", F.when(F.col("failed") >= 3, "given_up").when(F.col("failed") > 0, "retry").otherwise("fine").alias("verdict"))
 
 
-@query("n11_work_selection", f"WITH {_TRIES}, s AS (SELECT user_id, last_id, CASE WHEN failed >= 40 THEN 'answered' WHEN attempts < 30 THEN 'no_news' WHEN last_id % 5 = 0 THEN 'stale' END AS reason FROM tries) SELECT user_id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY user_id % 8, reason ORDER BY last_id) > 2 THEN 'deferred' ELSE 'ask' END) AS status FROM s")
+@query("n11_work_selection", f"""WITH {_TRIES}, s AS (SELECT user_id, last_id, CASE WHEN failed >= 40 THEN 'answered'
+    WHEN attempts < 30 THEN 'no_news' WHEN last_id % 5 = 0 THEN 'stale' END AS reason FROM tries) SELECT user_id, coalesce(reason, CASE
+    WHEN row_number() OVER (PARTITION BY user_id % 8, reason ORDER BY last_id) > 2 THEN 'deferred' ELSE 'ask' END) AS status FROM s""")
 def work_selection(spark, sf):
     """Why a key isn't asked; of the rest each shard asks its first two and defers the others."""
     x = tries(spark, sf).withColumn("reason", F.when(F.col("failed") >= 40, "answered").when(F.col("attempts") < 30, "no_news").when(F.col("last_id") % 5 == 0, "stale"))
@@ -219,15 +238,19 @@ def roots(parents, most: int = 40):
 _GROUP = "coalesce(source, '') || '|' || coalesce(lang, '')"
 
 
-@query("n5_cluster_root", f"SELECT doc_id AS id, max(CASE WHEN first_in OR doc_id % 5 = 0 THEN doc_id END) OVER (PARTITION BY g ORDER BY doc_id) AS root FROM (SELECT doc_id, {_GROUP} AS g, row_number() OVER (PARTITION BY {_GROUP} ORDER BY doc_id) = 1 AS first_in FROM (SELECT DISTINCT doc_id, source, lang FROM documents) d) t")
+@query("n5_cluster_root", f"""SELECT doc_id AS id, max(CASE WHEN first_in OR doc_id % 5 = 0 THEN doc_id END) OVER (PARTITION BY g
+    ORDER BY doc_id) AS root FROM (SELECT doc_id, {_GROUP} AS g, row_number() OVER (PARTITION BY {_GROUP} ORDER BY doc_id) = 1 AS first_in
+    FROM (SELECT DISTINCT doc_id, source, lang FROM documents) d) t""")
 def cluster_root(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang").distinct()
     before = F.lag("doc_id").over(Window.partitionBy(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).orderBy("doc_id"))
     return roots(d.select(F.col("doc_id").alias("id"), before.alias("before")).select("id", F.when(F.col("id") % 5 != 0, F.col("before")).alias("parent")))
 
 
-@query("n7_side_tasks", f"""WITH {_MENTION}, t AS (SELECT md5(i.text) AS content, m.team, m.day, min(m.doc_id) AS doc_id FROM mention m JOIN items i USING (doc_id) GROUP BY 1, 2, 3)
-SELECT team, day, n AS items, digest AS set_hash FROM ({digest_sql('team, day', 'substr(content, 1, 3)', 'content', 'content', '(SELECT team, day::varchar AS day, content FROM t) s')}) q""")
+@query("n7_side_tasks", f"""WITH {_MENTION}, t AS (SELECT md5(i.text) AS content, m.team, m.day, min(m.doc_id) AS doc_id FROM mention m
+    JOIN items i USING (doc_id) GROUP BY 1, 2, 3)
+SELECT team, day, n AS items, digest AS set_hash FROM
+    ({digest_sql('team, day', 'substr(content, 1, 3)', 'content', 'content', '(SELECT team, day::varchar AS day, content FROM t) s')}) q""")
 def side_tasks(spark, sf):
     """Items of a team and day, each content once, with the hash of their set."""
     d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("content"))
@@ -236,17 +259,24 @@ def side_tasks(spark, sf):
     return x.select("team", "day", F.col("n").alias("items"), F.col("digest").alias("set_hash"))
 
 
-@query("a36_volume_estimate", f"WITH {_MENTION}, d AS (SELECT day, count(DISTINCT doc_id) AS items, count(*) AS calls FROM mention WHERE day >= date '1996-01-01' AND day < date '1996-01-29' GROUP BY 1) SELECT sum(items)::bigint AS items, sum(calls)::bigint AS calls, round(sum(calls) * 0.002E0, 6) AS cost, sum(calls) > 5000 AS stop FROM d")
+@query("a36_volume_estimate", f"""WITH {_MENTION}, d AS (SELECT day, count(DISTINCT doc_id) AS items, count(*) AS calls FROM mention
+    WHERE day >= date '1996-01-01' AND day < date '1996-01-29' GROUP BY 1)
+    SELECT sum(items)::bigint AS items, sum(calls)::bigint AS calls, round(sum(calls) * 0.002E0, 6) AS cost, sum(calls) > 5000 AS stop
+    FROM d""")
 def volume_estimate(spark, sf):
     """Calls and cost over 28 days and whether the stop rule holds."""
     d = mentions(spark, sf).where("day >= date '1996-01-01' and day < date '1996-01-29'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return d.agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("calls")).select("items", "calls", F.round(F.col("calls") * 0.002, 6).alias("cost"), (F.col("calls") > 5000).alias("stop"))
 
 
-_PRED = "p AS (SELECT lang, quality AS truth, (n_chars BETWEEN 200 AND 20000)::int AS guess, (1 + doc_id % 9) / 10.0E0 AS confidence FROM documents JOIN labels USING (doc_id))"
+_PRED = """p AS (SELECT lang, quality AS truth, (n_chars BETWEEN 200 AND 20000)::int AS guess, (1 + doc_id % 9) / 10.0E0 AS confidence
+    FROM documents JOIN labels USING (doc_id))"""
 
 
-@query("a33_classifier_scores", f"WITH {_PRED} SELECT lang, count(*) AS n, round(avg((truth = guess)::int), 6) AS accuracy, count(*) FILTER (guess = 1 AND truth = 0) AS fp, count(*) FILTER (guess = 0 AND truth = 1) AS fn, round(avg(confidence), 6) AS confidence, count(*) >= 100 AND avg((truth = guess)::int) >= 0.85 AS ready FROM p GROUP BY 1")
+@query("a33_classifier_scores", f"""WITH {_PRED} SELECT lang, count(*) AS n, round(avg((truth = guess)::int), 6) AS accuracy, count(*)
+    FILTER (guess = 1 AND truth = 0) AS fp, count(*) FILTER (guess = 0
+    AND truth = 1) AS fn, round(avg(confidence), 6) AS confidence, count(*) >= 100 AND avg((truth = guess)::int) >= 0.85 AS ready FROM p
+    GROUP BY 1""")
 def classifier_scores(spark, sf):
     x = table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").between(200, 20000).cast("int").alias("guess")).join(table(spark, sf, "labels"), "doc_id")
     right = (F.col("quality") == F.col("guess")).cast("int")

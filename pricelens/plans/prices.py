@@ -26,17 +26,20 @@ def overround(spark, sf):
     return odds(spark, sf).select(*_KEY, _r(P.overround(F.col("o"))).alias("overround")).where("overround is not null")
 
 
-@query("d2_devig_multiplicative", f"WITH {_FULL} SELECT match_id, book, phase, round(qh/book_sum, 6) AS ph, round(qd/book_sum, 6) AS pd, round(qa/book_sum, 6) AS pa FROM full_odds WHERE book_sum >= 1 - 1e-12", "odds")
+@query("d2_devig_multiplicative", f"""WITH {_FULL} SELECT match_id, book, phase, round(qh/book_sum, 6) AS ph, round(qd/book_sum, 6) AS pd,
+    round(qa/book_sum, 6) AS pa FROM full_odds WHERE book_sum >= 1 - 1e-12""", "odds")
 def devig_multiplicative(spark, sf):
     return P.with_fair(P.priced(odds(spark, sf)), "multiplicative").select(*_KEY, *_probs(F.col("p")))
 
 
 _POWER = f"""{_FULL}, sets AS (SELECT DISTINCT qh, qd, qa FROM full_odds WHERE book_sum > 1 + 1e-12),
 steps AS (SELECT * FROM (WITH RECURSIVE s(n, qh, qd, qa, k) AS (SELECT 0, qh, qd, qa, 1.0E0 FROM sets UNION ALL
-  SELECT n + 1, qh, qd, qa, k - (pow(qh,k) + pow(qd,k) + pow(qa,k) - 1) / (pow(qh,k)*ln(qh) + pow(qd,k)*ln(qd) + pow(qa,k)*ln(qa)) FROM s WHERE n < {P.STEPS}) SELECT * FROM s WHERE n = {P.STEPS}))"""
+  SELECT n + 1, qh, qd, qa, k - (pow(qh,k) + pow(qd,k) + pow(qa,k) - 1) / (pow(qh,k)*ln(qh) + pow(qd,k)*ln(qd) + pow(qa,k)*ln(qa)) FROM s
+    WHERE n < {P.STEPS}) SELECT * FROM s WHERE n = {P.STEPS}))"""
 
 
-@query("d3_devig_power", f"WITH {_POWER} SELECT match_id, book, phase, round(pow(f.qh, k), 6) AS ph, round(pow(f.qd, k), 6) AS pd, round(pow(f.qa, k), 6) AS pa FROM full_odds f JOIN steps s ON f.qh = s.qh AND f.qd = s.qd AND f.qa = s.qa", "odds")
+@query("d3_devig_power", f"""WITH {_POWER} SELECT match_id, book, phase, round(pow(f.qh, k), 6) AS ph, round(pow(f.qd, k), 6) AS pd,
+    round(pow(f.qa, k), 6) AS pa FROM full_odds f JOIN steps s ON f.qh = s.qh AND f.qd = s.qd AND f.qa = s.qa""", "odds")
 def devig_power(spark, sf):
     return P.with_fair(P.priced(odds(spark, sf)), "power").select(*_KEY, *_probs(F.col("p")))
 
@@ -44,29 +47,36 @@ def devig_power(spark, sf):
 _SHIN_P = "(sqrt(z*z + 4*(1-z)*{q}*{q}/b) - z) / (2*(1-z))"
 _HALVES = f"""margins AS (SELECT DISTINCT qh, qd, qa, book_sum AS b FROM full_odds WHERE book_sum > 1 + 1e-12),
 halves AS (SELECT * FROM (WITH RECURSIVE s(n, qh, qd, qa, b, lo, hi) AS (SELECT 0, qh, qd, qa, b, 0.0E0, 0.5E0 FROM margins UNION ALL
-  SELECT n + 1, qh, qd, qa, b, CASE WHEN over THEN z ELSE lo END, CASE WHEN over THEN hi ELSE z END FROM (SELECT *, {_SHIN_P.format(q='qh')} + {_SHIN_P.format(q='qd')} + {_SHIN_P.format(q='qa')} > 1 AS over FROM (SELECT *, (lo+hi)/2 AS z FROM s) t) u WHERE n < 48)
+  SELECT n + 1, qh, qd, qa, b, CASE WHEN over THEN z ELSE lo END, CASE WHEN over THEN hi ELSE z END
+    FROM (SELECT *, {_SHIN_P.format(q='qh')} + {_SHIN_P.format(q='qd')} + {_SHIN_P.format(q='qa')} > 1 AS over
+    FROM (SELECT *, (lo+hi)/2 AS z FROM s) t) u WHERE n < 48)
   SELECT *, (lo+hi)/2 AS z FROM s WHERE n = 48))"""
 _SHIN = f"{_FULL}, {_HALVES}"
 
 
-@query("d4_devig_shin", f"WITH {_SHIN} SELECT match_id, book, phase, round({_SHIN_P.format(q='f.qh')}, 6) AS ph, round({_SHIN_P.format(q='f.qd')}, 6) AS pd, round({_SHIN_P.format(q='f.qa')}, 6) AS pa FROM full_odds f JOIN halves s ON f.qh = s.qh AND f.qd = s.qd AND f.qa = s.qa", "odds")
+@query("d4_devig_shin", f"""WITH {_SHIN} SELECT match_id, book, phase, round({_SHIN_P.format(q='f.qh')}, 6) AS ph,
+    round({_SHIN_P.format(q='f.qd')}, 6) AS pd, round({_SHIN_P.format(q='f.qa')}, 6) AS pa FROM full_odds f JOIN halves s ON f.qh = s.qh
+    AND f.qd = s.qd AND f.qa = s.qa""", "odds")
 def devig_shin(spark, sf):
     return P.with_fair(P.priced(odds(spark, sf)), "shin").select(*_KEY, *_probs(F.col("p")))
 
 
-@query("d5_reject_codes", "SELECT league, phase, CASE WHEN d IS NULL THEN 'missing' WHEN h <= 1 OR d <= 1 OR a <= 1 THEN 'price' WHEN 1/h + 1/d + 1/a < 1 - 1e-12 THEN 'margin' END AS code, count(*) AS n FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1, 2, 3", "odds")
+@query("d5_reject_codes", """SELECT league, phase, CASE WHEN d IS NULL THEN 'missing' WHEN h <= 1 OR d <= 1 OR a <= 1 THEN 'price'
+    WHEN 1/h + 1/d + 1/a < 1 - 1e-12 THEN 'margin' END AS code, count(*) AS n FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1, 2, 3""", "odds")
 def reject_codes(spark, sf):
     return odds(spark, sf).withColumn("code", P.reject_code(F.col("o"))).groupBy("league", "phase", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d6_round_consensus", "SELECT match_id, phase, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS a FROM fx_odds WHERE h > 1 AND d > 1 AND a > 1 GROUP BY 1, 2", "odds")
+@query("d6_round_consensus", """SELECT match_id, phase, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS
+    a FROM fx_odds WHERE h > 1 AND d > 1 AND a > 1 GROUP BY 1, 2""", "odds")
 def round_consensus(spark, sf):
     """Means over the books that quote all outcomes; a round without one has no row."""
     x = odds(spark, sf).where(P.complete(F.col("o")).isNotNull())
     return x.groupBy("match_id", "phase").agg(F.count(F.lit(1)).alias("books"), *[_r(F.avg(c)).alias(c) for c in "hda"])
 
 
-_QUOTE = """quotes AS (SELECT match_id, book, phase AS round_no, 0 AS outcome, h AS price FROM fx_odds UNION ALL SELECT match_id, book, phase, 1, d FROM fx_odds WHERE d IS NOT NULL UNION ALL SELECT match_id, book, phase, 2, a FROM fx_odds)"""
+_QUOTE = """quotes AS (SELECT match_id, book, phase AS round_no, 0 AS outcome, h AS price FROM fx_odds UNION ALL
+    SELECT match_id, book, phase, 1, d FROM fx_odds WHERE d IS NOT NULL UNION ALL SELECT match_id, book, phase, 2, a FROM fx_odds)"""
 
 
 def quotes(spark, sf):
@@ -75,7 +85,10 @@ def quotes(spark, sf):
     return x.where("price is not null")
 
 
-@query("d7_closing_last_value", f"WITH {_QUOTE}, last AS (SELECT match_id, book, outcome, arg_max(price, round_no) AS price FROM quotes GROUP BY 1, 2, 3), sets AS (SELECT match_id, book, max(price) FILTER (outcome = 0) AS h, max(price) FILTER (outcome = 1) AS d, max(price) FILTER (outcome = 2) AS a FROM last GROUP BY 1, 2 HAVING count(*) = 3) SELECT match_id, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS a FROM sets GROUP BY 1", "odds")
+@query("d7_closing_last_value", f"""WITH {_QUOTE}, last AS (SELECT match_id, book, outcome, arg_max(price, round_no) AS price FROM quotes
+    GROUP BY 1, 2, 3), sets AS (SELECT match_id, book, max(price) FILTER (outcome = 0) AS h, max(price) FILTER (outcome = 1) AS d,
+    max(price) FILTER (outcome = 2) AS a FROM last GROUP BY 1, 2 HAVING count(*) = 3)
+    SELECT match_id, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS a FROM sets GROUP BY 1""", "odds")
 def closing_last_value(spark, sf):
     """Consensus over each book's last price of every outcome: one shuffle, by match and book, then one by match."""
     at = lambda k: F.max_by("price", F.when(F.col("outcome") == k, F.col("round_no")))
@@ -83,7 +96,10 @@ def closing_last_value(spark, sf):
     return sets.groupBy("match_id").agg(F.count(F.lit(1)).alias("books"), *[_r(F.avg(c)).alias(c) for c in "hda"])
 
 
-@query("d8_closing_last_round", f"WITH {_QUOTE}, r AS (SELECT *, rank() OVER (PARTITION BY match_id ORDER BY round_no DESC) AS k FROM quotes), sets AS (SELECT match_id, book, max(price) FILTER (outcome = 0) AS h, max(price) FILTER (outcome = 1) AS d, max(price) FILTER (outcome = 2) AS a FROM r WHERE k = 1 GROUP BY 1, 2 HAVING count(*) = 3) SELECT match_id, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS a FROM sets GROUP BY 1", "odds")
+@query("d8_closing_last_round", f"""WITH {_QUOTE}, r AS (SELECT *, rank() OVER (PARTITION BY match_id ORDER BY round_no DESC) AS k
+    FROM quotes), sets AS (SELECT match_id, book, max(price) FILTER (outcome = 0) AS h, max(price) FILTER (outcome = 1) AS d, max(price)
+    FILTER (outcome = 2) AS a FROM r WHERE k = 1 GROUP BY 1, 2 HAVING count(*) = 3)
+    SELECT match_id, count(*) AS books, round(avg(h), 6) AS h, round(avg(d), 6) AS d, round(avg(a), 6) AS a FROM sets GROUP BY 1""", "odds")
 def closing_last_round(spark, sf):
     x = quotes(spark, sf).withColumn("k", F.rank().over(Window.partitionBy("match_id").orderBy(F.desc("round_no")))).where("k = 1")
     at = lambda k: F.max(F.when(F.col("outcome") == k, F.col("price")))
@@ -99,7 +115,8 @@ def _consensus(spark, sf):
     return x.groupBy("match_id", "league", "phase").agg(F.count(F.lit(1)).alias("books"), *[F.avg(c).alias(c) for c in "hda"])
 
 
-@query("d9_round_views", f"""WITH {_CONS} SELECT match_id, round(arg_min(h, phase), 6) AS open_h, round(arg_max(h, phase), 6) AS last_h, CASE WHEN match_id % 9 <> 0 THEN round(arg_max(h, phase) FILTER (phase = 1), 6) END AS close_h, match_id % 9 <> 0 AS sealed,
+@query("d9_round_views", f"""WITH {_CONS} SELECT match_id, round(arg_min(h, phase), 6) AS open_h, round(arg_max(h, phase), 6) AS last_h,
+    CASE WHEN match_id % 9 <> 0 THEN round(arg_max(h, phase) FILTER (phase = 1), 6) END AS close_h, match_id % 9 <> 0 AS sealed,
  arg_max(books, phase) AS last_books, count(*) AS rounds, count(*) >= 2 AND max(books) >= 3 AS indexable FROM cons GROUP BY 1""", "odds")
 def round_views(spark, sf):
     """Opening, latest and, of sealed matches, closing round: the latest view of a match that isn't sealed is still open."""
@@ -118,19 +135,26 @@ def _moves(spark, sf, least=3):
     return f.select("match_id", "league", F.zip_with("c.p", "o.p", lambda a, b: (a - b) * 100).alias("move"))
 
 
-@query("d10_movement", f"WITH {_CONS}, {_FAIR} SELECT o.match_id, round((c.ph - o.ph)*100, 6) AS mh, round((c.pd - o.pd)*100, 6) AS md, round((c.pa - o.pa)*100, 6) AS ma FROM fair o JOIN fair c ON o.match_id = c.match_id AND o.phase = 0 AND c.phase = 1 WHERE o.books >= 3 AND c.books >= 3", "odds")
+@query("d10_movement", f"""WITH {_CONS}, {_FAIR} SELECT o.match_id, round((c.ph - o.ph)*100, 6) AS mh, round((c.pd - o.pd)*100, 6) AS md,
+    round((c.pa - o.pa)*100, 6) AS ma FROM fair o JOIN fair c ON o.match_id = c.match_id AND o.phase = 0 AND c.phase = 1 WHERE o.books >= 3
+    AND c.books >= 3""", "odds")
 def movement(spark, sf):
     return _moves(spark, sf).select("match_id", *[_r(F.get("move", i)).alias(n) for i, n in enumerate(("mh", "md", "ma"))])
 
 
-@query("a30_move_distribution", f"WITH {_CONS}, {_FAIR}, m AS (SELECT o.match_id, 100*greatest(abs(c.ph - o.ph), abs(c.pd - o.pd), abs(c.pa - o.pa)) AS x FROM fair o JOIN fair c ON o.match_id = c.match_id AND o.phase = 0 AND c.phase = 1 WHERE o.books >= 3 AND c.books >= 3) SELECT league, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90 FROM m JOIN fx_match USING (match_id) GROUP BY 1 HAVING count(*) >= 5", "odds")
+@query("a30_move_distribution", f"""WITH {_CONS}, {_FAIR}, m AS (SELECT o.match_id, 100*greatest(abs(c.ph - o.ph), abs(c.pd - o.pd),
+    abs(c.pa - o.pa)) AS x FROM fair o JOIN fair c ON o.match_id = c.match_id AND o.phase = 0 AND c.phase = 1 WHERE o.books >= 3
+    AND c.books >= 3) SELECT league, count(*) AS n, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.5), 6) AS p50,
+    round(quantile_cont(x, 0.9), 6) AS p90 FROM m JOIN fx_match USING (match_id) GROUP BY 1 HAVING count(*) >= 5""", "odds")
 def move_distribution(spark, sf):
     x = _moves(spark, sf).withColumn("x", F.array_max(F.transform("move", F.abs)))
     q = x.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(x, array(0.1, 0.5, 0.9))").alias("q")).where("n >= 5")
     return q.select("league", "n", *[_r(F.get("q", i)).alias(c) for i, c in enumerate(("p10", "p50", "p90"))])
 
 
-_PC = "pc AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(d) FILTER (phase = 0) AS d, max(a) FILTER (phase = 0) AS a, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds WHERE d IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 2)"
+_PC = """pc AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(d) FILTER (phase = 0) AS d, max(a) FILTER (phase = 0) AS a,
+    max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds WHERE d IS NOT NULL
+    GROUP BY 1, 2 HAVING count(*) = 2)"""
 
 
 def pre_close(spark, sf):
@@ -139,9 +163,12 @@ def pre_close(spark, sf):
     return x.where("pre is not null and close is not null")
 
 
-_BET = """ref AS (SELECT match_id, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a) AS pa, CASE WHEN 1/ch+1/cd+1/ca >= 1 - 1e-12 THEN 1/ch+1/cd+1/ca END AS cs, ch, cd, ca FROM pc WHERE book = 0 AND 1/h+1/d+1/a >= 1 - 1e-12),
-e AS (SELECT o.match_id, o.book, o.h, o.d, o.a, o.h*ph - 1 AS eh, o.d*pd - 1 AS ed, o.a*pa - 1 AS ea, 1/r.ch/cs AS qh, 1/r.cd/cs AS qd, 1/r.ca/cs AS qa FROM fx_odds o JOIN ref r ON r.match_id = o.match_id WHERE o.phase = 0 AND o.d IS NOT NULL),
-bet AS (SELECT match_id, book, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN 0 WHEN ed >= ea THEN 1 ELSE 2 END AS pick, CASE WHEN eh >= ed AND eh >= ea THEN h*qh WHEN ed >= ea THEN d*qd ELSE a*qa END - 1 AS clv FROM e WHERE greatest(eh, ed, ea) > 0.02)"""
+_BET = """ref AS (SELECT match_id, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a) AS pa, CASE
+    WHEN 1/ch+1/cd+1/ca >= 1 - 1e-12 THEN 1/ch+1/cd+1/ca END AS cs, ch, cd, ca FROM pc WHERE book = 0 AND 1/h+1/d+1/a >= 1 - 1e-12),
+e AS (SELECT o.match_id, o.book, o.h, o.d, o.a, o.h*ph - 1 AS eh, o.d*pd - 1 AS ed, o.a*pa - 1 AS ea, 1/r.ch/cs AS qh, 1/r.cd/cs AS qd,
+    1/r.ca/cs AS qa FROM fx_odds o JOIN ref r ON r.match_id = o.match_id WHERE o.phase = 0 AND o.d IS NOT NULL),
+bet AS (SELECT match_id, book, greatest(eh, ed, ea) AS edge, CASE WHEN eh >= ed AND eh >= ea THEN 0 WHEN ed >= ea THEN 1 ELSE 2 END AS pick,
+    CASE WHEN eh >= ed AND eh >= ea THEN h*qh WHEN ed >= ea THEN d*qd ELSE a*qa END - 1 AS clv FROM e WHERE greatest(eh, ed, ea) > 0.02)"""
 
 
 def bets(spark, sf, least: float = 0.02):
@@ -161,28 +188,36 @@ def best_edge(spark, sf):
     return bets(spark, sf).select("match_id", "book", _r("edge").alias("edge"), "pick", _r("clv").alias("clv"))
 
 
-@query("d12_loglinear_pool", f"""WITH {_PC}, e AS (SELECT match_id, book, exp(0.7*ln(1/h/(1/h+1/d+1/a)) + 0.3*ln(1/ch/(1/ch+1/cd+1/ca))) AS x, exp(0.7*ln(1/d/(1/h+1/d+1/a)) + 0.3*ln(1/cd/(1/ch+1/cd+1/ca))) AS y, exp(0.7*ln(1/a/(1/h+1/d+1/a)) + 0.3*ln(1/ca/(1/ch+1/cd+1/ca))) AS z FROM pc WHERE 1/h+1/d+1/a >= 1 - 1e-12 AND 1/ch+1/cd+1/ca >= 1 - 1e-12)
+@query("d12_loglinear_pool", f"""WITH {_PC}, e AS (SELECT match_id, book, exp(0.7*ln(1/h/(1/h+1/d+1/a)) + 0.3*ln(1/ch/(1/ch+1/cd+1/ca)))
+    AS x, exp(0.7*ln(1/d/(1/h+1/d+1/a)) + 0.3*ln(1/cd/(1/ch+1/cd+1/ca))) AS y, exp(0.7*ln(1/a/(1/h+1/d+1/a)) +
+    0.3*ln(1/ca/(1/ch+1/cd+1/ca))) AS z FROM pc WHERE 1/h+1/d+1/a >= 1 - 1e-12 AND 1/ch+1/cd+1/ca >= 1 - 1e-12)
 SELECT match_id, book, round(x/(x+y+z), 6) AS ph, round(y/(x+y+z), 6) AS pd, round(z/(x+y+z), 6) AS pa FROM e""", "odds")
 def loglinear_pool(spark, sf):
     x = pre_close(spark, sf).withColumns({"p": P.devig(F.col("pre"), "multiplicative"), "q": P.devig(F.col("close"), "multiplicative")}).where("p is not null and q is not null")
     return x.select("match_id", "book", *_probs(P.pool([F.col("p"), F.col("q")], [F.lit(0.7), F.lit(0.3)])))
 
 
-@query("d13_logit_shift", """WITH s AS (SELECT match_id, book, phase, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a) AS pa, 0.1 * (match_id % 5 - 2) AS f FROM fx_odds WHERE d IS NOT NULL AND 1/h+1/d+1/a >= 1 - 1e-12), e AS (SELECT match_id, book, phase, ph*exp(f) AS x, pd AS y, pa*exp(-f) AS z FROM s)
+@query("d13_logit_shift", """WITH s AS (SELECT match_id, book, phase, 1/h/(1/h+1/d+1/a) AS ph, 1/d/(1/h+1/d+1/a) AS pd, 1/a/(1/h+1/d+1/a)
+    AS pa, 0.1 * (match_id % 5 - 2) AS f FROM fx_odds WHERE d IS NOT NULL
+    AND 1/h+1/d+1/a >= 1 - 1e-12), e AS (SELECT match_id, book, phase, ph*exp(f) AS x, pd AS y, pa*exp(-f) AS z FROM s)
 SELECT match_id, book, phase, round(x/(x+y+z), 6) AS ph, round(y/(x+y+z), 6) AS pd, round(z/(x+y+z), 6) AS pa FROM e""", "odds")
 def logit_shift(spark, sf):
     x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "multiplicative")).where("p is not null")
     return x.select(*_KEY, *_probs(P.shift(F.col("p"), 0.1 * (F.col("match_id") % 5 - 2))))
 
 
-@query("d14_rejected_prices", "SELECT league, book, count(*) AS sets, count(*) FILTER (d IS NOT NULL) AS complete, count(*) FILTER (d IS NOT NULL AND 1/h+1/d+1/a < 1 - 1e-12) AS rejected FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1, 2", "odds")
+@query("d14_rejected_prices", """SELECT league, book, count(*) AS sets, count(*) FILTER (d IS NOT NULL) AS complete, count(*) FILTER (d IS
+    NOT NULL AND 1/h+1/d+1/a < 1 - 1e-12) AS rejected FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1, 2""", "odds")
 def rejected_prices(spark, sf):
     x = odds(spark, sf)
     full = P.complete(F.col("o")).isNotNull()
     return x.groupBy("league", "book").agg(F.count(F.lit(1)).alias("sets"), F.count_if(full).alias("complete"), F.count_if(full & P.devig(F.col("o"), "multiplicative").isNull()).alias("rejected"))
 
 
-@query("p9_complete_set", f"WITH {_QUOTE} SELECT match_id, book, round_no, CASE WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 0), 6) END AS h, CASE WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 1), 6) END AS d, CASE WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 2), 6) END AS a FROM quotes GROUP BY 1, 2, 3", "odds")
+@query("p9_complete_set", f"""WITH {_QUOTE} SELECT match_id, book, round_no, CASE
+    WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 0), 6) END AS h, CASE
+    WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 1), 6) END AS d, CASE
+    WHEN count(*) = 3 THEN round(max(price) FILTER (outcome = 2), 6) END AS a FROM quotes GROUP BY 1, 2, 3""", "odds")
 def complete_set(spark, sf):
     x = quotes(spark, sf).groupBy("match_id", "book", "round_no").agg(*[F.max(F.when(F.col("outcome") == k, F.col("price"))).alias(c) for k, c in enumerate("hda")], F.count(F.lit(1)).alias("k"))
     return x.select("match_id", "book", "round_no", *[F.when(F.col("k") == 3, _r(F.col(c))).alias(c) for c in "hda"])
@@ -194,12 +229,14 @@ def pre_closing_only(spark, sf):
     return odds(spark, sf).where("phase = 0 and book = 0 and d is not null").select("match_id", "book", *[_r(F.col(c)).alias(c) for c in "hda"])
 
 
-@query("p16_priced_rows", "SELECT league, count(*) FILTER (d > 1) AS kept, count(*) FILTER (d IS NULL OR d <= 1) AS dropped FROM fx_odds JOIN fx_match USING (match_id) GROUP BY 1", "odds")
+@query("p16_priced_rows", """SELECT league, count(*) FILTER (d > 1) AS kept, count(*) FILTER (d IS NULL OR d <= 1) AS dropped FROM fx_odds
+    JOIN fx_match USING (match_id) GROUP BY 1""", "odds")
 def priced_rows(spark, sf):
     return odds(spark, sf).groupBy("league").agg(F.count_if(F.col("d") > 1).alias("kept"), F.count_if(F.col("d").isNull() | (F.col("d") <= 1)).alias("dropped"))
 
 
-@query("p11_outcome_index", "SELECT match_id, CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END AS y, CASE WHEN home_goals + away_goals > 2 THEN 0 ELSE 1 END AS over_under FROM fx_match", "match")
+@query("p11_outcome_index", """SELECT match_id, CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1
+    ELSE 2 END AS y, CASE WHEN home_goals + away_goals > 2 THEN 0 ELSE 1 END AS over_under FROM fx_match""", "match")
 def outcome_index(spark, sf):
     from ..functions import scores as S
 

@@ -69,8 +69,10 @@ def newton_sql(rows: str, key: str, steps: int = 10) -> str:
     clip = f"least(greatest(p, {CLIP}), 1 - {CLIP})"
     out = [f"nx AS (SELECT {key}, ln({clip} / (1 - {clip})) AS x, hit AS y FROM {rows})", f"b0 AS (SELECT {key}, 0.0::double AS a, 1.0::double AS b FROM nx GROUP BY 1)"]
     for k in range(steps):
-        out.append(f"""b{k + 1} AS (SELECT {key}, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
- SELECT {key}, any_value(a) AS a, any_value(b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (
+        out.append(f"""b{k + 1} AS (SELECT {key}, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) /
+    (h00 * h11 - h01 * h01) AS b FROM (
+ SELECT {key}, any_value(a) AS a, any_value(b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x)
+    AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (
   SELECT nx.*, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM nx JOIN b{k} USING ({key})) t GROUP BY 1) u)""")
     out.append(f"fit AS (SELECT {key}, a, b, n FROM b{steps} JOIN (SELECT {key}, count(*) AS n FROM nx GROUP BY 1) c USING ({key}))")
     return ",\n".join(out)
@@ -80,15 +82,20 @@ def _rest(table: str) -> str:
     return " UNION ALL ".join(f"SELECT league, {p} AS p, (y = {k})::int AS hit FROM {table}" for k, p in enumerate(("ph", "pd", "pa")))
 
 
-@query("a6_calibration", f"WITH {_PROB}, own AS (SELECT * FROM scored WHERE book = 0 AND phase = 1), rest AS ({_rest('own')}), {newton_sql('rest', 'league')} SELECT league, n, round(a, 6) AS intercept, round(b, 6) AS slope, true AS measurable FROM fit", "odds")
+@query("a6_calibration", f"""WITH {_PROB}, own AS (SELECT * FROM scored WHERE book = 0 AND phase = 1),
+    rest AS ({_rest('own')}), {newton_sql('rest', 'league')} SELECT league, n, round(a, 6) AS intercept, round(b, 6) AS slope, true AS
+    measurable FROM fit""", "odds")
 def calibration_by_league(spark, sf):
     return calibration(one_vs_rest(closing_rows(spark, sf), "league"), ["league"])
 
 
-_BOOKS = f"{_RULE}, rest AS ({' UNION ALL '.join(f'SELECT book, {p} AS p, (y = {k})::int AS hit FROM rule' for k, p in enumerate(('ph', 'pd', 'pa')))}), {newton_sql('rest', 'book')}, bins AS (SELECT book, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM rest GROUP BY 1, 2)"
+_BOOKS = f"""{_RULE}, rest AS ({' UNION ALL '.join(f'SELECT book, {p} AS p, (y = {k})::int AS hit FROM rule' for k, p in enumerate(('ph', 'pd', 'pa')))}),
+    {newton_sql('rest', 'book')}, bins AS (SELECT book, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap
+    FROM rest GROUP BY 1, 2)"""
 
 
-@query("a23_score_calibration", f"WITH {_BOOKS} SELECT book, round(a, 6) AS intercept, round(b, 6) AS slope, (SELECT round(sum(n * gap) / sum(n), 6) FROM bins WHERE bins.book = fit.book) AS ece FROM fit", "odds")
+@query("a23_score_calibration", f"""WITH {_BOOKS} SELECT book, round(a, 6) AS intercept, round(b, 6) AS slope, (SELECT round(sum(n * gap) /
+    sum(n), 6) FROM bins WHERE bins.book = fit.book) AS ece FROM fit""", "odds")
 def score_calibration(spark, sf):
     """How well each book of the score table is calibrated."""
     rest = cut(one_vs_rest(forecast_rows(spark, sf), "book"))
@@ -154,10 +161,15 @@ def slope_distance(spark, sf):
 # Leagues are judged on the seasons before this one.
 LAST = 1999
 _OWN = f"own AS (SELECT * FROM scored WHERE book = 0 AND phase = 1 AND season < {LAST})"
-_EFF = f"""{_PROB}, {_OWN}, rest AS ({_rest('own')}), {newton_sql('rest', 'league')}, bins AS (SELECT league, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM rest GROUP BY 1, 2), ece AS (SELECT league, sum(n * gap) / sum(n) AS ece FROM bins GROUP BY 1),
+_EFF = f"""{_PROB}, {_OWN}, rest AS ({_rest('own')}), {newton_sql('rest', 'league')}, bins AS (SELECT league, least(floor(p * 10), 9) AS
+    bin, count(*) AS n, abs(avg(p) - avg(hit)) AS gap FROM rest GROUP BY 1, 2), ece AS (SELECT league, sum(n * gap) / sum(n) AS ece
+    FROM bins GROUP BY 1),
 best AS (SELECT match_id, max(h) AS h, max(d) AS d, max(a) AS a FROM fx_odds WHERE phase = 0 GROUP BY 1),
-cells AS (SELECT s.match_id, s.league, 1/o.h + 1/o.d + 1/o.a - 1 AS margin, s.ll, s.pre, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) + pow(pa - (y=2)::int, 2) AS brier, (pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS rps, (greatest(b.h * ph, b.d * pd, b.a * pa) > 1)::int AS hit
- FROM (SELECT own.*, p.ll AS pre FROM own LEFT JOIN scored p ON p.match_id = own.match_id AND p.book = 0 AND p.phase = 0) s JOIN fx_odds o ON o.match_id = s.match_id AND o.book = 0 AND o.phase = 1 JOIN best b ON b.match_id = s.match_id)"""
+cells AS (SELECT s.match_id, s.league, 1/o.h + 1/o.d + 1/o.a - 1 AS margin, s.ll, s.pre, pow(ph - (y=0)::int, 2) + pow(pd - (y=1)::int, 2) +
+    pow(pa - (y=2)::int, 2) AS brier, (pow(ph - (y<=0)::int, 2) + pow(ph + pd - (y<=1)::int, 2)) / 2 AS rps, (greatest(b.h * ph, b.d * pd,
+    b.a * pa) > 1)::int AS hit
+ FROM (SELECT own.*, p.ll AS pre FROM own LEFT JOIN scored p ON p.match_id = own.match_id AND p.book = 0 AND p.phase = 0) s JOIN fx_odds o
+    ON o.match_id = s.match_id AND o.book = 0 AND o.phase = 1 JOIN best b ON b.match_id = s.match_id)"""
 _CELLS = {"margin": "margin", "log_loss": "ll", "brier": "brier", "rps": "rps", "late_info": "pre - ll", "value_rate": "hit"}
 
 
@@ -184,12 +196,18 @@ def league_rows(spark, sf) -> DataFrame:
 _EFF_COLS = ["margin", "margin_low", "margin_high", "log_loss", "log_loss_low", "log_loss_high", "brier", "rps", "late_info", "late_info_low", "late_info_high", "value_rate", "value_rate_low", "value_rate_high"]
 
 
-@query("a14_league_efficiency", f"SELECT lg.league, coalesce(log_loss_n, 0) AS n, {', '.join(_EFF_COLS)}, slope, ece FROM (SELECT DISTINCT league FROM fx_match) lg LEFT JOIN ({with_draws('cells', 'league', _CELLS, _EFF)}) e USING (league) LEFT JOIN (WITH {_EFF} SELECT fit.league, round(b, 6) AS slope, round(ece, 6) AS ece FROM fit JOIN ece USING (league)) f USING (league)", "odds")
+@query("a14_league_efficiency", f"""SELECT lg.league, coalesce(log_loss_n, 0) AS n, {', '.join(_EFF_COLS)}, slope, ece
+    FROM (SELECT DISTINCT league FROM fx_match) lg LEFT JOIN ({with_draws('cells', 'league', _CELLS, _EFF)}) e USING (league)
+    LEFT JOIN (WITH {_EFF} SELECT fit.league, round(b, 6) AS slope, round(ece, 6) AS ece FROM fit JOIN ece USING (league)) f USING (league)""", "odds")
 def league_efficiency(spark, sf):
     return league_rows(spark, sf).select("league", "n", *_EFF_COLS, "slope", "ece")
 
 
-@query("a14_totals_market", f"SELECT league, margin_n AS n, margin, margin_low, margin_high, log_loss, log_loss_low, log_loss_high, slope FROM ({with_draws('oc', 'league', {'margin': 'margin', 'log_loss': 'll'}, f'{_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1 AND season < {LAST})')}) z JOIN (WITH {_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1 AND season < {LAST}), rest AS (SELECT league, po AS p, (y = 0)::int AS hit FROM oc UNION ALL SELECT league, 1 - po, (y = 1)::int FROM oc), {newton_sql('rest', 'league')} SELECT league, round(b, 6) AS slope FROM fit) f USING (league)", "totals")
+@query("a14_totals_market", f"""SELECT league, margin_n AS n, margin, margin_low, margin_high, log_loss, log_loss_low, log_loss_high, slope
+    FROM ({with_draws('oc', 'league', {'margin': 'margin', 'log_loss': 'll'}, f'{_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1 AND season < {LAST})')})
+    z JOIN (WITH {_OU}, oc AS (SELECT * FROM oul WHERE book = 0 AND phase = 1
+    AND season < {LAST}), rest AS (SELECT league, po AS p, (y = 0)::int AS hit FROM oc UNION ALL SELECT league, 1 - po, (y = 1)::int
+    FROM oc), {newton_sql('rest', 'league')} SELECT league, round(b, 6) AS slope FROM fit) f USING (league)""", "totals")
 def totals_market(spark, sf):
     """The over/under market of each league at closing."""
     x = cut(totals_scored(spark, sf).where(f"book = 0 and phase = 1 and season < {LAST}").select("match_id", "league", "y", "p", "margin", "ll"))
@@ -197,7 +215,11 @@ def totals_market(spark, sf):
     return out.select("league", F.col("margin_n").alias("n"), "margin", "margin_low", "margin_high", "log_loss", "log_loss_low", "log_loss_high", "slope")
 
 
-@query("a18_rankings", f"SELECT league, row_number() OVER (ORDER BY late_info DESC NULLS LAST, league) AS by_late_info, row_number() OVER (ORDER BY abs(slope - 1) DESC NULLS LAST, ece DESC, league) AS by_miss FROM (WITH {_EFF}, l AS (SELECT league, round(avg(pre - ll), 6) AS late_info FROM cells GROUP BY 1) SELECT league, late_info, round(b, 6) AS slope, round(ece, 6) AS ece FROM (SELECT DISTINCT league FROM fx_match) g LEFT JOIN l USING (league) LEFT JOIN fit USING (league) LEFT JOIN ece USING (league)) x", "odds")
+@query("a18_rankings", f"""SELECT league, row_number() OVER (ORDER BY late_info DESC NULLS LAST, league) AS by_late_info, row_number() OVER
+    (ORDER BY abs(slope - 1) DESC NULLS LAST, ece DESC, league) AS by_miss
+    FROM (WITH {_EFF}, l AS (SELECT league, round(avg(pre - ll), 6) AS late_info FROM cells GROUP BY 1)
+    SELECT league, late_info, round(b, 6) AS slope, round(ece, 6) AS ece FROM (SELECT DISTINCT league FROM fx_match) g
+    LEFT JOIN l USING (league) LEFT JOIN fit USING (league) LEFT JOIN ece USING (league)) x""", "odds")
 def rankings(spark, sf):
     """Leagues by late information, and by how far their slope lies from 1."""
     place = lambda *o: F.row_number().over(Window.orderBy(*o)).cast("long")
@@ -230,7 +252,10 @@ def candidates(spark, sf, least=1000, coverage=0.95):
     return good.join(league_tiers(spark, sf, x).where("tier in ('A', 'B')").select("league", "tier"), "league").select("league", "n", "tier")
 
 
-_DRIFT = f"{_FULL}, q AS (SELECT f.match_id, f.book, f.phase, qh/book_sum AS ph, qd/book_sum AS pd, qa/book_sum AS pa FROM full_odds f WHERE f.book < 3), t AS (SELECT a.match_id, (a.match_id * 11) % 96 AS lead, (abs(a.ph - b.ph) + abs(a.pd - b.pd) + abs(a.pa - b.pa)) / 2 AS tv FROM q a JOIN q b ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1), d AS (SELECT CASE WHEN lead < 12 THEN 0 WHEN lead < 36 THEN 1 WHEN lead < 60 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(tv) AS tv FROM t GROUP BY 1)"
+_DRIFT = f"""{_FULL}, q AS (SELECT f.match_id, f.book, f.phase, qh/book_sum AS ph, qd/book_sum AS pd, qa/book_sum AS pa FROM full_odds f
+    WHERE f.book < 3), t AS (SELECT a.match_id, (a.match_id * 11) % 96 AS lead, (abs(a.ph - b.ph) + abs(a.pd - b.pd) + abs(a.pa - b.pa)) / 2
+    AS tv FROM q a JOIN q b ON a.match_id = b.match_id AND a.book = b.book AND a.phase = 0 AND b.phase = 1), d AS (SELECT CASE
+    WHEN lead < 12 THEN 0 WHEN lead < 36 THEN 1 WHEN lead < 60 THEN 2 ELSE 3 END AS bucket, count(*) AS n, avg(tv) AS tv FROM t GROUP BY 1)"""
 
 
 @query("a21_drift_by_lead", f"WITH {_DRIFT} SELECT bucket, n, round(tv, 6) AS tv, coalesce(tv >= lag(tv) OVER (ORDER BY bucket), true) AS rising FROM d", "odds")
@@ -244,7 +269,9 @@ def drift_by_lead(spark, sf):
     return x.select("bucket", "n", _r("m").alias("tv"), F.coalesce(F.col("m") >= F.lag("m").over(Window.orderBy("bucket")), F.lit(True)).alias("rising"))
 
 
-@query("a25_replay_evaluation", f"WITH {_PROB} SELECT a.book, count(*) AS n, round(avg(a.ll), 6) AS log_loss, count(c.match_id) AS with_closing, round(avg(o.h * c.ph - 1), 6) AS clv FROM scored a JOIN fx_odds o ON o.match_id = a.match_id AND o.book = a.book AND o.phase = 0 LEFT JOIN scored c ON c.match_id = a.match_id AND c.book = 1 AND c.phase = 1 WHERE a.phase = 0 GROUP BY 1", "odds")
+@query("a25_replay_evaluation", f"""WITH {_PROB} SELECT a.book, count(*) AS n, round(avg(a.ll), 6) AS log_loss, count(c.match_id) AS
+    with_closing, round(avg(o.h * c.ph - 1), 6) AS clv FROM scored a JOIN fx_odds o ON o.match_id = a.match_id AND o.book = a.book
+    AND o.phase = 0 LEFT JOIN scored c ON c.match_id = a.match_id AND c.book = 1 AND c.phase = 1 WHERE a.phase = 0 GROUP BY 1""", "odds")
 def replay_evaluation(spark, sf):
     """Loss of opening prices, with closing-line value where book 1 closed completely: one grouping by match."""
     x = odds(spark, sf).withColumn("p", P.devig(F.col("o"), "multiplicative")).where("p is not null")
@@ -253,10 +280,14 @@ def replay_evaluation(spark, sf):
     return x.groupBy("book").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("ll")).alias("log_loss"), F.count("close").alias("with_closing"), _r(F.avg(F.col("h") * F.col("close") - 1)).alias("clv"))
 
 
-_FIRST = "firsts AS (SELECT grp, team, min(match_date) AS first_day FROM (SELECT grp, home AS team, match_date FROM fx_match UNION ALL SELECT grp, away, match_date FROM fx_match) t GROUP BY 1, 2)"
+_FIRST = """firsts AS (SELECT grp, team, min(match_date) AS first_day FROM (SELECT grp, home AS team, match_date FROM fx_match UNION ALL
+    SELECT grp, away, match_date FROM fx_match) t GROUP BY 1, 2)"""
 
 
-@query("a26_missing_reasons", f"WITH {_FIRST} SELECT league, CASE WHEN match_id % 24 < 3 THEN 'kickoff_before_decision' WHEN h.first_day >= match_date OR a.first_day >= match_date THEN 'unseen_team' WHEN match_id % 17 = 0 THEN 'other' END AS reason, count(*) AS n FROM fx_match m JOIN firsts h ON h.grp = m.grp AND h.team = home JOIN firsts a ON a.grp = m.grp AND a.team = away GROUP BY 1, 2", "match")
+@query("a26_missing_reasons", f"""WITH {_FIRST} SELECT league, CASE WHEN match_id % 24 < 3 THEN 'kickoff_before_decision'
+    WHEN h.first_day >= match_date OR a.first_day >= match_date THEN 'unseen_team'
+    WHEN match_id % 17 = 0 THEN 'other' END AS reason, count(*) AS n FROM fx_match m JOIN firsts h ON h.grp = m.grp AND h.team = home
+    JOIN firsts a ON a.grp = m.grp AND a.team = away GROUP BY 1, 2""", "match")
 def missing_reasons(spark, sf):
     m = matches(spark, sf)
     f = m.select("grp", "match_date", F.explode(F.array("home", "away")).alias("team")).groupBy("grp", "team").agg(F.min("match_date").alias("first_day"))
@@ -265,10 +296,14 @@ def missing_reasons(spark, sf):
     return x.groupBy("league", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_FUNNEL = "s AS (SELECT m.league, m.match_id, m.match_id % 24 >= 3 AS decided, bool_and(o.d IS NOT NULL) FILTER (o.phase = 0) AS complete, m.match_date < date '2000-01-01' AS settled, bool_or(o.d IS NOT NULL) FILTER (o.phase = 1 AND o.book = 2) AS closed FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id GROUP BY ALL)"
+_FUNNEL = """s AS (SELECT m.league, m.match_id, m.match_id % 24 >= 3 AS decided, bool_and(o.d IS NOT NULL) FILTER (o.phase = 0) AS complete,
+    m.match_date < date '2000-01-01' AS settled, bool_or(o.d IS NOT NULL) FILTER (o.phase = 1 AND o.book = 2) AS closed FROM fx_match m
+    JOIN fx_odds o ON o.match_id = m.match_id GROUP BY ALL)"""
 
 
-@query("a27_coverage_funnel", f"WITH {_FUNNEL} SELECT league, count(*) AS fixtures, count(*) FILTER (decided) AS decided, count(*) FILTER (decided AND complete) AS complete, count(*) FILTER (decided AND complete AND settled) AS settled, count(*) FILTER (decided AND complete AND settled AND closed) AS closed FROM s GROUP BY 1", "odds")
+@query("a27_coverage_funnel", f"""WITH {_FUNNEL} SELECT league, count(*) AS fixtures, count(*) FILTER (decided) AS decided, count(*) FILTER
+    (decided AND complete) AS complete, count(*) FILTER (decided AND complete AND settled) AS settled, count(*) FILTER (decided AND complete
+    AND settled AND closed) AS closed FROM s GROUP BY 1""", "odds")
 def coverage_funnel(spark, sf):
     full = F.col("d").isNotNull()
     x = odds(spark, sf).groupBy("league", "match_id", "match_date").agg(F.bool_and(F.when(F.col("phase") == 0, full)).alias("c"), F.bool_or(F.when((F.col("phase") == 1) & (F.col("book") == 2), full)).alias("z"))
@@ -280,13 +315,23 @@ def coverage_funnel(spark, sf):
 
 #: The day of the report: later matches aren't settled.
 TODAY = "2001-06-01"
-_SHADOW = f"""{_PROB}, lm AS (SELECT m.match_id, m.league, m.match_date < date '{TODAY}' AS settled, o.d IS NULL AS hole, 1/o.h + 1/o.d + 1/o.a < 1 - 1e-12 AS refused, a.ll AS pre, c.ll AS close, b.h AS bh, b.d AS bd, b.a AS ba, b.h * a.ph - 1 AS eh, b.d * a.pd - 1 AS ed, b.a * a.pa - 1 AS ea, c.ph AS qh, c.pd AS qd, c.pa AS qa
- FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 0 AND o.phase = 0 LEFT JOIN scored a ON a.match_id = m.match_id AND a.book = 0 AND a.phase = 0 LEFT JOIN scored c ON c.match_id = m.match_id AND c.book = 2 AND c.phase = 1 LEFT JOIN fx_odds b ON b.match_id = m.match_id AND b.book = 1 AND b.phase = 0),
-sh AS (SELECT match_id, league, settled, hole, refused, pre IS NOT NULL AND settled AND close IS NULL AS bad, CASE WHEN settled THEN pre END AS pre, CASE WHEN settled THEN close END AS close,
- CASE WHEN settled AND close IS NOT NULL AND greatest(eh, ed, ea) > 0.02 THEN CASE WHEN eh >= ed AND eh >= ea THEN bh * qh WHEN ed >= ea THEN bd * qd ELSE ba * qa END - 1 END AS clv FROM lm)"""
-
-
-@query("a28_shadow_report", f"SELECT league, gap_n AS n, model_loss, market_loss, gap, gap_low, gap_high, clv_n AS bets, clv, clv_low, clv_high, incomplete, rejected, unsettled, bad_closing FROM ({with_draws('sh', 'league', {'model_loss': 'CASE WHEN close IS NOT NULL THEN pre END', 'market_loss': 'CASE WHEN pre IS NOT NULL THEN close END', 'gap': 'pre - close', 'clv': 'clv'}, _SHADOW)}) z JOIN (WITH {_SHADOW} SELECT league, count(*) FILTER (hole) AS incomplete, count(*) FILTER (refused) AS rejected, count(*) FILTER (NOT settled) AS unsettled, count(*) FILTER (bad) AS bad_closing FROM sh GROUP BY 1) c USING (league)", "odds")
+_SHADOW = f"""{_PROB}, lm AS (SELECT m.match_id, m.league, m.match_date < date '{TODAY}' AS settled, o.d IS NULL AS hole, 1/o.h + 1/o.d +
+    1/o.a < 1 - 1e-12 AS refused, a.ll AS pre, c.ll AS close, b.h AS bh, b.d AS bd, b.a AS ba, b.h * a.ph - 1 AS eh, b.d * a.pd - 1 AS ed,
+    b.a * a.pa - 1 AS ea, c.ph AS qh, c.pd AS qd, c.pa AS qa
+ FROM fx_match m JOIN fx_odds o ON o.match_id = m.match_id AND o.book = 0 AND o.phase = 0 LEFT JOIN scored a ON a.match_id = m.match_id
+    AND a.book = 0 AND a.phase = 0 LEFT JOIN scored c ON c.match_id = m.match_id AND c.book = 2 AND c.phase = 1 LEFT JOIN fx_odds b
+    ON b.match_id = m.match_id AND b.book = 1 AND b.phase = 0),
+sh AS (SELECT match_id, league, settled, hole, refused, pre IS NOT NULL AND settled AND close IS NULL AS bad, CASE
+    WHEN settled THEN pre END AS pre, CASE WHEN settled THEN close END AS close,
+ CASE WHEN settled AND close IS NOT NULL AND greatest(eh, ed, ea) > 0.02 THEN CASE WHEN eh >= ed AND eh >= ea THEN bh * qh
+    WHEN ed >= ea THEN bd * qd ELSE ba * qa END - 1 END AS clv FROM lm)"""
+
+
+@query("a28_shadow_report", f"""SELECT league, gap_n AS n, model_loss, market_loss, gap, gap_low, gap_high, clv_n AS bets, clv, clv_low,
+    clv_high, incomplete, rejected, unsettled, bad_closing FROM
+    ({with_draws('sh', 'league', {'model_loss': 'CASE WHEN close IS NOT NULL THEN pre END', 'market_loss': 'CASE WHEN pre IS NOT NULL THEN close END', 'gap': 'pre - close', 'clv': 'clv'}, _SHADOW)})
+    z JOIN (WITH {_SHADOW} SELECT league, count(*) FILTER (hole) AS incomplete, count(*) FILTER (refused) AS rejected, count(*) FILTER (NOT
+    settled) AS unsettled, count(*) FILTER (bad) AS bad_closing FROM sh GROUP BY 1) c USING (league)""", "odds")
 def shadow_report(spark, sf):
     """A model (the reference book's opening probabilities) against a closing market (the third book's), with the bets it
     would have made at a second book's opening prices, and what couldn't be judged."""
@@ -301,7 +346,9 @@ def shadow_report(spark, sf):
     return got.join(counts, "league").select("league", F.col("gap_n").alias("n"), "model_loss", "market_loss", "gap", "gap_low", "gap_high", F.col("clv_n").alias("bets"), "clv", "clv_low", "clv_high", "incomplete", "rejected", "unsettled", "bad_closing")
 
 
-_REC = "cl AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd, max(a) FILTER (phase = 1) AS ca FROM fx_odds GROUP BY 1, 2), rec AS (SELECT match_id, book, h/ch/(1/ch+1/cd+1/ca) - 1 AS clv, h/ch/(1/ch+1/cd+1/ca) - 1 + CASE WHEN match_id % 97 = 0 THEN 0.001 ELSE 0 END AS stored FROM cl WHERE 1/ch+1/cd+1/ca >= 1 - 1e-12)"
+_REC = """cl AS (SELECT match_id, book, max(h) FILTER (phase = 0) AS h, max(h) FILTER (phase = 1) AS ch, max(d) FILTER (phase = 1) AS cd,
+    max(a) FILTER (phase = 1) AS ca FROM fx_odds GROUP BY 1, 2), rec AS (SELECT match_id, book, h/ch/(1/ch+1/cd+1/ca) - 1 AS clv,
+    h/ch/(1/ch+1/cd+1/ca) - 1 + CASE WHEN match_id % 97 = 0 THEN 0.001 ELSE 0 END AS stored FROM cl WHERE 1/ch+1/cd+1/ca >= 1 - 1e-12)"""
 
 
 def records(spark, sf):
@@ -310,7 +357,8 @@ def records(spark, sf):
     return x.select("match_id", "book", "league", "clv", (F.col("clv") + F.when(F.col("match_id") % 97 == 0, 0.001).otherwise(0.0)).alias("stored"))
 
 
-@query("a32_record_mismatches", f"WITH {_REC} SELECT match_id, book, round(stored - clv, 6) AS off FROM rec WHERE abs(stored - clv) > greatest(1e-9, 1e-9 * greatest(abs(stored), abs(clv)))", "odds")
+@query("a32_record_mismatches", f"""WITH {_REC} SELECT match_id, book, round(stored - clv, 6) AS off FROM rec
+    WHERE abs(stored - clv) > greatest(1e-9, 1e-9 * greatest(abs(stored), abs(clv)))""", "odds")
 def record_mismatches(spark, sf):
     off = F.col("stored") - F.col("clv")
     return records(spark, sf).where(F.abs(off) > F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs("stored"), F.abs("clv")))).select("match_id", "book", _r(off).alias("off"))
@@ -322,10 +370,13 @@ def record_summary(spark, sf):
     return named(intervals(records(spark, sf), {"clv": F.col("clv")}, "match_id", ["league"]), ["league"], "clv")
 
 
-_SPEND = "s AS (SELECT event_id, ts, year(ts) * 100 + month(ts) AS month, event_type, CASE WHEN event_type = 'error' THEN 5 ELSE round(value)::bigint END AS cost FROM events)"
+_SPEND = """s AS (SELECT event_id, ts, year(ts) * 100 + month(ts) AS month, event_type, CASE WHEN event_type = 'error' THEN 5
+    ELSE round(value)::bigint END AS cost FROM events)"""
 
 
-@query("a34_spend_cap", f"WITH {_SPEND}, r AS (SELECT *, sum(cost) OVER (PARTITION BY month ORDER BY ts, event_id) AS upto FROM s) SELECT month, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed, sum(cost)::bigint AS total, count(*) FILTER (upto > 100000) AS over_cap, sum(cost) > 100000 AS spent FROM r GROUP BY 1")
+@query("a34_spend_cap", f"""WITH {_SPEND}, r AS (SELECT *, sum(cost) OVER (PARTITION BY month ORDER BY ts, event_id) AS upto FROM s)
+    SELECT month, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed, sum(cost)::bigint AS total, count(*) FILTER (upto >
+    100000) AS over_cap, sum(cost) > 100000 AS spent FROM r GROUP BY 1""")
 def spend_cap(spark, sf, cap=100_000):
     """Spend of each calendar month (UTC) in the order of calls against a cap; failed calls count with their estimate.
 
@@ -340,7 +391,10 @@ def spend_cap(spark, sf, cap=100_000):
     return x.groupBy("month").agg(F.count(F.lit(1)).alias("calls"), F.count_if("failed").alias("failed"), F.sum("cost").alias("total"), F.count_if(F.col("upto") > cap).alias("over_cap"), (F.sum("cost") > cap).alias("spent"))
 
 
-@query("a35_slice_counter", "SELECT version, n, recent, round(recent / 4.0E0, 6) AS weekly, CASE WHEN n < 900 AND recent > 0 THEN ceil((900 - n) * 28.0E0 / recent)::bigint END AS days_left FROM (SELECT user_id % 10 AS version, count(*) AS n, count(*) FILTER (epoch(ts)::bigint // 86400 > 19723 - 28 + 10) AS recent FROM events GROUP BY 1) t")
+@query("a35_slice_counter", """SELECT version, n, recent, round(recent / 4.0E0, 6) AS weekly, CASE WHEN n < 900
+    AND recent > 0 THEN ceil((900 - n) * 28.0E0 / recent)::bigint END AS days_left
+    FROM (SELECT user_id % 10 AS version, count(*) AS n, count(*) FILTER (epoch(ts)::bigint // 86400 > 19723 - 28 + 10) AS recent
+    FROM events GROUP BY 1) t""")
 def slice_counter(spark, sf, target=900, today=19733):
     """Decisions of each version, the weekly rate over 28 days and the days left to a target."""
     day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)

@@ -13,7 +13,8 @@ from .registry import query
 
 # The rows' faults go by the match's number: date, team, goals, result, width.
 _DAY = "CASE WHEN match_id % 19 = 0 THEN '31/02/1999' ELSE strftime(match_date, '%d/%m/%Y') END"
-_FAULT = "CASE WHEN match_id % 37 = 0 THEN 'width' WHEN match_id % 19 = 0 THEN 'date' WHEN match_id % 23 = 0 THEN 'time' WHEN match_id % 29 = 0 THEN 'team' WHEN match_id % 31 = 0 THEN 'goals' WHEN match_id % 41 = 0 THEN 'result' END"
+_FAULT = """CASE WHEN match_id % 37 = 0 THEN 'width' WHEN match_id % 19 = 0 THEN 'date' WHEN match_id % 23 = 0 THEN 'time'
+    WHEN match_id % 29 = 0 THEN 'team' WHEN match_id % 31 = 0 THEN 'goals' WHEN match_id % 41 = 0 THEN 'result' END"""
 
 
 def wide_rows(spark, sf):
@@ -42,26 +43,34 @@ def row_validation(spark, sf):
     return x.groupBy("league", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s4_file_duplicates", "SELECT match_id FROM (SELECT match_id, row_number() OVER (PARTITION BY league, match_date, home, away ORDER BY match_id) AS k FROM fx_match) t WHERE k > 1", "match")
+@query("s4_file_duplicates", """SELECT match_id FROM (SELECT match_id, row_number() OVER (PARTITION BY league, match_date, home, away
+    ORDER BY match_id) AS k FROM fx_match) t WHERE k > 1""", "match")
 def file_duplicates(spark, sf):
     """The second and later rows of a day and pair of teams in a league's file."""
     k = F.row_number().over(Window.partitionBy("league", "match_date", "home", "away").orderBy("match_id"))
     return matches(spark, sf).withColumn("k", k).where("k > 1").select("match_id")
 
 
-@query("s5_unpivot_odds", "SELECT CASE book WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS book, outcome, CASE phase WHEN 1 THEN 'closing' ELSE 'pre' END AS phase, count(*) AS n, count(*) FILTER (match_id % 43 = 0 AND book = 1) AS invalid, round(avg(CASE WHEN NOT (match_id % 43 = 0 AND book = 1) THEN p END), 5) AS mean_price FROM (SELECT match_id, book, phase, 'H' AS outcome, h AS p FROM fx_odds UNION ALL SELECT match_id, book, phase, 'D', d FROM fx_odds WHERE d IS NOT NULL UNION ALL SELECT match_id, book, phase, 'A', a FROM fx_odds) t WHERE book < 3 GROUP BY 1, 2, 3", "odds")
+@query("s5_unpivot_odds", """SELECT CASE book WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS book, outcome, CASE phase
+    WHEN 1 THEN 'closing' ELSE 'pre' END AS phase, count(*) AS n, count(*) FILTER (match_id % 43 = 0
+    AND book = 1) AS invalid, round(avg(CASE WHEN NOT (match_id % 43 = 0 AND book = 1) THEN p END), 5) AS mean_price
+    FROM (SELECT match_id, book, phase, 'H' AS outcome, h AS p FROM fx_odds UNION ALL SELECT match_id, book, phase, 'D', d FROM fx_odds
+    WHERE d IS NOT NULL UNION ALL SELECT match_id, book, phase, 'A', a FROM fx_odds) t WHERE book < 3 GROUP BY 1, 2, 3""", "odds")
 def unpivot_odds(spark, sf):
     x = wide.unpivot_odds(wide_rows(spark, sf), ["match_id"], ("X", "Y", "Z"))
     return x.groupBy("book", "outcome", "phase").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("invalid"), F.round(F.avg("price"), 5).alias("mean_price"))
 
 
-@query("s6_stats_map", "SELECT league, count(*) FILTER (match_id % 3 <> 0) AS n, sum(CASE WHEN match_id % 3 <> 0 THEN match_id % 20 END)::bigint AS total FROM fx_match GROUP BY 1", "match")
+@query("s6_stats_map", """SELECT league, count(*) FILTER (match_id % 3 <> 0) AS n, sum(CASE
+    WHEN match_id % 3 <> 0 THEN match_id % 20 END)::bigint AS total FROM fx_match GROUP BY 1""", "match")
 def stats_map(spark, sf):
     x = wide_rows(spark, sf).select("league", wide.stats(F.col("cells"), ("HS",))["HS"].alias("hs"))
     return x.groupBy("league").agg(F.count("hs").alias("n"), F.sum("hs").alias("total"))
 
 
-@query("s7_flatten_odds", "SELECT match_id::varchar AS id, 'b' || book AS book, outcome, round(p, 6) AS price FROM (SELECT match_id, book, 'home' AS outcome, h AS p FROM fx_odds WHERE phase = 0 UNION ALL SELECT match_id, book, 'draw', d FROM fx_odds WHERE phase = 0 AND d IS NOT NULL UNION ALL SELECT match_id, book, 'away', a FROM fx_odds WHERE phase = 0) t", "odds")
+@query("s7_flatten_odds", """SELECT match_id::varchar AS id, 'b' || book AS book, outcome, round(p, 6) AS price
+    FROM (SELECT match_id, book, 'home' AS outcome, h AS p FROM fx_odds WHERE phase = 0 UNION ALL SELECT match_id, book, 'draw', d
+    FROM fx_odds WHERE phase = 0 AND d IS NOT NULL UNION ALL SELECT match_id, book, 'away', a FROM fx_odds WHERE phase = 0) t""", "odds")
 def flatten_odds(spark, sf):
     """Odds as nested JSON texts, flattened again."""
     o = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("price")) for n, c in (("home", "h"), ("draw", "d"), ("away", "a"))]), lambda v: v["price"].isNotNull())
@@ -70,7 +79,9 @@ def flatten_odds(spark, sf):
     return x.select("id", "book", "outcome", F.round("price", 6).alias("price"))
 
 
-@query("s8_parse_scores", "SELECT match_id::varchar AS id, CASE WHEN match_id % 4 = 0 THEN 'open' WHEN match_id % 7 = 0 THEN 'no_score' ELSE 'settled' END AS status, CASE WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN home_goals END AS home_goals, CASE WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN away_goals END AS away_goals FROM fx_match", "match")
+@query("s8_parse_scores", """SELECT match_id::varchar AS id, CASE WHEN match_id % 4 = 0 THEN 'open' WHEN match_id % 7 = 0 THEN 'no_score'
+    ELSE 'settled' END AS status, CASE WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN home_goals END AS home_goals, CASE
+    WHEN match_id % 4 <> 0 AND match_id % 7 <> 0 THEN away_goals END AS away_goals FROM fx_match""", "match")
 def parse_scores(spark, sf):
     """Score documents whose entries stand in either order."""
     i = F.col("match_id")
@@ -80,7 +91,9 @@ def parse_scores(spark, sf):
     return D.parse_scores(matches(spark, sf).select(F.to_json(F.struct(i.cast("string").alias("id"), (i % 4 != 0).alias("completed"), name("home").alias("home_team"), name("away").alias("away_team"), scores.alias("scores"))).alias("payload")))
 
 
-@query("s13_fixture_upsert", "SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.team ELSE o.team END AS team, coalesce(n.begins, o.begins) AS begins FROM (SELECT match_id AS id, home AS team, season AS begins FROM fx_match) o FULL JOIN (SELECT match_id * 2 AS id, away AS team, season + 1 AS begins FROM fx_match) n ON o.id = n.id", "match")
+@query("s13_fixture_upsert", """SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN n.team
+    ELSE o.team END AS team, coalesce(n.begins, o.begins) AS begins FROM (SELECT match_id AS id, home AS team, season AS begins
+    FROM fx_match) o FULL JOIN (SELECT match_id * 2 AS id, away AS team, season + 1 AS begins FROM fx_match) n ON o.id = n.id""", "match")
 def fixture_upsert(spark, sf):
     """The table has every match, the batch every match under twice its number, each twice with another time."""
     m = matches(spark, sf)
@@ -98,7 +111,8 @@ def ledger_append(spark, sf):
     return sinks.new_rows(o, have, ["h"]).select("match_id")
 
 
-@query("s15_result_append", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("s15_result_append", """SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer
+    WHERE c_nationkey < 10) AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def result_append(spark, sf):
     """Results of known fixtures that have none yet."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), "o_orderstatus")
@@ -106,7 +120,8 @@ def result_append(spark, sf):
     return sinks.new_rows(o.select("k").join(known, "k", "left_semi"), o.where("o_orderstatus = 'P'"), ["k"])
 
 
-@query("s16_prediction_append", "SELECT DISTINCT l_orderkey AS match_id, l_suppkey AS config FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("s16_prediction_append", """SELECT DISTINCT l_orderkey AS match_id, l_suppkey AS config FROM lineitem WHERE l_returnflag = 'N' EXCEPT
+    SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'""")
 def prediction_append(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("config"), "l_returnflag")
     return sinks.new_rows(x.where("l_returnflag = 'N'"), x.where("l_returnflag = 'R'"), ["match_id", "config"]).select("match_id", "config")
@@ -137,7 +152,8 @@ def _wide_files(spark, sf, surplus) -> str:
     return path
 
 
-@query("s1_wide_scan", "SELECT match_id, league, season::varchar AS season, 'Team, ' || home::varchar AS home, 'Team, ' || away::varchar AS away, home_goals::int AS home_goals, strftime(match_date, '%Y-%m-%d') AS day FROM fx_match", "match")
+@query("s1_wide_scan", """SELECT match_id, league, season::varchar AS season, 'Team, ' || home::varchar AS home, 'Team, ' || away::varchar
+    AS away, home_goals::int AS home_goals, strftime(match_date, '%Y-%m-%d') AS day FROM fx_match""", "match")
 def wide_scan(spark, sf):
     """Matches written as wide files of both layouts and read again; a main file's season is that of its path."""
     path, out = _wide_files(spark, sf, F.lit("")), None
@@ -150,7 +166,8 @@ def wide_scan(spark, sf):
     return out
 
 
-@query("s3_ragged_rows", "SELECT match_id, 7 + (league IN ('L3', 'L4'))::int + CASE match_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS width, match_id % 4 <> 2 AS fits FROM fx_match", "match")
+@query("s3_ragged_rows", """SELECT match_id, 7 + (league IN ('L3', 'L4'))::int + CASE match_id % 4 WHEN 1 THEN 2 WHEN 2 THEN 1
+    ELSE 0 END AS width, match_id % 4 <> 2 AS fits FROM fx_match""", "match")
 def ragged_rows(spark, sf):
     """Lines longer than their header fit if what is left over is blank."""
     k = F.col("match_id") % 4
@@ -158,7 +175,8 @@ def ragged_rows(spark, sf):
     return x.select(F.col("cells")["Id"].cast("long").alias("match_id"), "width", "fits")
 
 
-@query("s9_feed_items", "SELECT 'https://n/' || doc_id::varchar AS link, CASE WHEN doc_id % 5 <> 0 THEN (1767225600 + doc_id * 60)::bigint END AS claimed, doc_id % 5 <> 0 AS is_source_provided FROM documents")
+@query("s9_feed_items", """SELECT 'https://n/' || doc_id::varchar AS link, CASE
+    WHEN doc_id % 5 <> 0 THEN (1767225600 + doc_id * 60)::bigint END AS claimed, doc_id % 5 <> 0 AS is_source_provided FROM documents""")
 def feed_items(spark, sf):
     """Documents written as feed items, some without a date, and read again; times have an offset of three hours."""
     i = F.col("doc_id")
@@ -171,8 +189,10 @@ def feed_items(spark, sf):
     return D.read_feed(spark, path).select("link", F.unix_timestamp("claimed").alias("claimed"), "is_source_provided")
 
 
-@query("s9_sitemap_faults", """SELECT doc_id // 100 AS file, CASE WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) END AS urls, CASE WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) FILTER (doc_id % 301 = 300) END AS undated,
- CASE WHEN doc_id // 100 % 7 = 6 THEN 'index' WHEN count(*) FILTER (doc_id % 301 = 300) > 0 THEN 'undated' ELSE 'ok' END AS verdict FROM documents GROUP BY doc_id // 100""")
+@query("s9_sitemap_faults", """SELECT doc_id // 100 AS file, CASE WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) END AS urls, CASE
+    WHEN doc_id // 100 % 7 = 6 THEN 0 ELSE count(*) FILTER (doc_id % 301 = 300) END AS undated,
+ CASE WHEN doc_id // 100 % 7 = 6 THEN 'index' WHEN count(*) FILTER (doc_id % 301 = 300) > 0 THEN 'undated' ELSE 'ok' END AS verdict
+    FROM documents GROUP BY doc_id // 100""")
 def sitemap_faults(spark, sf):
     """Documents written as sitemaps of a hundred ids, every seventh an index, some rows without a date."""
     i = F.col("doc_id")
@@ -196,11 +216,14 @@ def _document_files(spark, sf, change) -> str:
     return path
 
 
-_FILE = "SELECT coalesce(source, 'none') AS source, doc_id // 250 AS part, string_agg(coalesce(text, '') || {change} || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2"
+_FILE = """SELECT coalesce(source, 'none') AS source, doc_id // 250 AS part, string_agg(coalesce(text, '') || {change} || chr(10), ''
+    ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2"""
 
 
-@query("s12_changed_files", f"""WITH a AS ({_FILE.format(change="''")}), b AS ({_FILE.format(change="CASE WHEN doc_id // 250 % 3 = 0 THEN '!' ELSE '' END")})
-SELECT b.source, b.part, sha256(b.content) AS sha, strlen(b.content) AS bytes, CASE WHEN a.content = b.content THEN 1 ELSE 2 END AS round, 2 AS attempts, 0 AS failed FROM a JOIN b USING (source, part) UNION ALL SELECT 'gone', 0, NULL, NULL, NULL, 1, 1""")
+@query("s12_changed_files", f"""WITH a AS ({_FILE.format(change="''")}),
+    b AS ({_FILE.format(change="CASE WHEN doc_id // 250 % 3 = 0 THEN '!' ELSE '' END")})
+SELECT b.source, b.part, sha256(b.content) AS sha, strlen(b.content) AS bytes, CASE WHEN a.content = b.content THEN 1
+    ELSE 2 END AS round, 2 AS attempts, 0 AS failed FROM a JOIN b USING (source, part) UNION ALL SELECT 'gone', 0, NULL, NULL, NULL, 1, 1""")
 def changed_files(spark, sf):
     """Two rounds of files, read as they lie: a third changes in the second, which also asks for a file that isn't there.
     The current version of each path, and how often it was asked for, and in vain."""

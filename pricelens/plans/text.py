@@ -35,7 +35,8 @@ def slug(spark, sf):
     return names(spark, sf).select("p_partkey", T.slug(F.col("name")).alias("slug"))
 
 
-@query("p18_source_policy", "SELECT lang, count(*) AS n FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY source HAVING avg(n_chars) > 1000 AND max(doc_id) % 2 = 0) GROUP BY 1")
+@query("p18_source_policy", """SELECT lang, count(*) AS n FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY source
+    HAVING avg(n_chars) > 1000 AND max(doc_id) % 2 = 0) GROUP BY 1""")
 def source_policy(spark, sf):
     """Items of sources that the policy table doesn't close; the policy comes from the sources' own figures."""
     d = table(spark, sf, "documents")
@@ -43,21 +44,27 @@ def source_policy(spark, sf):
     return d.where("source is not null").join(closed, "source", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p20_label_phrase", "SELECT p_partkey FROM part WHERE regexp_matches(' ' || lower(p_name) || ' ', ' widget ') AND NOT regexp_matches(' ' || lower(p_name) || ' ', ' (cold|hot) ')")
+@query("p20_label_phrase", """SELECT p_partkey FROM part WHERE regexp_matches(' ' || lower(p_name) || ' ', ' widget ')
+    AND NOT regexp_matches(' ' || lower(p_name) || ' ', ' (cold|hot) ')""")
 def label_phrase(spark, sf):
     return table(spark, sf, "part").where(T.has_phrase(F.col("p_name"), "widget", ("cold", "hot"))).select("p_partkey")
 
 
-_KIND = "CASE p_partkey % 9 WHEN 0 THEN p_partkey || '.-TL PARA CEZASI ve İHTAR CEZASI' WHEN 1 THEN p_size || ' RESMİ MÜSABAKADAN MEN CEZASI' WHEN 2 THEN '(3-0) HÜKMEN MAĞLUP' WHEN 3 THEN 'İHTAR CEZASI' ELSE p_name END"
+_KIND = """CASE p_partkey % 9 WHEN 0 THEN p_partkey || '.-TL PARA CEZASI ve İHTAR CEZASI'
+    WHEN 1 THEN p_size || ' RESMİ MÜSABAKADAN MEN CEZASI' WHEN 2 THEN '(3-0) HÜKMEN MAĞLUP' WHEN 3 THEN 'İHTAR CEZASI' ELSE p_name END"""
 
 
-@query("s10_sanction_rules", "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'para' WHEN 1 THEN 'men' WHEN 2 THEN 'hukmen_maglubiyet' WHEN 3 THEN 'ihtar' ELSE 'other' END AS kind, CASE p_partkey % 9 WHEN 0 THEN p_partkey::varchar WHEN 1 THEN p_size::varchar WHEN 2 THEN '3-0' END AS amount FROM part")
+@query("s10_sanction_rules", """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'para' WHEN 1 THEN 'men' WHEN 2 THEN 'hukmen_maglubiyet'
+    WHEN 3 THEN 'ihtar' ELSE 'other' END AS kind, CASE p_partkey % 9 WHEN 0 THEN p_partkey::varchar WHEN 1 THEN p_size::varchar
+    WHEN 2 THEN '3-0' END AS amount FROM part""")
 def sanction_rules(spark, sf):
     x = table(spark, sf, "part").select("p_partkey", T.sanction(F.expr(_KIND)).alias("s"))
     return x.select("p_partkey", "s.kind", "s.amount")
 
 
-@query("q6_text_hygiene", "SELECT source, count(*) FILTER (regexp_matches(text, 'https?://')) AS links, count(*) FILTER (regexp_matches(text, '<[A-Za-z/!][^>]*>')) AS markup, count(*) FILTER (regexp_matches(text, '(AKIA[A-Z0-9]{12,}|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)')) AS credentials FROM documents GROUP BY 1")
+@query("q6_text_hygiene", """SELECT source, count(*) FILTER (regexp_matches(text, 'https?://')) AS links, count(*) FILTER
+    (regexp_matches(text, '<[A-Za-z/!][^>]*>')) AS markup, count(*) FILTER (regexp_matches(text,
+    '(AKIA[A-Z0-9]{12,}|[A-Za-z0-9._-]+@[A-Za-z0-9.-]+)')) AS credentials FROM documents GROUP BY 1""")
 def text_hygiene(spark, sf):
     """Texts with links, markup or credential patterns, by source."""
     t = F.col("text")

@@ -15,7 +15,8 @@ def latest_per_key(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
 
 
-@query("w3_change_log", "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before IS DISTINCT FROM event_type")
+@query("w3_change_log", """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id
+    ORDER BY event_id) AS before FROM events) t WHERE before IS DISTINCT FROM event_type""")
 def change_log(spark, sf):
     """Rows that differ from their key's value before."""
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -39,7 +40,9 @@ def replay_order(spark, sf):
     return x.select("match_id", (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
-@query("w6_usual_gap", "SELECT grp, count(*) AS gaps, round(quantile_cont(gap, 0.9), 6) AS p90 FROM (SELECT grp, (match_date - lag(match_date) OVER (PARTITION BY grp ORDER BY match_date))::int AS gap FROM (SELECT DISTINCT grp, match_date FROM fx_match) d) t WHERE gap <= 10 GROUP BY 1 HAVING count(*) >= 10", "match")
+@query("w6_usual_gap", """SELECT grp, count(*) AS gaps, round(quantile_cont(gap, 0.9), 6) AS p90
+    FROM (SELECT grp, (match_date - lag(match_date) OVER (PARTITION BY grp ORDER BY match_date))::int AS gap
+    FROM (SELECT DISTINCT grp, match_date FROM fx_match) d) t WHERE gap <= 10 GROUP BY 1 HAVING count(*) >= 10""", "match")
 def usual_gap(spark, sf):
     d = matches(spark, sf).select("grp", "match_date").distinct()
     x = d.withColumn("gap", F.datediff("match_date", F.lag("match_date").over(Window.partitionBy("grp").orderBy("match_date")))).where("gap <= 10")
@@ -81,18 +84,25 @@ def lag_test(m, decisions):
 _DECIDED = "(CASE WHEN isodow(match_date) BETWEEN 2 AND 4 THEN match_date - (isodow(match_date) - 2)::int ELSE match_date - ((isodow(match_date) + 2) % 7)::int END)::date"
 
 
-@query("w6_lag_test", f"""WITH days AS (SELECT DISTINCT league AS region, grp AS league, match_date AS day FROM fx_match), gaps AS (SELECT *, day - lag(day) OVER (PARTITION BY region, league ORDER BY day) AS gap FROM days),
-ask AS (SELECT DISTINCT l.region, l.league, d.day AS decided FROM days l JOIN (SELECT DISTINCT league AS region, {_DECIDED} AS day FROM fx_match) d ON d.region = l.region),
-past AS (SELECT a.region, a.league, decided, max(day) AS last, count(day) AS n, list(gap ORDER BY gap) FILTER (gap <= {REGULAR} AND decided - day <= {YEAR}) AS regular FROM ask a LEFT JOIN gaps g ON g.region = a.region AND g.league = a.league AND g.day < decided GROUP BY 1, 2, 3),
-u AS (SELECT *, (decided - last)::int AS gap, CASE WHEN n >= {DAYS_NEEDED} AND decided - last <= {IN_SEASON} AND len(regular) > 0 THEN (regular[floor({QUANTILE} * (len(regular) - 1))::int + 1] + 1)::int END AS usual FROM past)
-SELECT region, league, decided, gap, usual, coalesce(gap > usual AND max(last) OVER (PARTITION BY region, decided) > last, false) AS lagging FROM u""", "match")
+@query("w6_lag_test", f"""WITH days AS (SELECT DISTINCT league AS region, grp AS league, match_date AS day
+    FROM fx_match), gaps AS (SELECT *, day - lag(day) OVER (PARTITION BY region, league ORDER BY day) AS gap FROM days),
+ask AS (SELECT DISTINCT l.region, l.league, d.day AS decided FROM days l JOIN (SELECT DISTINCT league AS region, {_DECIDED} AS day
+    FROM fx_match) d ON d.region = l.region),
+past AS (SELECT a.region, a.league, decided, max(day) AS last, count(day) AS n, list(gap ORDER BY gap) FILTER (gap <= {REGULAR}
+    AND decided - day <= {YEAR}) AS regular FROM ask a LEFT JOIN gaps g ON g.region = a.region AND g.league = a.league AND g.day < decided
+    GROUP BY 1, 2, 3),
+u AS (SELECT *, (decided - last)::int AS gap, CASE WHEN n >= {DAYS_NEEDED} AND decided - last <= {IN_SEASON}
+    AND len(regular) > 0 THEN (regular[floor({QUANTILE} * (len(regular) - 1))::int + 1] + 1)::int END AS usual FROM past)
+SELECT region, league, decided, gap, usual, coalesce(gap > usual AND max(last) OVER (PARTITION BY region, decided) > last, false) AS lagging
+    FROM u""", "match")
 def lagging_leagues(spark, sf):
     """Nations as leagues of five regions, on every decision day of their region."""
     m = matches(spark, sf).select(F.col("league").alias("region"), F.col("grp").alias("league"), "match_date")
     return lag_test(m, m.select("region", T.decision_day(F.col("match_date")).alias("decided")))
 
 
-@query("w7_top_k", "SELECT grp, match_id FROM (SELECT grp, match_id, row_number() OVER (PARTITION BY grp ORDER BY home_goals + away_goals DESC, match_date, match_id) AS k FROM fx_match) t WHERE k <= 6", "match")
+@query("w7_top_k", """SELECT grp, match_id FROM (SELECT grp, match_id, row_number() OVER (PARTITION BY grp
+    ORDER BY home_goals + away_goals DESC, match_date, match_id) AS k FROM fx_match) t WHERE k <= 6""", "match")
 def top_k(spark, sf):
     w = Window.partitionBy("grp").orderBy(F.desc(F.col("home_goals") + F.col("away_goals")), "match_date", "match_id")
     return matches(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 6").select("grp", "match_id")
@@ -115,7 +125,8 @@ def set_difference(spark, sf):
     return o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k")).subtract(o.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
-@query("u3_event_union", "SELECT kind, count(*) AS n, min(day)::date::varchar AS first_day FROM (SELECT 0 AS kind, match_date AS day FROM fx_match UNION ALL SELECT 1, match_date + 1 FROM fx_match) t GROUP BY 1", "match")
+@query("u3_event_union", """SELECT kind, count(*) AS n, min(day)::date::varchar AS first_day FROM (SELECT 0 AS kind, match_date AS day
+    FROM fx_match UNION ALL SELECT 1, match_date + 1 FROM fx_match) t GROUP BY 1""", "match")
 def event_union(spark, sf):
     m = matches(spark, sf)
     x = m.select(F.lit(0).alias("kind"), F.col("match_date").alias("at")).unionByName(m.select(F.lit(1).alias("kind"), F.date_add("match_date", 1).alias("at")))
