@@ -93,12 +93,13 @@ past AS (SELECT a.region, a.league, decided, max(day) AS last, count(day) AS n,
     GROUP BY 1, 2, 3),
 u AS (SELECT *, (decided - last)::int AS gap, CASE WHEN n >= {DAYS_NEEDED} AND decided - last <= {IN_SEASON}
     AND len(regular) > 0 THEN (regular[floor({QUANTILE} * (len(regular) - 1))::int + 1] + 1)::int END AS usual FROM past)
-SELECT region, league, decided, gap, usual, coalesce(gap > usual AND max(last) OVER (PARTITION BY region, decided) > last, false) AS lagging
+SELECT region, league, decided::date::varchar AS decided, gap, usual, coalesce(gap > usual AND max(last) OVER (PARTITION BY region, decided) > last, false) AS lagging
     FROM u""", "match")
 def lagging_leagues(spark, sf):
     """Nations as leagues of five regions, on every decision day of their region."""
     m = matches(spark, sf).select(F.col("league").alias("region"), F.col("grp").alias("league"), "match_date")
-    return lag_test(m, m.select("region", T.decision_day(F.col("match_date")).alias("decided")))
+    out = lag_test(m, m.select("region", T.decision_day(F.col("match_date")).alias("decided")))
+    return out.withColumn("decided", F.date_format("decided", "yyyy-MM-dd"))
 
 
 @query("w7_top_k", """SELECT grp, match_id FROM (SELECT grp, match_id, row_number() OVER (PARTITION BY grp
