@@ -17,6 +17,11 @@ def local_to_utc(local: Column) -> Column:
     return F.when(F.from_utc_timestamp(later, ZONE) == local, later).otherwise(first)
 
 
+def nearest_second(at: Column) -> Column:
+    """An instant as the nearest second since 1970, half to even, as SQL's cast of a fraction gives it."""
+    return F.bround(F.unix_micros(at) / 1e6).cast("long")
+
+
 def at_hour(day: Column, hour: int) -> Column:
     return day.cast("timestamp") + F.expr(f"interval {hour} hours")
 
