@@ -15,7 +15,7 @@ def test_prices_are_those_of_the_long_rows(spark):
     assert all(r.a == long[r.match_id, 0, 0] and r.b == long[r.match_id, 2, 1] for r in side_by_side(spark, SF, a=(0, 0), b=(2, 1)).collect())
 
 
-@pytest.mark.parametrize("name", ["a32_record_mismatches"])
+@pytest.mark.parametrize("name", ["a7_clv", "d12_loglinear_pool", "a32_record_mismatches", "d7_closing_last_value"])
 def test_no_grouping(spark, name):
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
