@@ -8,10 +8,9 @@ the results known before it."""
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,35 +24,43 @@ class Strategy(Protocol):
     def observe(self, row) -> None: ...
 
 
-def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str], params: list[str] = (), group: str = "grp") -> DataFrame:
+def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str], params: list[str] = (), group: str = "grp", carry: list[str] = ()) -> DataFrame:
     """``matches`` with ``decided``, whether a decision falls before the kick-off, and the columns ``names`` of each
     decision (null without one, or if the strategy makes none). ``make`` gets the values of the ``params`` columns,
-    which belong to the group. A table without ``kickoff`` is one of unknown kick-offs."""
+    which belong to the group; the columns ``carry`` are kept beside. A table without ``kickoff`` is one of unknown kick-offs.
+
+    Spark sorts the events of a group, spilling as it must, and a task walks over them in batches, so that it holds a
+    strategy's state and one batch, however long the group."""
     keep = ["match_id", "match_date", "home", "away", "home_goals", "away_goals"]
     keys = [group, *params]
     kickoff = matches["kickoff"] if "kickoff" in matches.columns else F.lit(None).cast("timestamp")
     day = matches["match_date"]
-    x = matches.select(*keys, *keep, F.unix_timestamp(kickoff).alias("_start"), F.unix_timestamp(T.decision_at(day, kickoff)).alias("_at"), F.unix_timestamp(T.result_known_at(day, kickoff)).alias("_known"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys, *keep).schema), "decided boolean", *(f"{n} double" for n in names)])
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["match_date", "_start", "match_id"], na_position="first", kind="stable").reset_index(drop=True)
-        pdf["decided"] = pdf["_at"].notna()
-        asked = np.flatnonzero(pdf["decided"])
-        at = np.concatenate((pdf["_at"].to_numpy(float)[asked], pdf["_known"].to_numpy(float)))
-        which, kind = np.concatenate((asked, np.arange(len(pdf)))), np.repeat((0, 1), (len(asked), len(pdf)))
-        rows, strategy, none = list(pdf[keep].itertuples(index=False)), make(*key[1:]), (None,) * len(names)
-        out = [none] * len(rows)
-        for e in np.lexsort((which, kind, at)).tolist():
-            i = int(which[e])
-            if kind[e]:
-                strategy.observe(rows[i])
-            else:
-                out[i] = strategy.predict(rows[i]) or none
-        return pd.concat([pdf, pd.DataFrame(out, columns=names, dtype=float)], axis=1)[[*keys, *keep, "decided", *names]]
+    at, known = F.unix_timestamp(T.decision_at(day, kickoff)), F.unix_timestamp(T.result_known_at(day, kickoff))
+    event = lambda result, at: F.struct(F.lit(result).alias("_result"), at.alias("_at"))
+    x = matches.select(*keys, *keep, *carry, F.unix_timestamp(kickoff).alias("_start"), at.isNotNull().alias("decided"), F.explode(F.array(event(False, at), event(True, known))).alias("_e"))
+    x = x.select(*keys, *keep, *carry, "decided", "_start", "_e._result", "_e._at")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys, *keep, *carry).schema), "decided boolean", *(f"{n} double" for n in names)])
+    none = (None,) * len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, strategy = None, None
+        for pdf in batches:
+            found = []
+            who = zip(*(pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in keys), strict=True)  # a null is a group too
+            for one, result, decided, row in zip(who, pdf["_result"].tolist(), pdf["decided"].tolist(), pdf[keep].itertuples(index=False), strict=True):
+                if one != now:
+                    now, strategy = one, make(*one[1:])
+                if result:
+                    strategy.observe(row)
+                else:
+                    found.append((strategy.predict(row) or none) if decided else none)
+            out = pdf.loc[~pdf["_result"], [*keys, *keep, *carry, "decided"]].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame(found, columns=names, dtype=float)], axis=1)
 
     # Small rows, dear groups: by default few groups would meet in few tasks.
-    return x.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys).applyInPandas(run, schema)
+    x = x.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, *keys)
+    order = [F.col("_at").asc_nulls_last(), "_result", F.col("match_date").asc_nulls_first(), F.col("_start").asc_nulls_first(), "match_id"]
+    return x.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 class SeenResults:
