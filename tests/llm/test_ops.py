@@ -1,5 +1,6 @@
 import functools
 import math
+import os
 import random
 import string
 import re
@@ -405,3 +406,23 @@ def test_columns_by_name(spark):
     n = table(spark, "documents").count()
     for name in ("op1_bpe_encode", "op2_quality_rules", "op7_source_mix", "op9_secret_scan"):
         assert queries.queries()[name](spark, SF).agg(F.count(F.lit(1))).first()[0] == n
+
+
+def test_word_rows_meet_in_as_many_ranges_as_the_corpus_needs(spark, corpus):
+    """A common word has a row from nearly every range of pairs: ranges of rows grow with them, not with the table's
+    partitions, so that no task comes to hold a share of the whole corpus."""
+    model = kneser_ney.train(docs(spark, [t for _, t in corpus]), entries=100)
+    rows = [f for f in os.listdir(model.folder) if f.startswith("rows-")]
+    assert model.bits > model.word_bits + kneser_ney.ROW_PART + 1
+    assert model.word_ranges < len(rows) <= model.row_ranges == 1 << (model.bits - kneser_ney.ROW_PART)
+
+
+def test_workers_let_go_of_mapped_pages(tmp_path, monkeypatch):
+    """Files of more than ``PAGES`` bytes in all aren't held together, and read the same again."""
+    monkeypatch.setattr(kneser_ney, "PAGES", 3 << 20)
+    for k in range(6):
+        kneser_ney._write(str(tmp_path), f"x-{k}", np.arange(k, k + (1 << 17)).astype(np.uint64))
+    for _ in range(2):
+        for k in range(6):
+            assert kneser_ney._mapped(str(tmp_path), f"x-{k}")[0].sum() == sum(range(k, k + (1 << 17)))
+            assert sum(map(len, kneser_ney._HELD.values())) <= 3 << 20
