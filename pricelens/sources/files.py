@@ -21,6 +21,18 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return x.select(F.substring_index("path", below, -1).alias("path"), F.col("length").alias("bytes"), "content")
 
 
+def write_packs(files: DataFrame, root: str) -> None:
+    """Write files (path, content) into packs, Parquet files with a row for each of them: where files are many and small, a
+    name of its own costs each more than its bytes do."""
+    files.select("path", "content").write.parquet(root)
+
+
+def read_packs(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes, content) of all files in the packs below a folder."""
+    x = spark.read.schema("path string, content binary").parquet(root)
+    return x.select("path", F.octet_length("content").cast("long").alias("bytes"), "content")
+
+
 class FileStore:
     """The stored files at a path that all executors share."""
 
