@@ -19,3 +19,16 @@ def test_prices_are_those_of_the_long_rows(spark):
 def test_no_grouping(spark, name):
     plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_both_phases_losses_stand_side_by_side(spark):
+    """A match's losses aren't brought together by match: the plan deals rows by nothing but the draws' keys, and a key's
+    rows stay together, so that it is weighed once."""
+    from pricelens.plans import metrics
+
+    x = metrics._two(spark, SF)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "match_id" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+    y = metrics.scored(spark, SF).groupBy("match_id", "book", "league", "season").pivot("phase", [0, 1]).agg({"ll": "max"}).dropna()
+    key = lambda r: (r[0], r[1], r[2], r[3], round(r[4], 12), round(r[5], 12))
+    assert sorted(map(key, x.select("match_id", "book", "league", "season", "pre", "close").collect())) == sorted(map(key, y.collect()))
