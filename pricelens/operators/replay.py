@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,25 @@ from pyspark.sql import functions as F
 from ..functions import timeaxis as T
 
 
+#: Kinds of events.
+RESULT, DECISION, NONE = 0, 1, 2
+
+
 class Strategy(Protocol):
     def predict(self, row) -> tuple | None: ...
 
     def observe(self, row) -> None: ...
 
 
-def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str], params: list[str] = (), group: str = "grp", carry: list[str] = ()) -> DataFrame:
+def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str], params: list[str] = (), group: str = "grp", carry: list[str] = (), events: bool = False) -> DataFrame:
     """``matches`` with ``decided``, whether a decision falls before the kick-off, and the columns ``names`` of each
     decision (null without one, or if the strategy makes none). ``make`` gets the values of the ``params`` columns,
     which belong to the group; the columns ``carry`` are kept beside. A table without ``kickoff`` is one of unknown kick-offs.
 
     Spark sorts the events of a group, spilling as it must, and a task walks over them in batches, so that it holds a
-    strategy's state and one batch, however long the group."""
+    strategy's state and one batch, however long the group. With ``events`` the strategy takes a batch's events at once, by
+    its ``walk(events)``, as tuples (kind, home, away, day number, goal difference), and gives what it predicts for each
+    decision; a kind is ``RESULT``, ``DECISION`` or ``NONE``, a decision that doesn't fall before the kick-off."""
     keep = ["match_id", "match_date", "home", "away", "home_goals", "away_goals"]
     keys = [group, *params]
     kickoff = matches["kickoff"] if "kickoff" in matches.columns else F.lit(None).cast("timestamp")
@@ -39,6 +46,8 @@ def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str],
     event = lambda result, at: F.struct(F.lit(result).alias("_result"), at.alias("_at"))
     x = matches.select(*keys, *keep, *carry, F.unix_timestamp(kickoff).alias("_start"), at.isNotNull().alias("decided"), F.explode(F.array(event(False, at), event(True, known))).alias("_e"))
     x = x.select(*keys, *keep, *carry, "decided", "_start", "_e._result", "_e._at")
+    if events:  # day numbers: dates would become objects, which are slow to move and to compare
+        x = x.withColumn("match_date", F.unix_date("match_date"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in matches.select(*keys, *keep, *carry).schema), "decided boolean", *(f"{n} double" for n in names)])
     none = (None,) * len(names)
 
@@ -57,10 +66,32 @@ def replay(matches: DataFrame, make: Callable[..., Strategy], names: list[str],
             out = pdf.loc[~pdf["_result"], [*keys, *keep, *carry, "decided"]].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(found, columns=names, dtype=float)], axis=1)
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, strategy = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = [pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in keys]  # a null is a group too
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1).tolist(), len(pdf)]
+            kind = np.where(pdf["_result"], RESULT, np.where(pdf["decided"], DECISION, NONE))
+            rows = list(zip(kind.tolist(), pdf["home"].tolist(), pdf["away"].tolist(), pdf["match_date"].tolist(), (pdf["home_goals"] - pdf["away_goals"]).tolist(), strict=True))
+            found = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                one = tuple(None if pd.isna(v) else v for c in keys for v in pdf[c].iloc[a: a + 1].tolist())
+                if one != now:
+                    now, strategy = one, make(*one[1:])
+                found += strategy.walk(rows[a:b])
+            out = pdf.loc[~pdf["_result"], [*keys, *keep, *carry, "decided"]].reset_index(drop=True)
+            yield pd.concat([out, pd.DataFrame(found, columns=names, dtype=float)], axis=1)
+
     # Small rows, dear groups: by default few groups would meet in few tasks.
     x = x.repartition(4 * matches.sparkSession.sparkContext.defaultParallelism, *keys)
     order = [F.col("_at").asc_nulls_last(), "_result", F.col("match_date").asc_nulls_first(), F.col("_start").asc_nulls_first(), "match_id"]
-    return x.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    x = x.sortWithinPartitions(*keys, *order)
+    if not events:
+        return x.mapInPandas(run, schema)
+    numbered = schema.replace("match_date date", "match_date int", 1)
+    return x.mapInPandas(walk, numbered).withColumn("match_date", F.date_from_unix_date("match_date"))
 
 
 class SeenResults:
@@ -100,17 +131,64 @@ class Elo:
     def predict(self, row) -> tuple:
         return self._both(row)
 
-    def observe(self, row) -> None:
-        h, a, e = self._both(row)
-        goals = row.home_goals - row.away_goals
+    def _move(self, goals) -> tuple[float, float]:
+        """The weight of a goal difference, and what the home side has from it."""
         far = max(abs(goals), 1)
         factor = {"none": 1.0, "linear": 1.0 + (far - 1) * 0.5, "log": 1.0 + math.log(far)}[self.margin]
-        change = self.k * factor * ((goals > 0) + 0.5 * (goals == 0) - e)
+        return self.k * factor, (goals > 0) + 0.5 * (goals == 0)
+
+    def walk(self, events: list[tuple]) -> list[tuple]:
+        """``predict`` and ``observe`` of event after event, in one loop over plain values."""
+        ratings, seen, total, moves, out = self.ratings, self.seen, self.sum, {}, []
+        home_edge, regress, newcomer, gap_days, initial = self.home, self.regress, self.newcomer, self.gap_days, self.initial
+        for kind, i, j, day, goals in events:
+            if kind == NONE:
+                out.append((None, None, None))
+                continue
+            h, a = ratings.get(i), ratings.get(j)
+            if h is None:
+                h = (total / len(ratings) if ratings else initial) - newcomer
+            elif day - seen[i] > gap_days:
+                h += regress * (total / len(ratings) - h)
+            if a is None:
+                a = (total / len(ratings) if ratings else initial) - newcomer
+            elif day - seen[j] > gap_days:
+                a += regress * (total / len(ratings) - a)
+            e = 1.0 / (1.0 + 10.0 ** (-(h + home_edge - a) / 400.0))
+            if kind == DECISION:
+                out.append((h, a, e))
+                continue
+            move = moves.get(goals)
+            if move is None:
+                move = moves[goals] = self._move(goals)
+            change = move[0] * (move[1] - e)
+            h, a = h + change, a - change
+            total += h - ratings.get(i, 0.0)
+            ratings[i], seen[i] = h, day
+            total += a - ratings.get(j, 0.0)
+            ratings[j], seen[j] = a, day
+        self.sum = total
+        return out
+
+    def observe(self, row) -> None:
+        h, a, e = self._both(row)
+        weight, score = self._move(row.home_goals - row.away_goals)
+        change = weight * (score - e)
         for team, value in ((row.home, h + change), (row.away, a - change)):
             self.sum += value - self.ratings.get(team, 0.0)
             self.ratings[team], self.seen[team] = value, row.match_date
 
 
+class Elos:
+    """Several ratings side by side over the same events: the home expectation of each."""
+
+    def __init__(self, configs: list[dict]):
+        self.each = [Elo(**c) for c in configs]
+
+    def walk(self, events: list[tuple]) -> list[tuple]:
+        return list(zip(*([e for _, _, e in one.walk(events)] for one in self.each), strict=True))
+
+
 class Scaffold(Elo):
     """The rating that fitted ones are judged against: nothing is fitted, teams don't return towards a mean."""
 
