@@ -408,13 +408,18 @@ def test_columns_by_name(spark):
         assert queries.queries()[name](spark, SF).agg(F.count(F.lit(1))).first()[0] == n
 
 
-def test_word_rows_meet_in_as_many_ranges_as_the_corpus_needs(spark, corpus):
+def test_word_rows_meet_in_as_many_ranges_as_the_corpus_needs(spark, corpus, monkeypatch):
     """A common word has a row from nearly every range of pairs: ranges of rows grow with them, not with the table's
     partitions, so that no task comes to hold a share of the whole corpus."""
     model = kneser_ney.train(docs(spark, [t for _, t in corpus]), entries=100)
     rows = [f for f in os.listdir(model.folder) if f.startswith("rows-")]
     assert model.bits > model.word_bits + kneser_ney.ROW_PART + 1
     assert model.word_ranges < len(rows) <= model.row_ranges == 1 << (model.bits - kneser_ney.ROW_PART)
+    data = np.frombuffer(" ".join(t for _, t in corpus[:20]).encode(), np.uint8)
+    h, at = kneser_ney.tokens(data, np.array([0, len(data)]))
+    whole = model.levels(h, at)[1]
+    monkeypatch.setattr(kneser_ney, "LOOKUPS", 5)  # contexts of many parts don't come to be held at once
+    assert (model.levels(h, at)[1] == whole).all()
 
 
 def test_workers_let_go_of_mapped_pages(tmp_path, monkeypatch):
